@@ -19,10 +19,9 @@ import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.operators.slices import DAY, micros, slice_of
 from queuelens.session import cut_lineage
 
 Step = Callable[[list, tuple], tuple]
@@ -63,23 +62,23 @@ def _runner(keys: Sequence[str], inputs: Sequence[str], step: Step, fresh: list,
     return run
 
 
-def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, tie: str, inputs: Sequence[str], step: Step,
-               fresh: list, outputs: dict[str, str], slice_seconds: int = DAY) -> DataFrame:
-    """Run ``step`` over each key in (ts, tie) order and add its outputs.
+def carry_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, inputs: Sequence[str],
+               step: Step, fresh: list, outputs: dict[str, str]) -> DataFrame:
+    """Run ``step`` over each key along ``order`` and add its outputs.
 
     ``step(state, row)`` gets the state (a small JSON-able list, ``fresh`` at
     the start of a key) and the values of ``inputs``; it returns the new state
     and a tuple for ``outputs`` (name to SQL type). Keys must not be null.
     """
     keys = list(keys)
-    rows = df.withColumn("_slice", slice_of(micros(ts), slice_seconds))
+    rows = df.withColumn("_slice", slice_col.cast("long"))
     types = dict(df.dtypes)
     group_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _slice bigint"
-    needed = list(dict.fromkeys([*keys, "_slice", ts, tie, *inputs]))
+    needed = list(dict.fromkeys([*keys, "_slice", *order, *inputs]))
     lean = rows.select(*needed)
 
     def exits(part: DataFrame) -> DataFrame:
-        return _sorted_groups(part, keys, [ts, tie]).mapInPandas(
+        return _sorted_groups(part, keys, order).mapInPandas(
             _runner(keys, inputs, step, fresh, None), f"{group_schema}, _exit string")
 
     along = Window.partitionBy(*keys).orderBy("_slice")
@@ -101,7 +100,7 @@ def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, tie: str, inputs: Se
     entries = known.select(*keys, "_slice", F.col("_used").alias("_entry"))
     out_schema = ", ".join([f"{n} {t}" for n, t in df.dtypes] + [f"{n} {t}" for n, t in outputs.items()])
     return _sorted_groups(rows.join(entries, [*keys, "_slice"]).select(*df.columns, "_slice", "_entry"),
-                          keys, [ts, tie]).mapInPandas(
+                          keys, order).mapInPandas(
         _runner(keys, inputs, step, fresh, list(outputs)), out_schema)
 
 

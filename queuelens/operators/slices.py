@@ -50,22 +50,27 @@ def suggest_slice_seconds(df: DataFrame, keys: Sequence[str], ts: str,
     return max(floor_seconds, int(target_rows / density))
 
 
-def range_frame(df: DataFrame, keys: Sequence[str], ts: str, back_us: int,
-                aggs: dict[str, Column], slice_seconds: int = DAY, upto_us: int = 0) -> DataFrame:
-    """Aggregates over ``[t - back_us, t + upto_us]`` with ``upto_us <= 0``.
+def time_slice(ts: str | Column, slice_seconds: float = DAY) -> Column:
+    return slice_of(micros(ts), slice_seconds)
 
-    Rows of the same instant share their frame, as in SQL ``RANGE``.
+
+def range_frame(df: DataFrame, keys: Sequence[str], ts: str, back_us: int, exprs,
+                slice_seconds: int = DAY) -> DataFrame:
+    """Window expressions over frames that look back at most ``back_us``.
+
+    ``exprs`` maps a window spec, ordered by microseconds and without a frame,
+    to a dict of columns; it adds ``rangeBetween`` frames within the reach. Rows
+    of the same instant share their frame, as in SQL ``RANGE``.
     """
     width = int(slice_seconds * 1_000_000)
     us = micros(ts)
     own = F.floor(us / F.lit(width))
-    reach = F.floor((us + F.lit(back_us)) / F.lit(width))
+    reach = F.floor((us + F.lit(int(back_us))) / F.lit(width))
     copies = (df.withColumn("_us", us)
               .withColumn("_own", own)
               .withColumn("_slice", F.explode(F.sequence(own, reach))))
-    frame = (Window.partitionBy(*keys, "_slice").orderBy("_us")
-             .rangeBetween(-int(back_us), int(upto_us)))
-    framed = copies.select("*", *[a.over(frame).alias(n) for n, a in aggs.items()])
+    spec = Window.partitionBy(*keys, "_slice").orderBy("_us")
+    framed = copies.select("*", *[c.alias(n) for n, c in exprs(spec).items()])
     return framed.filter(F.col("_own") == F.col("_slice")).drop("_us", "_own", "_slice")
 
 
@@ -99,37 +104,37 @@ def _edge_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count
             .withColumn("_guest", F.lit(True)))
 
 
-def row_frame(df: DataFrame, keys: Sequence[str], ts: str, tie: str, exprs, before: int = 0,
-              after: int = 0, slice_seconds: int = DAY) -> DataFrame:
+def row_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, exprs,
+              before: int = 0, after: int = 0) -> DataFrame:
     """Window expressions over the ``before`` previous and ``after`` next rows.
 
-    ``exprs`` maps a window spec (partitioned and ordered, without frame) to a
-    dict of columns; ``lag``, ``lead`` and ``rowsBetween`` frames within the
-    given reach are exact. Order is ``ts`` then ``tie``, which must be unique.
+    ``exprs`` maps a window spec (ordered, without a frame) to a dict of
+    columns; ``lag``, ``lead`` and ``rowsBetween`` frames within the given reach
+    are exact. ``order`` must tell all rows of a key apart, and ``slice_col``
+    must not decrease along it.
     """
-    rows = df.withColumn("_slice", slice_of(micros(ts), slice_seconds)).withColumn("_guest", F.lit(False))
-    base = rows.drop("_guest")
-    all_rows = rows
+    base = df.withColumn("_slice", slice_col)
+    all_rows = base.withColumn("_guest", F.lit(False))
     if before:
-        all_rows = all_rows.unionByName(_edge_rows(base, keys, [ts, tie], before, True))
+        all_rows = all_rows.unionByName(_edge_rows(base, keys, order, before, True))
     if after:
-        all_rows = all_rows.unionByName(_edge_rows(base, keys, [ts, tie], after, False))
-    spec = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
+        all_rows = all_rows.unionByName(_edge_rows(base, keys, order, after, False))
+    spec = Window.partitionBy(*keys, "_slice").orderBy(*order)
     out = all_rows.select("*", *[c.alias(n) for n, c in exprs(spec).items()])
     return out.filter(~F.col("_guest")).drop("_slice", "_guest")
 
 
-def prefix_frame(df: DataFrame, keys: Sequence[str], ts: str, tie: str, sums: dict[str, Column],
-                 slice_seconds: int = DAY) -> DataFrame:
+def prefix_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column,
+                 sums: dict[str, Column]) -> DataFrame:
     """Running sums from the first row of the key to this row."""
-    rows = df.withColumn("_slice", slice_of(micros(ts), slice_seconds))
+    rows = df.withColumn("_slice", slice_col)
     for name, value in sums.items():
         rows = rows.withColumn(f"_in_{name}", value)
     totals = rows.groupBy(*keys, "_slice").agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_slice", *[
         F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    local = (Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
+    local = (Window.partitionBy(*keys, "_slice").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = rows.join(offsets, [*keys, "_slice"])
     out = joined.select("*", *[
