@@ -82,6 +82,8 @@ def with_views(body: str, *names: str, recursive: bool = False) -> str:
                 ordered.append(dep)
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in ordered)
     text = body.strip()
+    if text[:15].upper() == "WITH RECURSIVE ":
+        recursive, text = True, "WITH " + text[15:]
     head = "WITH RECURSIVE " if recursive else "WITH "
     if text[:5].upper() == "WITH ":
         return f"{head}{ctes}, {text[5:]}" if ctes else head + text[5:]

@@ -43,10 +43,13 @@ def order_stats(df: DataFrame, keys: Sequence[str], value: str,
     position. Nulls are left out. Keys must not be null.
     """
     keys = list(keys)
-    counts = (df.filter(F.col(value).isNotNull())
+    filled = F.col(value).isNotNull()
+    for k in keys:  # stated once here, so that all branches share one scan and shuffle
+        filled = filled & F.col(k).isNotNull()
+    counts = (df.filter(filled)
               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_b", magnitude_bin(F.col("_v"))))
+              .withColumn("_b", F.coalesce(magnitude_bin(F.col("_v")), F.lit(0))))
     bins = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"),
                                           F.max("_v").alias("_hi"))
     per_key = Window.partitionBy(*keys)
@@ -106,47 +109,27 @@ def linear_percentiles(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def boundary_rows(df: DataFrame, value: str, tie: str,
-                  picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """One row with, per pick, the ``(value, tie)`` pair at that global position.
+                  picks: dict[str, Callable[[Column], Column]]) -> dict[str, tuple[float, int] | None]:
+    """The ``(value, tie)`` pair at each wanted global position.
 
-    Equal values are told apart by ``tie``. With the pairs at hand a row's side
-    of each cut is a plain comparison, so no row needs a global rank.
+    Equal values are told apart by ``tie`` (a unique whole number). Only these
+    few pairs reach the driver; with them a row's side of each cut is a plain
+    comparison with constants, so no row ever needs a global rank. A position
+    past the end gives None.
     """
-    at_value = order_stats(df, [], value, picks)
+    found = order_stats(df, [], value, picks).first()
+    at = {n: found[n] for n in picks if found is not None and found[n] is not None}
+    if not at:
+        return {n: None for n in picks}
     v = F.col(value).cast("double")
-    rows = (df.filter(F.col(value).isNotNull())
-            .select(v.alias("_v"), F.col(tie).cast("long").alias("_t"))
-            .crossJoin(F.broadcast(at_value)))  # one row
-    counted = rows.agg(F.count(F.lit(1)).alias("_n"), *[
-        F.count_if(F.col("_v") < F.col(n)).alias(f"_l_{n}") for n in picks])
-    wanted = counted.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("_name"), (pos(F.col("_n")) - F.col(f"_l_{n}")).cast("long").alias("_within"))
-        for n, pos in picks.items()])).alias("_x")).select("_x.*")
-    matches = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("val")) for n in picks]),
-                       lambda x: x["val"] == F.col("_v"))
-    ties = rows.select("_t", F.explode(matches).alias("_m")).select(
-        F.col("_m.name").alias("_name"), F.col("_m.val").alias("_val"), "_t")
-    picked = _positions_in_groups(ties, "_name", "_t", wanted)
-    values = at_value.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("_name"), F.col(n).alias("_val")) for n in picks])).alias("_x")).select("_x.*")
-    both = values.join(picked, "_name")
-    return both.agg(*[F.max(F.when(F.col("_name") == n, F.struct(
-        F.col("_val").alias("v"), F.col("_tie").alias("t")))).alias(n) for n in picks])
-
-
-def _positions_in_groups(rows: DataFrame, group: str, value: str, wanted: DataFrame) -> DataFrame:
-    """Value at position ``_within`` of each group, by counting in equal id bins."""
-    bounds = rows.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo") + F.lit(1)
-    binned = rows.join(F.broadcast(bounds), group).withColumn(
-        "_b", F.floor((F.col(value) - F.col("_lo")) / width * F.lit(1_000_000)).cast("long"))
-    upto = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (binned.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-            .withColumn("_end", F.sum("_c").over(upto)))
-    chosen = (hist.join(F.broadcast(wanted), group)
-              .filter((F.col("_within") < F.col("_end")) & (F.col("_within") >= F.col("_end") - F.col("_c")))
-              .select(group, "_b", (F.col("_within") - F.col("_end") + F.col("_c")).alias("_r")))
-    return (binned.join(F.broadcast(chosen), [group, "_b"])
-            .withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(value)))
-            .filter(F.col("_k") == F.col("_r") + 1)
-            .select(group, F.col(value).alias("_tie")))
+    rows = df.filter(v.isNotNull()).select(v.alias("_v"), F.col(tie).cast("long").alias("_t"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("_n"), *[
+        F.count_if(F.col("_v") < x).alias(f"_l_{n}") for n, x in at.items()])
+    within = sizes.select(*[(picks[n](F.col("_n")) - F.col(f"_l_{n}")).cast("long").alias(n) for n in at]).first()
+    matches = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("val")) for n, x in at.items()]),
+                       lambda m: m["val"] == F.col("_v"))
+    tied = (rows.filter(F.col("_v").isin(*at.values())).select("_t", F.explode(matches).alias("_m"))
+            .select("_t", F.col("_m.name").alias("_cut")))
+    place = F.coalesce(*[F.when(F.col("_cut") == n, F.lit(within[n])) for n in at])
+    ties = {r["_cut"]: r["t"] for r in order_stats(tied, ["_cut"], "_t", {"t": lambda n: place}).collect()}
+    return {n: (at[n], int(ties[n])) if n in at else None for n in picks}

@@ -66,12 +66,12 @@ def range_frame(df: DataFrame, keys: Sequence[str], ts: str, back_us: int, exprs
     us = micros(ts)
     own = F.floor(us / F.lit(width))
     reach = F.floor((us + F.lit(int(back_us))) / F.lit(width))
-    copies = (df.withColumn("_us", us)
-              .withColumn("_own", own)
+    copies = (df.withColumn("_at", us)
+              .withColumn("_home", own)
               .withColumn("_slice", F.explode(F.sequence(own, reach))))
-    spec = Window.partitionBy(*keys, "_slice").orderBy("_us")
+    spec = Window.partitionBy(*keys, "_slice").orderBy("_at")
     framed = copies.select("*", *[c.alias(n) for n, c in exprs(spec).items()])
-    return framed.filter(F.col("_own") == F.col("_slice")).drop("_us", "_own", "_slice")
+    return framed.filter(F.col("_home") == F.col("_slice")).drop("_at", "_home", "_slice")
 
 
 def _edge_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count: int,
