@@ -1 +1,183 @@
-"""Queries."""
+"""Queries of section 2.8 and the stream source and sinks of 2.1 and 2.2."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from queuelens import fixtures as fx
+from queuelens.catalog.aggregates import SNAP, T0, at
+from queuelens.catalog import ordered as _ordered  # noqa: F401  (its SQL is reused)
+from queuelens.catalog.registry import SQL, query
+from queuelens.functions.columns import queue_key
+from queuelens.operators import aggregates as ag
+from queuelens.operators import ordered as od
+from queuelens.operators.aggregates import r6
+from queuelens.session import scratch_path
+from queuelens.sources import scan, sinks
+from queuelens.streaming import jobs, processors
+
+
+def event_stream(spark, d):
+    """The events file as a stream, times as instants."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    raw = scan.read_stream(spark, "parquet", {"pathGlobFilter": "events.parquet"}, schema, d)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def point_stream(spark, d):
+    return event_stream(spark, d).select(
+        F.col("event_id").alias("key"), F.col("event_type").alias("name"),
+        F.create_map(F.lit("k"), fx.k_of().cast("string"), F.lit("user"), F.col("user_id").cast("string")).alias("labels"), "value", "ts")
+
+
+@query("stream_source", "SELECT event_id, user_id, event_type, value, ts FROM events")
+def stream_source(spark, d):
+    return jobs.run_to_table(event_stream(spark, d).drop("props"), "source").withColumn("ts", fx.plain("ts"))
+
+
+@query("micro_batch_sink", "SELECT event_type, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1")
+def micro_batch_sink(spark, d):
+    base = scratch_path(spark, "tables")
+    sinks.stream_to_tables(event_stream(spark, d), base, "event_type", scratch_path(spark, "tables-checkpoint")).awaitTermination()
+    return spark.read.parquet(base).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("id_sum"))
+
+
+@query("stream_sink", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1")
+def stream_sink(spark, d):
+    path = scratch_path(spark, "topic")
+    sinks.to_topic(event_stream(spark, d), "user_id", path, scratch_path(spark, "topic-checkpoint"), "json").awaitTermination()
+    return spark.read.schema("key string, value string").json(path).groupBy("key").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(F.get_json_object("value", "$.event_id").cast("long")).alias("id_sum"))
+
+
+@query("stream_rollup", """WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 60) * 60) AT TIME ZONE 'UTC' AS window_start, name, '{"k":"' || k || '","user":"' || user_id || '"}' AS labels, value FROM metric_points)
+    SELECT window_start, name, labels, count(*) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM w
+    WHERE window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM metric_points) GROUP BY 1, 2, 3""", ("metric_points",))
+def stream_rollup(spark, d):
+    out = jobs.run_to_table(jobs.stream_rollup(point_stream(spark, d)), "rollup")
+    return out.select(fx.plain("window_start").alias("window_start"), "name", "labels", "count", r6("avg").alias("avg"), "min", "max")
+
+
+@query("stream_sliding", """WITH p AS (SELECT name, value, ts, unnest(range(0, 10)) AS i FROM metric_points), w AS (
+    SELECT name, value, to_timestamp((floor(epoch(ts) / 30) + 1 + i) * 30) AT TIME ZONE 'UTC' AS window_end FROM p)
+    SELECT window_end, name, count(*) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max FROM w
+    WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM metric_points) GROUP BY 1, 2""", ("metric_points",))
+def stream_sliding(spark, d):
+    out = jobs.run_to_table(jobs.stream_sliding(point_stream(spark, d), 300), "sliding")
+    return out.select(fx.plain("window_end").alias("window_end"), "name", "count", r6("sum").alias("sum"), "min", "max")
+
+
+@query("stream_dedup", "SELECT event_id, event_type, value FROM events")
+def stream_dedup(spark, d):
+    twice = event_stream(spark, d).unionAll(event_stream(spark, d))
+    return jobs.run_to_table(jobs.stream_dedup(twice, "event_id"), "dedup").select("event_id", "event_type", "value")
+
+
+@query("late_policy")
+def late_policy(spark, d):
+    ev = fx.table(spark, d, "events")
+    source = scratch_path(spark, "shuffled")
+    ev.repartition(8, F.xxhash64("event_id")).write.parquet(source)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    base = scratch_path(spark, "late")
+    jobs.late_rows(stream, 86400, base, scratch_path(spark, "late-checkpoint"))
+    return spark.read.parquet(f"{base}/late/*")
+
+
+RETRY_SQL = """WITH e AS (SELECT event_id, CAST(event_id % 7 AS INTEGER) AS attempts, event_type = 'error' AS failed, value > 2 AS ok FROM events)
+    SELECT event_id AS original_id, CASE WHEN NOT ok THEN 'value' WHEN attempts + 1 >= 5 THEN 'max_retries' END AS error, CASE WHEN ok AND attempts + 1 < 5 THEN 'retry' ELSE 'dlq' END AS target,
+    CASE WHEN ok AND attempts + 1 < 5 THEN CAST(floor(30 * pow(2.0, attempts)) AS INTEGER) END AS delay_s FROM e WHERE NOT ok OR failed"""
+
+
+@query("stream_retry_dlq", RETRY_SQL)
+def stream_retry_dlq(spark, d):
+    base = scratch_path(spark, "retry")
+    jobs.stream_retry_dlq(event_stream(spark, d), {"value": F.col("value") > 2}, "event_id", F.to_json(F.struct("event_id", "value")),
+                          F.col("event_type") == "error", F.col("event_id") % 7, base, scratch_path(spark, "retry-checkpoint"), at(T0))
+    retry = spark.read.parquet(f"{base}/retry/*").select("original_id", F.lit(None).cast("string").alias("error"), F.lit("retry").alias("target"), "delay_s")
+    dlq = spark.read.parquet(f"{base}/dlq/*").select("original_id", "error", F.lit("dlq").alias("target"), F.lit(None).cast("int").alias("delay_s"))
+    return retry.unionByName(dlq)
+
+
+@query("dlq_replay", """WITH q AS (SELECT task_id, concat_ws(':', 'queue', tenant, task_type) AS queue_key, created_at, status FROM tasks), b AS (SELECT queue_key, count(*) AS n FROM q WHERE status = 'pending' GROUP BY 1),
+    d AS (SELECT q.*, coalesce(n, 0) <= 200 AND created_at <= TIMESTAMP '2000-01-01' - INTERVAL 120 SECOND AS ok FROM q LEFT JOIN b USING (queue_key) WHERE status = 'dead'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY queue_key, ok ORDER BY created_at, task_id) AS rn FROM d) SELECT task_id, queue_key, CASE WHEN ok AND rn <= 3 THEN 'replay' ELSE 'stay' END AS action FROM r""", ("tasks",))
+def dlq_replay(spark, d):
+    t = fx.tasks(spark, d).withColumn("queue_key", queue_key("tenant", "task_type"))
+    dead = t.filter(F.col("status") == "dead").select("task_id", "queue_key", F.col("created_at").alias("ts"), F.lit("timeout").alias("error"))
+    backlog = t.filter(F.col("status") == "pending").groupBy("queue_key").agg(F.count(F.lit(1)).alias("backlog"))
+    go, stay = jobs.dlq_replay(dead, backlog, at("2000-01-01 00:00:00"), 3, 120, 200)
+    return go.select("task_id", "queue_key", F.lit("replay").alias("action")).unionByName(
+        stay.select("task_id", "queue_key", F.lit("stay").alias("action")))
+
+
+DEADLINE_SQL = """WITH e AS (SELECT task_id, event, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS nx FROM task_history)
+    SELECT task_id, us + {us} AS deadline_us FROM e WHERE {arm} AND (nx > us + {us} OR (nx IS NULL AND us + {us} <= (SELECT max(epoch_us(ts)) - 600000000 FROM task_history)))"""
+
+
+def history_stream(spark, d):
+    kind = F.col("event_type")
+    return event_stream(spark, d).select(
+        F.col("user_id").alias("task_id"), F.when(kind == "error", "fail").when(kind == "signup", "enqueue").when(kind == "view", "dequeue")
+        .otherwise("ack").alias("event"), "ts")
+
+
+@query("visibility_timeout", DEADLINE_SQL.format(us=7_200_000_000, arm="event = 'dequeue'"), ("task_history",))
+def visibility_timeout(spark, d):
+    out = processors.stream_deadlines(history_stream(spark, d), "task_id", ["dequeue"], 7200)
+    return jobs.run_to_table(out, "visibility")
+
+
+@query("worker_liveness", """SELECT user_id AS worker_id, max(ts) AS last_seen, round(epoch(TIMESTAMP '2024-01-20') - epoch(max(ts)), 6) AS age_s, epoch(TIMESTAMP '2024-01-20') - epoch(max(ts)) > 7200 AS stale,
+    epoch(TIMESTAMP '2024-01-20') - epoch(max(ts)) > 18000 AS hung FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1""")
+def worker_liveness(spark, d):
+    beats = fx.table(spark, d, "events").select(F.col("user_id").alias("worker_id"), "ts")
+    out = jobs.worker_liveness(beats, at(T0), 7200, 3600)
+    return out.withColumns({"last_seen": fx.plain("last_seen"), "age_s": r6("age_s")})
+
+
+@query("worker_liveness_stream", DEADLINE_SQL.format(us=86_400_000_000, arm="true"), ("task_history",))
+def worker_liveness_stream(spark, d):
+    out = processors.stream_deadlines(history_stream(spark, d), "task_id", ["dequeue", "ack", "fail", "enqueue"], 86400)
+    return jobs.run_to_table(out, "liveness")
+
+
+ALERTS = [("click", 3600, "mean", 30.0), ("view", 86400, "p95", 60.0), ("error", 86400, "mean", 1000.0), ("purchase", 86400, "max", 20.0), ("signup", 86400, "p50", 5.0)]
+ALERT_SQL = ", ".join(f"('{n}', {w}, '{s}', {t}::DOUBLE)" for n, w, s, t in ALERTS)
+
+
+@query("threshold_alerts", f"""{SNAP.replace('SELECT name, window_s, count(*) AS count', ', s AS (SELECT name, window_s, count(*) AS count', 1)}), l AS (UNPIVOT (SELECT name, window_s, mean, p50, p95, min, max, sum FROM s)
+    ON mean, p50, p95, min, max, sum INTO NAME stat VALUE value) SELECT l.name, l.window_s, l.stat, l.value, r.threshold FROM l JOIN (VALUES {ALERT_SQL}) r(name, window_s, stat, threshold)
+    ON l.name = r.name AND l.window_s = r.window_s AND l.stat = r.stat WHERE value >= threshold""", ("metric_points",))
+def threshold_alerts(spark, d):
+    snap = ag.window_snapshot(fx.metric_points(spark, d), [60, 300, 900, 3600, 86400], at(T0))
+    rules = spark.createDataFrame(ALERTS, "name string, window_s int, stat string, threshold double")
+    return jobs.threshold_alerts(snap, rules)
+
+
+@query("stale_pending", """SELECT task_id AS id, (epoch_us(TIMESTAMP '2000-01-01') - epoch_us(created_at)) / 1000 AS idle_ms FROM tasks WHERE status = 'pending' AND created_at <= TIMESTAMP '1999-12-01' ORDER BY idle_ms DESC, id LIMIT 50""", ("tasks",))
+def stale_pending(spark, d):
+    pending = fx.tasks(spark, d).filter(F.col("status") == "pending").select(F.col("task_id").alias("id"), F.col("created_at").alias("delivered_at"))
+    return jobs.stale_pending(pending, 31 * 86_400_000, at("2000-01-01 00:00:00"), 50).select("id", "idle_ms")
+
+
+@query("heal_request_log", """WITH r AS (SELECT event_type AS action, user_id % 5 AS target, event_id, ts, count(*) OVER (PARTITION BY event_type, user_id % 5 ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) > 3 AS lim FROM events)
+    SELECT action, CASE WHEN lim THEN 'rate_limited' WHEN event_id % 9 = 0 THEN 'pending' WHEN event_id % 4 = 0 THEN 'failed' ELSE 'executed' END AS status, count(*) AS requests FROM r GROUP BY 1, 2""")
+def heal_request_log(spark, d):
+    req = fx.table(spark, d, "events").select(
+        F.col("event_type").alias("action"), (F.col("user_id") % 5).alias("target"), "ts", (F.col("event_id") % 9 != 0).alias("scheduled"),
+        (F.col("event_id") % 4 == 0).alias("failed"))
+    return jobs.heal_request_log(req, 3, 21600)
+
+
+def request_stream(spark, d):
+    return event_stream(spark, d).select("event_id", (F.col("user_id") % 20).alias("target"), F.unix_micros("ts").alias("us"),
+                                         (F.col("event_type") != "error").alias("ok"))
+
+
+@query("stream_stateful_scans", SQL["circuit_breaker_streak"])
+def stream_stateful_scans(spark, d):
+    step, fresh = od.streak_breaker_step(2, 43_200_000_000, 3)
+    out = processors.stream_scan(request_stream(spark, d), "target", ["us", "event_id"], ["us", "ok"], step, fresh,
+                                 {"state": "string", "allowed": "boolean"})
+    return jobs.run_to_table(out, "scan").select("event_id", "target", "state", "allowed")
