@@ -142,8 +142,10 @@ def prefix_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     return out.drop("_slice", *[f"_in_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096) -> DataFrame:
-    """1-based position of each row by a unique numeric column, without one task.
+def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096, tie: str | None = None) -> DataFrame:
+    """1-based position of each row by a numeric column, without one task.
+
+    The column (with ``tie``, if given) must tell all rows apart.
 
     Rows are dealt into equal ranges of the order column; only the range sizes
     are accumulated in one place.
@@ -155,6 +157,6 @@ def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096) -
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = Window.partitionBy("_range").orderBy(order)
+    local = Window.partitionBy("_range").orderBy(order, *([tie] if tie else []))
     return (rows.join(offsets, "_range")
             .withColumn(name, F.col("_before") + F.row_number().over(local)).drop("_range", "_before"))
