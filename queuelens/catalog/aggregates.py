@@ -8,6 +8,7 @@ from queuelens import fixtures as fx
 from queuelens.catalog.registry import query
 from queuelens.functions.columns import queue_key
 from queuelens.operators import aggregates as ag
+from queuelens.operators import experiments as ex
 from queuelens.operators.aggregates import r6
 
 T0 = "2024-01-20 00:00:00"
@@ -289,7 +290,8 @@ def run_cost(spark, d):
     return ag.run_cost(fx.table(spark, d, "orders"), ["o_orderstatus"])
 
 
-@query("folder_hash")
+@query("folder_hash", """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS folder, CAST('0x' || substr(sha256(url), 1, 3) AS INTEGER) AS part, sha256(string_agg(url || ':' || sha256(html), chr(10) ORDER BY url || ':' || sha256(html))) AS h, count(*) AS n
+    FROM pages GROUP BY 1, 2) SELECT folder, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM p GROUP BY 1""")
 def folder_hash(spark, d):
     pages = fx.table(spark, d, "pages").select(
         F.col("url").alias("path"), F.sha2("html", 256).alias("sha256"))
@@ -365,3 +367,29 @@ def health_rollup(spark, d):
         F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("pos"),
         F.when(s == 2, "warn").when(s == 3, "fail").otherwise("ok").alias("status"))
     return ag.health_rollup(checks, ["grp"])
+
+
+AB = """WITH v AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS arm, CASE WHEN user_id % 2 = 0 THEN value ELSE value * 1.1::DOUBLE END AS x FROM events), m AS (
+    SELECT count(*) FILTER (arm = 'a') AS n_a, count(*) FILTER (arm = 'b') AS n_b, avg(x) FILTER (arm = 'a') AS mean_a, avg(x) FILTER (arm = 'b') AS mean_b, var_pop(x) FILTER (arm = 'a') AS var_a, var_pop(x) FILTER (arm = 'b') AS var_b FROM v),
+    c AS (SELECT x, count(*)::DOUBLE AS c, count(*) FILTER (arm = 'b') AS cb FROM v GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY x) - c + (c + 1) / 2 AS rk FROM c),
+    u AS (SELECT sum(cb * rk) - any_value(m.n_b) * (any_value(m.n_b) + 1) / 2 AS u_b, sum(c * c * c - c) AS tt FROM r, m)
+    SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round((mean_b - mean_a) / abs(mean_a) * 100, 6) AS improvement_pct,
+    round((mean_b - mean_a) / sqrt((n_a * var_a + n_b * var_b) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)), 6) AS t, n_a + n_b - 2 AS dof, round((mean_b - mean_a) / sqrt((var_a + var_b) / 2), 6) AS effect_size, u_b,
+    round((abs(u_b - n_a * n_b / 2) - 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - tt / ((n_a + n_b) * (n_a + n_b - 1)))), 6) AS z FROM m, u"""
+
+
+def arms(spark, d):
+    ev = fx.table(spark, d, "events")
+    even = F.col("user_id") % 2 == 0
+    return ev.select("event_id", F.when(even, "a").otherwise("b").alias("arm"), F.when(even, F.col("value")).otherwise(F.col("value") * 1.1).alias("x"))
+
+
+@query("ab_statistics", AB)
+def ab_statistics(spark, d):
+    out = ex.ab_statistics(arms(spark, d), "arm", "x")
+    return out.withColumns({c: r6(c) for c in ("mean_a", "mean_b", "improvement_pct", "t", "effect_size", "z")})
+
+
+@query("ab_compare")
+def ab_compare(spark, d):
+    return ex.ab_compare(arms(spark, d), "arm", "x", "event_id")

@@ -208,7 +208,9 @@ def requests(spark, d):
     return events(spark, d).select("event_id", "user_id", "event_type", "ts", "value", (F.col("event_type") != "error").alias("ok"))
 
 
-@query("hysteresis_actions")
+@query("hysteresis_actions", """WITH RECURSIVE o AS (SELECT event_id, event_type, score, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM scaling_actions), s(event_type, rn, event_id, kept) AS (
+    SELECT event_type, 0::BIGINT, -1::BIGINT, 0.0::DOUBLE FROM o WHERE rn = 1 UNION ALL SELECT o.event_type, o.rn, o.event_id, greatest(-2.0::DOUBLE, least(2.0::DOUBLE, CASE WHEN abs(o.score - s.kept) < 0.15::DOUBLE THEN s.kept ELSE o.score END))
+    FROM s JOIN o ON o.event_type = s.event_type AND o.rn = s.rn + 1) SELECT event_id, kept AS kept_score, CASE WHEN kept > 0.15::DOUBLE THEN 'scale_up' WHEN kept < -0.15::DOUBLE THEN 'scale_down' ELSE 'steady' END AS kept_action FROM s WHERE rn > 0""", ("scaling_actions",))
 def hysteresis_actions(spark, d):
     a = fx.scaling_actions(spark, d)
     out = od.hysteresis(a, ["event_type"], ["ts", "event_id"], time_slice("ts", DAYS3), "score")
@@ -237,24 +239,37 @@ def _breaker(spark, d, variant, **cfg):
     return out.select("event_id", "target", "state", "allowed")
 
 
-@query("circuit_breaker_window")
+@query("circuit_breaker_window", """WITH RECURSIVE o AS (SELECT event_id, user_id % 20 AS target, event_type <> 'error' AS ok, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn FROM events),
+    s(target, rn, event_id, mode, changed, fails, allowed) AS (SELECT target, 0::BIGINT, -1::BIGINT, 'closed', 0::BIGINT, []::BIGINT[], true FROM o WHERE rn = 1 UNION ALL
+    SELECT target, rn, event_id, CASE WHEN md = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN md = 'closed' AND len(f2) >= 3 THEN 'open' ELSE md END,
+      CASE WHEN md = 'half_open' AND pm = 'open' THEN us WHEN NOT ok AND md = 'closed' AND len(f2) >= 3 THEN us ELSE changed END,
+      CASE WHEN md = 'open' THEN fails WHEN ok THEN CASE WHEN md = 'half_open' THEN [] ELSE fails END ELSE f2 END, md <> 'open' FROM (
+      SELECT o.*, s.mode AS pm, s.changed, s.fails, CASE WHEN s.mode = 'open' AND o.us - s.changed > 43200000000 THEN 'half_open' ELSE s.mode END AS md,
+      list_append(list_filter(s.fails, lambda x: x >= o.us - 43200000000), o.us) AS f2 FROM s JOIN o ON o.target = s.target AND o.rn = s.rn + 1))
+    SELECT event_id, target, mode AS state, allowed FROM s WHERE rn > 0""")
 def circuit_breaker_window(spark, d):
     return _breaker(spark, d, "window", threshold=3, window_s=43200)
 
 
-@query("circuit_breaker_share")
+@query("circuit_breaker_share", """WITH RECURSIVE o AS (SELECT event_id, user_id % 20 AS target, event_type <> 'error' AS ok, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn,
+      count(*) FILTER (event_type = 'error') OVER w AS fails, count(*) FILTER (event_type <> 'error') OVER w AS oks FROM events WINDOW w AS (PARTITION BY user_id % 20 ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)),
+    s(target, rn, event_id, mode, changed, allowed) AS (SELECT target, 0::BIGINT, -1::BIGINT, 'closed', 0::BIGINT, true FROM o WHERE rn = 1 UNION ALL
+    SELECT target, rn, event_id, CASE WHEN ok AND md <> 'closed' AND oks >= 10 THEN 'closed' WHEN trip THEN 'open' ELSE md END, CASE WHEN trip THEN us ELSE changed END, md <> 'open' FROM (
+      SELECT *, NOT ok AND md = 'closed' AND fails >= 4 AND fails / greatest(1, fails + oks) > 0.3::DOUBLE AS trip FROM (
+      SELECT o.*, s.changed, CASE WHEN s.mode = 'open' AND o.us - s.changed > 86400000000 THEN 'half_open' ELSE s.mode END AS md FROM s JOIN o ON o.target = s.target AND o.rn = s.rn + 1)))
+    SELECT event_id, target, mode AS state, allowed FROM s WHERE rn > 0""")
 def circuit_breaker_share(spark, d):
     return _breaker(spark, d, "share", threshold=4, window_s=86400, share=0.3, recover=10)
 
 
-@query("circuit_breaker_streak", """WITH RECURSIVE o AS (SELECT event_id, user_id % 20 AS target, event_type <> 'error' AS ok, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn FROM events),
+@query("circuit_breaker", """WITH RECURSIVE o AS (SELECT event_id, user_id % 20 AS target, event_type <> 'error' AS ok, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn FROM events),
     s(target, rn, event_id, us, fails, until, good, allowed) AS (SELECT target, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, true FROM o WHERE rn = 1 UNION ALL
     SELECT target, rn, event_id, us, CASE WHEN blocked THEN fails WHEN ok THEN 0 ELSE fails + 1 END,
       CASE WHEN blocked THEN until WHEN ok AND until > 0 AND us > until AND good + 1 >= 3 THEN 0 WHEN NOT ok AND fails + 1 >= 2 THEN us + 43200000000 ELSE until END,
       CASE WHEN blocked THEN good WHEN ok THEN CASE WHEN until > 0 AND us > until AND good + 1 >= 3 THEN 0 ELSE good + 1 END WHEN fails + 1 >= 2 THEN 0 ELSE good END, NOT blocked FROM (
       SELECT o.*, s.fails, s.until, s.good, s.until > 0 AND o.us < s.until AS blocked FROM s JOIN o ON o.target = s.target AND o.rn = s.rn + 1))
     SELECT event_id, target, CASE WHEN until > 0 AND us < until THEN 'open' WHEN until > 0 THEN 'half_open' ELSE 'closed' END AS state, allowed FROM s WHERE rn > 0""")
-def circuit_breaker_streak(spark, d):
+def circuit_breaker(spark, d):
     return _breaker(spark, d, "streak", trip=2, open_s=43200, successes=3)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,13 @@ def query(key: str, sql: str | None = None, views: tuple[str, ...] = (), recursi
     def add(fn: Query) -> Query:
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # fixture times are UTC
+            return fn(spark, folder)
+
+        QUERIES[key] = run
         if sql is not None:
             SQL[key] = with_views(sql, *views, recursive=recursive)
         return fn

@@ -175,7 +175,7 @@ def request_stream(spark, d):
                                          (F.col("event_type") != "error").alias("ok"))
 
 
-@query("stream_stateful_scans", SQL["circuit_breaker_streak"])
+@query("stream_stateful_scans", SQL["circuit_breaker"])
 def stream_stateful_scans(spark, d):
     step, fresh = od.streak_breaker_step(2, 43_200_000_000, 3)
     out = processors.stream_scan(request_stream(spark, d), "target", ["us", "event_id"], ["us", "ok"], step, fresh,

@@ -432,14 +432,15 @@ def zscore_columns(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> Dat
     return both.withColumns(done).drop(*[f"{c}_{p}" for c in cols for p in ("mean", "std")])
 
 
-def folder_hash(manifest: DataFrame, folder: Column, fan: int = 4096) -> DataFrame:
+def folder_hash(manifest: DataFrame, folder: Column) -> DataFrame:
     """One digest per folder over its sorted (path, sha256) pairs.
 
     Two levels, so that a folder with very many files is not one list: the
-    files of a folder are dealt into ``fan`` parts by path hash, parts are
-    digested, and the sorted part digests are digested again.
+    files of a folder are dealt into parts by the first three hex digits of
+    their path's hash, parts are digested, and the sorted part digests are
+    digested again.
     """
-    part = F.pmod(F.xxhash64("path"), F.lit(fan))
+    part = F.conv(F.substring(F.sha2("path", 256), 1, 3), 16, 10)
     line = F.concat_ws(":", F.col("path"), F.col("sha256"))
     parts = manifest.groupBy(folder.alias("folder"), part.alias("part")).agg(
         F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h"),
