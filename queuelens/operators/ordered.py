@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from queuelens.operators.orderstats import boundary_rows, order_stats, position
 from queuelens.operators.scans import affine_scan, carry_scan
-from queuelens.operators.slices import DAY, micros, prefix_frame, range_frame, row_frame, time_slice
+from queuelens.operators.slices import DAY, deviation, micros, prefix_frame, row_frame, sweep_frame
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
 
@@ -26,18 +26,21 @@ def rolling_features(df: DataFrame, by: Sequence[str], windows: Sequence[int] =
                      slice_seconds: int = DAY) -> DataFrame:
     """Mean, deviation, count of duration and mean, deviation of queue length
     over ``(t - w, t]`` per key; missing values are 0."""
-    def exprs(spec):
-        out = {}
-        for w in windows:
-            frame = spec.rangeBetween(-(w * 1_000_000 - 1), 0)
-            zero = lambda c: F.coalesce(c.over(frame), F.lit(0.0))
-            out[f"dur_mean_{w}"] = zero(F.avg("duration_ms"))
-            out[f"dur_std_{w}"] = zero(F.stddev_samp("duration_ms"))
-            out[f"dur_count_{w}"] = F.count("duration_ms").over(frame)
-            out[f"queue_mean_{w}"] = zero(F.avg("queue_length"))
-            out[f"queue_std_{w}"] = zero(F.stddev_samp("queue_length"))
-        return out
-    return range_frame(df, by, ts, max(windows) * 1_000_000 - 1, exprs, max(slice_seconds, max(windows)))
+    dur, queue = F.col("duration_ms").cast("long"), F.col("queue_length").cast("long")
+    big = lambda c: c.cast("decimal(18,0)") * c.cast("decimal(18,0)")
+    out = sweep_frame(df, by, ts, {f"_w{w}": (w * 1_000_000 - 1, 0) for w in windows}, {
+        "dn": dur.isNotNull().cast("long"), "ds": F.coalesce(dur, F.lit(0)), "dq": F.coalesce(big(dur), F.lit(0)),
+        "qn": queue.isNotNull().cast("long"), "qs": F.coalesce(queue, F.lit(0)), "qq": F.coalesce(big(queue), F.lit(0))},
+        max(slice_seconds, max(windows)))
+    made = {}
+    for w in windows:
+        c = lambda x: F.col(f"_w{w}_{x}")
+        for name, tag in (("dur", "d"), ("queue", "q")):
+            mean = c(f"{tag}s").cast("double") / F.nullif(c(f"{tag}n").cast("double"), F.lit(0.0))
+            made[f"{name}_mean_{w}"] = F.coalesce(mean, F.lit(0.0))
+            made[f"{name}_std_{w}"] = F.coalesce(deviation(c(f"{tag}n"), c(f"{tag}s"), c(f"{tag}q"), True), F.lit(0.0))
+        made[f"dur_count_{w}"] = c("dn").cast("long")
+    return out.select(*df.columns, *[v.alias(k) for k, v in made.items()])
 
 
 def _above(value: str, tie: str, pair) -> Column:
@@ -182,14 +185,19 @@ def anomaly_flags(points: DataFrame, keys: Sequence[str], window_s: int = 600, t
     """Each point against a fixed threshold and against its trailing window.
 
     The z value uses earlier points only; with none of them there is no anomaly.
+    Values are taken to nine digits of the largest one, as whole numbers.
     """
-    def exprs(spec):
-        frame = spec.rangeBetween(-window_s * 1_000_000, -1)
-        return {"_m": F.avg("value").over(frame), "_s": F.stddev_pop("value").over(frame)}
-    framed = range_frame(points, keys, "ts", window_s * 1_000_000, exprs, max(slice_seconds, window_s))
-    z = (F.col("value") - F.col("_m")) / (F.col("_s") + 1e-9)
-    return framed.withColumns({"over": F.col("value") > threshold, "z": F.coalesce(F.abs(z), F.lit(0.0)),
-                               "z_anomaly": F.coalesce(F.abs(z) > z_limit, F.lit(False))}).drop("_m", "_s")
+    finite = F.abs("value") < float("inf")  # NaN sorts above infinity
+    top = points.agg(F.max(F.when(finite, F.abs("value")))).first()[0] or 1.0
+    unit = 10.0 ** (9 - math.ceil(math.log10(top) + 1e-12))
+    whole = F.when(finite, F.round(F.col("value") * unit)).cast("decimal(18,0)")
+    out = sweep_frame(points, keys, "ts", {"_w": (window_s * 1_000_000, -1)}, {"s": whole, "q": whole * whole},
+                      max(slice_seconds, window_s))
+    mean = F.col("_w_s").cast("double") / F.nullif(F.col("_w_n").cast("double"), F.lit(0.0)) / unit
+    std = deviation(F.col("_w_n"), F.col("_w_s"), F.col("_w_q"), False) / unit
+    z = F.abs(F.col("value") - mean) / (std + 1e-9)
+    return out.select(*points.columns, (F.col("value") > threshold).alias("over"), F.coalesce(z, F.lit(0.0)).alias("z"),
+                      F.coalesce(z > z_limit, F.lit(False)).alias("z_anomaly"))
 
 
 def anomaly_latest(points: DataFrame, keys: Sequence[str], as_of, window_s: int = 600, k: float = 3.0) -> DataFrame:
@@ -204,9 +212,8 @@ def anomaly_latest(points: DataFrame, keys: Sequence[str], as_of, window_s: int
 def rate_limit_flags(df: DataFrame, keys: Sequence[str], limit: int = 3, window_s: int = 300, ts: str = "ts",
                      slice_seconds: int = DAY) -> DataFrame:
     """More than ``limit`` actions in the last ``window_s`` seconds, this one included."""
-    out = range_frame(df, keys, ts, window_s * 1_000_000, lambda s: {
-        "in_window": F.count(F.lit(1)).over(s.rangeBetween(-window_s * 1_000_000, 0))}, max(slice_seconds, window_s))
-    return out.withColumn("limited", F.col("in_window") > limit)
+    out = sweep_frame(df, keys, ts, {"_w": (window_s * 1_000_000, 0)}, {}, max(slice_seconds, window_s))
+    return out.withColumnRenamed("_w_n", "in_window").withColumn("limited", F.col("in_window") > limit)
 
 
 def baseline_drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, obs: str, reward: str,
@@ -361,13 +368,15 @@ def circuit_breaker(df: DataFrame, keys: Sequence[str], order: Sequence[str], sl
     elif variant == "share":
         span = cfg.get("window_s", 120) * 1_000_000
         step, fresh = share_breaker_step(cfg.get("threshold", 50), span, cfg.get("share", 0.7), cfg.get("recover", 10))
-        timed = range_frame(timed, keys, ts, span - 1, lambda s: {
-            "_fails": F.count_if(~F.col("_ok")).over(s.rangeBetween(-(span - 1), 0)),
-            "_oks": F.count_if(F.col("_ok")).over(s.rangeBetween(-(span - 1), 0))}, max(slice_seconds, cfg.get("window_s", 120)))
+        swept = sweep_frame(timed, keys, ts, {"_w": (span - 1, 0)}, {"oks": F.col("_ok").cast("long")},
+                            max(slice_seconds, cfg.get("window_s", 120)))
+        timed = swept.select(*timed.columns, (F.col("_w_n") - F.col("_w_oks")).cast("long").alias("_fails"),
+                             F.col("_w_oks").cast("long").alias("_oks"))
         extra = ["_fails", "_oks"]
     else:
         step, fresh = streak_breaker_step(cfg.get("trip", 5), int(cfg.get("open_s", 30) * 1_000_000), cfg.get("successes", 3))
-    out = carry_scan(timed, keys, order, slice_col, inputs + extra, step, fresh, {"state": "string", "allowed": "boolean"})
+    out = carry_scan(timed, keys, order, slice_col, inputs + extra, step, fresh, {"state": "string", "allowed": "boolean"},
+                     materialize=bool(extra))
     return out.drop("_us", "_ok", *extra)
 
 

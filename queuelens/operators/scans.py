@@ -63,15 +63,19 @@ def _runner(keys: Sequence[str], inputs: Sequence[str], step: Step, fresh: list,
 
 
 def carry_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, inputs: Sequence[str],
-               step: Step, fresh: list, outputs: dict[str, str]) -> DataFrame:
+               step: Step, fresh: list, outputs: dict[str, str], materialize: bool = False) -> DataFrame:
     """Run ``step`` over each key along ``order`` and add its outputs.
 
     ``step(state, row)`` gets the state (a small JSON-able list, ``fresh`` at
     the start of a key) and the values of ``inputs``; it returns the new state
     and a tuple for ``outputs`` (name to SQL type). Keys must not be null.
+    ``materialize`` writes an input that is dear to compute once, as each round
+    reads it again.
     """
     keys = list(keys)
     rows = df.withColumn("_slice", slice_col.cast("long"))
+    if materialize:
+        rows = cut_lineage(rows)
     types = dict(df.dtypes)
     group_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _slice bigint"
     needed = list(dict.fromkeys([*keys, "_slice", *order, *inputs]))

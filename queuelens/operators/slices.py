@@ -6,7 +6,7 @@ cut each key's time line into slices of fixed width and partition by
 ``(key, slice)``. The slice is a pure expression of the row, so every branch of
 a plan and every retried task agrees on it.
 
-* ``range_frame`` looks back a fixed time: a row is copied into each later slice
+* ``sweep_frame`` looks back a fixed time: a row is copied into each later slice
   that its frame can reach (normally the next one, and only rows near the edge).
 * ``row_frame`` looks at neighbouring rows: the last or first rows of each slice
   are handed to the slices that need them.
@@ -54,24 +54,62 @@ def time_slice(ts: str | Column, slice_seconds: float = DAY) -> Column:
     return slice_of(micros(ts), slice_seconds)
 
 
-def range_frame(df: DataFrame, keys: Sequence[str], ts: str, back_us: int, exprs,
-                slice_seconds: int = DAY) -> DataFrame:
-    """Window expressions over frames that look back at most ``back_us``.
+def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, tuple[int, int]],
+                values: dict[str, Column], slice_seconds: int = DAY) -> DataFrame:
+    """Counts and sums of whole numbers over trailing time frames, in one sweep.
 
-    ``exprs`` maps a window spec, ordered by microseconds and without a frame,
-    to a dict of columns; it adds ``rangeBetween`` frames within the reach. Rows
-    of the same instant share their frame, as in SQL ``RANGE``.
+    ``frames`` maps a name to ``(back_us, upto_us)``: the frame of a row at t is
+    ``[t - back_us, t + upto_us]`` with ``upto_us <= 0``; rows of one instant
+    share it, as in SQL ``RANGE``. For each frame f and value v the result has
+    ``f_v`` (sum, 0 when empty), and ``f_n`` counts rows.
+
+    A sliding window frame costs rows times frame size, which a dense key turns
+    into a square. Here every row enters each frame at one instant and leaves it
+    at another, and a running sum over these events answers all rows at the cost
+    of a sort. Values are whole numbers, so that what leaves cancels exactly.
+    A row is copied into the later slices its frames can reach.
     """
     width = int(slice_seconds * 1_000_000)
-    us = micros(ts)
-    own = F.floor(us / F.lit(width))
-    reach = F.floor((us + F.lit(int(back_us))) / F.lit(width))
-    copies = (df.withColumn("_at", us)
-              .withColumn("_home", own)
-              .withColumn("_slice", F.explode(F.sequence(own, reach))))
-    spec = Window.partitionBy(*keys, "_slice").orderBy("_at")
-    framed = copies.select("*", *[c.alias(n) for n, c in exprs(spec).items()])
-    return framed.filter(F.col("_home") == F.col("_slice")).drop("_at", "_home", "_slice")
+    back = max(b for b, _ in frames.values())
+    at = micros(ts)
+    columns = df.columns
+    counted = {"n": F.lit(1).cast("long"), **values}
+    base = df.select(F.struct(*columns).alias("_row"), *keys, at.alias("_t"),
+                     *[c.alias(f"_v_{v}") for v, c in counted.items()])
+    home = F.floor(F.col("_t") / F.lit(width))
+    copies = base.withColumn("_home", home).withColumn("_slice", F.explode(
+        F.sequence(home, F.floor((F.col("_t") + F.lit(back + 1)) / F.lit(width)))))
+    start = F.col("_slice") * F.lit(width)
+    own = F.col("_home") == F.col("_slice")
+    names = [f"{f}_{v}" for f in frames for v in counted]
+
+    def event(when: Column, live: Column, deltas: dict[str, Column], row: Column | None = None) -> Column:
+        parts = [deltas.get(n, F.lit(None)).cast("decimal(38,0)").alias(n) for n in names]
+        payload = row if row is not None else F.when(F.lit(False), F.col("_row"))
+        return F.when(live, F.struct(when.alias("at"), *parts, payload.alias("row")))
+
+    events = [event(F.col("_t"), own, {}, F.col("_row"))]
+    for f, (b, upto) in frames.items():
+        enter, leave = F.greatest(F.col("_t") - upto, start), F.col("_t") + b + 1
+        inside = (enter < start + width) & (leave > start)
+        events.append(event(enter, inside, {f"{f}_{v}": F.col(f"_v_{v}") for v in counted}))
+        events.append(event(leave, inside & (leave < start + width), {f"{f}_{v}": -F.col(f"_v_{v}") for v in counted}))
+    lined = (copies.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_slice",
+                           F.explode(F.array_compact(F.array(*events))).alias("_e"))
+             .select(*[f"_k{i}" for i in range(len(keys))], "_slice", "_e.*"))
+    upto_now = (Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_slice").orderBy("at")
+                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    swept = lined.select("row", *[F.coalesce(F.sum(n).over(upto_now), F.lit(0)).alias(n) for n in names])
+    return swept.filter(F.col("row").isNotNull()).select(
+        "row.*", *[F.col(f"{f}_n").cast("long").alias(f"{f}_n") for f in frames],
+        *[f"{f}_{v}" for f in frames for v in values])
+
+
+def deviation(n: Column, total: Column, squares: Column, sample: bool) -> Column:
+    """Standard deviation from exact whole-number sums; null when undefined."""
+    spread = (n.cast("decimal(20,0)") * squares - total * total).cast("double")
+    n = n.cast("double")
+    return F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(n * (n - 1) if sample else n * n, F.lit(0.0)))
 
 
 def _edge_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count: int,
