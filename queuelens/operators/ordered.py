@@ -27,11 +27,9 @@ def rolling_features(df: DataFrame, by: Sequence[str], windows: Sequence[int] =
     """Mean, deviation, count of duration and mean, deviation of queue length
     over ``(t - w, t]`` per key; missing values are 0."""
     dur, queue = F.col("duration_ms").cast("long"), F.col("queue_length").cast("long")
-    big = lambda c: c.cast("decimal(18,0)") * c.cast("decimal(18,0)")
     out = sweep_frame(df, by, ts, {f"_w{w}": (w * 1_000_000 - 1, 0) for w in windows}, {
-        "dn": dur.isNotNull().cast("long"), "ds": F.coalesce(dur, F.lit(0)), "dq": F.coalesce(big(dur), F.lit(0)),
-        "qn": queue.isNotNull().cast("long"), "qs": F.coalesce(queue, F.lit(0)), "qq": F.coalesce(big(queue), F.lit(0))},
-        max(slice_seconds, max(windows)))
+        "dn": dur.isNotNull(), "ds": F.coalesce(dur, F.lit(0)), "qn": queue.isNotNull(), "qs": F.coalesce(queue, F.lit(0))},
+        {"dq": F.coalesce(dur, F.lit(0)), "qq": F.coalesce(queue, F.lit(0))}, max(slice_seconds, max(windows)))
     made = {}
     for w in windows:
         c = lambda x: F.col(f"_w{w}_{x}")
@@ -190,8 +188,8 @@ def anomaly_flags(points: DataFrame, keys: Sequence[str], window_s: int = 600, t
     finite = F.abs("value") < float("inf")  # NaN sorts above infinity
     top = points.agg(F.max(F.when(finite, F.abs("value")))).first()[0] or 1.0
     unit = 10.0 ** (9 - math.ceil(math.log10(top) + 1e-12))
-    whole = F.when(finite, F.round(F.col("value") * unit)).cast("decimal(18,0)")
-    out = sweep_frame(points, keys, "ts", {"_w": (window_s * 1_000_000, -1)}, {"s": whole, "q": whole * whole},
+    whole = F.when(finite, F.round(F.col("value") * unit)).cast("long")
+    out = sweep_frame(points, keys, "ts", {"_w": (window_s * 1_000_000, -1)}, {"s": whole}, {"q": whole},
                       max(slice_seconds, window_s))
     mean = F.col("_w_s").cast("double") / F.nullif(F.col("_w_n").cast("double"), F.lit(0.0)) / unit
     std = deviation(F.col("_w_n"), F.col("_w_s"), F.col("_w_q"), False) / unit
@@ -212,7 +210,7 @@ def anomaly_latest(points: DataFrame, keys: Sequence[str], as_of, window_s: int
 def rate_limit_flags(df: DataFrame, keys: Sequence[str], limit: int = 3, window_s: int = 300, ts: str = "ts",
                      slice_seconds: int = DAY) -> DataFrame:
     """More than ``limit`` actions in the last ``window_s`` seconds, this one included."""
-    out = sweep_frame(df, keys, ts, {"_w": (window_s * 1_000_000, 0)}, {}, max(slice_seconds, window_s))
+    out = sweep_frame(df, keys, ts, {"_w": (window_s * 1_000_000, 0)}, {}, None, max(slice_seconds, window_s))
     return out.withColumnRenamed("_w_n", "in_window").withColumn("limited", F.col("in_window") > limit)
 
 
@@ -368,7 +366,7 @@ def circuit_breaker(df: DataFrame, keys: Sequence[str], order: Sequence[str], sl
     elif variant == "share":
         span = cfg.get("window_s", 120) * 1_000_000
         step, fresh = share_breaker_step(cfg.get("threshold", 50), span, cfg.get("share", 0.7), cfg.get("recover", 10))
-        swept = sweep_frame(timed, keys, ts, {"_w": (span - 1, 0)}, {"oks": F.col("_ok").cast("long")},
+        swept = sweep_frame(timed, keys, ts, {"_w": (span - 1, 0)}, {"oks": F.col("_ok")}, None,
                             max(slice_seconds, cfg.get("window_s", 120)))
         timed = swept.select(*timed.columns, (F.col("_w_n") - F.col("_w_oks")).cast("long").alias("_fails"),
                              F.col("_w_oks").cast("long").alias("_oks"))

@@ -55,13 +55,14 @@ def time_slice(ts: str | Column, slice_seconds: float = DAY) -> Column:
 
 
 def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, tuple[int, int]],
-                values: dict[str, Column], slice_seconds: int = DAY) -> DataFrame:
+                values: dict[str, Column], squares: dict[str, Column] | None = None, slice_seconds: int = DAY) -> DataFrame:
     """Counts and sums of whole numbers over trailing time frames, in one sweep.
 
     ``frames`` maps a name to ``(back_us, upto_us)``: the frame of a row at t is
     ``[t - back_us, t + upto_us]`` with ``upto_us <= 0``; rows of one instant
     share it, as in SQL ``RANGE``. For each frame f and value v the result has
-    ``f_v`` (sum, 0 when empty), and ``f_n`` counts rows.
+    ``f_v`` (sum, 0 when empty), and ``f_n`` counts rows. For v in ``squares``
+    (whole numbers up to 3e9) ``f_v`` is the exact sum of squares.
 
     A sliding window frame costs rows times frame size, which a dense key turns
     into a square. Here every row enters each frame at one instant and leaves it
@@ -73,7 +74,12 @@ def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, t
     back = max(b for b, _ in frames.values())
     at = micros(ts)
     columns = df.columns
-    counted = {"n": F.lit(1).cast("long"), **values}
+    squares = squares or {}
+    counted = {"n": F.lit(1).cast("long"), **{v: c.cast("long") for v, c in values.items()}}
+    for v, c in squares.items():  # two halves, so that sums stay in longs
+        square = c.cast("long") * c.cast("long")
+        counted[f"{v}_hi"] = F.shiftright(square, 32)
+        counted[f"{v}_lo"] = square.bitwiseAND(F.lit(0xFFFFFFFF))
     base = df.select(F.struct(*columns).alias("_row"), *keys, at.alias("_t"),
                      *[c.alias(f"_v_{v}") for v, c in counted.items()])
     home = F.floor(F.col("_t") / F.lit(width))
@@ -84,7 +90,7 @@ def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, t
     names = [f"{f}_{v}" for f in frames for v in counted]
 
     def event(when: Column, live: Column, deltas: dict[str, Column], row: Column | None = None) -> Column:
-        parts = [deltas.get(n, F.lit(None)).cast("decimal(38,0)").alias(n) for n in names]
+        parts = [deltas.get(n, F.lit(None)).cast("long").alias(n) for n in names]
         payload = row if row is not None else F.when(F.lit(False), F.col("_row"))
         return F.when(live, F.struct(when.alias("at"), *parts, payload.alias("row")))
 
@@ -100,14 +106,17 @@ def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, t
     upto_now = (Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_slice").orderBy("at")
                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     swept = lined.select("row", *[F.coalesce(F.sum(n).over(upto_now), F.lit(0)).alias(n) for n in names])
+    whole = lambda c: F.col(c).cast("decimal(20,0)")
     return swept.filter(F.col("row").isNotNull()).select(
-        "row.*", *[F.col(f"{f}_n").cast("long").alias(f"{f}_n") for f in frames],
-        *[f"{f}_{v}" for f in frames for v in values])
+        "row.*", *[f"{f}_{v}" for f in frames for v in ("n", *values)],
+        *[(whole(f"{f}_{v}_hi") * F.lit(1 << 32).cast("decimal(10,0)") + whole(f"{f}_{v}_lo")).cast("decimal(38,0)").alias(f"{f}_{v}")
+          for f in frames for v in squares])
 
 
 def deviation(n: Column, total: Column, squares: Column, sample: bool) -> Column:
     """Standard deviation from exact whole-number sums; null when undefined."""
-    spread = (n.cast("decimal(20,0)") * squares - total * total).cast("double")
+    wide = lambda c: c.cast("decimal(19,0)")
+    spread = (wide(n) * squares.cast("decimal(38,0)") - wide(total) * wide(total)).cast("double")
     n = n.cast("double")
     return F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(n * (n - 1) if sample else n * n, F.lit(0.0)))
 
