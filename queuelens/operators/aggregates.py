@@ -57,7 +57,9 @@ def window_snapshot(points: DataFrame, windows: Sequence[int], as_of, by: Sequen
     """
     now = F.floor(F.unix_micros(F.lit(as_of)) / 1_000_000)
     second = F.floor(F.unix_micros("ts") / 1_000_000)
-    recent = points.filter((second <= now) & (second > now - max(windows)))
+    last = F.date_trunc("second", F.lit(as_of))  # bounds on ts itself, so that they reach the scan
+    recent = points.filter((F.col("ts") < last + F.expr("INTERVAL 1 SECOND"))
+                           & (F.col("ts") >= last - F.expr(f"INTERVAL {max(windows) - 1} SECONDS")))
     fit = F.filter(F.array(*[F.lit(int(w)) for w in windows]), lambda w: second > now - w)
     spread = recent.select(*by, "value", F.explode(fit).alias("window_s"))
     keys = [*by, "window_s"]

@@ -302,14 +302,15 @@ def window_breaker_step(threshold: int, window_us: int):
         now, ok = row
         mode, changed, fails = state
         if mode == "open" and now - changed > window_us:
-            mode, changed = "half_open", now
+            mode, changed = "half_open", None
         if mode == "open":
             return [mode, changed, fails], (mode, False)
+        fails = [t for t in fails if t >= now - window_us][1 - threshold:] if threshold > 1 else []
         if ok:
             if mode == "half_open":
                 mode, fails = "closed", []
         else:
-            fails = [t for t in fails if t >= now - window_us][-(threshold - 1):] + [now]
+            fails = fails + [now]
             if len(fails) >= threshold and mode == "closed":
                 mode, changed = "open", now
         return [mode, changed, fails], (mode, True)
@@ -325,11 +326,11 @@ def share_breaker_step(threshold: int, window_us: int, share: float = 0.7, recov
         now, ok, fails, oks = row
         mode, changed = state
         if mode == "open" and now - changed > window_us:
-            mode = "half_open"
+            mode, changed = "half_open", None
         allowed = mode != "open"
         if ok:
             if mode in ("open", "half_open") and oks >= recover:
-                mode = "closed"
+                mode, changed = "closed", None
         elif fails >= threshold and fails / max(1, fails + oks) > share and mode == "closed":
             mode, changed = "open", now
         return [mode, changed], (mode, allowed)
@@ -351,6 +352,8 @@ def streak_breaker_step(trip: int = 5, open_us: int = 30_000_000, successes: int
             fails += 1
             if fails >= trip:
                 until, good = now + open_us, 0
+        if not until:
+            good = 0  # counts only towards closing
         mode = "open" if until and now < until else "half_open" if until else "closed"
         return [fails, until, good], (mode, True)
     return step, [0, 0, 0]

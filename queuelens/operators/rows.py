@@ -187,8 +187,10 @@ def policy_stats(points: DataFrame, policies: DataFrame, as_of) -> DataFrame:
     p90 0.
     """
     spans = policies.select("policy_id", "metric", (F.col("cooldown_s") * 2).alias("_span"))
+    longest = spans.agg(F.max("_span")).first()[0] or 0  # one number, so that the scan is bounded
     age = (F.unix_micros(F.lit(as_of)) - F.unix_micros("ts")) / 1e6
-    hit = (points.filter(F.col("ts") <= F.lit(as_of)).join(spans, points["name"] == spans["metric"])
+    recent = points.filter((F.col("ts") <= F.lit(as_of)) & (F.col("ts") >= F.lit(as_of) - F.expr(f"INTERVAL {int(longest)} SECONDS")))
+    hit = (recent.join(spans, points["name"] == spans["metric"])
            .filter(age <= F.col("_span")).select("policy_id", "value"))
     p90 = order_stats(hit, ["policy_id"], "value", {"p90": lambda n: F.greatest(F.floor(n * F.lit(0.9)) - 1, F.lit(0))})
     return policies.join(p90, "policy_id", "left").fillna(0.0, ["p90"])

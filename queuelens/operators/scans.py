@@ -8,9 +8,11 @@ stream a sorted partition through ``mapInPandas`` with O(1) memory.
   reduced to one pair, the pairs are folded per key, and each slice is replayed
   from its own start value.
 * ``carry_scan``: any step. All slices run at once from a guessed entry state,
-  then only slices whose entry state turned out different run again until none
-  is left. Such machines forget quickly, so two or three rounds are usual; in
-  the worst case the rounds walk the slices one by one and stay exact.
+  then only those whose entry state turned out different run again until none
+  is left. Such machines forget quickly, so two or three rounds are usual. A
+  round carries the state through a stretch of slices, twice as long as the
+  round before up to a limit, so that a machine that does not forget needs few
+  rounds as well. The result is exact in any case.
 """
 
 from __future__ import annotations
@@ -32,80 +34,107 @@ def _sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], des
     return df.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", *direction)
 
 
-def _runner(keys: Sequence[str], inputs: Sequence[str], step: Step, fresh: list, emit: Sequence[str] | None):
-    """A ``mapInPandas`` function over partitions sorted by key, slice, order."""
-    group_cols = [*keys, "_slice"]
+def _grouped_rows(pdf: pd.DataFrame, keys: Sequence[str], inputs: Sequence[str]):
+    """(key, slice, entry, input values) of each row of a batch."""
+    ids = zip(*[pdf[c].tolist() for c in keys]) if keys else [()] * len(pdf)
+    values = zip(*[pdf[c].tolist() for c in inputs])
+    return zip(ids, pdf["_slice"].tolist(), pdf["_entry"].tolist(), values)
+
+
+def _exits(keys: Sequence[str], inputs: Sequence[str], step: Step, fresh: list):
+    """Entry and exit state of each slice of sorted (key, slice) stretches.
+
+    A stretch starts from its ``_entry`` and carries its state on from slice to
+    slice; in a partition the slices of one stretch follow each other.
+    """
+    columns = [*keys, "_slice", "_used", "_exit"]
 
     def run(batches):
-        group, state = None, None
+        where, stretch, used, state = None, None, None, None
         for pdf in batches:
-            done, outputs, keep = [], [], []
-            entry = pdf["_entry"].tolist()
-            ids = list(zip(*[pdf[c].tolist() for c in group_cols]))
-            rows = zip(*[pdf[c].tolist() for c in inputs])
-            for i, (gid, row) in enumerate(zip(ids, rows)):
-                if gid != group:
-                    if group is not None and emit is None:
-                        done.append((*group, json.dumps(state)))
-                    group = gid
-                    state = json.loads(entry[i]) if isinstance(entry[i], str) else list(fresh)
+            done = []
+            for block, (key, part, entry, row) in zip(pdf["_block"].tolist(), _grouped_rows(pdf, keys, inputs)):
+                if (key, part) != where:
+                    if where is not None:
+                        done.append((*where[0], where[1], used, json.dumps(state)))
+                    if (key, block) != stretch:
+                        stretch, used = (key, block), entry if isinstance(entry, str) else None
+                    else:
+                        used = json.dumps(state)
+                    where, state = (key, part), json.loads(used) if used is not None else list(fresh)
+                state, _ = step(state, row)
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if where is not None:
+            yield pd.DataFrame([(*where[0], where[1], used, json.dumps(state))], columns=columns)
+
+    return run
+
+
+def _outputs(keys: Sequence[str], inputs: Sequence[str], step: Step, fresh: list, emit: Sequence[str]):
+    """The step's outputs beside each row, every slice starting from its ``_entry``."""
+
+    def run(batches):
+        where, state = None, None
+        for pdf in batches:
+            made = []
+            for key, part, entry, row in _grouped_rows(pdf, keys, inputs):
+                if (key, part) != where:
+                    where, state = (key, part), json.loads(entry) if isinstance(entry, str) else list(fresh)
                 state, out = step(state, row)
-                outputs.append(out)
-            if emit is not None:
-                extra = pd.DataFrame(outputs, columns=list(emit), index=pdf.index)
-                yield pd.concat([pdf.drop(columns=["_entry", "_slice"]), extra], axis=1)
-            elif done:
-                yield pd.DataFrame(done, columns=[*group_cols, "_exit"])
-        if emit is None and group is not None:
-            yield pd.DataFrame([(*group, json.dumps(state))], columns=[*group_cols, "_exit"])
+                made.append(out)
+            extra = pd.DataFrame(made, columns=list(emit), index=pdf.index)
+            yield pd.concat([pdf.drop(columns=["_entry", "_slice"]), extra], axis=1)
 
     return run
 
 
 def carry_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, inputs: Sequence[str],
-               step: Step, fresh: list, outputs: dict[str, str], materialize: bool = False) -> DataFrame:
+               step: Step, fresh: list, outputs: dict[str, str], materialize: bool = False, max_stretch: int = 64) -> DataFrame:
     """Run ``step`` over each key along ``order`` and add its outputs.
 
     ``step(state, row)`` gets the state (a small JSON-able list, ``fresh`` at
     the start of a key) and the values of ``inputs``; it returns the new state
     and a tuple for ``outputs`` (name to SQL type). Keys must not be null.
-    ``materialize`` writes an input that is dear to compute once, as each round
-    reads it again.
+    Steps should drop what no longer matters from the state: rounds end when
+    states agree. ``materialize`` writes an input that is dear to compute once,
+    as each round reads it again.
     """
     keys = list(keys)
     rows = df.withColumn("_slice", slice_col.cast("long"))
     if materialize:
         rows = cut_lineage(rows)
     types = dict(df.dtypes)
-    group_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _slice bigint"
-    needed = list(dict.fromkeys([*keys, "_slice", *order, *inputs]))
-    lean = rows.select(*needed)
+    exit_schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "_slice bigint, _used string, _exit string"])
+    lean = rows.select(*dict.fromkeys([*keys, "_slice", *order, *inputs]))
 
     def exits(part: DataFrame) -> DataFrame:
-        return _sorted_groups(part, keys, order).mapInPandas(
-            _runner(keys, inputs, step, fresh, None), f"{group_schema}, _exit string")
+        sort = [*keys, "_block", "_slice", *order]
+        return (part.repartition(*keys, "_block").sortWithinPartitions(*sort)
+                .mapInPandas(_exits(keys, inputs, step, fresh), exit_schema))
 
     along = Window.partitionBy(*keys).orderBy("_slice")
-    known = cut_lineage(exits(lean.withColumn("_entry", F.lit(None).cast("string")))
-                        .withColumn("_used", F.lit(None).cast("string")))
+    known = cut_lineage(exits(lean.withColumn("_entry", F.lit(None).cast("string")).withColumn("_block", F.col("_slice"))))
+    stretch = 1
     while True:
         linked = known.withColumn("_entry", F.lag("_exit").over(along))
-        stale = linked.filter(~F.col("_entry").eqNullSafe(F.col("_used"))).select(*keys, "_slice", "_entry")
-        stale = cut_lineage(stale)
-        if stale.isEmpty():
+        stale = linked.filter(~F.col("_entry").eqNullSafe(F.col("_used")))
+        stretch = min(stretch * 2, max_stretch)
+        block = F.floor(F.col("_slice") / stretch)
+        starts = cut_lineage(stale.groupBy(*keys, block.alias("_block")).agg(
+            F.min(F.struct("_slice", "_entry")).alias("_s")).select(
+            *keys, "_block", F.col("_s._slice").alias("_from"), F.col("_s._entry").alias("_entry")))
+        if starts.isEmpty():
             break
-        again = exits(lean.join(stale, [*keys, "_slice"])).withColumnRenamed("_exit", "_new")
-        redone = stale.join(again, [*keys, "_slice"])
-        known = cut_lineage(
-            known.join(redone.withColumn("_hit", F.lit(True)), [*keys, "_slice"], "left")
-            .select(*keys, "_slice",
-                    F.coalesce("_new", "_exit").alias("_exit"),
-                    F.when(F.col("_hit"), F.col("_entry")).otherwise(F.col("_used")).alias("_used")))
+        again = exits(lean.withColumn("_block", block).join(starts, [*keys, "_block"]).filter(F.col("_slice") >= F.col("_from")))
+        new = again.withColumnsRenamed({"_used": "_used2", "_exit": "_exit2"})
+        known = cut_lineage(known.join(new, [*keys, "_slice"], "left").select(
+            *keys, "_slice", F.when(F.col("_exit2").isNotNull(), F.col("_used2")).otherwise(F.col("_used")).alias("_used"),
+            F.coalesce("_exit2", "_exit").alias("_exit")))
     entries = known.select(*keys, "_slice", F.col("_used").alias("_entry"))
     out_schema = ", ".join([f"{n} {t}" for n, t in df.dtypes] + [f"{n} {t}" for n, t in outputs.items()])
     return _sorted_groups(rows.join(entries, [*keys, "_slice"]).select(*df.columns, "_slice", "_entry"),
-                          keys, order).mapInPandas(
-        _runner(keys, inputs, step, fresh, list(outputs)), out_schema)
+                          keys, order).mapInPandas(_outputs(keys, inputs, step, fresh, list(outputs)), out_schema)
 
 
 def _fold(keys: Sequence[str], replay: bool, name: str):

@@ -101,8 +101,8 @@ def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, t
         events.append(event(enter, inside, {f"{f}_{v}": F.col(f"_v_{v}") for v in counted}))
         events.append(event(leave, inside & (leave < start + width), {f"{f}_{v}": -F.col(f"_v_{v}") for v in counted}))
     lined = (copies.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_slice",
-                           F.explode(F.array_compact(F.array(*events))).alias("_e"))
-             .select(*[f"_k{i}" for i in range(len(keys))], "_slice", "_e.*"))
+                           F.explode(F.array(*events)).alias("_e"))
+             .filter(F.col("_e").isNotNull()).select(*[f"_k{i}" for i in range(len(keys))], "_slice", "_e.*"))
     upto_now = (Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_slice").orderBy("at")
                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     swept = lined.select("row", *[F.coalesce(F.sum(n).over(upto_now), F.lit(0)).alias(n) for n in names])

@@ -61,6 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used where a plan loops or is read many times."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back.
+
+    Used where a plan loops or is read many times. It survives lost executors,
+    and unlike a checkpoint the table is planned by its real size: a checkpoint
+    keeps the estimate of its plan, which grows with every join of a loop.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
