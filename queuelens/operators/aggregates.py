@@ -164,8 +164,8 @@ def scaling_summary(actions: DataFrame, hours: int, as_of) -> DataFrame:
     steady = F.count_if(F.col("action") == "steady")
     return kept.agg(n.alias("count"), r6(F.avg("to")).alias("avg_to"), F.max("to").alias("max_to"),
                     F.min("to").alias("min_to"), up.alias("up"), down.alias("down"),
-                    r6(up / n).alias("up_ratio"), r6(down / n).alias("down_ratio"),
-                    r6(steady / n).alias("steady_ratio"), r6(F.avg("score")).alias("mean_score"))
+                    r6(F.try_divide(up, n)).alias("up_ratio"), r6(F.try_divide(down, n)).alias("down_ratio"),
+                    r6(F.try_divide(steady, n)).alias("steady_ratio"), r6(F.avg("score")).alias("mean_score"))
 
 
 def scaling_drift(actions: DataFrame, last: int = 200, last_change: int = 100,
@@ -408,7 +408,7 @@ def timing_summary(df: DataFrame, by: str, value: str, rows_per_call: Column | N
     out = stats.join(ranks, by)
     size = rows_per_call if rows_per_call is not None else F.lit(1.0)
     return out.select(by, r6("m").alias("mean"), "std", *[r6(p).alias(p) for p in ("p50", "p95", "p99")],
-                      r6(size / F.col("m")).alias("rate"), "n")
+                      r6(F.try_divide(size, F.col("m"))).alias("rate"), "n")
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:

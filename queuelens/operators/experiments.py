@@ -109,17 +109,18 @@ def ab_statistics(df: DataFrame, arm: str, value: str) -> DataFrame:
     c = F.col
     diff = c("mean_b") - c("mean_a")
     dof = c("n_a") + c("n_b") - 2
-    pooled = (c("n_a") * c("var_a") + c("n_b") * c("var_b")) / dof
+    ratio = F.try_divide  # an empty arm gives nulls
+    pooled = ratio(c("n_a") * c("var_a") + c("n_b") * c("var_b"), dof)
     n = c("n_a") + c("n_b")
     centre = c("n_a") * c("n_b") / 2
-    spread = F.sqrt(c("n_a") * c("n_b") / 12 * (n + 1 - c("tie_term") / (n * (n - 1))))
+    spread = F.sqrt(c("n_a") * c("n_b") / 12 * (n + 1 - ratio(c("tie_term"), n * (n - 1))))
     scale = F.sqrt((c("var_a") + c("var_b")) / 2)
     return m.select(
         "n_a", "n_b", "mean_a", "mean_b",
-        F.when(c("mean_a") != 0, diff / F.abs("mean_a") * 100).otherwise(0.0).alias("improvement_pct"),
-        (diff / F.sqrt(pooled * (1 / c("n_a") + 1 / c("n_b")))).alias("t"), dof.alias("dof"),
-        F.when(scale > 0, diff / scale).otherwise(0.0).alias("effect_size"), "u_b",
-        ((F.abs(c("u_b") - centre) - 0.5) / spread).alias("z"))
+        F.coalesce(ratio(diff, F.abs("mean_a")) * 100, F.lit(0.0)).alias("improvement_pct"),
+        ratio(diff, F.sqrt(pooled * (ratio(F.lit(1.0), c("n_a")) + ratio(F.lit(1.0), c("n_b"))))).alias("t"), dof.alias("dof"),
+        F.coalesce(ratio(diff, scale), F.lit(0.0)).alias("effect_size"), "u_b",
+        ratio(F.abs(c("u_b") - centre) - 0.5, spread).alias("z"))
 
 
 def ab_compare(df: DataFrame, arm: str, value: str, key: str, test: str = "ttest", level: float = 0.95, draws: int = 1000) -> DataFrame:
@@ -129,9 +130,9 @@ def ab_compare(df: DataFrame, arm: str, value: str, key: str, test: str = "ttest
     """
     stats = ab_statistics(df, arm, value).crossJoin(F.broadcast(bootstrap_interval(df, arm, value, key, draws, level)))
     if test == "ttest":
-        p = F.pandas_udf(_t_p, "double", F.PandasUDFType.SCALAR)("t", F.col("dof").cast("double"))
+        p = F.pandas_udf(_t_p, "double")("t", F.col("dof").cast("double"))
     else:
-        p = F.pandas_udf(_normal_p, "double", F.PandasUDFType.SCALAR)("z")
+        p = F.pandas_udf(_normal_p, "double")("z")
     marked = stats.withColumn("p_value", p)
     sure = F.coalesce(F.col("p_value") < 1 - level, F.lit(False))
     gain = F.col("improvement_pct")

@@ -65,7 +65,7 @@ def test_regression_flag(spark, new, want):
 
 
 def test_rule_and_fused_scores(spark):
-    df = spark.createDataFrame([(1000, 1.5, 0.8), (50, 0.7, 0.35), (500, 1.0, 0.5)], "backlog double, latency double, cpu double")
+    df = spark.createDataFrame([(1000.0, 1.5, 0.8), (50.0, 0.7, 0.35), (500.0, 1.0, 0.5)], "backlog double, latency double, cpu double")
     assert [round(r[0], 6) for r in df.select(fc.rule_score()).collect()] == [2.0, -2.0, 0.0]
     f = spark.createDataFrame([(2.0, None, None), (1.0, 1.0, None), (None, None, None)], "a double, b double, c double")
     assert [round(r[0], 6) for r in f.select(fc.fuse_scores("a", "b", "c")).collect()] == [2.0, 1.0, 0.0]
@@ -165,7 +165,7 @@ def test_ab_compare_known_values(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, arm string, x double")
     got = one(ex.ab_compare(df, "arm", "x", "id", draws=200))
     assert got["t"] == pytest.approx(1.897367) and got["p_value"] == pytest.approx(0.0943498, abs=1e-6)
-    assert got["u_b"] == 19.5 and got["recommendation"] == "inconclusive"
+    assert got["u_b"] == 20.0 and got["recommendation"] == "inconclusive"
     assert got["ci_low"] < 3.0 < got["ci_high"] and got["improvement_pct"] == pytest.approx(100.0)
     wide = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("arm"),
                                     (F.col("id") % 10 + F.when(F.col("id") % 2 == 0, 0).otherwise(2)).cast("double").alias("x"))
