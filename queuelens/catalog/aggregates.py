@@ -290,8 +290,9 @@ def run_cost(spark, d):
     return ag.run_cost(fx.table(spark, d, "orders"), ["o_orderstatus"])
 
 
-@query("folder_hash", """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS folder, CAST('0x' || substr(sha256(url), 1, 3) AS INTEGER) AS part, sha256(string_agg(url || ':' || sha256(html), chr(10) ORDER BY url || ':' || sha256(html))) AS h, count(*) AS n
-    FROM pages GROUP BY 1, 2) SELECT folder, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM p GROUP BY 1""")
+@query("folder_hash", """WITH a AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS folder, substr(sha256(url), 1, 6) AS part, sha256(string_agg(url || ':' || sha256(html), chr(10) ORDER BY url || ':' || sha256(html))) AS h, count(*) AS n
+    FROM pages GROUP BY 1, 2), b AS (SELECT folder, substr(part, 1, 3) AS part, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS h, sum(n) AS n FROM a GROUP BY 1, 2)
+    SELECT folder, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM b GROUP BY 1""")
 def folder_hash(spark, d):
     pages = fx.table(spark, d, "pages").select(
         F.col("url").alias("path"), F.sha2("html", 256).alias("sha256"))

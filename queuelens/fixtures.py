@@ -182,7 +182,7 @@ def graph_nodes(spark, folder):
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.col("n_regionkey"), F.lit("task"),
         F.when(F.col("n_nationkey") % 6 != 0, F.col("n_name")))
     sup = (table(spark, folder, "supplier")
-           .join(F.broadcast(table(spark, folder, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+           .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
            .filter(F.col("s_suppkey") % 11 != 0)
            .select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.col("n_regionkey"), F.lit("task"),
                    F.col("s_name")))
@@ -196,7 +196,7 @@ def graph_edges(spark, folder):
         F.col("n_regionkey").alias("workflow"),
         F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"),
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"))
-    leaf = (table(spark, folder, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    leaf = (table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(F.col("n_regionkey"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")),
                     F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
     back = nation.filter(F.col("n_regionkey") == 0).select(

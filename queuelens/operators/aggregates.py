@@ -437,16 +437,16 @@ def zscore_columns(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> Dat
 def folder_hash(manifest: DataFrame, folder: Column) -> DataFrame:
     """One digest per folder over its sorted (path, sha256) pairs.
 
-    Two levels, so that a folder with very many files is not one list: the
-    files of a folder are dealt into parts by the first three hex digits of
-    their path's hash, parts are digested, and the sorted part digests are
-    digested again.
+    A tree of digests, so that a folder with very many files is never one list:
+    files are grouped by the first six hex digits of their path's hash, groups
+    by the first three, and those by folder. Each level digests its sorted
+    members; a list holds 4096 entries, or one 16-millionth of the files.
     """
-    part = F.conv(F.substring(F.sha2("path", 256), 1, 3), 16, 10)
-    line = F.concat_ws(":", F.col("path"), F.col("sha256"))
-    parts = manifest.groupBy(folder.alias("folder"), part.alias("part")).agg(
-        F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h"),
-        F.count(F.lit(1)).alias("n"))
-    return parts.groupBy("folder").agg(
-        F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "part", "h")))), 256).alias("digest"),
-        F.sum("n").alias("files"))
+    digest = lambda line: F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h")
+    level = manifest.select(folder.alias("folder"), F.substring(F.sha2("path", 256), 1, 6).alias("part"),
+                            F.concat_ws(":", "path", "sha256").alias("line"), F.lit(1).cast("long").alias("n"))
+    for digits in (6, 3, 0):
+        level = (level.groupBy("folder", F.substring("part", 1, digits).alias("part"))
+                 .agg(digest(F.col("line")), F.sum("n").alias("n"))
+                 .select("folder", "part", F.concat_ws(":", "part", "h").alias("line"), "h", "n"))
+    return level.select("folder", F.col("h").alias("digest"), F.col("n").alias("files"))

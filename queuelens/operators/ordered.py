@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from queuelens.operators.orderstats import boundary_rows, order_stats, position
 from queuelens.operators.scans import affine_scan, carry_scan
-from queuelens.operators.slices import DAY, deviation, micros, prefix_frame, row_frame, sweep_frame
+from queuelens.operators.slices import DAY, deviation, limit_early, micros, prefix_frame, row_frame, sweep_frame
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
 
@@ -117,17 +117,23 @@ def rollback(history: DataFrame, keys: Sequence[str], version: int, as_of, ts: s
 def keep_last_n(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Only the newest n rows, overall or per key.
 
-    Small n per key uses a window that Spark limits before the shuffle; a large
-    n compares with the row at the cut, which is found by counting.
-    ``order`` is (time, unique id).
+    Few rows per key come from a window that Spark limits before the shuffle,
+    few rows overall from a top-n; for many rows the row at the cut is found by
+    counting and the others are compared with it. ``order`` is (time, unique id).
     """
-    if not keys:
-        return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
-    if n < GROUP_LIMIT:
-        spec = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        return df.withColumn("_r", F.row_number().over(spec)).filter(F.col("_r") <= n).drop("_r")
     ts, tie = order
+    if n <= GROUP_LIMIT:
+        if not keys:
+            return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
+        spec = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(tie).desc())
+        return df.withColumn("_r", F.row_number().over(spec)).filter(F.col("_r") <= n).drop("_r")
     timed = df.withColumn("_us", micros(ts))
+    if not keys:
+        pair = boundary_rows(timed, "_us", tie, {"cut": lambda m: F.greatest(m - n, F.lit(0))})["cut"]
+        if pair is None:
+            return df
+        us = F.col("_us")
+        return timed.filter((us > pair[0]) | ((us == pair[0]) & (F.col(tie) >= pair[1]))).drop("_us")
     cut = order_stats(timed, keys, "_us", {"_cut": lambda m: F.greatest(m - n, F.lit(0))})
     placed = timed.join(cut, list(keys))
     newer = placed.filter(F.col("_us") > F.col("_cut")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_newer"))
@@ -217,6 +223,7 @@ def rate_limit_flags(df: DataFrame, keys: Sequence[str], limit: int = 3, window_
 def baseline_drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, obs: str, reward: str,
                    w: int, limit: float = 0.3) -> DataFrame:
     """Shift of the last w rows against the first w rows, once both are full."""
+    limit_early(df, w)
     spec = Window.partitionBy(*keys).orderBy(*order)
     first = (df.withColumn("_r", F.row_number().over(spec)).filter(F.col("_r") <= w).groupBy(*keys)
              .agg(F.avg(obs).alias("_bo"), F.stddev_pop(obs).alias("_so"), F.avg(reward).alias("_br"), F.stddev_pop(reward).alias("_sr")))

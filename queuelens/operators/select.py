@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelens.operators.orderstats import boundary_rows
+from queuelens.operators.slices import limit_early
 
 
 def priority_order(tasks: DataFrame, queue: Column, k: int) -> DataFrame:
     """Next k tasks of each queue: highest priority, then oldest, then id.
 
-    For k below the group-limit threshold each map task keeps only k rows per
-    queue before the shuffle.
+    Each map task keeps only k rows per queue before the shuffle.
     """
+    limit_early(tasks, k)
     spec = Window.partitionBy("queue_key").orderBy(F.col("priority").desc(), "created_at", "task_id")
     return (tasks.withColumn("queue_key", queue).withColumn("place", F.row_number().over(spec))
             .filter(F.col("place") <= k))

@@ -27,6 +27,18 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
+def limit_early(df: DataFrame, n: int) -> None:
+    """Let Spark limit groups to ``n`` rows before the shuffle.
+
+    ``row_number() <= n`` is only pushed below the exchange up to a threshold;
+    without that a window would move whole keys.
+    """
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    current = int(df.sparkSession.conf.get(name, "1000"))
+    if 0 <= current < n:
+        df.sparkSession.conf.set(name, str(n))
+
+
 def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
 
@@ -129,6 +141,7 @@ def _edge_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count
     edge rows move. A slice with fewer rows than ``count`` passes on what the
     slice beyond it still owes.
     """
+    limit_early(rows, count)
     cols = [F.col(c).desc() if late else F.col(c).asc() for c in order]
     edge = (rows.withColumn("_r", F.row_number().over(
         Window.partitionBy(*keys, "_slice").orderBy(*cols)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queuelens.operators.aggregates import label_text
-from queuelens.operators.slices import micros
+from queuelens.operators.slices import limit_early, micros
 from queuelens.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -116,6 +116,7 @@ def dlq_replay(dlq: DataFrame, backlog: DataFrame, as_of, limit: int = 200, min_
     A queue replays only while its backlog is small and the scaling hint low.
     Only replayed entries leave the DLQ.
     """
+    limit_early(dlq, limit)
     aged = (dlq.join(backlog, "queue_key", "left").fillna(0, ["backlog"])
             .withColumn("_ok", (F.unix_micros(F.lit(as_of)) - F.unix_micros("ts") >= min_age_s * 1_000_000)
                         & (F.col("backlog") <= max_backlog) & F.lit(hint <= max_hint)))

@@ -151,6 +151,9 @@ def test_keep_last_n_beyond_the_group_limit(spark):
     got = {r["id"] for r in od.keep_last_n(df, 1300, ["ts", "id"], ["key"]).collect()}
     want = {r[0] for k in (0, 1) for r in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0]))[-1300:]}
     assert got == want
+    overall = {r["id"] for r in od.keep_last_n(df, 1300, ["ts", "id"]).collect()}
+    assert overall == set(range(3700, 5000))
+    assert od.keep_last_n(df, 9999, ["ts", "id"]).count() == 5000
 
 
 def test_basic_clean_without_time(spark):
