@@ -11,6 +11,7 @@ from queuelens.catalog.registry import query
 from queuelens.operators import aggregates as ag
 from queuelens.session import scratch_path
 from queuelens.sources import scan, sinks
+from queuelens.operators.scalars import beside
 
 
 @query("write_rows", """SELECT f AS fmt, l_returnflag, count(*) AS rows, round(sum(l_extendedprice), 2) AS total, max(l_shipdate) AS last
@@ -122,7 +123,7 @@ def retention_trim(spark, d):
     path = scratch_path(spark, "trim")
     sinks.trim_table(ev, path, "ts", 7, as_of)
     days = spark.read.parquet(path).agg(F.count_distinct("day").alias("days"))
-    return sinks.retention_trim(ev, "ts", 7, as_of)[1].crossJoin(F.broadcast(days))
+    return beside(sinks.retention_trim(ev, "ts", 7, as_of)[1], days)
 
 
 @query("summary_points", """WITH p AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY name) AS n FROM metric_points

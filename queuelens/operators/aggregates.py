@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelens.operators.orderstats import linear_percentiles, order_stats, position
+from queuelens.operators.scalars import beside
 
 R = 6
 
@@ -76,8 +77,7 @@ def histogram(points: DataFrame, value: str = "value", bins: int = 50) -> DataFr
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    # one row of edges, so the broadcast does not grow with the data
-    return (points.filter(F.col(value).isNotNull()).select(value).crossJoin(F.broadcast(edge))
+    return (beside(points.filter(F.col(value).isNotNull()).select(value), edge)
             .groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -176,7 +176,7 @@ def scaling_drift(actions: DataFrame, last: int = 200, last_change: int = 100,
     changed = (actions.orderBy(F.desc("ts"), F.desc("event_id")).limit(last_change)
                .filter((F.col("before") != 0) & (F.col("after") != 0))
                .agg(F.avg((F.col("before") - F.col("after")) / F.greatest(F.lit(1.0), F.abs("before"))).alias("g")))
-    return scores.crossJoin(F.broadcast(changed)).select(  # two one-row results
+    return beside(scores, changed).select(
         r6("m").alias("avg_score"), r6("s").alias("stdev"),
         ((F.col("s") > max_std) | (F.abs("m") > max_mean)).alias("drift"), r6("g").alias("avg_improvement"))
 
@@ -284,7 +284,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     basic = errors.agg(F.avg(F.col("e") * F.col("e")).alias("mse"), F.var_pop("_y").alias("_v"),
                        F.count("e").alias("n"))
     p95 = linear_percentiles(errors, [], "_abs", {"p95_abs_err": 0.95})
-    return basic.crossJoin(F.broadcast(p95)).select(
+    return beside(basic, p95).select(
         r6("mse").alias("mse"), r6(F.sqrt("mse")).alias("rmse"),
         r6(F.when(F.col("_v") > 0, 1 - F.col("mse") / F.col("_v")).otherwise(F.lit(0.0))).alias("r2"),
         r6("p95_abs_err").alias("p95_abs_err"), "n")
@@ -343,17 +343,16 @@ def dataset_drift(ref: DataFrame, new: DataFrame, threshold: float = 0.2) -> Dat
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", r6("score")))))).alias("per_feature"),
         r6(F.avg("score")).alias("aggregate"),
         F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("score") >= threshold, F.col("feature"))))).alias("flagged"))
-    sizes = ref.agg(F.count(F.lit(1)).alias("ref_rows")).crossJoin(new.agg(F.count(F.lit(1)).alias("new_rows")))
-    return summary.crossJoin(F.broadcast(sizes))
+    sizes = beside(ref.agg(F.count(F.lit(1)).alias("ref_rows")), new.agg(F.count(F.lit(1)).alias("new_rows")))
+    return beside(summary, sizes)
 
 
 def distribution_drift(ref: DataFrame, cur: DataFrame, value: str, threshold: float = 0.3) -> DataFrame:
     """Mean and spread of the current values against the reference, percentiles too."""
     def side(df, tag):
         basic = df.agg(F.avg(value).alias(f"{tag}_mean"), F.stddev_pop(value).alias(f"{tag}_std"))
-        return basic.crossJoin(F.broadcast(
-            linear_percentiles(df, [], value, {f"{tag}_p50": 0.5, f"{tag}_p95": 0.95})))
-    both = side(ref, "ref").crossJoin(F.broadcast(side(cur, "cur")))  # one row each
+        return beside(basic, linear_percentiles(df, [], value, {f"{tag}_p50": 0.5, f"{tag}_p95": 0.95}))
+    both = beside(side(ref, "ref"), side(cur, "cur"))
     base = F.col("ref_std") + 1e-8
     mean_drift = F.abs(F.col("cur_mean") - F.col("ref_mean")) / base
     std_drift = F.abs(F.col("cur_std") - F.col("ref_std")) / base
@@ -389,7 +388,7 @@ def episode_summary(steps: DataFrame, requested: int | None = None) -> DataFrame
     asked = episodes.agg(F.count(F.lit(1)).alias("requested") if requested is None
                          else F.lit(requested).cast("long").alias("requested"))
     ranks = order_stats(done, [], "reward", {"reward_p50": position(0.5), "reward_p95": position(0.95)})
-    return (asked.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(ranks))
+    return (beside(beside(asked, stats), ranks)
             .withColumn("failed", F.col("requested") - F.col("completed")))
 
 
@@ -423,13 +422,13 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def blend_scaler(old: DataFrame, new: DataFrame, keep: float = 0.9) -> DataFrame:
     """Old statistics moved towards those of a new batch."""
     names = old.columns
-    both = old.select(*[F.col(c).alias(f"_o_{c}") for c in names]).crossJoin(F.broadcast(new))
+    both = beside(old.select(*[F.col(c).alias(f"_o_{c}") for c in names]), new)
     return both.select(*[(keep * F.col(f"_o_{c}") + (1 - keep) * F.col(c)).alias(c) for c in names])
 
 
 def zscore_columns(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Columns centred and scaled; nulls become 0."""
-    both = df.crossJoin(F.broadcast(scaler))  # one row
+    both = beside(df, scaler)
     done = {c: F.coalesce((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std"), F.lit(0.0)) for c in cols}
     return both.withColumns(done).drop(*[f"{c}_{p}" for c in cols for p in ("mean", "std")])
 

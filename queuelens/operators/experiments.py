@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from queuelens.operators.aggregates import r6
 from queuelens.operators.orderstats import magnitude_bin
 from queuelens.operators.slices import prefix_frame
+from queuelens.operators.scalars import beside
 
 
 def arm_moments(df: DataFrame, arm: str, value: str) -> DataFrame:
@@ -105,7 +106,7 @@ def _normal_p(z: pd.Series) -> pd.Series:
 
 def ab_statistics(df: DataFrame, arm: str, value: str) -> DataFrame:
     """One row of exact statistics: change, pooled t, effect size, U and its z."""
-    m = arm_moments(df, arm, value).crossJoin(F.broadcast(rank_sum(df, arm, value)))  # one row each
+    m = beside(arm_moments(df, arm, value), rank_sum(df, arm, value))
     c = F.col
     diff = c("mean_b") - c("mean_a")
     dof = c("n_a") + c("n_b") - 2
@@ -128,7 +129,7 @@ def ab_compare(df: DataFrame, arm: str, value: str, key: str, test: str = "ttest
 
     With an empty arm the recommendation is ``insufficient_data``.
     """
-    stats = ab_statistics(df, arm, value).crossJoin(F.broadcast(bootstrap_interval(df, arm, value, key, draws, level)))
+    stats = beside(ab_statistics(df, arm, value), bootstrap_interval(df, arm, value, key, draws, level))
     if test == "ttest":
         p = F.pandas_udf(_t_p, "double")("t", F.col("dof").cast("double"))
     else:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from queuelens.operators.orderstats import boundary_rows, order_stats, position
 from queuelens.operators.scans import affine_scan, carry_scan
 from queuelens.operators.slices import DAY, deviation, limit_early, micros, prefix_frame, row_frame, sweep_frame
+from queuelens.operators.scalars import beside
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
 
@@ -169,7 +170,7 @@ def running_normalize(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     squares keeps its digits.
     """
     centre = df.agg(F.avg(value).alias("_c"))
-    rows = df.crossJoin(F.broadcast(centre)).withColumn("_x", F.col(value) - F.col("_c"))  # one row
+    rows = beside(df, centre).withColumn("_x", F.col(value) - F.col("_c"))
     run = prefix_frame(rows, keys, order, slice_col, {
         "_n": F.lit(1), "_s": F.col("_x"), "_q": F.col("_x") * F.col("_x")})
     mean = F.col("_s") / F.col("_n")
@@ -399,5 +400,5 @@ def gae(steps: DataFrame, key: str, order: Sequence[str], slice_col: Column, gam
     if not normalize:
         return out
     scale = out.agg(F.avg("advantage").alias("_m"), F.stddev_samp("advantage").alias("_s"))
-    return out.crossJoin(F.broadcast(scale)).withColumn(  # one row
+    return beside(out, scale).withColumn(
         "advantage", (F.col("advantage") - F.col("_m")) / (F.coalesce("_s", F.lit(0.0)) + 1e-8)).drop("_m", "_s")

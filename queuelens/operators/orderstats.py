@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from queuelens.operators.scalars import beside
+
 SUB_BINS = 4096
 
 
@@ -31,10 +33,6 @@ def magnitude_bin(v: Column) -> Column:
             .when(v > 0, shifted).otherwise(-shifted)).cast("long")
 
 
-def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right, list(on)) if on else left.crossJoin(F.broadcast(right))
-
-
 def order_stats(df: DataFrame, keys: Sequence[str], value: str,
                 picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Per key the value at each zero-based position, as one column per pick.
@@ -64,7 +62,7 @@ def order_stats(df: DataFrame, keys: Sequence[str], value: str,
                      (F.col("_p.pos") - F.col("_end") + F.col("_c")).alias("_r")))
     width = F.col("_hi") - F.col("_lo")
     sub = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * (SUB_BINS - 1))).otherwise(F.lit(0))
-    narrowed = _join(counts, first.select(*keys, "_b", "_lo", "_hi").distinct(), [*keys, "_b"]).select(
+    narrowed = counts.join(first.select(*keys, "_b", "_lo", "_hi").distinct(), [*keys, "_b"]).select(
         *keys, "_b", "_v", "_c", sub.cast("long").alias("_s"))
     in_bin = (Window.partitionBy(*keys, "_b").orderBy("_s")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -99,7 +97,7 @@ def linear_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         picks[f"_c_{name}"] = lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1))
     found = order_stats(df, keys, value, picks)
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    both = found.join(sizes, list(keys)) if keys else found.crossJoin(F.broadcast(sizes))
+    both = found.join(sizes, list(keys)) if keys else beside(found, sizes)
     out = []
     for name, p in shares.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)

@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from queuelens.operators.scalars import beside
+
 DAY = 86_400
 
 
@@ -212,7 +214,7 @@ def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096, t
     """
     bounds = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     width = F.col("_hi") - F.col("_lo") + F.lit(1)
-    rows = df.crossJoin(F.broadcast(bounds)).withColumn(  # one row of bounds
+    rows = beside(df, bounds).withColumn(
         "_range", F.floor((F.col(order) - F.col("_lo")) / width * F.lit(buckets)).cast("long")).drop("_lo", "_hi")
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
