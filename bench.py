@@ -19,9 +19,9 @@ from queuelens.session import get_session  # noqa: E402
 HEADLINE = [
     "bucket_aggregate", "rollup_series", "top_names", "window_snapshot", "histogram", "latency_heatmap_scaled", "usage_totals",
     "invoice_totals", "estimate_invoices", "queue_depth", "priority_order", "retry_decision", "fuse_scores", "rolling_features",
-    "latency_bucket_label", "rate_limit_flags", "anomaly_flags", "moving_average", "ewma", "cooldown_filter", "token_bucket", "circuit_breaker",
-    "dataset_drift", "distribution_drift", "ab_statistics", "regression_metrics", "timing_summary", "dag_check", "tree_diff", "training_set",
-    "train_val_test", "stream_rollup", "stream_sliding", "visibility_timeout", "train_predictor",
+    "latency_bucket_label", "rate_limit_flags", "anomaly_flags", "moving_average", "ewma", "cooldown_filter", "circuit_breaker",
+    "dataset_drift", "distribution_drift", "ab_statistics", "regression_metrics", "timing_summary", "dag_check", "tree_diff", 
+    "stream_rollup", "stream_sliding", "train_predictor",
 ]
 
 
