@@ -5,15 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import bpe, linedup, mixing, neardup, quality, risk, toxicity
+from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, toxicity
 from queuelens.llm.common import documents, labels
 
+#: Key of the registered query only; a user passes a secret of their own.
+PSEUDONYM_KEY = "registered-query"
+
 
 def op2_quality_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return quality.score_quality(docs, quality.train(docs, labels(spark, folder)))
 
 
+def op3_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(documents(spark, folder), secret=PSEUDONYM_KEY)
+    return found.select("doc_id", "text", *[f"n_{kind}" for kind in pseudonyms.MAKERS])
+
+
+def op4_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, folder), spark)
+
+
 def op5_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     return risk.quality_rules(documents(spark, folder), labels(spark, folder))
 
@@ -40,7 +52,7 @@ def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_compression, op5_risk_rules, op6_near_duplicates, op7_entropy_mixing, op8_bpe_speculate, op9_toxic_spans, op10_line_spread)}
+    op2_quality_compression, op3_pii_pseudonyms, op4_imatch_fingerprints, op5_risk_rules, op6_near_duplicates, op7_entropy_mixing, op8_bpe_speculate, op9_toxic_spans, op10_line_spread)}
 
 SQL = {
     "op10_line_spread": r"""
