@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, toxicity
+from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, token_files, toxicity
 from queuelens.llm.common import documents, labels
 
 #: Key of the registered query only; a user passes a secret of their own.
 PSEUDONYM_KEY = "registered-query"
 
 
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, folder), spark, public_tokenizers.path(token_files.TOKENIZER))
+
+
 def op2_quality_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return quality.score_quality(docs, quality.train(docs, labels(spark, folder)))
@@ -52,7 +56,7 @@ def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_compression, op3_pii_pseudonyms, op4_imatch_fingerprints, op5_risk_rules, op6_near_duplicates, op7_entropy_mixing, op8_bpe_speculate, op9_toxic_spans, op10_line_spread)}
+    op1_token_files, op2_quality_compression, op3_pii_pseudonyms, op4_imatch_fingerprints, op5_risk_rules, op6_near_duplicates, op7_entropy_mixing, op8_bpe_speculate, op9_toxic_spans, op10_line_spread)}
 
 SQL = {
     "op10_line_spread": r"""
