@@ -29,6 +29,8 @@ HALF = COORDINATES // 2
 #: So many coordinate pairs that two signatures with MATCHES equal places must share one.
 PREFIX = HALF - (HALF - (COORDINATES - MATCHES)) + 1
 TILE = 256
+#: The first text of a list is drawn by one of so many hashes, so that lists of one group have different firsts.
+PIVOTS = 4
 SEED = 0x5EED
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -195,14 +197,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def similar_nodes(nodes: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) that tie together all nodes of a component. ``nodes``: id, rep, sig; ``rows``: id, text."""
     postings = cut_lineage(nodes.select("id", "sig").mapInPandas(_postings, "key long, id long"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(PIVOTS)))).alias("first")).filter("size > 1")
     members = cut_lineage(postings.join(lists, "key"))
     star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = confirm(star, nodes, rows, percent, width)
-    # labels of this pass only save comparisons: equal labels mean one component, different ones may too
-    near = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp"))
-    label = cut_lineage(near.alias("x").join(near.alias("y"), F.col("x.comp") == F.col("y.id"), "left").select(
-        "x.id", F.coalesce("y.comp", "x.comp").alias("comp")))
+    label = components(links)  # texts of one component need no further links
     marked = members.filter("size > 2").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))  # two were settled
     unsettled = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     parts = F.ceil(F.col("size") / TILE).cast("int")
