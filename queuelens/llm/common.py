@@ -48,11 +48,14 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, name: str, per_label: int
     Columns ``_label``, ``_text``, ``_order``. Held-out rows, null texts and texts of over ``max_bytes``
     are not drawn, so the driver holds at most ``2 * per_label * max_bytes`` bytes.
     """
-    rows = (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-            .filter(~held_out("_id") & (F.octet_length("_text") <= max_bytes))
-            .join(label_of(marks, name, key).withColumnRenamed(key, "_id"), "_id")
-            .select("_label", "_text", F.xxhash64(F.lit(name), F.col("_id")).alias("_order"), "_id"))
-    ordered = [rows.filter(F.col("_label") == k).orderBy("_order", "_id", "_text").limit(per_label) for k in (0, 1)]
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.lit(name), F.col(key)).alias("_order")).filter(
+        ~held_out("_id") & (F.octet_length("_text") <= max_bytes))
+    # ids are drawn without their texts, which are then fetched for at most 2 * per_label ids
+    able = rows.select("_id", "_order").join(label_of(marks, name, key).withColumnRenamed(key, "_id"), "_id")
+    first = [able.filter(F.col("_label") == k).orderBy("_order", "_id").limit(per_label) for k in (0, 1)]
+    ids = first[0].unionByName(first[1]).select("_id", "_label").distinct()
+    drawn = rows.join(F.broadcast(ids), "_id").select("_label", "_text", "_order", "_id")
+    ordered = [drawn.filter(F.col("_label") == k).orderBy("_order", "_id", "_text").limit(per_label) for k in (0, 1)]
     return ordered[0].unionByName(ordered[1]).drop("_id")
 
 
