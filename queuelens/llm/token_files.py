@@ -187,7 +187,7 @@ def unpack(packed: bytes) -> np.ndarray:
         small = np.flatnonzero(wide < LOW_RANGE)
         if len(small):
             which = lane[small]
-            at[small] = (at[small] << 16) | words[which, used[which]]
+            at[small] = (at[small] << 16) | words[which, np.minimum(used[which], words.shape[1] - 1)]  # damaged words may ask for more
             used[which] += 1
             wide[small] <<= 16
         code[lane], width[lane] = at, wide
