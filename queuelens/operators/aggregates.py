@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.operators.orderstats import linear_percentiles, order_stats, position
+from queuelens.operators.orderstats import beside_keys, linear_percentiles, order_stats, position
 from queuelens.operators.scalars import beside
 
 R = 6
@@ -68,7 +68,7 @@ def window_snapshot(points: DataFrame, windows: Sequence[int], as_of, by: Sequen
         F.count(F.lit(1)).alias("count"), r6(F.sum("value")).alias("sum"), r6(F.avg("value")).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     ranks = order_stats(spread, keys, "value", {"p50": position(0.5, -1), "p95": position(0.95, -1)})
-    return stats.join(ranks, keys)
+    return beside_keys(stats, ranks, keys)
 
 
 def histogram(points: DataFrame, value: str = "value", bins: int = 50) -> DataFrame:
@@ -100,7 +100,7 @@ def recent_stats(points: DataFrame, lookback: int, as_of, by: Sequence[str] = ("
     p90 = lambda n: F.greatest(F.floor(n * F.lit(0.9)) - 1, F.lit(0))
     stats = recent.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), r6(F.avg("value")).alias("mean"),
                                     F.min("value").alias("min"), F.max("value").alias("max"))
-    return stats.join(order_stats(recent, by, "value", {"p90": p90}), list(by))
+    return beside_keys(stats, order_stats(recent, by, "value", {"p90": p90}), list(by))
 
 
 def approx_counts(points: DataFrame, pattern: str) -> DataFrame:
@@ -181,11 +181,9 @@ def scaling_drift(actions: DataFrame, last: int = 200, last_change: int = 100,
         ((F.col("s") > max_std) | (F.abs("m") > max_mean)).alias("drift"), r6("g").alias("avg_improvement"))
 
 
-def drift_event_stats(events: DataFrame, since, top: int = 10, cap: int | None = None) -> DataFrame:
+def drift_event_stats(events: DataFrame, since, top: int = 10) -> DataFrame:
     """Count, mean and max per feature of drift maps; the highest means first."""
     kept = events.filter(F.col("ts") >= F.lit(since))
-    if cap:
-        kept = kept.orderBy("ts", "event_id").limit(cap)
     return (kept.select(F.explode("per_feature").alias("feature", "v")).groupBy("feature")
             .agg(F.count(F.lit(1)).alias("count"), r6(F.avg("v")).alias("mean"), F.max("v").alias("max"))
             .orderBy(F.desc("mean"), "feature").limit(top))
@@ -404,7 +402,7 @@ def timing_summary(df: DataFrame, by: str, value: str, rows_per_call: Column | N
     stats = df.groupBy(by).agg(F.avg(value).alias("m"), r6(F.stddev_pop(value)).alias("std"),
                                F.count(value).alias("n"))
     ranks = linear_percentiles(df, [by], value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    out = stats.join(ranks, by)
+    out = beside_keys(stats, ranks, [by])
     size = rows_per_call if rows_per_call is not None else F.lit(1.0)
     return out.select(by, r6("m").alias("mean"), "std", *[r6(p).alias(p) for p in ("p50", "p95", "p99")],
                       r6(F.try_divide(size, F.col("m"))).alias("rate"), "n")

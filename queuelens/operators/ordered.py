@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.operators.orderstats import boundary_rows, order_stats, position
+from queuelens.operators.orderstats import beside_keys, boundary_rows, order_stats, position
 from queuelens.operators.scans import affine_scan, carry_scan
 from queuelens.operators.slices import DAY, deviation, limit_early, micros, prefix_frame, row_frame, sweep_frame
 from queuelens.operators.scalars import beside
@@ -190,16 +190,18 @@ def anomaly_flags(points: DataFrame, keys: Sequence[str], window_s: int = 600, t
     """Each point against a fixed threshold and against its trailing window.
 
     The z value uses earlier points only; with none of them there is no anomaly.
-    Values are taken to nine digits of the largest one, as whole numbers.
+    Values are taken to nine digits of their key's largest one, as whole numbers;
+    nulls, NaN and infinite values are no part of any window.
     """
     finite = F.abs("value") < float("inf")  # NaN sorts above infinity
-    top = points.agg(F.max(F.when(finite, F.abs("value")))).first()[0] or 1.0
-    unit = 10.0 ** (9 - math.ceil(math.log10(top) + 1e-12))
-    whole = F.when(finite, F.round(F.col("value") * unit)).cast("long")
-    out = sweep_frame(points, keys, "ts", {"_w": (window_s * 1_000_000, -1)}, {"s": whole}, {"q": whole},
-                      max(slice_seconds, window_s))
-    mean = F.col("_w_s").cast("double") / F.nullif(F.col("_w_n").cast("double"), F.lit(0.0)) / unit
-    std = deviation(F.col("_w_n"), F.col("_w_s"), F.col("_w_q"), False) / unit
+    tops = points.groupBy(*keys).agg(F.max(F.when(finite & (F.col("value") != 0), F.abs("value"))).alias("_top"))
+    scaled = beside_keys(points, tops, list(keys)).withColumn(
+        "_unit", F.pow(F.lit(10.0), 9 - F.ceil(F.log10(F.coalesce("_top", F.lit(1.0))) + 1e-12))).drop("_top")
+    unit, whole = F.col("_unit"), F.when(finite, F.round(F.col("value") * F.col("_unit"))).cast("long")
+    out = sweep_frame(scaled, keys, "ts", {"_w": (window_s * 1_000_000, -1)},
+                      {"s": whole, "c": whole.isNotNull().cast("long")}, {"q": whole}, max(slice_seconds, window_s))
+    mean = F.col("_w_s").cast("double") / F.nullif(F.col("_w_c").cast("double"), F.lit(0.0)) / unit
+    std = deviation(F.col("_w_c"), F.col("_w_s"), F.col("_w_q"), False) / unit
     z = F.abs(F.col("value") - mean) / (std + 1e-9)
     return out.select(*points.columns, (F.col("value") > threshold).alias("over"), F.coalesce(z, F.lit(0.0)).alias("z"),
                       F.coalesce(z > z_limit, F.lit(False)).alias("z_anomaly"))

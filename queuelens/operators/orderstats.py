@@ -33,21 +33,29 @@ def magnitude_bin(v: Column) -> Column:
             .when(v > 0, shifted).otherwise(-shifted)).cast("long")
 
 
+def beside_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, which has a row per key; null keys are equal, missing ones give nulls."""
+    if not keys:
+        return beside(left, right)
+    others = [c for c in right.columns if c not in keys]
+    renamed = right.select(F.struct(*keys).alias("_right_keys"), *others)
+    return left.join(renamed, F.struct(*keys).eqNullSafe(F.col("_right_keys")), "left").drop("_right_keys")
+
+
 def order_stats(df: DataFrame, keys: Sequence[str], value: str,
-                picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+                picks: dict[str, Callable[[Column], Column]], kind: str = "double") -> DataFrame:
     """Per key the value at each zero-based position, as one column per pick.
 
     ``picks`` maps a column name to a function from the group's row count to a
-    position. Nulls are left out. Keys must not be null.
+    position. Null values are left out; a null key is a key like any other.
+    ``kind`` is ``double``, or ``long`` for whole numbers beyond 2^53.
     """
-    keys = list(keys)
-    filled = F.col(value).isNotNull()
-    for k in keys:  # stated once here, so that all branches share one scan and shuffle
-        filled = filled & F.col(k).isNotNull()
-    counts = (df.filter(filled)
-              .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+    names, keys = list(keys), ["_k"] if keys else []
+    packed = [F.struct(*names).alias("_k")] if names else []  # a struct is joined by equality even where fields are null
+    counts = (df.filter(F.col(value).isNotNull())
+              .groupBy(*packed, F.col(value).cast(kind).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_b", F.coalesce(magnitude_bin(F.col("_v")), F.lit(0))))
+              .withColumn("_b", F.coalesce(magnitude_bin(F.col("_v").cast("double")), F.lit(0))))
     bins = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"),
                                           F.max("_v").alias("_hi"))
     per_key = Window.partitionBy(*keys)
@@ -76,8 +84,9 @@ def order_stats(df: DataFrame, keys: Sequence[str], value: str,
     found = (narrowed.join(second, [*keys, "_b", "_s"])
              .withColumn("_end", F.sum("_c").over(in_sub))
              .filter((F.col("_q") < F.col("_end")) & (F.col("_q") >= F.col("_end") - F.col("_c"))))
-    return found.groupBy(*keys).agg(*[
+    picked = found.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_pick") == name, F.col("_v"))).alias(name) for name in picks])
+    return picked.select("_k.*", *picks) if names else picked
 
 
 def position(p: float, shift: int = 0) -> Callable[[Column], Column]:
@@ -97,7 +106,7 @@ def linear_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         picks[f"_c_{name}"] = lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1))
     found = order_stats(df, keys, value, picks)
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    both = found.join(sizes, list(keys)) if keys else beside(found, sizes)
+    both = beside_keys(found, sizes, list(keys))
     out = []
     for name, p in shares.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)
@@ -128,6 +137,6 @@ def boundary_rows(df: DataFrame, value: str, tie: str,
                        lambda m: m["val"] == F.col("_v"))
     tied = (rows.filter(F.col("_v").isin(*at.values())).select("_t", F.explode(matches).alias("_m"))
             .select("_t", F.col("_m.name").alias("_cut")))
-    place = F.coalesce(*[F.when(F.col("_cut") == n, F.lit(within[n])) for n in at])
-    ties = {r["_cut"]: r["t"] for r in order_stats(tied, ["_cut"], "_t", {"t": lambda n: place}).collect()}
+    place = F.coalesce(*[F.when(F.col("_k._cut") == n, F.lit(within[n])) for n in at])
+    ties = {r["_cut"]: r["t"] for r in order_stats(tied, ["_cut"], "_t", {"t": lambda n: place}, "long").collect()}
     return {n: (at[n], int(ties[n])) if n in at else None for n in picks}

@@ -239,8 +239,13 @@ USUAL_LR = (3e-4, 1e-4)
 
 
 def config_stability(runs: DataFrame) -> DataFrame:
-    """Score from 100 by fixed penalties, stable flag and issue list."""
+    """Score from 100 by fixed penalties, stable flag and issue list.
+
+    A run without any setting has no configuration: it loses 20 points and stays stable.
+    """
     c = F.col
+    settings = ("gamma", "lam", "lr", "steps", "clipped_value_loss", "value_coef", "norm_advantages", "norm_observations", "norm_rewards", "max_grad_norm")
+    given = F.coalesce(*[c(x).cast("string") for x in settings]).isNotNull()
     clipped = F.coalesce(c("clipped_value_loss"), F.lit(True))
     checks = [  # (name, condition, penalty, makes unstable)
         ("gamma_high", c("gamma") >= UNSAFE["gamma"], 40, True),
@@ -258,7 +263,7 @@ def config_stability(runs: DataFrame) -> DataFrame:
         ("rewards_raw", ~F.coalesce(c("norm_rewards"), F.lit(True)), 10, False),
         ("grad_norm", c("max_grad_norm").isNull() | (c("max_grad_norm") > 1.0), 10, False),
     ]
-    hit = [(n, F.coalesce(cond, F.lit(False)), p, bad) for n, cond, p, bad in checks]
+    hit = [(n, given & F.coalesce(cond, F.lit(False)), p, bad) for n, cond, p, bad in checks] + [("config_missing", ~given, 20, False)]
     score = sum((-F.when(cond, float(p)).otherwise(0.0) for _, cond, p, _ in hit), F.lit(100.0))
     unstable = F.lit(False)
     for _, cond, _, bad in hit:
@@ -282,19 +287,20 @@ def promotion_decision(runs: DataFrame, baseline: DataFrame, on: str, min_sample
                        improve_abs: float | None = None, improve_rel: float = 0.01, canary_limit: float = 5.0,
                        regression_tolerance: float = 0.2) -> DataFrame:
     """Promotion verdict with its reason; canary gate and regression flag beside it."""
-    joined = runs.join(baseline.select(on, F.col("rmse").alias("base_rmse")), on, "left")
+    joined = runs.join(baseline.select(on, F.col("rmse").alias("base_rmse"), F.lit(True).alias("_has_base")), on, "left")
     new, base = F.col("rmse"), F.col("base_rmse")
     gain = (base - new) / F.nullif(base, F.lit(0.0))
     reason = (F.when(new.isNull(), "metric_missing")
               .when(F.coalesce("n_samples", F.lit(0)) < min_samples, "insufficient_samples"))
     if improve_abs is not None:
         reason = reason.when(new <= improve_abs, "absolute_threshold")
+    reason = reason.when(F.col("_has_base") & base.isNull(), "baseline_missing")
     reason = (reason.when(base > 0, F.when(gain >= improve_rel, "relative_improvement").otherwise("insufficient_improvement"))
               .otherwise("no_promotion_condition_met"))
     return joined.withColumns({
         "reason": reason, "promote": reason.isin("absolute_threshold", "relative_improvement"),
         "canary_ok": F.coalesce(new <= canary_limit, F.lit(False)),
-        "regressed": F.coalesce((base > 0) & ((new - base) / F.nullif(base, F.lit(0.0)) > regression_tolerance), F.lit(False))})
+        "regressed": F.coalesce((base > 0) & ((new - base) / F.nullif(base, F.lit(0.0)) > regression_tolerance), F.lit(False))}).drop("_has_base")
 
 
 def hint_dedup(policy_hints: DataFrame, rates: DataFrame) -> DataFrame:

@@ -95,8 +95,17 @@ def find_docs(df: DataFrame, where: Column, cols: Sequence[str] | None = None, o
 
 
 def page_by_ts(df: DataFrame, token, page_size: int, ts: str = "ts", id_col: str = "id") -> DataFrame:
-    """Rows before the token, newest first; the next token is the last row's time."""
-    kept = df.filter(F.col(ts) < F.lit(token)) if token is not None else df
+    """Rows after the token, newest first, equal times by ascending id.
+
+    A token is a time, or the (time, id) of the last row seen, with which rows of that very time are not lost.
+    """
+    if token is None:
+        kept = df
+    elif isinstance(token, tuple):
+        last, row = token
+        kept = df.filter((F.col(ts) <= F.lit(last)) & ((F.col(ts) < F.lit(last)) | (F.col(id_col) > F.lit(row))))
+    else:
+        kept = df.filter(F.col(ts) < F.lit(token))
     return kept.orderBy(F.col(ts).desc(), F.col(id_col)).limit(page_size)
 
 
