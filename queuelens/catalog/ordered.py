@@ -11,10 +11,6 @@ from queuelens.functions.columns import queue_key
 from queuelens.operators import aggregates as ag
 from queuelens.operators import ordered as od
 from queuelens.operators.aggregates import r6
-from queuelens.operators.slices import time_slice
-
-DAYS3 = 3 * 86_400
-WEEK = 7 * 86_400
 
 
 def events(spark, d):
@@ -47,7 +43,7 @@ def latency_bucket_label(spark, d):
     SELECT conv_id, turn, CAST(next_value AS INTEGER) AS next_value, {BUCKET_SQL.format(v='next_value', t='id')} AS label FROM n""")
 def next_value_label(spark, d):
     c = fx.table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.length("text").alias("size"))
-    out = od.next_value_label(c, "conv_id", ["turn"], F.floor(F.col("turn") / 4), "size", "id")
+    out = od.next_value_label(c, "conv_id", ["turn"], "size", "id")
     return out.select("conv_id", "turn", "next_value", "label")
 
 
@@ -74,7 +70,7 @@ VER = "SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY
 
 def history(spark, d):
     return od.version_history(events(spark, d).select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"],
-                              ["ts", "event_id"], time_slice("ts", DAYS3))
+                              ["ts", "event_id"])
 
 
 @query("version_history", f"SELECT user_id, event_type, event_id, version FROM ({VER})")
@@ -114,13 +110,13 @@ def hourly_counts(spark, d):
 @query("horizon_targets", f"""SELECT run, hour, coalesce(lead(backlog) OVER w, 0) AS target_next_step, coalesce(max(backlog) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS target_horizon_max,
     CAST(coalesce(max(backlog) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) >= 6 AS INTEGER) AS target_binary_burst FROM ({HOURLY}) WINDOW w AS (PARTITION BY run ORDER BY hour)""")
 def horizon_targets(spark, d):
-    out = od.horizon_targets(hourly_counts(spark, d), ["run"], ["hour"], time_slice("hour", WEEK), 3, 3.0)
+    out = od.horizon_targets(hourly_counts(spark, d), ["run"], ["hour"], 3, 3.0)
     return out.select("run", fx.plain("hour").alias("hour"), "target_next_step", "target_horizon_max", "target_binary_burst")
 
 
 @query("moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS moving_avg FROM events")
 def moving_average(spark, d):
-    out = od.moving_average(events(spark, d), ["event_type"], ["ts", "event_id"], time_slice("ts", 21600), "value", 10)
+    out = od.moving_average(events(spark, d), ["event_type"], ["ts", "event_id"], "value", 10)
     return out.select("event_id", r6("moving_avg").alias("moving_avg"))
 
 
@@ -128,14 +124,14 @@ def moving_average(spark, d):
     SELECT event_id, user_id, rn, value AS v FROM o WHERE rn = 1 UNION ALL SELECT o.event_id, o.user_id, o.rn, 0.3::DOUBLE * o.value + 0.7::DOUBLE * e.v FROM e JOIN o ON o.user_id = e.user_id AND o.rn = e.rn + 1)
     SELECT event_id, round(v + 1e-9, 6) AS ewma FROM e""", recursive=True)
 def ewma(spark, d):
-    out = od.ewma(events(spark, d).select("event_id", "user_id", "value", "ts"), ["user_id"], ["ts", "event_id"], time_slice("ts", DAYS3), "value")
+    out = od.ewma(events(spark, d).select("event_id", "user_id", "value", "ts"), ["user_id"], ["ts", "event_id"], "value")
     return out.select("event_id", r6(F.col("ewma") + 1e-9).alias("ewma"))
 
 
 @query("running_normalize", """SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE round(greatest(-10.0::DOUBLE, least(10.0::DOUBLE, (value - avg(value) OVER w) / sqrt(var_pop(value) OVER w + 1e-8))), 5) END AS normalized
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_normalize(spark, d):
-    out = od.running_normalize(events(spark, d).select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], time_slice("ts", DAYS3), "value")
+    out = od.running_normalize(events(spark, d).select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value")
     return out.select("event_id", F.round("normalized", 5).alias("normalized"))
 
 
@@ -167,7 +163,7 @@ def rate_limit_flags(spark, d):
     s AS (SELECT event_id, greatest(abs(mo - bo) / (so + 1e-8), abs(mr - br) / (sr + 1e-8)) AS s FROM o JOIN b USING (event_type) WHERE rn >= 50) SELECT event_id, round(s, 6) AS drift_score, s > 0.3 AS drift FROM s""")
 def baseline_drift(spark, d):
     ev = events(spark, d).withColumn("reward", F.col("value") * (F.col("event_id") % 3))
-    out = od.baseline_drift(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", DAYS3), "value", "reward", 50)
+    out = od.baseline_drift(ev, ["event_type"], ["ts", "event_id"], "value", "reward", 50)
     return out.select("event_id", r6("drift_score").alias("drift_score"), "drift")
 
 
@@ -175,26 +171,26 @@ def baseline_drift(spark, d):
     SELECT hour, round(CASE WHEN pp IS NULL THEN 0 ELSE greatest(0.0::DOUBLE, pp - p95) + 0.2::DOUBLE * greatest(0.0::DOUBLE, bb - backlog) - CASE WHEN p95 > 5 THEN (p95 - 5) * 2 ELSE 0 END END - 0.1::DOUBLE * abs(delta), 6) AS reward FROM h""", ("hourly_stats",))
 def improvement_reward(spark, d):
     h = fx.hourly_stats(spark, d).select("hour", "backlog", "p95", (F.col("n") % 7).alias("delta"))
-    out = od.improvement_reward(h, [], ["hour"], time_slice("hour", WEEK), 5.0)
+    out = od.improvement_reward(h, [], ["hour"], 5.0)
     return out.select(fx.plain("hour").alias("hour"), r6("reward").alias("reward"))
 
 
 @query("oscillation", """SELECT event_id, max(CASE WHEN action = 'scale_up' THEN 1 ELSE 0 END) OVER w = 1 AND max(CASE WHEN action = 'scale_down' THEN 1 ELSE 0 END) OVER w = 1 AS oscillating
     FROM scaling_actions WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", ("scaling_actions",))
 def oscillation(spark, d):
-    out = od.oscillation(fx.scaling_actions(spark, d), [], ["ts", "event_id"], time_slice("ts", 3600))
+    out = od.oscillation(fx.scaling_actions(spark, d), [], ["ts", "event_id"])
     return out.select("event_id", "oscillating")
 
 
 @query("stall_gaps", """SELECT event_id, round((epoch_us(nx) - epoch_us(ts)) / 1e6, 6) AS gap_s FROM (SELECT event_id, ts, lead(ts) OVER (ORDER BY ts, event_id) AS nx FROM scaling_actions) WHERE epoch_us(nx) - epoch_us(ts) > 600000000""", ("scaling_actions",))
 def stall_gaps(spark, d):
-    out = od.stall_gaps(fx.scaling_actions(spark, d), [], ["ts", "event_id"], time_slice("ts", 3600), 600)
+    out = od.stall_gaps(fx.scaling_actions(spark, d), [], ["ts", "event_id"], 600)
     return out.select("event_id", r6("gap_s").alias("gap_s"))
 
 
 @query("cumulative_processed", f"SELECT run, hour, CAST(sum(backlog) OVER (PARTITION BY run ORDER BY hour) AS BIGINT) AS backlog_cumulative FROM ({HOURLY})")
 def cumulative_processed(spark, d):
-    out = od.cumulative(hourly_counts(spark, d), ["run"], ["hour"], time_slice("hour", WEEK), "backlog")
+    out = od.cumulative(hourly_counts(spark, d), ["run"], ["hour"], "backlog")
     return out.select("run", fx.plain("hour").alias("hour"), "backlog_cumulative")
 
 
@@ -213,7 +209,7 @@ def requests(spark, d):
     FROM s JOIN o ON o.event_type = s.event_type AND o.rn = s.rn + 1) SELECT event_id, kept AS kept_score, CASE WHEN kept > 0.15::DOUBLE THEN 'scale_up' WHEN kept < -0.15::DOUBLE THEN 'scale_down' ELSE 'steady' END AS kept_action FROM s WHERE rn > 0""", ("scaling_actions",))
 def hysteresis_actions(spark, d):
     a = fx.scaling_actions(spark, d)
-    out = od.hysteresis(a, ["event_type"], ["ts", "event_id"], time_slice("ts", DAYS3), "score")
+    out = od.hysteresis(a, ["event_type"], ["ts", "event_id"], "score")
     return out.select("event_id", "kept_score", "kept_action")
 
 
@@ -221,7 +217,7 @@ def hysteresis_actions(spark, d):
     SELECT user_id, rn, event_id, us, true FROM o WHERE rn = 1 UNION ALL SELECT o.user_id, o.rn, o.event_id, CASE WHEN o.us - s.last >= 86400000000 THEN o.us ELSE s.last END, o.us - s.last >= 86400000000
     FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1) SELECT event_id, user_id FROM s WHERE act""")
 def cooldown_filter(spark, d):
-    out = od.cooldown_filter(requests(spark, d), ["user_id"], ["ts", "event_id"], time_slice("ts", DAYS3), 86400)
+    out = od.cooldown_filter(requests(spark, d), ["user_id"], ["ts", "event_id"], 86400)
     return out.select("event_id", "user_id")
 
 
@@ -229,13 +225,13 @@ def cooldown_filter(spark, d):
     SELECT user_id, rn, event_id, us, 3.0::DOUBLE - 1, true FROM o WHERE rn = 1 UNION ALL SELECT user_id, rn, event_id, us, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1 FROM (
     SELECT o.user_id, o.rn, o.event_id, o.us, least(3.0::DOUBLE, s.tokens + (o.us - s.us) / 1e6::DOUBLE * 0.00005::DOUBLE) AS t FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1)) SELECT event_id, ok AS allowed FROM s""")
 def token_bucket(spark, d):
-    out = od.token_bucket(requests(spark, d), ["user_id"], ["ts", "event_id"], time_slice("ts", DAYS3), 0.00005, 3.0)
+    out = od.token_bucket(requests(spark, d), ["user_id"], ["ts", "event_id"], 0.00005, 3.0)
     return out.select("event_id", "allowed")
 
 
 def _breaker(spark, d, variant, **cfg):
     reqs = requests(spark, d).withColumn("target", F.col("user_id") % 20)
-    out = od.circuit_breaker(reqs, ["target"], ["ts", "event_id"], time_slice("ts", DAYS3), variant, **cfg)
+    out = od.circuit_breaker(reqs, ["target"], ["ts", "event_id"], variant, **cfg)
     return out.select("event_id", "target", "state", "allowed")
 
 
@@ -279,5 +275,5 @@ def circuit_breaker(spark, d):
     SELECT run_id, t, round((a - avg(a) OVER ()) / (stddev_samp(a) OVER () + 1e-8), 6) AS advantage, round(a + value, 6) AS returns FROM g""", ("run_log",))
 def gae(spark, d):
     steps = fx.run_log(spark, d).select("run_id", "t", "reward", (F.col("reward") * 0.5 + F.col("t")).alias("value"), (F.col("t") == 5).alias("done"))
-    out = od.gae(steps, "run_id", ["t"], F.floor(F.col("t") / 4), normalize=True)
+    out = od.gae(steps, "run_id", ["t"], normalize=True)
     return out.select("run_id", "t", r6("advantage").alias("advantage"), r6("returns").alias("returns"))

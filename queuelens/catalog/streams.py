@@ -10,11 +10,10 @@ from queuelens.catalog import ordered as _ordered  # noqa: F401  (its SQL is reu
 from queuelens.catalog.registry import SQL, query
 from queuelens.functions.columns import queue_key
 from queuelens.operators import aggregates as ag
-from queuelens.operators import ordered as od
 from queuelens.operators.aggregates import r6
 from queuelens.session import scratch_path
 from queuelens.sources import scan, sinks
-from queuelens.streaming import jobs, processors
+from queuelens.streaming import jobs, ordered_state, panes, processors
 
 
 def event_stream(spark, d):
@@ -58,13 +57,26 @@ def stream_rollup(spark, d):
     return out.select(fx.plain("window_start").alias("window_start"), "name", "labels", "count", r6("avg").alias("avg"), "min", "max")
 
 
-@query("stream_sliding", """WITH p AS (SELECT name, value, ts, unnest(range(0, 10)) AS i FROM metric_points), w AS (
-    SELECT name, value, to_timestamp((floor(epoch(ts) / 30) + 1 + i) * 30) AT TIME ZONE 'UTC' AS window_end FROM p)
-    SELECT window_end, name, count(*) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max FROM w
-    WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM metric_points) GROUP BY 1, 2""", ("metric_points",))
+WINDOWS = (60, 300, 900, 3600)
+#: A row that only moves the watermark, so that the last windows come out.
+LAST = "2024-03-01 00:00:00"
+
+
+@query("stream_sliding", f"""WITH p AS (SELECT name, value, w, unnest(range(0, w // 60)) AS i, floor(epoch(ts) / 60) AS pane FROM metric_points, (VALUES {", ".join(f"({w})" for w in WINDOWS)}) v(w)),
+    g AS (SELECT name, CAST(w AS BIGINT) AS window_s, to_timestamp((pane + 1 + i) * 60) AT TIME ZONE 'UTC' AS window_end, list_sort(list(value)) AS v, sum(value) AS sum FROM p GROUP BY ALL)
+    SELECT name, window_s, window_end, len(v) AS count, round(sum, 6) AS sum, round(sum / len(v), 6) AS mean, v[1] AS min, v[len(v)] AS max,
+    v[CAST(ceil(len(v) * 0.5::DOUBLE) AS INTEGER)] AS p50, v[CAST(ceil(len(v) * 0.95::DOUBLE - 1e-9) AS INTEGER)] AS p95 FROM g""", ("metric_points",))
 def stream_sliding(spark, d):
-    out = jobs.run_to_table(jobs.stream_sliding(point_stream(spark, d), 300), "sliding")
-    return out.select(fx.plain("window_end").alias("window_end"), "name", "count", r6("sum").alias("sum"), "min", "max")
+    points = point_stream(spark, d).select("name", "value", "ts").schema
+    source = scratch_path(spark, "points")
+    fx.metric_points(spark, d).select("name", "value", "ts").repartition(6, F.xxhash64("ts")).write.parquet(source)
+    live = lambda: panes.stream_windows(scan.read_stream(spark, "parquet", {"maxFilesPerTrigger": "6"}, points, source), WINDOWS)
+    path, checkpoint = scratch_path(spark, "sliding"), scratch_path(spark, "sliding-checkpoint")
+    jobs.run_to_table(live(), "sliding", path, checkpoint)
+    spark.createDataFrame([(LAST,)], "at string").select(F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("value"), F.to_timestamp("at").alias("ts")
+                                                         ).write.mode("append").parquet(source)
+    out = jobs.run_to_table(live(), "sliding", path, checkpoint).filter("name IS NOT NULL")
+    return out.withColumns({"sum": r6("sum"), "mean": r6("mean"), "window_end": fx.plain("window_end")})
 
 
 @query("stream_dedup", "SELECT event_id, event_type, value FROM events")
@@ -170,14 +182,58 @@ def heal_request_log(spark, d):
     return jobs.heal_request_log(req, 3, 21600)
 
 
-def request_stream(spark, d):
-    return event_stream(spark, d).select("event_id", (F.col("user_id") % 20).alias("target"), F.unix_micros("ts").alias("us"),
-                                         (F.col("event_type") != "error").alias("ok"))
+HOLD = 21_600
+DELAY_DAYS = 2
+#: Rows whose stretch the watermark has passed at the end of the stream.
+RELEASED = f"""(floor(epoch_us(ts) / {HOLD}e6) + 1) * {HOLD}e6 <= (SELECT max(epoch_us(ts)) FROM events) - {DELAY_DAYS}::BIGINT * 86400000000"""
+
+
+def released(key):
+    """A batch query's SQL, for the rows that the stream has released."""
+    return f"SELECT made.* FROM ({SQL[key]}) made JOIN events USING (event_id) WHERE {RELEASED}"
+
+
+def shuffled_stream(spark, d):
+    """Events spread over files that overlap by up to two days, one file a trigger."""
+    ev = fx.table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    delayed = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(DELAY_DAYS * 86_400))
+    path = scratch_path(spark, "shuffled")
+    chunk = F.floor((delayed - F.unix_seconds(F.to_timestamp(F.lit("2024-01-01")))) / F.lit(8 * 86_400))
+    for low in range(4):  # one after the other: files are taken in the order they were written
+        ev.filter(chunk == low).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+LATE = {"delay": f"{DELAY_DAYS} days", "hold_seconds": HOLD}
 
 
-@query("stream_stateful_scans", SQL["circuit_breaker"])
+@query("stream_stateful_scans", released("circuit_breaker"))
 def stream_stateful_scans(spark, d):
-    step, fresh = od.streak_breaker_step(2, 43_200_000_000, 3)
-    out = processors.stream_scan(request_stream(spark, d), "target", ["us", "event_id"], ["us", "ok"], step, fresh,
-                                 {"state": "string", "allowed": "boolean"})
+    live = shuffled_stream(spark, d).withColumns({"target": F.col("user_id") % 20, "ok": F.col("event_type") != "error"})
+    out = ordered_state.stream_breaker(live, "target", "ts", ["event_id"], "streak", how=LATE, trip=2, open_s=43200, successes=3)
     return jobs.run_to_table(out, "scan").select("event_id", "target", "state", "allowed")
+
+
+@query("stream_ewma", released("ewma"), recursive=True)
+def stream_ewma(spark, d):
+    out = ordered_state.stream_ewma(shuffled_stream(spark, d), "user_id", "ts", ["event_id"], "value", **LATE)
+    return jobs.run_to_table(out, "ewma").select("event_id", r6(F.col("ewma") + 1e-9).alias("ewma"))
+
+
+@query("stream_hysteresis", released("hysteresis_actions"), ("scaling_actions",))
+def stream_hysteresis(spark, d):
+    score = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("value") - 50) / 50))
+    out = ordered_state.stream_hysteresis(shuffled_stream(spark, d).withColumn("score", score), "event_type", "ts", ["event_id"], "score", **LATE)
+    return jobs.run_to_table(out, "hysteresis").select("event_id", "kept_score", "kept_action")
+
+
+@query("stream_cooldown", released("cooldown_filter"))
+def stream_cooldown(spark, d):
+    out = ordered_state.stream_cooldown(shuffled_stream(spark, d), "user_id", "ts", ["event_id"], 86400, **LATE)
+    return jobs.run_to_table(out, "cooldown").select("event_id", "user_id")
+
+
+@query("stream_token_bucket", released("token_bucket"))
+def stream_token_bucket(spark, d):
+    out = ordered_state.stream_token_bucket(shuffled_stream(spark, d), "user_id", "ts", ["event_id"], 0.00005, 3.0, **LATE)
+    return jobs.run_to_table(out, "bucket").select("event_id", "allowed")

@@ -29,7 +29,7 @@ def rank_sum(df: DataFrame, arm: str, value: str) -> DataFrame:
     """
     counts = (df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), F.count_if(F.col(arm) == "b").alias("_cb")))
-    run = prefix_frame(counts, [], ["_v"], magnitude_bin(F.col("_v")), {"_upto": F.col("_c")})
+    run = prefix_frame(counts, [], ["_v"], {"_upto": F.col("_c")}, magnitude_bin(F.col("_v")))
     mean_rank = F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2
     return run.agg(F.sum(F.col("_cb") * mean_rank).alias("_rb"), F.sum("_cb").alias("_nb"), F.sum("_c").alias("_n"),
                    F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("tie_term")).select(

@@ -1,8 +1,9 @@
 """Window functions and ordered computations.
 
 Everything that runs over raw rows of a key goes through ``slices`` or
-``scans``; a plain window is used only where Spark limits each group before the
-shuffle (``row_number() <= n`` with a small n).
+``scans``, which cut keys by the number of their rows; a plain window is used
+only where Spark limits each group before the shuffle (``row_number() <= n``
+with a small n). ``slice_rows`` is the number of rows one task is meant to hold.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelens.operators.orderstats import beside_keys, boundary_rows, order_stats, position
-from queuelens.operators.scans import affine_scan, carry_scan
-from queuelens.operators.slices import DAY, deviation, limit_early, micros, prefix_frame, row_frame, sweep_frame
+from queuelens.operators.machines import Cooldown, Hysteresis, Machine, ShareBreaker, StreakBreaker, TokenBucket, WindowBreaker
+from queuelens.operators.scans import affine_scan, machine_scan
+from queuelens.operators.slices import SLICE_ROWS, deviation, limit_early, micros, prefix_frame, row_frame, sweep_frame
 from queuelens.operators.scalars import beside
+from queuelens.session import cut_lineage
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
 
@@ -24,13 +27,13 @@ GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
 # --- rolling features and labels ----------------------------------------
 
 def rolling_features(df: DataFrame, by: Sequence[str], windows: Sequence[int] = (60, 300), ts: str = "timestamp",
-                     slice_seconds: int = DAY) -> DataFrame:
+                     slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Mean, deviation, count of duration and mean, deviation of queue length
     over ``(t - w, t]`` per key; missing values are 0."""
     dur, queue = F.col("duration_ms").cast("long"), F.col("queue_length").cast("long")
     out = sweep_frame(df, by, ts, {f"_w{w}": (w * 1_000_000 - 1, 0) for w in windows}, {
         "dn": dur.isNotNull(), "ds": F.coalesce(dur, F.lit(0)), "qn": queue.isNotNull(), "qs": F.coalesce(queue, F.lit(0))},
-        {"dq": F.coalesce(dur, F.lit(0)), "qq": F.coalesce(queue, F.lit(0))}, max(slice_seconds, max(windows)))
+        {"dq": F.coalesce(dur, F.lit(0)), "qq": F.coalesce(queue, F.lit(0))}, slice_rows)
     made = {}
     for w in windows:
         c = lambda x: F.col(f"_w{w}_{x}")
@@ -62,11 +65,11 @@ def latency_bucket(df: DataFrame, value: str, tie: str, buckets: int = 5, name:
     return df.withColumn(name, label)
 
 
-def next_value_label(df: DataFrame, key: str, order: Sequence[str], slice_col: Column, value: str, tie: str,
-                     buckets: int = 5) -> DataFrame:
+def next_value_label(df: DataFrame, key: str, order: Sequence[str], value: str, tie: str,
+                     buckets: int = 5, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Bucket of the next value in the same run (its own value at the end)."""
-    nxt = row_frame(df, [key], order, slice_col, lambda s: {
-        "next_value": F.coalesce(F.lead(value).over(s), F.col(value))}, after=1)
+    nxt = row_frame(df, [key], order, lambda s: {
+        "next_value": F.coalesce(F.lead(value).over(s), F.col(value))}, after=1, slice_rows=slice_rows)
     return latency_bucket(nxt, "next_value", tie, buckets, "label")
 
 
@@ -74,14 +77,14 @@ def fail_label(df: DataFrame, success: str = "success") -> DataFrame:
     return df.withColumn("label", 1 - F.col(success))
 
 
-def horizon_targets(steps: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, horizon: int,
-                    rate: float, step: float = 1.0) -> DataFrame:
+def horizon_targets(steps: DataFrame, keys: Sequence[str], order: Sequence[str], horizon: int,
+                    rate: float, step: float = 1.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Next backlog, highest backlog of the horizon, and the burst flag."""
     h = max(1, math.ceil(horizon / step))
     limit = max(1, int(rate * step * 2))
-    out = row_frame(steps, keys, order, slice_col, lambda s: {
+    out = row_frame(steps, keys, order, lambda s: {
         "target_next_step": F.coalesce(F.lead("backlog", 1).over(s), F.lit(0)),
-        "target_horizon_max": F.coalesce(F.max("backlog").over(s.rowsBetween(1, h)), F.lit(0))}, after=h)
+        "target_horizon_max": F.coalesce(F.max("backlog").over(s.rowsBetween(1, h)), F.lit(0))}, after=h, slice_rows=slice_rows)
     return out.withColumn("target_binary_burst", (F.col("target_horizon_max") >= limit).cast("int"))
 
 
@@ -96,9 +99,9 @@ def latest_per_key(df: DataFrame, key: str, order: Sequence[str], where: Column
     return kept.withColumn("_r", F.row_number().over(spec)).filter("_r = 1").drop("_r")
 
 
-def version_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column) -> DataFrame:
+def version_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Write number of each row within its key."""
-    return prefix_frame(df, keys, order, slice_col, {"version": F.lit(1)})
+    return prefix_frame(df, keys, order, {"version": F.lit(1)}, slice_rows=slice_rows)
 
 
 def nth_previous(history: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -146,24 +149,24 @@ def keep_last_n(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str]
 
 # --- running statistics --------------------------------------------------
 
-def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, value: str, w: int) -> DataFrame:
-    return row_frame(df, keys, order, slice_col, lambda s: {
-        "moving_avg": F.avg(value).over(s.rowsBetween(-(w - 1), 0))}, before=w - 1)
+def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, w: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    return row_frame(df, keys, order, lambda s: {
+        "moving_avg": F.avg(value).over(s.rowsBetween(-(w - 1), 0))}, before=w - 1, slice_rows=slice_rows)
 
 
-def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, value: str, alpha: float = 0.3) -> DataFrame:
+def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float = 0.3,
+         slice_rows: int = SLICE_ROWS) -> DataFrame:
     """v = a * x + (1 - a) * v, starting at the first value."""
-    firsts = df.groupBy(*keys).agg(F.min_by(F.struct(*order), F.struct(*order)).alias("_first"))
-    marked = df.join(firsts, list(keys)).withColumn("_is_first", F.struct(*order) == F.col("_first")).drop("_first")
+    firsts = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    marked = beside_keys(df, firsts, list(keys)).withColumn("_is_first", F.struct(*order) == F.col("_first")).drop("_first")
     x = F.col(value)
-    out = affine_scan(marked, keys, order, slice_col,
-                      F.when(F.col("_is_first"), 0.0).otherwise(1.0 - alpha),
-                      F.when(F.col("_is_first"), x).otherwise(x * alpha), "ewma")
+    out = affine_scan(marked, keys, order, F.when(F.col("_is_first"), 0.0).otherwise(1.0 - alpha),
+                      F.when(F.col("_is_first"), x).otherwise(x * alpha), "ewma", slice_rows=slice_rows)
     return out.drop("_is_first")
 
 
-def running_normalize(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, value: str,
-                      clip: float = 10.0) -> DataFrame:
+def running_normalize(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                      clip: float = 10.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(x - mean) / sqrt(variance + 1e-8) with the statistics up to this row.
 
     Values are centred on the overall mean first, so that the running sum of
@@ -171,22 +174,22 @@ def running_normalize(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     centre = df.agg(F.avg(value).alias("_c"))
     rows = beside(df, centre).withColumn("_x", F.col(value) - F.col("_c"))
-    run = prefix_frame(rows, keys, order, slice_col, {
-        "_n": F.lit(1), "_s": F.col("_x"), "_q": F.col("_x") * F.col("_x")})
+    run = prefix_frame(rows, keys, order, {
+        "_n": F.lit(1), "_s": F.col("_x"), "_q": F.col("_x") * F.col("_x")}, slice_rows=slice_rows)
     mean = F.col("_s") / F.col("_n")
     var = F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))
     z = F.when(F.col("_n") == 1, F.lit(0.0)).otherwise((F.col("_x") - mean) / F.sqrt(var + 1e-8))
     return run.withColumn("normalized", F.greatest(F.lit(-clip), F.least(F.lit(clip), z))).drop("_n", "_s", "_q", "_x", "_c")
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, value: str) -> DataFrame:
-    return prefix_frame(df, keys, order, slice_col, {f"{value}_cumulative": F.col(value)})
+def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    return prefix_frame(df, keys, order, {f"{value}_cumulative": F.col(value)}, slice_rows=slice_rows)
 
 
 # --- anomalies, limits, drift -------------------------------------------
 
 def anomaly_flags(points: DataFrame, keys: Sequence[str], window_s: int = 600, threshold: float = 1e9, z_limit: float = 5.0,
-                  slice_seconds: int = DAY) -> DataFrame:
+                  slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Each point against a fixed threshold and against its trailing window.
 
     The z value uses earlier points only; with none of them there is no anomaly.
@@ -199,7 +202,7 @@ def anomaly_flags(points: DataFrame, keys: Sequence[str], window_s: int = 600, t
         "_unit", F.pow(F.lit(10.0), 9 - F.ceil(F.log10(F.coalesce("_top", F.lit(1.0))) + 1e-12))).drop("_top")
     unit, whole = F.col("_unit"), F.when(finite, F.round(F.col("value") * F.col("_unit"))).cast("long")
     out = sweep_frame(scaled, keys, "ts", {"_w": (window_s * 1_000_000, -1)},
-                      {"s": whole, "c": whole.isNotNull().cast("long")}, {"q": whole}, max(slice_seconds, window_s))
+                      {"s": whole, "c": whole.isNotNull().cast("long")}, {"q": whole}, slice_rows)
     mean = F.col("_w_s").cast("double") / F.nullif(F.col("_w_c").cast("double"), F.lit(0.0)) / unit
     std = deviation(F.col("_w_c"), F.col("_w_s"), F.col("_w_q"), False) / unit
     z = F.abs(F.col("value") - mean) / (std + 1e-9)
@@ -217,22 +220,22 @@ def anomaly_latest(points: DataFrame, keys: Sequence[str], as_of, window_s: int
 
 
 def rate_limit_flags(df: DataFrame, keys: Sequence[str], limit: int = 3, window_s: int = 300, ts: str = "ts",
-                     slice_seconds: int = DAY) -> DataFrame:
+                     slice_rows: int = SLICE_ROWS) -> DataFrame:
     """More than ``limit`` actions in the last ``window_s`` seconds, this one included."""
-    out = sweep_frame(df, keys, ts, {"_w": (window_s * 1_000_000, 0)}, {}, None, max(slice_seconds, window_s))
+    out = sweep_frame(df, keys, ts, {"_w": (window_s * 1_000_000, 0)}, {}, None, slice_rows)
     return out.withColumnRenamed("_w_n", "in_window").withColumn("limited", F.col("in_window") > limit)
 
 
-def baseline_drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, obs: str, reward: str,
-                   w: int, limit: float = 0.3) -> DataFrame:
+def baseline_drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], obs: str, reward: str,
+                   w: int, limit: float = 0.3, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Shift of the last w rows against the first w rows, once both are full."""
     limit_early(df, w)
     spec = Window.partitionBy(*keys).orderBy(*order)
     first = (df.withColumn("_r", F.row_number().over(spec)).filter(F.col("_r") <= w).groupBy(*keys)
              .agg(F.avg(obs).alias("_bo"), F.stddev_pop(obs).alias("_so"), F.avg(reward).alias("_br"), F.stddev_pop(reward).alias("_sr")))
-    run = row_frame(df, keys, order, slice_col, lambda s: {
+    run = row_frame(df, keys, order, lambda s: {
         "_mo": F.avg(obs).over(s.rowsBetween(-(w - 1), 0)), "_mr": F.avg(reward).over(s.rowsBetween(-(w - 1), 0)),
-        "_n": F.count(F.lit(1)).over(s.rowsBetween(-(w - 1), 0))}, before=w - 1)
+        "_n": F.count(F.lit(1)).over(s.rowsBetween(-(w - 1), 0))}, before=w - 1, slice_rows=slice_rows)
     full = run.filter(F.col("_n") == w).join(first, list(keys))
     score = F.greatest(F.abs(F.col("_mo") - F.col("_bo")) / (F.col("_so") + 1e-8),
                        F.abs(F.col("_mr") - F.col("_br")) / (F.col("_sr") + 1e-8))
@@ -240,9 +243,11 @@ def baseline_drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], sli
         "_mo", "_mr", "_n", "_bo", "_so", "_br", "_sr")
 
 
-def improvement_reward(snaps: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, sla: float = 1.0) -> DataFrame:
+def improvement_reward(snaps: DataFrame, keys: Sequence[str], order: Sequence[str], sla: float = 1.0,
+                       slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Reward of each snapshot against the one before it; none for the first."""
-    out = row_frame(snaps, keys, order, slice_col, lambda s: {"_p": F.lag("p95").over(s), "_b": F.lag("backlog").over(s)}, before=1)
+    out = row_frame(snaps, keys, order, lambda s: {"_p": F.lag("p95").over(s), "_b": F.lag("backlog").over(s)}, before=1,
+                    slice_rows=slice_rows)
     gain = (F.greatest(F.lit(0.0), F.col("_p") - F.col("p95")) + 0.2 * F.greatest(F.lit(0.0), F.col("_b") - F.col("backlog"))
             - F.when(F.col("p95") > sla, (F.col("p95") - sla) * 2.0).otherwise(0.0))
     return out.withColumn("reward", F.when(F.col("_p").isNull(), F.lit(0.0)).otherwise(gain) - 0.1 * F.abs("delta")).drop("_p", "_b")
@@ -250,16 +255,17 @@ def improvement_reward(snaps: DataFrame, keys: Sequence[str], order: Sequence[st
 
 # --- scaling history -----------------------------------------------------
 
-def oscillation(actions: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, last: int = 5) -> DataFrame:
+def oscillation(actions: DataFrame, keys: Sequence[str], order: Sequence[str], last: int = 5, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The last actions hold both directions."""
     seen = lambda s, a: F.max(F.when(F.col("action") == a, 1).otherwise(0)).over(s.rowsBetween(-(last - 1), 0))
-    out = row_frame(actions, keys, order, slice_col, lambda s: {"_u": seen(s, "scale_up"), "_d": seen(s, "scale_down")}, before=last - 1)
+    out = row_frame(actions, keys, order, lambda s: {"_u": seen(s, "scale_up"), "_d": seen(s, "scale_down")}, before=last - 1,
+                    slice_rows=slice_rows)
     return out.withColumn("oscillating", (F.col("_u") == 1) & (F.col("_d") == 1)).drop("_u", "_d")
 
 
-def stall_gaps(actions: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, gap_s: float) -> DataFrame:
+def stall_gaps(actions: DataFrame, keys: Sequence[str], order: Sequence[str], gap_s: float, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows after which nothing happened for more than ``gap_s`` seconds."""
-    out = row_frame(actions, keys, order, slice_col, lambda s: {"_next": F.lead(micros(order[0])).over(s)}, after=1)
+    out = row_frame(actions, keys, order, lambda s: {"_next": F.lead(micros(order[0])).over(s)}, after=1, slice_rows=slice_rows)
     gap = (F.col("_next") - micros(order[0])) / 1e6
     return out.withColumn("gap_s", gap).filter(F.col("gap_s") > gap_s).drop("_next")
 
@@ -270,134 +276,62 @@ def dlq_growth(depth: DataFrame, min_dlq: int = 500, max_backlog: int = 50) -> D
 
 # --- state machines ------------------------------------------------------
 
-def hysteresis(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, score: str, band: float = 0.15) -> DataFrame:
-    """A score close to the kept one keeps it; then up, down or steady."""
-    def step(state, row):
-        x = row[0]
-        kept = state[0] if abs(x - state[0]) < band else x
-        kept = max(min(kept, 2.0), -2.0)
-        return [kept], (kept, "scale_up" if kept > band else "scale_down" if kept < -band else "steady")
-    return carry_scan(df, keys, order, slice_col, [score], step, [0.0], {"kept_score": "double", "kept_action": "string"})
+def hysteresis(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, band: float = 0.15,
+               slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """A score close to the kept one keeps it; then up, down or steady. Rows without a score are left out."""
+    x = F.col(score).cast("double")
+    out = machine_scan(df, keys, order, Hysteresis(band), {"x": F.when(~F.isnan(x), x)}, {"kept_score": "double"}, slice_rows)
+    kept = F.col("kept_score")
+    return out.withColumn("kept_action", F.when(kept > band, "scale_up").when(kept < -band, "scale_down").otherwise("steady"))
 
 
-def cooldown_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, seconds: float, ts: str = "ts") -> DataFrame:
+def cooldown_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: float, ts: str = "ts",
+                    slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows that may act: none acted in the last ``seconds``."""
-    span = int(seconds * 1_000_000)
+    out = machine_scan(df, keys, order, Cooldown(int(seconds * 1_000_000)), {"t": micros(ts)}, {"_act": "boolean"}, slice_rows)
+    return out.filter("_act").drop("_act")
 
-    def step(state, row):
-        now, last = row[0], state[0]
-        act = last is None or now - last >= span
-        return [now if act else last], (act,)
-    timed = df.withColumn("_us", micros(ts))
-    out = carry_scan(timed, keys, order, slice_col, ["_us"], step, [None], {"_act": "boolean"})
-    return out.filter("_act").drop("_us", "_act")
-
-
-def token_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, rate: float, capacity: float,
-                 ts: str = "ts") -> DataFrame:
-    """Refill at ``rate`` per second up to ``capacity``; each request spends one."""
-    def step(state, row):
-        now, (tokens, last) = row[0], state
-        if last is not None:
-            tokens = min(capacity, tokens + (now - last) / 1e6 * rate)
-        ok = tokens >= 1.0
-        return [tokens - 1.0 if ok else tokens, now], (ok,)
-    timed = df.withColumn("_us", micros(ts))
-    return carry_scan(timed, keys, order, slice_col, ["_us"], step, [capacity, None], {"allowed": "boolean"}).drop("_us")
-
-
-def window_breaker_step(threshold: int, window_us: int):
-    """Closed until ``threshold`` failures fall in the window; half open after it."""
-    def step(state, row):
-        now, ok = row
-        mode, changed, fails = state
-        if mode == "open" and now - changed > window_us:
-            mode, changed = "half_open", None
-        if mode == "open":
-            return [mode, changed, fails], (mode, False)
-        fails = [t for t in fails if t >= now - window_us][1 - threshold:] if threshold > 1 else []
-        if ok:
-            if mode == "half_open":
-                mode, fails = "closed", []
-        else:
-            fails = fails + [now]
-            if len(fails) >= threshold and mode == "closed":
-                mode, changed = "open", now
-        return [mode, changed, fails], (mode, True)
-    return step, ["closed", None, []]
-
-
-def share_breaker_step(threshold: int, window_us: int, share: float = 0.7, recover: int = 10):
-    """Opens on many failures with a high share; enough successes close it.
-
-    The failures and successes of the trailing window come with the row.
+
+def token_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], rate: float, capacity: float, ts: str = "ts",
+                 slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Refill at ``rate`` per second up to ``capacity``; each request spends one.
+
+    Exact in whole numbers: a token takes ``1e6 / rate`` microseconds, taken as the nearest fraction with a
+    denominator of up to a million.
     """
-    def step(state, row):
-        now, ok, fails, oks = row
-        mode, changed = state
-        if mode == "open" and now - changed > window_us:
-            mode, changed = "half_open", None
-        allowed = mode != "open"
-        if ok:
-            if mode in ("open", "half_open") and oks >= recover:
-                mode, changed = "closed", None
-        elif fails >= threshold and fails / max(1, fails + oks) > share and mode == "closed":
-            mode, changed = "open", now
-        return [mode, changed], (mode, allowed)
-    return step, ["closed", None]
-
-
-def streak_breaker_step(trip: int = 5, open_us: int = 30_000_000, successes: int = 3):
-    """Opens after failures in a row for a fixed time; successes then close it."""
-    def step(state, row):
-        now, ok = row
-        fails, until, good = state
-        if until and now < until:
-            return state, ("open", False)
-        if ok:
-            fails, good = 0, good + 1
-            if until and now > until and good >= successes:
-                until, good = 0, 0
-        else:
-            fails += 1
-            if fails >= trip:
-                until, good = now + open_us, 0
-        if not until:
-            good = 0  # counts only towards closing
-        mode = "open" if until and now < until else "half_open" if until else "closed"
-        return [fails, until, good], (mode, True)
-    return step, [0, 0, 0]
-
-
-def circuit_breaker(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, variant: str = "streak",
-                    ok: str = "ok", ts: str = "ts", slice_seconds: int = DAY, **cfg) -> DataFrame:
-    """State after each request and whether it was let through."""
-    timed = df.withColumn("_us", micros(ts)).withColumn("_ok", F.col(ok))
-    inputs, extra = ["_us", "_ok"], []
+    return machine_scan(df, keys, order, TokenBucket(rate, capacity), {"t": micros(ts)}, {"allowed": "boolean"}, slice_rows)
+
+
+def breaker(variant: str = "streak", **cfg) -> Machine:
+    """The machine of a circuit breaker: ``streak``, ``window`` or ``share``."""
     if variant == "window":
-        step, fresh = window_breaker_step(cfg.get("threshold", 5), cfg.get("window_s", 300) * 1_000_000)
-    elif variant == "share":
-        span = cfg.get("window_s", 120) * 1_000_000
-        step, fresh = share_breaker_step(cfg.get("threshold", 50), span, cfg.get("share", 0.7), cfg.get("recover", 10))
-        swept = sweep_frame(timed, keys, ts, {"_w": (span - 1, 0)}, {"oks": F.col("_ok")}, None,
-                            max(slice_seconds, cfg.get("window_s", 120)))
-        timed = swept.select(*timed.columns, (F.col("_w_n") - F.col("_w_oks")).cast("long").alias("_fails"),
-                             F.col("_w_oks").cast("long").alias("_oks"))
-        extra = ["_fails", "_oks"]
-    else:
-        step, fresh = streak_breaker_step(cfg.get("trip", 5), int(cfg.get("open_s", 30) * 1_000_000), cfg.get("successes", 3))
-    out = carry_scan(timed, keys, order, slice_col, inputs + extra, step, fresh, {"state": "string", "allowed": "boolean"},
-                     materialize=bool(extra))
-    return out.drop("_us", "_ok", *extra)
-
-
-def gae(steps: DataFrame, key: str, order: Sequence[str], slice_col: Column, gamma: float = 0.99, lam: float = 0.95,
-        normalize: bool = False) -> DataFrame:
+        return WindowBreaker(cfg.get("threshold", 5), cfg.get("window_s", 300) * 1_000_000)
+    if variant == "share":
+        return ShareBreaker(cfg.get("threshold", 50), cfg.get("window_s", 120) * 1_000_000, cfg.get("share", 0.7), cfg.get("recover", 10))
+    return StreakBreaker(cfg.get("trip", 5), int(cfg.get("open_s", 30) * 1_000_000), cfg.get("successes", 3))
+
+
+def circuit_breaker(df: DataFrame, keys: Sequence[str], order: Sequence[str], variant: str = "streak", ok: str = "ok", ts: str = "ts",
+                    slice_rows: int = SLICE_ROWS, **cfg) -> DataFrame:
+    """State after each request and whether it was let through. A request without an outcome failed."""
+    made = {"state": "string", "allowed": "boolean"}
+    inputs = {"t": micros(ts), "ok": F.coalesce(F.col(ok), F.lit(False))}
+    if variant != "share":
+        return machine_scan(df, keys, order, breaker(variant, **cfg), inputs, made, slice_rows)
+    span = cfg.get("window_s", 120) * 1_000_000
+    swept = cut_lineage(sweep_frame(df, keys, ts, {"_w": (span - 1, 0)}, {"oks": F.coalesce(F.col(ok), F.lit(False))}, None, slice_rows))
+    inputs |= {"fails": F.col("_w_n") - F.col("_w_oks"), "oks": F.col("_w_oks")}
+    return machine_scan(swept, keys, order, breaker(variant, **cfg), inputs, made, slice_rows).drop("_w_n", "_w_oks")
+
+
+def gae(steps: DataFrame, key: str, order: Sequence[str], gamma: float = 0.99, lam: float = 0.95,
+        normalize: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Advantages from the last step of an episode back to its first, and returns."""
-    ahead = row_frame(steps, [key], order, slice_col, lambda s: {"_next": F.coalesce(F.lead("value").over(s), F.lit(0.0))}, after=1)
+    ahead = row_frame(steps, [key], order, lambda s: {"_next": F.coalesce(F.lead("value").over(s), F.lit(0.0))}, after=1,
+                      slice_rows=slice_rows)
     live = 1.0 - F.col("done").cast("double")
     delta = F.col("reward") + gamma * F.col("_next") * live - F.col("value")
-    out = affine_scan(ahead, [key], order, slice_col, live * (gamma * lam), delta, "advantage", descending=True)
+    out = affine_scan(ahead, [key], order, live * (gamma * lam), delta, "advantage", descending=True, slice_rows=slice_rows)
     out = out.withColumn("returns", F.col("advantage") + F.col("value")).drop("_next")
     if not normalize:
         return out

@@ -1,208 +1,221 @@
 """Scans whose next state depends on the last one (rate limits, breakers, ...).
 
-State machines cannot be written as a window. Two exact forms are given, both
-cut by ``(key, slice)`` so that a hot key is spread over its slices, and both
-stream a sorted partition through ``mapInPandas`` with O(1) memory.
-
-* ``affine_scan``: the step is ``v = m * v + b``. Steps compose, so each slice is
-  reduced to one pair, the pairs are folded per key, and each slice is replayed
-  from its own start value.
-* ``carry_scan``: any step. All slices run at once from a guessed entry state,
-  then only those whose entry state turned out different run again until none
-  is left. Such machines forget quickly, so two or three rounds are usual. A
-  round carries the state through a stretch of slices, twice as long as the
-  round before up to a limit, so that a machine that does not forget needs few
-  rounds as well. The result is exact in any case.
+State machines cannot be written as a window. Both forms here cut each key into
+slices (see ``slices``), describe every slice as a function of the state in
+which it is entered, go through these descriptions in order, and then run all
+slices at once from their true entry state. That is two passes over the rows,
+whatever the data and whatever the machine remembers.
+
+* ``affine_scan``: the step is ``v = m * v + b``, a slice is one such step.
+* ``machine_scan``: the step is a machine of ``machines``.
+
+A task holds the rows of one slice; only the descriptions of a key's slices, one
+small value a slice, come together in one task, and pass through it in order.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from queuelens.session import cut_lineage
+from queuelens.operators.machines import Machine
+from queuelens.operators.slices import SLICE_ROWS, place_of, sliced
 
-Step = Callable[[list, tuple], tuple]
+Batches = Iterator[pa.RecordBatch]
 
 
-def _sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:
-    direction = [F.col(c).desc() if descending else F.col(c) for c in order]
-    return df.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", *direction)
+def _keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int) -> DataFrame:
+    """``df`` with ``_slice`` and the key as text, which workers compare."""
+    at, cell = place_of(df, order[0])
+    return sliced(df, keys, at, slice_rows, cell).withColumn("_key", F.to_json("_key"))
 
 
-def _grouped_rows(pdf: pd.DataFrame, keys: Sequence[str], inputs: Sequence[str]):
-    """(key, slice, entry, input values) of each row of a batch."""
-    ids = zip(*[pdf[c].tolist() for c in keys]) if keys else [()] * len(pdf)
-    values = zip(*[pdf[c].tolist() for c in inputs])
-    return zip(ids, pdf["_slice"].tolist(), pdf["_entry"].tolist(), values)
+def _with_fields(df: DataFrame, more: dict[str, str]) -> StructType:
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in more.items())).fields])
 
 
-def _exits(keys: Sequence[str], inputs: Sequence[str], step: Step, fresh: list):
-    """Entry and exit state of each slice of sorted (key, slice) stretches.
-
-    A stretch starts from its ``_entry`` and carries its state on from slice to
-    slice; in a partition the slices of one stretch follow each other.
-    """
-    columns = [*keys, "_slice", "_used", "_exit"]
-
-    def run(batches):
-        where, stretch, used, state = None, None, None, None
-        for pdf in batches:
-            done = []
-            for block, (key, part, entry, row) in zip(pdf["_block"].tolist(), _grouped_rows(pdf, keys, inputs)):
-                if (key, part) != where:
-                    if where is not None:
-                        done.append((*where[0], where[1], used, json.dumps(state)))
-                    if (key, block) != stretch:
-                        stretch, used = (key, block), entry if isinstance(entry, str) else None
-                    else:
-                        used = json.dumps(state)
-                    where, state = (key, part), json.loads(used) if used is not None else list(fresh)
-                state, _ = step(state, row)
-            if done:
-                yield pd.DataFrame(done, columns=columns)
-        if where is not None:
-            yield pd.DataFrame([(*where[0], where[1], used, json.dumps(state))], columns=columns)
+def _lined(df: DataFrame, order: Sequence[str], descending: bool = False) -> DataFrame:
+    direction = [F.col(c).desc() if descending else F.col(c) for c in order]
+    return df.repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", *direction)
+
+
+def _slices(batches: Batches) -> Iterator[tuple[tuple[str, int], pa.Table]]:
+    """The rows of each (key, slice) of a sorted partition, one slice at a time."""
+    where, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("_key").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        part = batch.column("_slice").to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            here = (batch.column("_key")[a].as_py(), int(part[a]))
+            if here != where and held:
+                yield where, pa.Table.from_batches(held)
+                held = []
+            where = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield where, pa.Table.from_batches(held)
+
+
+def _columns(table: pa.Table, inputs: Sequence[str]) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in inputs]
+
+
+def _summaries(machine: Machine, inputs: Sequence[str]):
+    def run(batches: Batches) -> Batches:
+        for (key, part), table in _slices(batches):
+            made = pickle.dumps(machine.summarise(_columns(table, inputs)))
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([made], pa.binary())], ["_key", "_slice", "_summary"])
 
     return run
 
 
-def _outputs(keys: Sequence[str], inputs: Sequence[str], step: Step, fresh: list, emit: Sequence[str]):
-    """The step's outputs beside each row, every slice starting from its ``_entry``."""
-
-    def run(batches):
-        where, state = None, None
-        for pdf in batches:
-            made = []
-            for key, part, entry, row in _grouped_rows(pdf, keys, inputs):
-                if (key, part) != where:
-                    where, state = (key, part), json.loads(entry) if isinstance(entry, str) else list(fresh)
-                state, out = step(state, row)
-                made.append(out)
-            extra = pd.DataFrame(made, columns=list(emit), index=pdf.index)
-            yield pd.concat([pdf.drop(columns=["_entry", "_slice"]), extra], axis=1)
+def _entry_states(machine: Machine):
+    """The state in which each slice is entered, from the summaries of a key in order."""
+    def run(batches: Batches) -> Batches:
+        current, state = None, None
+        for batch in batches:
+            entries = []
+            for key, summary in zip(batch.column("_key").to_pylist(), batch.column("_summary").to_pylist()):
+                if key != current:
+                    current, state = key, machine.fresh
+                entries.append(pickle.dumps(state))
+                state = machine.follow(pickle.loads(summary), state)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_slice"), pa.array(entries, pa.binary())], ["_key", "_slice", "_entry"])
 
     return run
 
 
-def carry_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, inputs: Sequence[str],
-               step: Step, fresh: list, outputs: dict[str, str], materialize: bool = False, max_stretch: int = 64) -> DataFrame:
-    """Run ``step`` over each key along ``order`` and add its outputs.
-
-    ``step(state, row)`` gets the state (a small JSON-able list, ``fresh`` at
-    the start of a key) and the values of ``inputs``; it returns the new state
-    and a tuple for ``outputs`` (name to SQL type). Keys must not be null.
-    Steps should drop what no longer matters from the state: rounds end when
-    states agree. ``materialize`` writes an input that is dear to compute once,
-    as each round reads it again.
-    """
-    keys = list(keys)
-    rows = df.withColumn("_slice", slice_col.cast("long"))
-    if materialize:
-        rows = cut_lineage(rows)
-    types = dict(df.dtypes)
-    exit_schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "_slice bigint, _used string, _exit string"])
-    lean = rows.select(*dict.fromkeys([*keys, "_slice", *order, *inputs]))
-
-    def exits(part: DataFrame) -> DataFrame:
-        sort = [*keys, "_block", "_slice", *order]
-        return (part.repartition(*keys, "_block").sortWithinPartitions(*sort)
-                .mapInPandas(_exits(keys, inputs, step, fresh), exit_schema))
-
-    along = Window.partitionBy(*keys).orderBy("_slice")
-    known = cut_lineage(exits(lean.withColumn("_entry", F.lit(None).cast("string")).withColumn("_block", F.col("_slice"))))
-    stretch = 1
-    while True:
-        linked = known.withColumn("_entry", F.lag("_exit").over(along))
-        stale = linked.filter(~F.col("_entry").eqNullSafe(F.col("_used")))
-        stretch = min(stretch * 2, max_stretch)
-        block = F.floor(F.col("_slice") / stretch)
-        starts = cut_lineage(stale.groupBy(*keys, block.alias("_block")).agg(
-            F.min(F.struct("_slice", "_entry")).alias("_s")).select(
-            *keys, "_block", F.col("_s._slice").alias("_from"), F.col("_s._entry").alias("_entry")))
-        if starts.isEmpty():
-            break
-        again = exits(lean.withColumn("_block", block).join(starts, [*keys, "_block"]).filter(F.col("_slice") >= F.col("_from")))
-        new = again.withColumnsRenamed({"_used": "_used2", "_exit": "_exit2"})
-        known = cut_lineage(known.join(new, [*keys, "_slice"], "left").select(
-            *keys, "_slice", F.when(F.col("_exit2").isNotNull(), F.col("_used2")).otherwise(F.col("_used")).alias("_used"),
-            F.coalesce("_exit2", "_exit").alias("_exit")))
-    entries = known.select(*keys, "_slice", F.col("_used").alias("_entry"))
-    out_schema = ", ".join([f"{n} {t}" for n, t in df.dtypes] + [f"{n} {t}" for n, t in outputs.items()])
-    return _sorted_groups(rows.join(entries, [*keys, "_slice"]).select(*df.columns, "_slice", "_entry"),
-                          keys, order).mapInPandas(_outputs(keys, inputs, step, fresh, list(outputs)), out_schema)
-
-
-def _fold(keys: Sequence[str], replay: bool, name: str):
-    """Compose ``v = m * v + b`` per group, or replay it from ``_entry``."""
-    cols = [*keys, "_slice"]
-
-    def run(batches):
-        group, m_all, b_all = None, 1.0, 0.0
-        for pdf in batches:
-            ids = list(zip(*[pdf[c].tolist() for c in cols]))
-            ms, bs = pdf["_m"].tolist(), pdf["_a"].tolist()
-            starts = pdf["_entry"].tolist() if replay else None
-            done, values = [], []
-            for i, gid in enumerate(ids):
-                if gid != group:
-                    if group is not None and not replay:
-                        done.append((*group, m_all, b_all))
-                    group, m_all, b_all = gid, 1.0, starts[i] if replay else 0.0
-                m_all *= ms[i]
-                b_all = ms[i] * b_all + bs[i]
-                values.append(b_all)
-            if replay:
-                yield pdf.drop(columns=["_entry", "_slice", "_m", "_a"]).assign(**{name: values})
-            elif done:
-                yield pd.DataFrame(done, columns=[*cols, "_m", "_a"])
-        if group is not None and not replay:
-            yield pd.DataFrame([(*group, m_all, b_all)], columns=[*cols, "_m", "_a"])
+def _outputs(machine: Machine, inputs: Sequence[str], kept: Sequence[str], outputs: Sequence[str]):
+    def run(batches: Batches) -> Batches:
+        for _, table in _slices(batches):
+            made = machine.run(_columns(table, inputs), pickle.loads(table.column("_entry")[0].as_py()))
+            out = table.select(kept)
+            for name, values in zip(outputs, made, strict=True):
+                out = out.append_column(name, pa.array(values))
+            yield from out.to_batches()
 
     return run
 
 
-def _entries(keys: Sequence[str]):
-    """Start value of each slice from the slice summaries, in scan order."""
+def machine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, inputs: dict[str, Column],
+                 outputs: dict[str, str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Run ``machine`` over each key along ``order`` and add its ``outputs`` (name to SQL type).
 
-    def run(batches):
-        group, value = None, 0.0
-        for pdf in batches:
-            ids = list(zip(*[pdf[c].tolist() for c in keys])) if keys else [()] * len(pdf)
-            out = []
-            for gid, m, b in zip(ids, pdf["_m"].tolist(), pdf["_a"].tolist()):
-                if gid != group:
-                    group, value = gid, 0.0
-                out.append(value)
-                value = m * value + b
-            yield pdf[[*keys, "_slice"]].assign(_entry=out)
+    ``inputs`` are the machine's columns; rows where one of them is null are left out. Null keys are a key of their
+    own. ``order`` must tell all rows of a key apart.
+    """
+    named = {f"_in{i}": c for i, c in enumerate(inputs.values())}
+    rows = _keyed(df.withColumns(named).dropna(subset=list(named)), keys, order, slice_rows)
+    lean = _lined(rows.select("_key", "_slice", *dict.fromkeys([*order, *named])), order).select("_key", "_slice", *named)
+    summaries = lean.mapInArrow(_summaries(machine, list(named)), "_key string, _slice int, _summary binary")
+    entries = (summaries.repartition("_key").sortWithinPartitions("_key", "_slice")
+               .mapInArrow(_entry_states(machine), "_key string, _slice int, _entry binary"))
+    schema = _with_fields(df, outputs)
+    return (_lined(rows.join(entries, ["_key", "_slice"]), order)
+            .mapInArrow(_outputs(machine, list(named), df.columns, list(outputs)), schema))
+
+
+# --- v = m * v + b --------------------------------------------------------
+
+def _composed(m: np.ndarray, b: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps up to each row composed into one, anew from each row where ``start`` is true: log2(rows) array steps."""
+    m, b, done, d = m.copy(), b.copy(), start.copy(), 1
+    done[:1] = True
+    while d < len(m) and not done.all():
+        go = np.flatnonzero(~done[d:]) + d
+        back = go - d
+        m_back, b_back, stop = m[back], b[back], done[back]
+        b[go] += m[go] * b_back
+        m[go] *= m_back
+        done[go] |= stop
+        d *= 2
+    return m, b
+
+
+def _starts(pdf: pd.DataFrame, cols: Sequence[str], before: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Rows that begin a group, and the last row's group."""
+    new = np.ones(len(pdf), dtype=bool)
+    new[1:] = np.logical_or.reduce([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in cols])
+    new[0] = tuple(pdf[cols].iloc[0]) != before
+    return new, tuple(pdf[cols].iloc[-1])
+
+
+def _steps(pdf: pd.DataFrame, cols: Sequence[str], before: tuple | None, carried: tuple[float, float]):
+    """(rows that begin a group, last group, composed m, composed b), going on from the last batch."""
+    new, last = _starts(pdf, cols, before)
+    m, b = _composed(pdf["_m"].to_numpy(float), pdf["_a"].to_numpy(float), new)
+    if not new[0]:
+        upto = int(new.argmax()) or len(new)
+        b[:upto] += m[:upto] * carried[1]
+        m[:upto] *= carried[0]
+    return new, last, m, b
+
+
+GROUP = ["_key", "_slice"]
+
+
+def _slice_steps(batches):
+    """One step (m, b) for each slice."""
+    group, carried = None, (1.0, 0.0)
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new, last, m, b = _steps(pdf, GROUP, group, carried)
+        ends = np.flatnonzero(new) - 1
+        out = pdf[GROUP].iloc[ends[ends >= 0]].assign(_m=m[ends[ends >= 0]], _a=b[ends[ends >= 0]])
+        if group is not None and new[0]:
+            yield pd.DataFrame([(*group, *carried)], columns=[*GROUP, "_m", "_a"])
+        yield out
+        group, carried = last, (float(m[-1]), float(b[-1]))
+    if group is not None:
+        yield pd.DataFrame([(*group, *carried)], columns=[*GROUP, "_m", "_a"])
+
+
+def _entry_values(batches):
+    """The value before each slice from the steps of a key's slices, in scan order."""
+    group, carried = None, (1.0, 0.0)
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new, last, m, b = _steps(pdf, ["_key"], group, carried)
+        yield pdf[GROUP].assign(_entry=np.where(new, 0.0, np.r_[carried[1], b[:-1]]))
+        group, carried = last, (float(m[-1]), float(b[-1]))
+
+
+def _values(kept: Sequence[str], name: str):
+    def run(batches: Batches) -> Batches:
+        group, carried = None, (1.0, 0.0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pdf = pa.Table.from_batches([batch]).select([*GROUP, "_m", "_a", "_entry"]).to_pandas()
+            _, last, m, b = _steps(pdf, GROUP, group, carried)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(m * pdf["_entry"].to_numpy(float) + b)], [*kept, name])
+            group, carried = last, (float(m[-1]), float(b[-1]))
 
     return run
 
 
-def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col, m, a, name: str,
-                descending: bool = False) -> DataFrame:
+def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], m, a, name: str, descending: bool = False,
+                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``name`` where ``v = m * v_before + a`` along ``order``, v starting at 0.
 
-    ``slice_col`` must grow with the order; with ``descending`` the scan runs
-    from the last row to the first.
+    With ``descending`` the scan runs from the last row to the first. Values are composed pairwise, so they agree
+    with a row by row loop to rounding.
     """
-    keys = list(keys)
-    rows = df.withColumn("_slice", slice_col.cast("long")).withColumn("_m", m.cast("double")).withColumn(
-        "_a", a.cast("double"))
-    types = dict(df.dtypes)
-    group_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _slice bigint"
-    lean = rows.select(*dict.fromkeys([*keys, "_slice", *order, "_m", "_a"]))
-    summary = _sorted_groups(lean, keys, order, descending).mapInPandas(
-        _fold(keys, False, name), f"{group_schema}, _m double, _a double")
+    rows = _keyed(df.withColumns({"_m": m.cast("double"), "_a": a.cast("double")}), keys, order, slice_rows)
+    lean = _lined(rows.select(*dict.fromkeys([*GROUP, *order, "_m", "_a"])), order, descending).select(*GROUP, "_m", "_a")
+    steps = lean.mapInPandas(_slice_steps, "_key string, _slice int, _m double, _a double")
     along = F.col("_slice").desc() if descending else F.col("_slice")
-    entries = (summary.repartition(*keys).sortWithinPartitions(*keys, along)
-               .mapInPandas(_entries(keys), f"{group_schema}, _entry double"))
-    schema = ", ".join([f"{n} {t}" for n, t in df.dtypes] + [f"{name} double"])
-    return _sorted_groups(
-        rows.join(entries, [*keys, "_slice"]).select(*df.columns, "_slice", "_m", "_a", "_entry"),
-        keys, order, descending).mapInPandas(_fold(keys, True, name), schema)
+    entries = steps.repartition("_key").sortWithinPartitions("_key", along).mapInPandas(_entry_values, "_key string, _slice int, _entry double")
+    return _lined(rows.join(entries, GROUP), order, descending).mapInArrow(_values(df.columns, name), _with_fields(df, {name: "double"}))

@@ -2,19 +2,24 @@
 
 A plain ``Window.partitionBy(key)`` moves every row of a key to one task. When
 one key may hold a third of all rows that does not scale, so the helpers here
-cut each key's time line into slices of fixed width and partition by
-``(key, slice)``. The slice is a pure expression of the row, so every branch of
-a plan and every retried task agrees on it.
-
-* ``sweep_frame`` looks back a fixed time: a row is copied into each later slice
-  that its frame can reach (normally the next one, and only rows near the edge).
+cut each key's line into slices and partition by ``(key, slice)``.
+
+Cuts come from counts. The rows of each key are counted per cell (a minute, or
+one step of a numeric order), the counts are summed along the key, and a new
+slice begins wherever another ``slice_rows`` rows have gone by. So a burst is
+cut as finely as it needs and a quiet key stays whole. Only keys with more rows
+than that have cuts; their sorted lists go to every task (at most
+``2 * MOST_CUTS`` numbers, whatever the table), and each row finds its slice by
+a binary search in its key's list.
+
+* ``sweep_frame`` looks back a fixed time: each row enters a frame at one instant
+  and leaves it at another, and a running sum over these events answers all rows.
 * ``row_frame`` looks at neighbouring rows: the last or first rows of each slice
   are handed to the slices that need them.
 * ``prefix_frame`` accumulates from the start of the key: slices are summed, the
   slice totals are accumulated, and each row adds its slice's offset.
 
-``slice_seconds`` is the only knob. It must be at least the frame length for the
-copying to stay cheap; ``suggest_slice_seconds`` derives it from the densest key.
+Null keys are a key of their own. Rows without a place in the order come first.
 """
 
 from __future__ import annotations
@@ -26,7 +31,10 @@ from pyspark.sql import functions as F
 
 from queuelens.operators.scalars import beside
 
-DAY = 86_400
+MINUTE = 60_000_000
+#: Rows of a slice, unless that gave more than MOST_CUTS slices.
+SLICE_ROWS = 500_000
+MOST_CUTS = 1 << 14
 
 
 def limit_early(df: DataFrame, n: int) -> None:
@@ -45,48 +53,63 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def slice_of(us: Column, slice_seconds: float) -> Column:
-    return F.floor(us / F.lit(int(slice_seconds * 1_000_000)))
+def key_of(keys: Sequence[str]) -> Column:
+    """The key as one value that is never null and equals itself where parts are null."""
+    return F.struct(*(keys or [F.lit(0)]))
 
 
-def suggest_slice_seconds(df: DataFrame, keys: Sequence[str], ts: str,
-                          target_rows: int = 2_000_000, floor_seconds: int = 60) -> int:
-    """Slice width at which the densest key has about ``target_rows`` per slice.
+def place_of(df: DataFrame, name: str) -> tuple[Column, int]:
+    """A column as a whole number that grows with it, and the size of a cell of it."""
+    if df.schema[name].dataType.typeName().startswith("timestamp"):
+        return micros(name), MINUTE
+    return F.floor(F.col(name)).cast("long"), 1
+
+
+def passed(cuts: Column, at: Column) -> Column:
+    """How many of the sorted ``cuts`` are at or before ``at``; 0 for no list."""
+    steps = F.array(*[F.lit(1 << k) for k in range(MOST_CUTS.bit_length(), -1, -1)])
+    return F.when(cuts.isNull() | at.isNull(), F.lit(0)).otherwise(F.aggregate(
+        steps, F.lit(0), lambda n, step: n + F.when(F.get(cuts, n + step - 1) <= at, step).otherwise(F.lit(0))))
 
-    One aggregate with partial combine; a single number reaches the driver.
-    """
-    us = micros(ts)
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                    ((F.max(us) - F.min(us)) / 1e6).alias("span"))
-    density = per_key.agg(F.max(F.col("n") / F.greatest(F.col("span"), F.lit(1.0)))).first()[0]
-    if not density:
-        return DAY
-    return max(floor_seconds, int(target_rows / density))
 
+def cut_lists(places: DataFrame, slice_rows: int = SLICE_ROWS, cell: int = MINUTE) -> DataFrame:
+    """(_cut_key, _cuts) of (_key, _at): where new slices begin, for keys of more than ``slice_rows`` rows."""
+    counted = (places.filter(F.col("_at").isNotNull()).groupBy("_key", F.floor(F.col("_at") / F.lit(cell)).alias("_cell"))
+               .agg(F.count(F.lit(1)).alias("_n")))
+    room = counted.agg(F.greatest(F.lit(int(slice_rows)), F.ceil(F.sum("_n") / F.lit(MOST_CUTS))).alias("_room"))
+    along = Window.partitionBy("_key").orderBy("_cell")
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = beside(counted.withColumn("_before", before), room).withColumn("_no", F.floor(F.col("_before") / F.col("_room")))
+    return (summed.filter(F.col("_no") > 0).groupBy("_key", "_no").agg((F.min("_cell") * F.lit(cell)).alias("_cut"))
+            .groupBy("_key").agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")).withColumnRenamed("_key", "_cut_key"))
 
-def time_slice(ts: str | Column, slice_seconds: float = DAY) -> Column:
-    return slice_of(micros(ts), slice_seconds)
+
+def sliced(df: DataFrame, keys: Sequence[str], at: Column, slice_rows: int = SLICE_ROWS, cell: int = MINUTE) -> DataFrame:
+    """``df`` with ``_key`` and ``_slice``, which does not decrease with ``at`` within a key."""
+    keyed = df.withColumn("_key", key_of(keys))
+    cuts = F.broadcast(cut_lists(keyed.select("_key", at.alias("_at")), slice_rows, cell))
+    return (keyed.join(cuts, F.col("_key") == F.col("_cut_key"), "left")
+            .withColumn("_slice", passed(F.col("_cuts"), at)).drop("_cut_key", "_cuts"))
 
 
 def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, tuple[int, int]],
-                values: dict[str, Column], squares: dict[str, Column] | None = None, slice_seconds: int = DAY) -> DataFrame:
+                values: dict[str, Column], squares: dict[str, Column] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Counts and sums of whole numbers over trailing time frames, in one sweep.
 
     ``frames`` maps a name to ``(back_us, upto_us)``: the frame of a row at t is
     ``[t - back_us, t + upto_us]`` with ``upto_us <= 0``; rows of one instant
     share it, as in SQL ``RANGE``. For each frame f and value v the result has
     ``f_v`` (sum, 0 when empty), and ``f_n`` counts rows. For v in ``squares``
-    (whole numbers up to 3e9) ``f_v`` is the exact sum of squares.
+    (whole numbers up to 3e9) ``f_v`` is the exact sum of squares. Rows without
+    a time are in no frame and get 0.
 
     A sliding window frame costs rows times frame size, which a dense key turns
     into a square. Here every row enters each frame at one instant and leaves it
     at another, and a running sum over these events answers all rows at the cost
-    of a sort. Values are whole numbers, so that what leaves cancels exactly.
-    A row is copied into the later slices its frames can reach.
+    of a sort. Events are cut into slices by their own counts, and a slice starts
+    from the sums of those before it, so a frame may be longer than any slice.
+    Values are whole numbers, so that what leaves cancels exactly.
     """
-    width = int(slice_seconds * 1_000_000)
-    back = max(b for b, _ in frames.values())
-    at = micros(ts)
     columns = df.columns
     squares = squares or {}
     counted = {"n": F.lit(1).cast("long"), **{v: c.cast("long") for v, c in values.items()}}
@@ -94,39 +117,48 @@ def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, t
         square = c.cast("long") * c.cast("long")
         counted[f"{v}_hi"] = F.shiftright(square, 32)
         counted[f"{v}_lo"] = square.bitwiseAND(F.lit(0xFFFFFFFF))
-    base = df.select(F.struct(*columns).alias("_row"), *keys, at.alias("_t"),
+    at = micros(ts)
+    base = df.select(F.struct(*columns).alias("_row"), key_of(keys).alias("_key"), at.alias("_t"),
                      *[c.alias(f"_v_{v}") for v, c in counted.items()])
-    home = F.floor(F.col("_t") / F.lit(width))
-    copies = base.withColumn("_home", home).withColumn("_slice", F.explode(
-        F.sequence(home, F.floor((F.col("_t") + F.lit(back + 1)) / F.lit(width)))))
-    start = F.col("_slice") * F.lit(width)
-    own = F.col("_home") == F.col("_slice")
     names = [f"{f}_{v}" for f in frames for v in counted]
 
-    def event(when: Column, live: Column, deltas: dict[str, Column], row: Column | None = None) -> Column:
+    def event(when: Column, deltas: dict[str, Column], row: Column | None = None) -> Column:
         parts = [deltas.get(n, F.lit(None)).cast("long").alias(n) for n in names]
         payload = row if row is not None else F.when(F.lit(False), F.col("_row"))
-        return F.when(live, F.struct(when.alias("at"), *parts, payload.alias("row")))
-
-    events = [event(F.col("_t"), own, {}, F.col("_row"))]
-    for f, (b, upto) in frames.items():
-        enter, leave = F.greatest(F.col("_t") - upto, start), F.col("_t") + b + 1
-        inside = (enter < start + width) & (leave > start)
-        events.append(event(enter, inside, {f"{f}_{v}": F.col(f"_v_{v}") for v in counted}))
-        events.append(event(leave, inside & (leave < start + width), {f"{f}_{v}": -F.col(f"_v_{v}") for v in counted}))
-    lined = (copies.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_slice",
-                           F.explode(F.array(*events)).alias("_e"))
-             .filter(F.col("_e").isNotNull()).select(*[f"_k{i}" for i in range(len(keys))], "_slice", "_e.*"))
-    upto_now = (Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_slice").orderBy("at")
-                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    swept = lined.select("row", *[F.coalesce(F.sum(n).over(upto_now), F.lit(0)).alias(n) for n in names])
+        return F.struct(when.alias("_at"), *parts, payload.alias("_payload"))
+
+    def moves(f: str, back: int, upto: int) -> list[tuple[Column, int]]:
+        return [(F.col("_t") - upto, 1), (F.col("_t") + back + 1, -1)]
+
+    events = [event(F.col("_t"), {}, F.col("_row"))]
+    for f, (back, upto) in frames.items():
+        events += [event(when, {f"{f}_{v}": F.col(f"_v_{v}") * sign for v in counted}) for when, sign in moves(f, back, upto)]
+    lined = base.select("_key", F.explode(F.array(*events)).alias("_e")).select("_key", "_e.*")
+    # the counts need no values: only when the events are
+    when = F.array(F.col("_t"), *[w for f, (back, upto) in frames.items() for w, _ in moves(f, back, upto)])
+    cuts = F.broadcast(cut_lists(base.select("_key", F.explode(when).alias("_at")), slice_rows))
+    placed = (lined.join(cuts, F.col("_key") == F.col("_cut_key"), "left")
+              .withColumn("_slice", passed(F.col("_cuts"), F.col("_at"))).drop("_cut_key", "_cuts"))
+    offsets = _offsets(placed, names)
+    local = Window.partitionBy("_key", "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.join(offsets, ["_key", "_slice"]).select("_payload", "_at", *[
+        (F.coalesce(F.sum(n).over(local), F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in names])
+    swept = summed.filter(F.col("_payload").isNotNull()).select(
+        "_payload", *[F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.col(n)).alias(n) for n in names])
     whole = lambda c: F.col(c).cast("decimal(20,0)")
-    return swept.filter(F.col("row").isNotNull()).select(
-        "row.*", *[f"{f}_{v}" for f in frames for v in ("n", *values)],
+    return swept.select(
+        "_payload.*", *[f"{f}_{v}" for f in frames for v in ("n", *values)],
         *[(whole(f"{f}_{v}_hi") * F.lit(1 << 32).cast("decimal(10,0)") + whole(f"{f}_{v}_lo")).cast("decimal(38,0)").alias(f"{f}_{v}")
           for f in frames for v in squares])
 
 
+def _offsets(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """For each slice the sums ``_o_<name>`` over the slices of its key before it."""
+    totals = rows.groupBy("_key", "_slice").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_key", "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in names])
+
+
 def deviation(n: Column, total: Column, squares: Column, sample: bool) -> Column:
     """Standard deviation from exact whole-number sums; null when undefined."""
     wide = lambda c: c.cast("decimal(19,0)")
@@ -135,8 +167,7 @@ def deviation(n: Column, total: Column, squares: Column, sample: bool) -> Column
     return F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(n * (n - 1) if sample else n * n, F.lit(0.0)))
 
 
-def _edge_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count: int,
-               late: bool) -> DataFrame:
+def _edge_rows(rows: DataFrame, order: Sequence[str], count: int, late: bool) -> DataFrame:
     """The ``count`` edge rows of each slice, tagged with the slices needing them.
 
     The per-slice limit runs before the shuffle (window group limit), so only
@@ -146,17 +177,14 @@ def _edge_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count
     limit_early(rows, count)
     cols = [F.col(c).desc() if late else F.col(c).asc() for c in order]
     edge = (rows.withColumn("_r", F.row_number().over(
-        Window.partitionBy(*keys, "_slice").orderBy(*cols)))
+        Window.partitionBy("_key", "_slice").orderBy(*cols)))
         .filter(F.col("_r") <= count))
-    along = Window.partitionBy(*keys).orderBy(F.col("_slice").asc() if late else F.col("_slice").desc())
-    sizes = (rows.groupBy(*keys, "_slice")
+    along = Window.partitionBy("_key").orderBy(F.col("_slice").asc() if late else F.col("_slice").desc())
+    sizes = (rows.groupBy("_key", "_slice")
              .agg(F.least(F.count(F.lit(1)), F.lit(count)).cast("int").alias("n"))
              .withColumn("_next", F.collect_list(F.struct("_slice", "n")).over(along.rowsBetween(1, count)))
-             .drop("n"))
-    if keys:
-        edge = edge.join(sizes, [*keys, "_slice"])
-    else:
-        edge = edge.join(sizes, ["_slice"])
+             .drop("n").filter(F.size("_next") > 0))
+    edge = edge.join(sizes, ["_key", "_slice"])
     # _next[i] is reached when the row and the rows of _next[0..i-1] are not enough
     before = lambda i: F.aggregate(F.slice(F.col("_next"), F.lit(1), i), F.lit(0), lambda a, x: a + x["n"])
     reached = F.filter(F.transform(F.col("_next"), lambda x, i: F.struct(
@@ -166,42 +194,46 @@ def _edge_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count
             .withColumn("_guest", F.lit(True)))
 
 
-def row_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column, exprs,
-              before: int = 0, after: int = 0) -> DataFrame:
+def row_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs, before: int = 0, after: int = 0,
+              slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Window expressions over the ``before`` previous and ``after`` next rows.
 
     ``exprs`` maps a window spec (ordered, without a frame) to a dict of
     columns; ``lag``, ``lead`` and ``rowsBetween`` frames within the given reach
-    are exact. ``order`` must tell all rows of a key apart, and ``slice_col``
-    must not decrease along it.
+    are exact. ``order`` must tell all rows of a key apart; slices are cut along
+    its first column, a time or a number.
     """
-    base = df.withColumn("_slice", slice_col)
+    base = sliced(df, keys, *_cutting(df, order, slice_rows))
     all_rows = base.withColumn("_guest", F.lit(False))
     if before:
-        all_rows = all_rows.unionByName(_edge_rows(base, keys, order, before, True))
+        all_rows = all_rows.unionByName(_edge_rows(base, order, before, True))
     if after:
-        all_rows = all_rows.unionByName(_edge_rows(base, keys, order, after, False))
-    spec = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        all_rows = all_rows.unionByName(_edge_rows(base, order, after, False))
+    spec = Window.partitionBy("_key", "_slice").orderBy(*order)
     out = all_rows.select("*", *[c.alias(n) for n, c in exprs(spec).items()])
-    return out.filter(~F.col("_guest")).drop("_slice", "_guest")
-
-
-def prefix_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column,
-                 sums: dict[str, Column]) -> DataFrame:
-    """Running sums from the first row of the key to this row."""
-    rows = df.withColumn("_slice", slice_col)
-    for name, value in sums.items():
-        rows = rows.withColumn(f"_in_{name}", value)
-    totals = rows.groupBy(*keys, "_slice").agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_slice", *[
-        F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    local = (Window.partitionBy(*keys, "_slice").orderBy(*order)
+    return out.filter(~F.col("_guest")).drop("_key", "_slice", "_guest")
+
+
+def _cutting(df: DataFrame, order: Sequence[str], slice_rows: int) -> tuple[Column, int, int]:
+    at, cell = place_of(df, order[0])
+    return at, slice_rows, cell
+
+
+def prefix_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], at: Column | None = None,
+                 slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Running sums from the first row of the key to this row.
+
+    Slices are cut along the first column of ``order``, or along ``at``, a whole number that does not decrease with it.
+    """
+    rows = sliced(df, keys, *(_cutting(df, order, slice_rows) if at is None else (at, slice_rows, 1)))
+    rows = rows.select("*", *[value.alias(f"_in_{name}") for name, value in sums.items()])
+    offsets = _offsets(rows, [f"_in_{n}" for n in sums])
+    local = (Window.partitionBy("_key", "_slice").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = rows.join(offsets, [*keys, "_slice"])
+    joined = rows.join(offsets, ["_key", "_slice"])
     out = joined.select("*", *[
-        (F.coalesce(F.sum(f"_in_{n}").over(local), F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in sums])
-    return out.drop("_slice", *[f"_in_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+        (F.coalesce(F.sum(f"_in_{n}").over(local), F.lit(0)) + F.col(f"_o__in_{n}")).alias(n) for n in sums])
+    return out.drop("_key", "_slice", *[f"_in_{n}" for n in sums], *[f"_o__in_{n}" for n in sums])
 
 
 def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096, tie: str | None = None) -> DataFrame:

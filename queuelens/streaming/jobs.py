@@ -37,23 +37,6 @@ def stream_rollup(stream: DataFrame, delay: str = "10 minutes", every: str = "1
                     "count", "avg", "min", "max"))
 
 
-def stream_sliding(stream: DataFrame, seconds: int, slide: int = 30, delay: str = "10 minutes", by: Sequence[str] = ("name",)) -> DataFrame:
-    """Trailing statistics per key, refreshed each ``slide`` seconds.
-
-    Points are first reduced to panes of one slide with a mergeable quantile
-    sketch, so that a window of many slides copies panes and not points.
-    """
-    panes = (stream.withWatermark("ts", delay).groupBy(F.window("ts", f"{slide} seconds").alias("pane"), *by)
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-                  F.kll_sketch_agg_double("value").alias("sketch")))
-    wide = panes.groupBy(F.window(F.window_time("pane"), f"{seconds} seconds", f"{slide} seconds").alias("w"), *by).agg(
-        F.sum("n").alias("count"), F.sum("s").alias("sum"), F.min("lo").alias("min"), F.max("hi").alias("max"),
-        F.kll_merge_agg_double("sketch").alias("sketch"))
-    q = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
-    return wide.select(F.col("w.end").alias("window_end"), *by, "count", "sum", (F.col("sum") / F.col("count")).alias("mean"),
-                       q(0.5).alias("p50"), q(0.95).alias("p95"), "min", "max")
-
-
 def stream_dedup(stream: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
     """Each idempotency key once within the watermark delay."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])

@@ -1,9 +1,8 @@
-"""Stateful processors: timers and ordered scans per key."""
+"""Stateful processors: timers per key."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,43 +72,3 @@ def stream_deadlines(stream: DataFrame, key: str, arm: Sequence[str], seconds: i
     kind = dict(stream.dtypes)[key]
     return timed.groupBy(key).transformWithStateInPandas(
         DeadlineProcessor(key, arm, seconds), f"{key} {kind}, deadline_us bigint", "append", "EventTime")
-
-
-class ScanProcessor(StatefulProcessor):
-    """Runs a scan step over each key; the state is the step's small list."""
-
-    def __init__(self, columns: Sequence[str], order: Sequence[str], inputs: Sequence[str], step: Callable, fresh: list,
-                 outputs: Sequence[str]) -> None:
-        self.columns, self.order, self.inputs = list(columns), list(order), list(inputs)
-        self.step, self.fresh, self.outputs = step, fresh, list(outputs)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", StructType([StructField("json", StringType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        state = json.loads(self.state.get()[0]) if self.state.exists() else list(self.fresh)
-        out = []
-        for row in zip(*[batch[c].tolist() for c in self.inputs]):
-            state, made = self.step(state, row)
-            out.append(made)
-        self.state.update((json.dumps(state),))
-        made = pd.DataFrame(out, columns=self.outputs, index=batch.index)
-        yield pd.concat([batch[self.columns], made], axis=1)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_scan(stream: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], step: Callable, fresh: list,
-                outputs: dict[str, str]) -> DataFrame:
-    """The scans of ``operators.ordered`` on a stream.
-
-    Rows of a micro-batch are taken in ``order``; what arrives in a later batch
-    is scanned after what came before. Its memory is one key's rows of one
-    micro-batch, so the trigger's size limit bounds it.
-    """
-    use_rocksdb(stream.sparkSession)
-    schema = ", ".join([f"{n} {t}" for n, t in stream.dtypes] + [f"{n} {t}" for n, t in outputs.items()])
-    return stream.groupBy(key).transformWithStateInPandas(
-        ScanProcessor(stream.columns, order, inputs, step, fresh, list(outputs)), schema, "append", "None")

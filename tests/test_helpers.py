@@ -10,8 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from queuelens.operators.orderstats import boundary_rows, linear_percentiles, order_stats, position
-from queuelens.operators.slices import (deviation, global_position, prefix_frame, row_frame, suggest_slice_seconds,
-                                        sweep_frame, time_slice)
+from queuelens.operators.slices import cut_lists, deviation, global_position, key_of, micros, prefix_frame, row_frame, sliced, sweep_frame
 
 
 def rows_with_hot_key(n: int = 900, seed: int = 5):
@@ -38,12 +37,12 @@ def grouped(rows, by_key=True):
     return groups
 
 
-@pytest.mark.parametrize("width", [7, 100, 100_000])
+@pytest.mark.parametrize("rows_of_a_slice", [1, 10, 100, 10**6])
 @pytest.mark.parametrize("before,after", [(4, 0), (0, 3), (2, 2)])
-def test_row_frame(frame, width, before, after):
+def test_row_frame(frame, rows_of_a_slice, before, after):
     rows, df = frame
-    out = row_frame(df, ["key"], ["ts", "id"], time_slice("ts", width), lambda w: {
-        "total": F.sum("x").over(w.rowsBetween(-before, after)), "n": F.count("x").over(w.rowsBetween(-before, after))}, before, after)
+    out = row_frame(df, ["key"], ["ts", "id"], lambda w: {
+        "total": F.sum("x").over(w.rowsBetween(-before, after)), "n": F.count("x").over(w.rowsBetween(-before, after))}, before, after, rows_of_a_slice)
     got = {r["id"]: (r["total"], r["n"]) for r in out.collect()}
     want = {}
     for g in grouped(rows).values():
@@ -55,15 +54,15 @@ def test_row_frame(frame, width, before, after):
 
 def test_row_frame_without_key(frame):
     rows, df = frame
-    out = row_frame(df, [], ["ts", "id"], time_slice("ts", 50), lambda w: {"next": F.lead("id").over(w)}, after=1)
+    out = row_frame(df, [], ["ts", "id"], lambda w: {"next": F.lead("id").over(w)}, after=1, slice_rows=50)
     order = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))]
     assert {r["id"]: r["next"] for r in out.collect()} == dict(zip(order, [*order[1:], None]))
 
 
-@pytest.mark.parametrize("width", [10, 1000])
-def test_prefix_frame(frame, width):
+@pytest.mark.parametrize("rows_of_a_slice", [10, 1000])
+def test_prefix_frame(frame, rows_of_a_slice):
     rows, df = frame
-    out = prefix_frame(df, ["key"], ["ts", "id"], time_slice("ts", width), {"run": F.col("x")})
+    out = prefix_frame(df, ["key"], ["ts", "id"], {"run": F.col("x")}, slice_rows=rows_of_a_slice)
     want = {}
     for g in grouped(rows).values():
         total = 0
@@ -73,10 +72,10 @@ def test_prefix_frame(frame, width):
     assert {r["id"]: r["run"] for r in out.collect()} == want
 
 
-@pytest.mark.parametrize("width", [60, 500])
-def test_sweep_frame(frame, width):
+@pytest.mark.parametrize("rows_of_a_slice", [5, 50, 10**6])
+def test_sweep_frame(frame, rows_of_a_slice):
     rows, df = frame
-    out = sweep_frame(df, ["key"], "ts", {"a": (60_000_000, 0), "b": (30_000_000, -1)}, {"x": F.col("x")}, {"q": F.col("x")}, width)
+    out = sweep_frame(df, ["key"], "ts", {"a": (60_000_000, 0), "b": (30_000_000, -1)}, {"x": F.col("x")}, {"q": F.col("x")}, rows_of_a_slice)
     out = out.withColumn("std", deviation(F.col("a_n"), F.col("a_x"), F.col("a_q"), False))
     got = {r["id"]: (r["a_n"], r["a_x"], r["b_n"], int(r["b_q"]), r["std"]) for r in out.collect()}
     assert len(got) == len(rows)
@@ -139,7 +138,32 @@ def test_boundary_rows_with_one_hot_value(spark):
     assert boundary_rows(df, "v", "id", picks) == {f"c{p}": order[p] for p in (0, 150, 300, 599)}
 
 
-def test_suggest_slice_seconds(frame):
-    _, df = frame
-    assert suggest_slice_seconds(df, ["key"], "ts", target_rows=100, floor_seconds=1) < 5000
-    assert suggest_slice_seconds(df.filter("id < 0"), ["key"], "ts") == 86_400
+def test_cuts_follow_the_rows(spark):
+    """A burst of 90 % of the rows of a key is cut finely, quiet stretches and small keys are not cut at all."""
+    draw = random.Random(6)
+    rows = [("hot", 600_000 + draw.randrange(6000)) for _ in range(9000)] + [("hot", draw.randrange(2_000_000)) for _ in range(1000)]
+    rows += [(None, i) for i in range(900)] + [("small", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = sliced(df, ["key"], micros("ts"), 500)
+    sizes = {(r["key"], r["_slice"]): (r["n"], r["a"], r["b"]) for r in out.groupBy("key", "_slice").agg(
+        F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).collect()}
+    hot = [v for (k, _), v in sorted(sizes.items(), key=str) if k == "hot"]
+    assert len(hot) >= 15 and max(n for n, _, _ in hot) < 900
+    hot.sort(key=lambda v: v[1])
+    assert all(a[2] < b[1] for a, b in zip(hot, hot[1:]))  # slices follow each other
+    assert [v[0] for (k, _), v in sizes.items() if k == "small"] == [50]
+    assert sum(v[0] for (k, _), v in sizes.items() if k is None) == 900 and sum(k is None for k, _ in sizes) == 2
+    lists = cut_lists(df.select(key_of(["key"]).alias("_key"), micros("ts").alias("_at")), 500)
+    assert lists.count() == 2  # nothing is listed for the small key
+
+
+def test_rows_without_a_time_are_in_no_frame(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "a", 6)], "id long, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = sweep_frame(df, ["key"], "ts", {"w": (10_000_000, 0)}, {})
+    assert {r["id"]: r["w_n"] for r in out.collect()} == {1: 1, 2: 0, 3: 2}
+
+
+def test_a_frame_may_be_longer_than_any_slice(spark):
+    df = spark.range(500).withColumn("ts", F.timestamp_seconds(F.col("id") * 60))
+    out = sweep_frame(df, [], "ts", {"w": (400 * 60_000_000, 0)}, {"x": F.col("id")}, None, 10)
+    assert {r["id"]: (r["w_n"], r["w_x"]) for r in out.collect()} == {i: (min(i, 400) + 1, sum(range(max(0, i - 400), i + 1))) for i in range(500)}

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from queuelens import fixtures as fx
 from queuelens.operators import ordered as od
-from queuelens.operators.slices import time_slice
 from queuelens.session import scratch_path
 from queuelens.sources import sinks
-from queuelens.streaming import jobs, processors
+from queuelens.streaming import jobs, ordered_state, panes
 
 
 @pytest.fixture(scope="module")
@@ -24,28 +24,76 @@ def chunks(spark, data):
     return ev, lambda: spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_scan_equals_batch(spark, chunks):
-    ev, stream = chunks
-    step, fresh = od.window_breaker_step(3, 86_400_000_000)
-    prep = lambda df: df.select("event_id", (F.col("user_id") % 5).alias("target"), "ts", (F.col("event_type") != "error").alias("ok"))
-    live = prep(stream()).withColumn("us", F.unix_micros("ts")).drop("ts")
-    got = jobs.run_to_table(processors.stream_scan(live, "target", ["us", "event_id"], ["us", "ok"], step, fresh,
-                                                   {"state": "string", "allowed": "boolean"}), "scan")
-    want = od.circuit_breaker(prep(ev), ["target"], ["ts", "event_id"], time_slice("ts", 10 * 86400), "window", threshold=3, window_s=86400)
-    pick = lambda df: {(r["event_id"], r["state"], r["allowed"]) for r in df.collect()}
-    assert pick(got) == pick(want)
-
-
-def test_sliding_quantiles_are_close(spark, chunks):
-    ev, stream = chunks
-    points = lambda df: df.select(F.lit("m").alias("name"), "value", "ts")
-    got = jobs.run_to_table(jobs.stream_sliding(points(stream()), 86400, 43200), "sliding")
-    rows = got.orderBy("window_end").collect()
-    assert len(rows) > 20
-    r = rows[len(rows) // 2]
-    vals = sorted(x["value"] for x in ev.filter((F.col("ts") >= F.lit(r["window_end"]) - F.expr("INTERVAL 1 DAY")) & (F.col("ts") < F.lit(r["window_end"]))).collect())
-    assert r["count"] == len(vals) and r["min"] == vals[0] and r["max"] == vals[-1]
-    assert r["sum"] == pytest.approx(sum(vals)) and r["p50"] in vals and r["p95"] in vals
+def mixed_up(spark, ev, files):
+    """Rows dealt to files by time with up to two days of delay, one file a trigger."""
+    path = scratch_path(spark, "mixed")
+    delayed = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86_400)) - F.unix_seconds(F.to_timestamp(F.lit("2024-01-01")))
+    for low in range(files):
+        ev.filter(F.floor(delayed * files / (33 * 86_400)) == low).repartition(1, "event_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@pytest.mark.parametrize("kind", ["window", "ewma"])
+@pytest.mark.parametrize("files,hold,chunk", [(1, 86_400, 7), (9, 7200, 100_000)])
+def test_ordered_scan_equals_batch(spark, data, kind, files, hold, chunk):
+    ev = fx.table(spark, data, "events").select("event_id", "user_id", "event_type", "ts", "value").withColumns(
+        {"target": F.col("user_id") % 3, "ok": F.col("event_type") != "error"})
+    live, how = mixed_up(spark, ev, files), {"delay": "2 days", "hold_seconds": hold, "chunk_rows": chunk}
+    if kind == "window":
+        out = ordered_state.stream_breaker(live, "target", "ts", ["event_id"], "window", how=how, threshold=3, window_s=86400)
+        want = od.circuit_breaker(ev, ["target"], ["ts", "event_id"], "window", threshold=3, window_s=86400)
+        row = lambda r: (r["state"], r["allowed"])
+    else:
+        out = ordered_state.stream_ewma(live, "target", "ts", ["event_id"], "value", **how)
+        want = od.ewma(ev, ["target"], ["ts", "event_id"], "value")
+        row = lambda r: round(r["ewma"], 9)
+    top = ev.agg(F.max(F.unix_micros("ts"))).first()[0] - 2 * 86_400_000_000
+    end = (F.floor(F.unix_micros("ts") / (hold * 1_000_000)) + 1) * hold * 1_000_000
+    got = jobs.run_to_table(out, "scan").collect()
+    want = {r["event_id"]: row(r) for r in want.filter(end <= top).collect()}
+    assert len(got) == len(want) > 700 and {r["event_id"]: row(r) for r in got} == want
+
+
+def test_windows_over_batches(spark, data):
+    """Out of order rows over nine triggers, two keys, windows of four lengths against plain Python."""
+    ev = fx.table(spark, data, "events").select("event_id", (F.col("user_id") % 2).alias("name"), "value", "ts")
+    out = panes.stream_windows(mixed_up(spark, ev, 9), (3600, 7200, 86_400), 3600, "2 days")
+    got = {(r["name"], r["window_s"], r["window_end"].timestamp()): tuple(r)[3:] for r in jobs.run_to_table(out, "windows").collect()}
+    rows = [(r["name"], r["ts"].timestamp(), r["value"]) for r in ev.collect()]
+    top, held = max(t for _, t, _ in rows) - 2 * 86_400, {}
+    for name, t, value in rows:
+        for w in (3600, 7200, 86_400):
+            for i in range(w // 3600):
+                end = (t // 3600 + 1 + i) * 3600
+                if end <= top:
+                    held.setdefault((name, w, end), []).append(value)
+    assert got.keys() == held.keys() and len(got) > 1000
+    for k, values in held.items():
+        values.sort()
+        n = len(values)
+        count, total, mean, low, high, p50, p95 = got[k]
+        assert (count, low, high, p50, p95) == (n, values[0], values[-1], values[-(-n // 2) - 1], values[-(-95 * n // 100) - 1])
+        assert total == pytest.approx(sum(values)) and mean == pytest.approx(sum(values) / n)
+
+
+def test_thinned_panes_keep_ranks():
+    draw = np.random.default_rng(1)
+    held, panes_of = [], {}
+    for number in range(40):
+        values = draw.choice([draw.lognormal(0, 1, 5000), np.full(5000, 3.0), draw.normal(50, 1, 5000)])
+        panes_of[number] = panes.thinned(panes.pane_of(values), 100)
+        held.append(values)
+    assert all(len(p[4]) <= 100 and p[5].sum() == p[0] == 5000 for p in panes_of.values())
+    out = panes.windows_of(panes_of, 7, 3, 45, [0.5, 0.95])
+    assert out["end"].tolist() == list(range(3, 46))
+    for r in out.itertuples():
+        values = np.sort(np.concatenate(held[max(0, int(r.end) - 6):int(r.end) + 1]))
+        assert r.count == len(values) and r.sum == pytest.approx(values.sum()) and (r.min, r.max) == (values[0], values[-1])
+        for q, found in ((0.5, r.p50), (0.95, r.p95)):
+            low, high = np.searchsorted(values, found), np.searchsorted(values, found, side="right")
+            assert low - len(values) / 200 - 40 <= q * len(values) <= high + len(values) / 200 + 40
+    twice = panes.thinned(panes.joined(panes_of[0], panes_of[1]), 100)
+    assert len(twice[4]) <= 100 and twice[0] == twice[5].sum() == 10_000
 
 
 def test_late_rows_counts(spark):
