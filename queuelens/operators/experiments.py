@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.operators.aggregates import r6
-from queuelens.operators.orderstats import magnitude_bin
-from queuelens.operators.slices import prefix_frame
+from queuelens.operators.orderstats import value_grid
+from queuelens.operators.slices import passed, prefix_frame
 from queuelens.operators.scalars import beside
 
 
@@ -25,11 +25,13 @@ def rank_sum(df: DataFrame, arm: str, value: str) -> DataFrame:
     """One row: U of arm ``b`` and the tie term, with mean ranks for ties.
 
     Values are counted per arm first; distinct values are numbered by running
-    sums over magnitude bins, so no task sees all of them.
+    sums over about equally full parts, which a sketch of the values gives, so
+    no task sees all of them however narrow their range.
     """
+    part = lambda: passed(F.array(*[F.lit(v) for v in value_grid(df, value)]).cast("array<double>"), F.col("_v"))
     counts = (df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), F.count_if(F.col(arm) == "b").alias("_cb")))
-    run = prefix_frame(counts, [], ["_v"], {"_upto": F.col("_c")}, magnitude_bin(F.col("_v")))
+    run = prefix_frame(counts, [], ["_v"], {"_upto": F.col("_c")}, part)
     mean_rank = F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2
     return run.agg(F.sum(F.col("_cb") * mean_rank).alias("_rb"), F.sum("_cb").alias("_nb"), F.sum("_c").alias("_n"),
                    F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("tie_term")).select(

@@ -70,7 +70,7 @@ def next_value_label(df: DataFrame, key: str, order: Sequence[str], value: str,
     """Bucket of the next value in the same run (its own value at the end)."""
     nxt = row_frame(df, [key], order, lambda s: {
         "next_value": F.coalesce(F.lead(value).over(s), F.col(value))}, after=1, slice_rows=slice_rows)
-    return latency_bucket(nxt, "next_value", tie, buckets, "label")
+    return latency_bucket(cut_lineage(nxt), "next_value", tie, buckets, "label")
 
 
 def fail_label(df: DataFrame, success: str = "success") -> DataFrame:

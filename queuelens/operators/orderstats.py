@@ -7,11 +7,16 @@ bins (an expression of the value, so no pass is needed to find bounds), the bin
 that holds the wanted position is cut again into equal sub-bins, and only the
 few values of the right sub-bin are ordered. Every aggregate combines map-side
 and no step holds more than the bins of one key.
+
+Positions among all rows (``boundary_rows``) are narrowed by sketches instead,
+each followed by an exact count: two scans of the rows and no shuffle of them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +120,110 @@ def linear_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     return both.select(*keys, *out)
 
 
+GRID = 1024
+#: Items of a sketch: its ranks are off by about a thousandth of the rows, one step of the grid.
+SKETCH_ITEMS = 4096
+MARGIN = 4
+#: Rows listed to find a position among them.
+SMALL = 20_000
+
+
+def _grid(value: Column, whole: bool = False) -> Column:
+    """Values at ``GRID + 1`` evenly spaced ranks, from a sketch whose size does not depend on the rows."""
+    made, read = ((F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint) if whole
+                  else (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double))
+    return read(made(value, F.lit(SKETCH_ITEMS)), F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+
+
+def value_grid(df: DataFrame, value: str) -> list[float]:
+    """Distinct values that cut the rows into at most ``GRID`` about equal parts; null and NaN are left out."""
+    v = F.col(value).cast("double")
+    numbers = F.when(~F.isnan(v), v)
+    found = df.agg(F.when(F.count(numbers) > 0, _grid(numbers)).alias("g")).first()["g"]
+    return sorted(set(found or []))
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Values between two bounds (None: none), each with or without its end, that hold about ``rows`` rows."""
+
+    rows: float
+    low: float | None = None
+    high: float | None = None
+    with_low: bool = True
+    with_high: bool = True
+
+    def below(self, v: Column) -> Column:
+        if self.low is None:
+            return F.lit(False)
+        return v < F.lit(self.low) if self.with_low else v <= F.lit(self.low)
+
+    def inside(self, v: Column) -> Column:
+        above = F.lit(False) if self.high is None else v > F.lit(self.high) if self.with_high else v >= F.lit(self.high)
+        return ~self.below(v) & ~above
+
+    @property
+    def single(self) -> bool:
+        return self.low is not None and self.low == self.high
+
+    def narrowed(self, at: int, inside: int, grid: list) -> _Bracket:
+        """The part around position ``at`` of ``inside`` rows whose values at even ranks are ``grid``."""
+        step = int(at * GRID / inside)
+        first, last = step - MARGIN, step + 1 + MARGIN
+        low, with_low = (self.low, self.with_low) if first < 0 else (grid[first], True)
+        high, with_high = (self.high, self.with_high) if last > GRID else (grid[last], True)
+        steps = (GRID if high is None else bisect_right(grid, high)) - (0 if low is None else bisect_left(grid, low))
+        new = _Bracket(inside * min(1.0, (steps + 2) / GRID), low, high, with_low, with_high)
+        if (new.low, new.high) == (self.low, self.high):  # few distinct values: try the one at the rank
+            return _Bracket(inside, grid[step], grid[step])
+        return new
+
+
+def select_rows(rows: DataFrame, positions: dict[str, int], n: int, whole: bool = False, grid: list | None = None) -> dict[str, tuple]:
+    """The (_v, _t) at each zero-based position of ``rows`` ordered by (_v, _t), for ``n`` rows without null or NaN.
+
+    Each round is one scan for all positions. A sketch of the values that are still in question gives a bracket
+    around every wanted rank; the next scan counts exactly what lies below and inside it. A bracket of few rows is
+    listed in that same scan, a larger one gets a sketch of its own, a single value is settled by its ties, and for
+    one that turns out to miss its rank the values beside it are searched. So some millions of rows take two scans,
+    each further factor of a hundred one more, and no task holds more than about ``SMALL`` rows for a position.
+    ``grid`` is that of all rows, where it is known already.
+    """
+    v = F.col("_v")
+    whole_range = _Bracket(n)
+    searched = {k: (p, whole_range, whole_range if grid is None or n <= SMALL else whole_range.narrowed(p, n, grid))
+                for k, p in positions.items() if 0 <= p < n}
+    found: dict[str, tuple] = {}
+    while searched:
+        parts = {}
+        for k, (_, _, b) in searched.items():
+            parts[f"below_{k}"], parts[f"inside_{k}"] = F.count_if(b.below(v)), F.count_if(b.inside(v))
+            if b.rows <= SMALL:
+                parts[f"list_{k}"] = F.sort_array(F.collect_list(F.when(b.inside(v), F.struct("_v", "_t"))))
+            elif not b.single:
+                parts[f"grid_{k}"] = F.when(F.count_if(b.inside(v)) > 0, _grid(F.when(b.inside(v), v), whole))
+        made = rows.agg(*[c.alias(name) for name, c in parts.items()]).first()
+        after = {}
+        for k, (p, outer, b) in searched.items():
+            below, inside = made[f"below_{k}"], made[f"inside_{k}"]
+            at = p - below
+            if at < 0:
+                beside = _Bracket(below, outer.low, b.low, outer.with_low, not b.with_low)
+                after[k] = (p, beside, beside)
+            elif at >= inside:
+                beside = _Bracket(n - below - inside, b.high, outer.high, not b.with_high, outer.with_high)
+                after[k] = (p, beside, beside)
+            elif b.rows <= SMALL:
+                found[k] = tuple(made[f"list_{k}"][at])
+            elif b.single:
+                ties = rows.filter(v == F.lit(b.low)).select(F.col("_t").alias("_v"), F.lit(0).alias("_t"))
+                found[k] = (b.low, select_rows(ties, {k: at}, inside, True)[k][0])
+            else:
+                after[k] = (p, b, b.narrowed(at, inside, made[f"grid_{k}"]))
+        searched = after
+    return found
+
+
 def boundary_rows(df: DataFrame, value: str, tie: str,
                   picks: dict[str, Callable[[Column], Column]]) -> dict[str, tuple[float, int] | None]:
     """The ``(value, tie)`` pair at each wanted global position.
@@ -122,21 +231,18 @@ def boundary_rows(df: DataFrame, value: str, tie: str,
     Equal values are told apart by ``tie`` (a unique whole number). Only these
     few pairs reach the driver; with them a row's side of each cut is a plain
     comparison with constants, so no row ever needs a global rank. A position
-    past the end gives None.
+    past the end gives None. Null values are left out, NaN is the largest value.
     """
-    found = order_stats(df, [], value, picks).first()
-    at = {n: found[n] for n in picks if found is not None and found[n] is not None}
-    if not at:
-        return {n: None for n in picks}
     v = F.col(value).cast("double")
     rows = df.filter(v.isNotNull()).select(v.alias("_v"), F.col(tie).cast("long").alias("_t"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("_n"), *[
-        F.count_if(F.col("_v") < x).alias(f"_l_{n}") for n, x in at.items()])
-    within = sizes.select(*[(picks[n](F.col("_n")) - F.col(f"_l_{n}")).cast("long").alias(n) for n in at]).first()
-    matches = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("val")) for n, x in at.items()]),
-                       lambda m: m["val"] == F.col("_v"))
-    tied = (rows.filter(F.col("_v").isin(*at.values())).select("_t", F.explode(matches).alias("_m"))
-            .select("_t", F.col("_m.name").alias("_cut")))
-    place = F.coalesce(*[F.when(F.col("_k._cut") == n, F.lit(within[n])) for n in at])
-    ties = {r["_cut"]: r["t"] for r in order_stats(tied, ["_cut"], "_t", {"t": lambda n: place}, "long").collect()}
-    return {n: (at[n], int(ties[n])) if n in at else None for n in picks}
+    numbers = F.when(~F.isnan("_v"), F.col("_v"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("_n"), F.count(numbers).alias("_m"), F.when(F.count(numbers) > 0, _grid(numbers)).alias("_g"))
+    top = sizes.select("*", *[pos(F.col("_n")).cast("long").alias(f"_p_{k}") for k, pos in picks.items()]).first()
+    n, m = top["_n"], top["_m"]
+    wanted = {k: top[f"_p_{k}"] for k in picks if top[f"_p_{k}"] is not None}
+    found = select_rows(rows.filter(~F.isnan("_v")), {k: p for k, p in wanted.items() if p < m}, m, grid=top["_g"])
+    beyond = {k: p - m for k, p in wanted.items() if m <= p < n}
+    if beyond:
+        ties = rows.filter(F.isnan("_v")).select(F.col("_t").alias("_v"), F.lit(0).alias("_t"))
+        found |= {k: (float("nan"), pair[0]) for k, pair in select_rows(ties, beyond, n - m, True).items()}
+    return {k: (float(found[k][0]), int(found[k][1])) if k in found else None for k in picks}

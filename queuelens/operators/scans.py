@@ -31,10 +31,11 @@ from queuelens.operators.slices import SLICE_ROWS, place_of, sliced
 Batches = Iterator[pa.RecordBatch]
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int) -> DataFrame:
-    """``df`` with ``_slice`` and the key as text, which workers compare."""
+def _keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int) -> tuple[DataFrame, bool]:
+    """``df`` with ``_slice`` and the key as text, which workers compare; and whether any key is cut."""
     at, cell = place_of(df, order[0])
-    return sliced(df, keys, at, slice_rows, cell).withColumn("_key", F.to_json("_key"))
+    rows, cut = sliced(df, keys, at, slice_rows, cell)
+    return rows.withColumn("_key", F.to_json("_key")), cut
 
 
 def _with_fields(df: DataFrame, more: dict[str, str]) -> StructType:
@@ -115,14 +116,17 @@ def machine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], machi
     own. ``order`` must tell all rows of a key apart.
     """
     named = {f"_in{i}": c for i, c in enumerate(inputs.values())}
-    rows = _keyed(df.withColumns(named).dropna(subset=list(named)), keys, order, slice_rows)
-    lean = _lined(rows.select("_key", "_slice", *dict.fromkeys([*order, *named])), order).select("_key", "_slice", *named)
-    summaries = lean.mapInArrow(_summaries(machine, list(named)), "_key string, _slice int, _summary binary")
-    entries = (summaries.repartition("_key").sortWithinPartitions("_key", "_slice")
-               .mapInArrow(_entry_states(machine), "_key string, _slice int, _entry binary"))
+    rows, cut = _keyed(df.withColumns(named).dropna(subset=list(named)), keys, order, slice_rows)
     schema = _with_fields(df, outputs)
-    return (_lined(rows.join(entries, ["_key", "_slice"]), order)
-            .mapInArrow(_outputs(machine, list(named), df.columns, list(outputs)), schema))
+    if not cut:  # every slice is a whole key
+        entered = rows.withColumn("_entry", F.lit(pickle.dumps(machine.fresh)))
+    else:
+        lean = _lined(rows.select("_key", "_slice", *dict.fromkeys([*order, *named])), order).select("_key", "_slice", *named)
+        summaries = lean.mapInArrow(_summaries(machine, list(named)), "_key string, _slice int, _summary binary")
+        entries = (summaries.repartition("_key").sortWithinPartitions("_key", "_slice")
+                   .mapInArrow(_entry_states(machine), "_key string, _slice int, _entry binary"))
+        entered = rows.join(entries, ["_key", "_slice"])
+    return _lined(entered, order).mapInArrow(_outputs(machine, list(named), df.columns, list(outputs)), schema)
 
 
 # --- v = m * v + b --------------------------------------------------------
@@ -213,9 +217,13 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], m, a,
     With ``descending`` the scan runs from the last row to the first. Values are composed pairwise, so they agree
     with a row by row loop to rounding.
     """
-    rows = _keyed(df.withColumns({"_m": m.cast("double"), "_a": a.cast("double")}), keys, order, slice_rows)
-    lean = _lined(rows.select(*dict.fromkeys([*GROUP, *order, "_m", "_a"])), order, descending).select(*GROUP, "_m", "_a")
-    steps = lean.mapInPandas(_slice_steps, "_key string, _slice int, _m double, _a double")
-    along = F.col("_slice").desc() if descending else F.col("_slice")
-    entries = steps.repartition("_key").sortWithinPartitions("_key", along).mapInPandas(_entry_values, "_key string, _slice int, _entry double")
-    return _lined(rows.join(entries, GROUP), order, descending).mapInArrow(_values(df.columns, name), _with_fields(df, {name: "double"}))
+    rows, cut = _keyed(df.withColumns({"_m": m.cast("double"), "_a": a.cast("double")}), keys, order, slice_rows)
+    if not cut:
+        entered = rows.withColumn("_entry", F.lit(0.0))
+    else:
+        lean = _lined(rows.select(*dict.fromkeys([*GROUP, *order, "_m", "_a"])), order, descending).select(*GROUP, "_m", "_a")
+        steps = lean.mapInPandas(_slice_steps, "_key string, _slice int, _m double, _a double")
+        along = F.col("_slice").desc() if descending else F.col("_slice")
+        entries = steps.repartition("_key").sortWithinPartitions("_key", along).mapInPandas(_entry_values, "_key string, _slice int, _entry double")
+        entered = rows.join(entries, GROUP)
+    return _lined(entered, order, descending).mapInArrow(_values(df.columns, name), _with_fields(df, {name: "double"}))

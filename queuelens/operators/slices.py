@@ -8,9 +8,10 @@ Cuts come from counts. The rows of each key are counted per cell (a minute, or
 one step of a numeric order), the counts are summed along the key, and a new
 slice begins wherever another ``slice_rows`` rows have gone by. So a burst is
 cut as finely as it needs and a quiet key stays whole. Only keys with more rows
-than that have cuts; their sorted lists go to every task (at most
-``2 * MOST_CUTS`` numbers, whatever the table), and each row finds its slice by
-a binary search in its key's list.
+than that have cuts; their sorted lists pass the driver and go to every task (at
+most ``2 * MOST_CUTS`` numbers, whatever the table), and each row finds its slice
+by a binary search in its key's list. Where no key is that large every key is one
+slice, and the plan is the plain window.
 
 * ``sweep_frame`` looks back a fixed time: each row enters a frame at one instant
   and leaves it at another, and a running sum over these events answers all rows.
@@ -24,7 +25,7 @@ Null keys are a key of their own. Rows without a place in the order come first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,14 +85,27 @@ def cut_lists(places: DataFrame, slice_rows: int = SLICE_ROWS, cell: int = MINUT
             .groupBy("_key").agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")).withColumnRenamed("_key", "_cut_key"))
 
 
-def sliced(df: DataFrame, keys: Sequence[str], at: Column, slice_rows: int = SLICE_ROWS, cell: int = MINUTE) -> DataFrame:
-    """``df`` with ``_key`` and ``_slice``, which does not decrease with ``at`` within a key."""
-    keyed = df.withColumn("_key", key_of(keys))
-    cuts = F.broadcast(cut_lists(keyed.select("_key", at.alias("_at")), slice_rows, cell))
-    return (keyed.join(cuts, F.col("_key") == F.col("_cut_key"), "left")
+def known_cuts(places: DataFrame, rows: int, slice_rows: int = SLICE_ROWS, cell: int = MINUTE) -> DataFrame | None:
+    """The lists of ``cut_lists``, worked out; None where no key is large. ``rows`` is the number of all places."""
+    lists = cut_lists(places, slice_rows, cell) if rows > slice_rows else None
+    found = lists.collect() if lists is not None else []
+    return F.broadcast(places.sparkSession.createDataFrame(found, lists.schema)) if found else None
+
+
+def with_slice(rows: DataFrame, cuts: DataFrame | None, at: Column) -> DataFrame:
+    if cuts is None:
+        return rows.withColumn("_slice", F.lit(0))
+    return (rows.join(cuts, F.col("_key") == F.col("_cut_key"), "left")
             .withColumn("_slice", passed(F.col("_cuts"), at)).drop("_cut_key", "_cuts"))
 
 
+def sliced(df: DataFrame, keys: Sequence[str], at: Column, slice_rows: int = SLICE_ROWS, cell: int = MINUTE) -> tuple[DataFrame, bool]:
+    """``df`` with ``_key`` and ``_slice``, which does not decrease with ``at`` within a key; and whether any key is cut."""
+    keyed = df.withColumn("_key", key_of(keys))
+    cuts = known_cuts(keyed.select("_key", at.alias("_at")), df.count(), slice_rows, cell)
+    return with_slice(keyed, cuts, at), cuts is not None
+
+
 def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, tuple[int, int]],
                 values: dict[str, Column], squares: dict[str, Column] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Counts and sums of whole numbers over trailing time frames, in one sweep.
@@ -136,13 +150,15 @@ def sweep_frame(df: DataFrame, keys: Sequence[str], ts: str, frames: dict[str, t
     lined = base.select("_key", F.explode(F.array(*events)).alias("_e")).select("_key", "_e.*")
     # the counts need no values: only when the events are
     when = F.array(F.col("_t"), *[w for f, (back, upto) in frames.items() for w, _ in moves(f, back, upto)])
-    cuts = F.broadcast(cut_lists(base.select("_key", F.explode(when).alias("_at")), slice_rows))
-    placed = (lined.join(cuts, F.col("_key") == F.col("_cut_key"), "left")
-              .withColumn("_slice", passed(F.col("_cuts"), F.col("_at"))).drop("_cut_key", "_cuts"))
-    offsets = _offsets(placed, names)
+    cuts = known_cuts(base.select("_key", F.explode(when).alias("_at")), df.count() * (1 + 2 * len(frames)), slice_rows)
+    placed = with_slice(lined, cuts, F.col("_at"))
     local = Window.partitionBy("_key", "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.join(offsets, ["_key", "_slice"]).select("_payload", "_at", *[
-        (F.coalesce(F.sum(n).over(local), F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in names])
+    here = lambda n: F.coalesce(F.sum(n).over(local), F.lit(0))
+    if cuts is None:
+        summed = placed.select("_payload", "_at", *[here(n).alias(n) for n in names])
+    else:
+        summed = placed.join(_offsets(placed, names), ["_key", "_slice"]).select(
+            "_payload", "_at", *[(here(n) + F.col(f"_o_{n}")).alias(n) for n in names])
     swept = summed.filter(F.col("_payload").isNotNull()).select(
         "_payload", *[F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.col(n)).alias(n) for n in names])
     whole = lambda c: F.col(c).cast("decimal(20,0)")
@@ -203,11 +219,11 @@ def row_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs, b
     are exact. ``order`` must tell all rows of a key apart; slices are cut along
     its first column, a time or a number.
     """
-    base = sliced(df, keys, *_cutting(df, order, slice_rows))
+    base, cut = sliced(df, keys, *_cutting(df, order, slice_rows))
     all_rows = base.withColumn("_guest", F.lit(False))
-    if before:
+    if cut and before:
         all_rows = all_rows.unionByName(_edge_rows(base, order, before, True))
-    if after:
+    if cut and after:
         all_rows = all_rows.unionByName(_edge_rows(base, order, after, False))
     spec = Window.partitionBy("_key", "_slice").orderBy(*order)
     out = all_rows.select("*", *[c.alias(n) for n, c in exprs(spec).items()])
@@ -219,21 +235,27 @@ def _cutting(df: DataFrame, order: Sequence[str], slice_rows: int) -> tuple[Colu
     return at, slice_rows, cell
 
 
-def prefix_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], at: Column | None = None,
-                 slice_rows: int = SLICE_ROWS) -> DataFrame:
+def prefix_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
+                 at: Callable[[], Column] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Running sums from the first row of the key to this row.
 
-    Slices are cut along the first column of ``order``, or along ``at``, a whole number that does not decrease with it.
+    Slices are cut along the first column of ``order``, or along what ``at`` makes: a whole number that does not
+    decrease with it, only asked for where there is something to cut.
     """
-    rows = sliced(df, keys, *(_cutting(df, order, slice_rows) if at is None else (at, slice_rows, 1)))
+    if at is not None and df.count() > slice_rows:
+        rows, cut = sliced(df, keys, at(), slice_rows, 1)
+    else:
+        rows, cut = sliced(df, keys, *_cutting(df, order, slice_rows))
     rows = rows.select("*", *[value.alias(f"_in_{name}") for name, value in sums.items()])
-    offsets = _offsets(rows, [f"_in_{n}" for n in sums])
     local = (Window.partitionBy("_key", "_slice").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = rows.join(offsets, ["_key", "_slice"])
-    out = joined.select("*", *[
-        (F.coalesce(F.sum(f"_in_{n}").over(local), F.lit(0)) + F.col(f"_o__in_{n}")).alias(n) for n in sums])
-    return out.drop("_key", "_slice", *[f"_in_{n}" for n in sums], *[f"_o__in_{n}" for n in sums])
+    here = lambda n: F.coalesce(F.sum(f"_in_{n}").over(local), F.lit(0))
+    if cut:
+        joined = rows.join(_offsets(rows, [f"_in_{n}" for n in sums]), ["_key", "_slice"])
+        out = joined.select("*", *[(here(n) + F.col(f"_o__in_{n}")).alias(n) for n in sums]).drop(*[f"_o__in_{n}" for n in sums])
+    else:
+        out = rows.select("*", *[here(n).alias(n) for n in sums])
+    return out.drop("_key", "_slice", *[f"_in_{n}" for n in sums])
 
 
 def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096, tie: str | None = None) -> DataFrame:

@@ -56,22 +56,14 @@ def thinned(pane: Pane, points: int) -> Pane:
 
 def windows_of(panes: dict[int, Pane], length: int, first: int, last: int, quantiles: Sequence[float]) -> pd.DataFrame:
     """Statistics of all windows of ``length`` panes that end at a pane from ``first`` to ``last`` and hold a value."""
-    rows = []
     numbers = np.array(sorted(panes))
-    sizes = np.array([len(panes[p][4]) for p in numbers.tolist()])
-    start = first
-    while start <= last:
-        # as many ends as keep the spread values bounded
-        stop, held = start, 0
-        while stop <= last:
-            inside = (numbers > stop - length) & (numbers <= stop)
-            held += int(sizes[inside].sum())
-            if held > SPREAD_AT_ONCE and stop > start:
-                break
-            stop += 1
-        rows.append(_statistics(panes, numbers, length, start, stop - 1, quantiles))
-        start = stop
-    return pd.concat(rows, ignore_index=True)
+    upto = np.concatenate([[0], np.cumsum([len(panes[p][4]) for p in numbers.tolist()])])
+    ends = np.arange(first, last + 1)
+    held = upto[np.searchsorted(numbers, ends, side="right")] - upto[np.searchsorted(numbers, ends - length + 1)]
+    part = np.cumsum(held) // SPREAD_AT_ONCE  # as many ends together as keep the repeated values bounded
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ends)]
+    return pd.concat([_statistics(panes, numbers, length, int(ends[a]), int(ends[b - 1]), quantiles)
+                      for a, b in zip(cuts, cuts[1:]) if b > a], ignore_index=True)
 
 
 def _statistics(panes, numbers, length, first, last, quantiles) -> pd.DataFrame:
@@ -110,15 +102,16 @@ def _statistics(panes, numbers, length, first, last, quantiles) -> pd.DataFrame:
 
 
 class PaneRing(StatefulProcessor):
-    """Panes of a key by number, and one timer for the next end of a pane with something to report."""
+    """Panes of a key, kept in segments as long as the longest window, and one timer for the next end to report."""
 
     def __init__(self, keys: Sequence[str], lengths: Sequence[int], slide_us: int, points: int, quantiles: Sequence[float]) -> None:
         self.keys, self.lengths, self.slide_us, self.points, self.quantiles = list(keys), list(lengths), slide_us, points, list(quantiles)
+        self.longest = max(lengths)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         number = StructType([StructField("number", LongType())])
-        self.panes = handle.getMapState("panes", number, StructType([StructField("packed", BinaryType())]))
+        self.segments = handle.getMapState("segments", number, StructType([StructField("packed", BinaryType())]))
         self.next_end = handle.getValueState("next_end", number)
 
     def _wake_at(self, number: int) -> None:
@@ -130,12 +123,17 @@ class PaneRing(StatefulProcessor):
         for chunk in rows:
             chunk = chunk.set_axis([*self.keys, "ts", "us", "value"], axis=1)
             numbers, values = chunk["us"].to_numpy() // self.slide_us, chunk["value"].to_numpy(float)
-            for number in np.unique(numbers).tolist():
-                pane = pane_of(values[numbers == number])
-                if self.panes.containsKey((number,)):
-                    pane = joined(pickle.loads(self.panes.getValue((number,))[0]), pane)
-                self.panes.updateValue((number,), (pickle.dumps(thinned(pane, self.points)),))
-                first = number if first is None else min(first, number)
+            order = np.argsort(numbers, kind="stable")
+            numbers, values = numbers[order], values[order]
+            starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+            made = {int(numbers[a]): pane_of(values[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(numbers)])}
+            for segment in sorted({n // self.longest for n in made}):
+                held = pickle.loads(self.segments.getValue((segment,))[0]) if self.segments.containsKey((segment,)) else {}
+                for n in [n for n in made if n // self.longest == segment]:
+                    pane = made.pop(n)
+                    held[n] = thinned(joined(held[n], pane) if n in held else pane, self.points)
+                self.segments.updateValue((segment,), (pickle.dumps(held),))
+            first = int(numbers[0]) if first is None else min(first, int(numbers[0]))
         if first is not None and (not self.next_end.exists() or first < self.next_end.get()[0]):
             self._wake_at(first)
         return iter(())
@@ -144,25 +142,26 @@ class PaneRing(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs() * 1000 // self.slide_us - 1
         if not self.next_end.exists() or self.next_end.get()[0] > passed:
             return
-        first, longest = self.next_end.get()[0], max(self.lengths)
-        panes = {k: pickle.loads(v[0]) for (k,), v in self.panes.iterator()}
-        last = min(passed, max(p for p in panes if p <= passed) + longest - 1)
+        first, held = self.next_end.get()[0], {k: pickle.loads(v[0]) for (k,), v in self.segments.iterator()}
+        panes = {n: p for segment in held.values() for n, p in segment.items() if n <= passed}
+        last = min(passed, max(panes) + self.longest - 1)
         for length in self.lengths:
-            made = windows_of({k: v for k, v in panes.items() if k <= passed}, length, first, last, self.quantiles)
+            made = windows_of(panes, length, first, last, self.quantiles)
             if len(made):
                 made.insert(0, "window_s", length * self.slide_us // 1_000_000)
                 made["end"] = (made["end"].astype("int64") + 1) * self.slide_us
                 for i, name in enumerate(self.keys):
                     made.insert(i, name, key[i])
                 yield made
-        left = []
-        for number in panes:
-            if number <= passed + 1 - longest:
-                self.panes.removeKey((number,))
-            else:
-                left.append(number)
-        # the next end is the next pane's if an older pane still counts there, else that of the next pane with values
-        ahead = [passed + 1] if any(n <= passed for n in left) else [n for n in left if n > passed]
+        ahead = []
+        for segment, inside in held.items():
+            left = {n: p for n, p in inside.items() if n > passed + 1 - self.longest}
+            if not left:
+                self.segments.removeKey((segment,))
+            elif len(left) < len(inside):
+                self.segments.updateValue((segment,), (pickle.dumps(left),))
+            # the next end is the next pane's if an older pane still counts there, else that of the next pane with values
+            ahead += [max(n, passed + 1) for n in left]
         if ahead:
             self._wake_at(min(ahead))
         else:

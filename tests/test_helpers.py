@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from queuelens.operators import orderstats
 from queuelens.operators.orderstats import boundary_rows, linear_percentiles, order_stats, position
 from queuelens.operators.slices import cut_lists, deviation, global_position, key_of, micros, prefix_frame, row_frame, sliced, sweep_frame
 
@@ -144,7 +145,8 @@ def test_cuts_follow_the_rows(spark):
     rows = [("hot", 600_000 + draw.randrange(6000)) for _ in range(9000)] + [("hot", draw.randrange(2_000_000)) for _ in range(1000)]
     rows += [(None, i) for i in range(900)] + [("small", i) for i in range(50)]
     df = spark.createDataFrame(rows, "key string, s long").withColumn("ts", F.timestamp_seconds("s"))
-    out = sliced(df, ["key"], micros("ts"), 500)
+    out, cut = sliced(df, ["key"], micros("ts"), 500)
+    assert cut and not sliced(df, ["key"], micros("ts"), 10**6)[1]
     sizes = {(r["key"], r["_slice"]): (r["n"], r["a"], r["b"]) for r in out.groupBy("key", "_slice").agg(
         F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).collect()}
     hot = [v for (k, _), v in sorted(sizes.items(), key=str) if k == "hot"]
@@ -167,3 +169,30 @@ def test_a_frame_may_be_longer_than_any_slice(spark):
     df = spark.range(500).withColumn("ts", F.timestamp_seconds(F.col("id") * 60))
     out = sweep_frame(df, [], "ts", {"w": (400 * 60_000_000, 0)}, {"x": F.col("id")}, None, 10)
     assert {r["id"]: (r["w_n"], r["w_x"]) for r in out.collect()} == {i: (min(i, 400) + 1, sum(range(max(0, i - 400), i + 1))) for i in range(500)}
+
+
+@pytest.mark.parametrize("kind", [*VALUES, "hot"])
+def test_boundary_rows_narrow_down(spark, monkeypatch, kind):
+    """Brackets too large to list are narrowed by further sketches, down to single values and their ties."""
+    monkeypatch.setattr(orderstats, "SMALL", 30)
+    monkeypatch.setattr(orderstats, "GRID", 16)
+    monkeypatch.setattr(orderstats, "SKETCH_ITEMS", 64)
+    draw = random.Random(kind)
+    made = VALUES.get(kind, lambda r: r.choice([7.0, 7.0, 7.0, 8.0, r.random()]))
+    rows = [(i, made(draw)) for i in draw.sample(range(10**6), 3000)]
+    df = spark.createDataFrame([*rows, (10**7, None), (10**7 + 1, float("nan")), (10**7 + 2, float("nan"))], "id long, v double")
+    order = sorted((v, i) for i, v in rows)
+    places = (0, 1, 700, 1499, 1500, 2998, 2999)
+    picks = {f"c{p}": (lambda n, p=p: F.lit(p)) for p in places}
+    got = boundary_rows(df, "v", "id", {**picks, "nan": lambda n: n - 1, "past": lambda n: n})
+    assert {k: got[k] for k in picks} == {f"c{p}": order[p] for p in places}
+    assert got["nan"][1] == 10**7 + 2 and got["nan"][0] != got["nan"][0] and got["past"] is None
+    assert boundary_rows(df.filter("id < 0"), "v", "id", picks) == dict.fromkeys(picks)
+
+
+def test_bounds_of_a_missed_bracket(spark):
+    """A grid that lies leads to the values beside its bracket, never to a wrong row."""
+    rows = spark.range(50_000).select(F.col("id").cast("double").alias("_v"), F.col("id").alias("_t"))
+    for lie in ([float(i) for i in range(orderstats.GRID + 1)], [49_000.0] * (orderstats.GRID + 1)):
+        got = orderstats.select_rows(rows, {"a": 5, "b": 25_000, "c": 49_999}, 50_000, grid=lie)
+        assert got == {"a": (5.0, 5), "b": (25_000.0, 25_000), "c": (49_999.0, 49_999)}

@@ -50,10 +50,29 @@ def test_no_products(spark, data, key):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("key", ["moving_average", "rolling_features", "version_history", "rate_limit_flags", "anomaly_flags", "baseline_drift"])
-def test_rows_are_partitioned_by_slice(spark, data, key):
-    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", plan(QUERIES[key](spark, data)))
-    assert any("_slice" in w for w in windows)
+SLICED = {
+    "moving_average": lambda ev: od.moving_average(ev, ["event_type"], ["ts", "event_id"], "value", 5, slice_rows=50),
+    "rolling": lambda ev: od.rate_limit_flags(ev, ["event_type"], 3, 7200, slice_rows=50),
+    "versions": lambda ev: od.version_history(ev, ["event_type"], ["ts", "event_id"], slice_rows=50),
+    "drift": lambda ev: od.baseline_drift(ev, ["event_type"], ["ts", "event_id"], "value", "value", 5, slice_rows=50),
+}
+
+
+@pytest.mark.parametrize("key", SLICED)
+def test_large_keys_are_partitioned_by_slice(spark, data, key):
+    """Where a key is cut, windows over its rows run per slice, and the lists of cuts are broadcast."""
+    text = plan(SLICED[key](fx.table(spark, data, "events")))
+    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", text)
+    assert any("_slice" in w for w in windows) and "BroadcastHashJoin [_key" in text
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("kind", ["cooldown", "ewma"])
+def test_a_scan_reads_its_rows_twice(spark, data, kind):
+    ev = fx.table(spark, data, "events").select("event_id", "event_type", "value", "ts")
+    run = {"cooldown": lambda n: od.cooldown_filter(ev, ["event_type"], ["ts", "event_id"], 60, slice_rows=n),
+           "ewma": lambda n: od.affine_scan(ev, ["event_type"], ["ts", "event_id"], F.lit(0.5), F.col("value"), "v", slice_rows=n)}[kind]
+    assert plan(run(50)).count("Scan parquet") == 2 and plan(run(10**6)).count("Scan parquet") == 1
 
 
 def test_labels_need_no_window(spark, data):
