@@ -10,7 +10,7 @@ from queuelens.catalog.aggregates import T0, at
 from queuelens.catalog.registry import query
 from queuelens.operators import aggregates as ag
 from queuelens.session import scratch_path
-from queuelens.sources import scan, sinks
+from queuelens.sources import keyed, scan, sinks
 from queuelens.operators.scalars import beside
 
 
@@ -98,32 +98,48 @@ def append_idempotent(spark, d):
     store = ev.filter(F.col("event_id") % 4 == 0).withColumn("origin", F.lit("store"))
     even = ev.filter(F.col("event_id") % 2 == 0).withColumn("ts", F.when(F.col("event_id") % 6 != 0, F.col("ts")))
     batch = even.unionAll(even).withColumn("origin", F.lit("batch"))
-    path = scratch_path(spark, "store")
-    store.write.parquet(path)
-    sinks.append_idempotent(spark, path, batch, "event_id", at("2024-02-01 00:00:00"))
-    return spark.read.schema(store.schema).parquet(path).withColumn("ts", fx.plain("ts"))
+    table = keyed.KeyedTable(spark, scratch_path(spark, "store"), store.schema, ["event_id"], 8)
+    for rows, name in ((store, "first"), (batch, "second"), (batch, "second")):
+        table.append_new(rows, name, "ts", at("2024-02-01 00:00:00"))
+    return table.read().withColumn("ts", fx.plain("ts"))
 
 
 @query("upsert_latest", """SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'changed' ELSE c_name END AS c_name, CASE c_custkey % 5 WHEN 1 THEN 2 ELSE 1 END AS rev FROM customer
     UNION ALL SELECT c_custkey + 10000000, 'added', 1 FROM customer WHERE c_custkey % 7 = 0""")
 def upsert_latest(spark, d):
+    """Three batches into a keyed table, the second one twice."""
     k = F.col("c_custkey")
     store = fx.table(spark, d, "customer").select("c_custkey", "c_name", F.lit(1).alias("rev"))
     changed = store.filter(k % 5 == 1).select(k, F.lit("changed").alias("c_name"), F.lit(2).alias("rev"))
     old = store.filter(k % 5 == 2).select(k, F.lit("stale").alias("c_name"), F.lit(0).alias("rev"))
     added = store.filter(k % 7 == 0).select((k + 10_000_000).alias("c_custkey"), F.lit("added").alias("c_name"), F.lit(1).alias("rev"))
-    return sinks.upsert_latest(store, changed.unionAll(old).unionAll(added), ["c_custkey"], "rev")
+    table = keyed.KeyedTable(spark, scratch_path(spark, "upserts"), store.schema, ["c_custkey"], 8)
+    for rows, name in ((store, "a"), (changed.unionAll(old), "b"), (changed.unionAll(old), "b"), (added, "c")):
+        table.upsert(rows, name, "rev")
+    return table.read()
+
+
+@query("upsert_stream", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1")
+def upsert_stream(spark, d):
+    """The newest event of each user, kept up to date by a stream of three files."""
+    ev = fx.table(spark, d, "events").select("user_id", "event_id", "ts")
+    source = scratch_path(spark, "updates")
+    ev.repartition(3, "event_id").write.parquet(source)
+    table = keyed.KeyedTable(spark, scratch_path(spark, "newest"), ev.schema, ["user_id"], 8)
+    live = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table.upsert_stream(live, "ts", scratch_path(spark, "newest-checkpoint")).awaitTermination()
+    return table.read().withColumn("ts", fx.plain("ts"))
 
 
 @query("retention_trim", """SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY) AS removed, count(*) FILTER (ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY) AS kept,
-    (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY) AS days FROM events""")
+    CAST(count(DISTINCT CAST(ts AS DATE)) FILTER (ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY) AS INTEGER) AS days_kept,
+    CAST(count(DISTINCT CAST(ts AS DATE)) FILTER (ts < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY) AS INTEGER) AS days_removed, count(*) FILTER (ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY) AS left_rows FROM events""")
 def retention_trim(spark, d):
-    ev = fx.table(spark, d, "events")
-    as_of = at("2024-01-30 00:00:00")
+    """A table by day loses the folders of its old days; what is left is read again."""
     path = scratch_path(spark, "trim")
-    sinks.trim_table(ev, path, "ts", 7, as_of)
-    days = spark.read.parquet(path).agg(F.count_distinct("day").alias("days"))
-    return beside(sinks.retention_trim(ev, "ts", 7, as_of)[1], days)
+    fx.table(spark, d, "events").withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    row = keyed.trim_days(spark, path, keyed.RETENTION_DAYS["scaling_summary"], "2024-01-30")
+    return beside(row, spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left_rows")))
 
 
 @query("summary_points", """WITH p AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY name) AS n FROM metric_points

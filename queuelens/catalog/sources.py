@@ -68,9 +68,16 @@ def find_docs(spark, d):
                           ["o_orderkey", "o_totalprice"], [F.desc("o_totalprice"), F.col("o_orderkey")], 100)
 
 
-@query("page_by_ts", "SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 50")
+@query("page_by_ts", """SELECT event_id, ts, CAST((row_number() OVER (ORDER BY ts DESC, event_id) - 1) // 20 + 1 AS INTEGER) AS page FROM (
+    SELECT event_id, date_trunc('hour', ts) AS ts FROM events) WHERE ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 60""")
 def page_by_ts(spark, d):
-    return scan.page_by_ts(fx.table(spark, d, "events").select("event_id", "ts"), at(T0), 50, "ts", "event_id").withColumn("ts", fx.plain("ts"))
+    """Three pages of whole hours, many of them equal, each asked for with the token of the page before."""
+    ev = fx.table(spark, d, "events").select("event_id", F.date_trunc("hour", "ts").alias("ts"))
+    token, out = at(T0), None
+    for n in range(1, 4):
+        page = scan.page_by_ts(ev, token, 20, "ts", "event_id").withColumn("page", F.lit(n))
+        out, token = (page if out is None else out.unionByName(page)), scan.next_token(page, "ts", "event_id")
+    return out.withColumn("ts", fx.plain("ts"))
 
 
 @query("tail_n", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -78,11 +85,17 @@ def tail_n(spark, d):
     return scan.tail_n(fx.table(spark, d, "events").select("event_id", "ts"), 100, "ts", "event_id").withColumn("ts", fx.plain("ts"))
 
 
-@query("file_manifest")
+@query("file_manifest", """WITH f AS (SELECT CAST(o_custkey % 4 AS INTEGER) AS k, string_agg(o_orderkey || ' ' || o_orderpriority || chr(10), '' ORDER BY o_orderkey) AS t FROM orders GROUP BY 1),
+    b AS (SELECT k, t, unnest(range(0, CAST(ceil(length(t) / 4096.0) AS BIGINT))) AS i FROM f), h AS (SELECT k, length(t) AS size, string_agg(sha256(substr(t, i * 4096 + 1, 4096)), '' ORDER BY i) AS h FROM b GROUP BY ALL)
+    SELECT k, size, sha256(h) AS digest, size > 50000 AS in_blocks FROM h""")
 def file_manifest(spark, d):
+    """Four files of known text, some read whole and some in blocks, digests by the same rule."""
     path = scratch_path(spark, "files")
-    fx.table(spark, d, "orders").write.partitionBy("o_orderpriority").parquet(path)
-    return scan.file_manifest(spark, path).filter(F.col("path").endswith(".parquet"))
+    fx.table(spark, d, "orders").select((F.col("o_custkey") % 4).cast("int").alias("k"), "o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("value")).repartition(
+        "k").sortWithinPartitions("k", "o_orderkey").select("k", "value").write.partitionBy("k").text(path)
+    made = scan.file_manifest(spark, path, 4096, 50_000)
+    return made.filter(F.col("path").endswith(".txt")).select(
+        F.regexp_extract("path", "k=([0-9]+)", 1).cast("int").alias("k"), "size", "digest", (F.col("size") > 50_000).alias("in_blocks"))
 
 
 @query("scan_log_json", """SELECT event_type AS service, CASE WHEN value > 90 THEN 'ERROR' WHEN value > 60 THEN 'WARN' ELSE 'INFO' END AS level, count(*) AS lines, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1, 2""")
@@ -99,6 +112,6 @@ def scan_log_json(spark, d):
     return scan.log_levels(scan.scan_logs(spark, path))
 
 
-@query("sample_ingest")
+@query("sample_ingest", "SELECT event_id, event_type, value FROM events WHERE ('0x' || substr(md5('7:' || event_id), 1, 8))::BIGINT % 1000000 < 250000")
 def sample_ingest(spark, d):
     return scan.sample_rows(fx.table(spark, d, "events"), 0.25, "event_id", 7).select("event_id", "event_type", "value")

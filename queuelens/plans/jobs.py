@@ -19,10 +19,10 @@ def metric_query(points: DataFrame, name: str, start, end, labels: dict[str, str
 
 
 def training_set(raw: DataFrame, by: Sequence[str], id_col: str, label: str = "fail", windows: Sequence[int] = (60, 300),
-                 time_col: str = "timestamp", slice_seconds: int = 86_400, as_of: Column | None = None) -> DataFrame:
+                 time_col: str = "timestamp", as_of: Column | None = None) -> DataFrame:
     """Telemetry cleaned, with rolling features and a label, as a feature matrix."""
     clean = basic_clean(raw, time_col, as_of)
-    rolled = rolling_features(clean, by, windows, "ts", slice_seconds)
+    rolled = rolling_features(clean, by, windows, "ts")
     marked = (rolled.withColumn("label_value", 1 - F.col("success")) if label == "fail"
               else latency_bucket(rolled, "duration_ms", id_col, 5, "label_value"))
     feats = ["queue_length", "consumer_count", "priority"] + [c for c in marked.columns if c.split("_")[-1].isdigit()]

@@ -95,7 +95,7 @@ def find_docs(df: DataFrame, where: Column, cols: Sequence[str] | None = None, o
 
 
 def page_by_ts(df: DataFrame, token, page_size: int, ts: str = "ts", id_col: str = "id") -> DataFrame:
-    """Rows after the token, newest first, equal times by ascending id.
+    """Rows after the token, newest first, equal times by ascending id; ``next_token`` gives the token of a page.
 
     A token is a time, or the (time, id) of the last row seen, with which rows of that very time are not lost.
     """
@@ -109,22 +109,59 @@ def page_by_ts(df: DataFrame, token, page_size: int, ts: str = "ts", id_col: str
     return kept.orderBy(F.col(ts).desc(), F.col(id_col)).limit(page_size)
 
 
+def next_token(page: DataFrame, ts: str = "ts", id_col: str = "id") -> tuple | None:
+    """The (time, id) of the last row of a page, to ask for the next one; None for an empty page."""
+    row = page.orderBy(F.col(ts), F.col(id_col).desc()).select(ts, id_col).first()
+    return (row[0], row[1]) if row else None
+
+
 def tail_n(df: DataFrame, n: int, ts: str = "ts", id_col: str = "id") -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(id_col).desc()).limit(n)
 
 
-def file_manifest(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """Path, size and sha256 of all files below a folder.
+#: Bytes of a block of a file's digest, and of what one row may hold.
+BLOCK = 1 << 22
+IN_A_ROW = 1 << 26
+
+
+def file_manifest(spark: SparkSession, path: str, block: int = BLOCK, in_a_row: int = IN_A_ROW) -> DataFrame:
+    """(path, size, digest) of all files below a folder, by one rule for files of any size.
 
-    Content is read only for files up to ``max_bytes``; larger ones are listed
-    without a hash, as one file has to fit into one row.
+    The digest is the sha256 of the sha256 values (as hex, one after the other) of a file's blocks of ``block``
+    bytes. Empty files are not listed, as Spark's reader passes them by. Files of up to ``in_a_row`` bytes come as rows of Spark's reader. Larger ones
+    are read block by block, blocks dealt over all tasks, through the file system that their path names; that has
+    to be one that Arrow knows (local and mounted folders, S3, GCS, HDFS).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.filter(F.col("length") <= max_bytes).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > max_bytes).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"))
+    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / block) - 1),
+                        lambda i: F.sha2(F.substring(F.col("content"), (i * block + 1).cast("int"), F.lit(block)), 256))
+    small = files.filter(F.col("length") <= in_a_row).select("path", F.col("length").alias("size"), F.sha2(F.array_join(whole, "").cast("binary"), 256).alias("digest"))
+    blocks = (files.filter(F.col("length") > in_a_row).select("path", F.col("length").alias("size"))
+              .withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1))))
+    read = blocks.repartition("path", "at").mapInPandas(_block_hashes(block), "path string, size long, at long, hash string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda b: b["hash"]), "")
+    large = read.groupBy("path", "size").agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
     return small.unionByName(large)
 
 
+def _block_hashes(block: int):
+    def run(batches):
+        import hashlib
+        from urllib.parse import unquote
+
+        from pyarrow import fs
+        for pdf in batches:
+            hashes = []
+            for path, at in zip(pdf["path"], pdf["at"]):
+                local = path.startswith("file:")
+                store, name = (fs.LocalFileSystem(), unquote(path.split(":", 1)[1])) if local else fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as f:
+                    hashes.append(hashlib.sha256(f.read_at(block, int(at) * block)).hexdigest())
+            yield pdf.assign(hash=hashes)
+
+    return run
+
+
 LOG_LINE = T.StructType([T.StructField(n, T.StringType()) for n in (
     "ts", "level", "logger", "message", "module", "service", "trace_id", "span_id")] + [
     T.StructField("line", T.LongType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType()))])
@@ -149,5 +186,6 @@ def read_stream(spark: SparkSession, fmt: str, options: dict[str, str], schema:
 
 
 def sample_rows(df: DataFrame, share: float, key: str, seed: int = 0) -> DataFrame:
-    """Each row with probability ``share``, repeatable for a key and seed."""
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Each row with probability ``share``, repeatable for a key and seed on any engine: by the md5 of ``<seed>:<key>``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.filter(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1_000_000 < int(share * 1_000_000))

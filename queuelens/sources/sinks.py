@@ -96,11 +96,6 @@ def unseen_rows(store: DataFrame, batch: DataFrame, key: str, as_of, ts: str = "
     return first.join(store.select(key), key, "left_anti")
 
 
-def append_idempotent(spark: SparkSession, path: str, batch: DataFrame, key: str, as_of, ts: str = "ts") -> None:
-    """Append only unseen keys to a Parquet table."""
-    unseen_rows(spark.read.parquet(path), batch, key, as_of, ts).write.mode("append").parquet(path)
-
-
 def upsert_latest(store: DataFrame, batch: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Newest record per key of both; on equal times the batch wins."""
     both = store.withColumn("_from", F.lit(0)).unionByName(batch.withColumn("_from", F.lit(1)))
@@ -108,22 +103,12 @@ def upsert_latest(store: DataFrame, batch: DataFrame, keys: Sequence[str], ts: s
     return both.withColumn("_r", F.row_number().over(spec)).filter("_r = 1").drop("_r", "_from")
 
 
-# Days each table keeps its rows.
-RETENTION_DAYS = {"metrics": 30, "events": 90, "audit": 180, "logs": 7, "runs": 30, "experiments": 7}
-
-
 def retention_trim(df: DataFrame, ts: str, days: int, as_of) -> tuple[DataFrame, DataFrame]:
     """Rows young enough to keep, and one row with how many are dropped."""
     young = F.col(ts) >= F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return df.filter(young), df.agg(F.count_if(~young).alias("removed"), F.count_if(young).alias("kept"))
 
 
-def trim_table(df: DataFrame, path: str, ts: str, days: int, as_of) -> None:
-    """Rewrite a table partitioned by day without its old rows."""
-    kept, _ = retention_trim(df, ts, days, as_of)
-    kept.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(path)
-
-
 def summary_points(snapshot: DataFrame, measurement: str, as_of: Column) -> DataFrame:
     """One wide point per queue from a window snapshot; empty queues are absent."""
     return snapshot.filter(F.col("count") > 0).select(
@@ -154,9 +139,12 @@ def topic_message(df: DataFrame, key: str, headers: dict[str, str] | None = None
     return df.select(*cols)
 
 
-def to_topic(stream: DataFrame, key: str, target: str, checkpoint: str, fmt: str = "kafka", options: dict[str, str] | None = None):
-    """Write messages to a topic, or as JSON files where ``fmt`` is ``json``."""
-    out = topic_message(stream, key)
+def to_topic(stream: DataFrame, key: str, target: str, checkpoint: str, fmt: str = "kafka", options: dict[str, str] | None = None,
+             headers: dict[str, str] | None = None):
+    """Write messages to a topic, or as files where ``fmt`` is ``json`` or ``parquet``; ``headers`` go with each message."""
+    out = topic_message(stream, key, headers)
+    if fmt == "kafka" and headers:
+        options = {"includeHeaders": "true", **(options or {})}
     writer = out.writeStream.format(fmt).options(**(options or {})).option("checkpointLocation", checkpoint)
     writer = writer.option("topic", target) if fmt == "kafka" else writer.option("path", target)
     return writer.trigger(availableNow=True).start()

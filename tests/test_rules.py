@@ -12,6 +12,7 @@ from queuelens.operators import lookups as lk
 from queuelens.operators import ordered as od
 from queuelens.operators import rows as rw
 from queuelens.operators import select as sl
+from queuelens.session import cut_lineage
 
 AT = "2024-01-01 00:10:00"
 
@@ -174,3 +175,38 @@ def test_ab_compare_known_values(spark):
                                     (F.col("id") % 10 + F.when(F.col("id") % 2 == 0, 0).otherwise(2)).cast("double").alias("x"))
     assert ex.ab_compare(wide, "arm", "x", "id", "mannwhitneyu", draws=100).first()["recommendation"] == "deploy"
     assert ex.ab_compare(df.filter("arm = 'a'"), "arm", "x", "id", draws=20).first()["recommendation"] == "insufficient_data"
+
+
+def rounds_of(spark, monkeypatch, links):
+    """(cyclic workflows, rounds): each round writes three tables."""
+    written = []
+    monkeypatch.setattr(lk, "cut_lineage", lambda df: (written.append(1), cut_lineage(df))[1])
+    found = {r["workflow"] for r in lk.cyclic_workflows(spark.createDataFrame(links, "workflow long, src long, dst long")).collect()}
+    return found, len(written) // 3
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    chain = [(1, i, i + 1) for i in range(4096)]
+    ring = [(2, i, (i + 1) % 1000) for i in range(1000)]
+    late = [(3, i, i + 1) for i in range(500)] + [(3, 500, 480)]
+    found, rounds = rounds_of(spark, monkeypatch, chain + ring + late + [(4, 7, 7), (5, 1, 2)])
+    assert found == {2, 3, 4} and rounds <= 15
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_of_random_graphs(spark, monkeypatch, seed):
+    import random
+    draw, links, want = random.Random(seed), set(), set()
+    for w in range(60):
+        n = draw.randrange(2, 12)
+        mine = {(draw.randrange(n), draw.randrange(n)) for _ in range(draw.randrange(1, 2 * n))}
+        if w % 2:
+            mine = {(min(a, b), max(a, b)) for a, b in mine if a != b}
+        links |= {(w, a, b) for a, b in mine}
+        reach = set(mine)
+        while (more := reach | {(a, d) for a, b in reach for c, d in mine if b == c}) != reach:
+            reach = more
+        if any(a == b for a, b in reach):
+            want.add(w)
+    found, _ = rounds_of(spark, monkeypatch, sorted(links))
+    assert found == want and 0 < len(want) < 40
