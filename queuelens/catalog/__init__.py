@@ -6,7 +6,7 @@ import importlib
 
 from queuelens.catalog.registry import QUERIES, SQL
 
-MODULES = ("sources", "sinks", "rows", "lookups", "aggregates", "ordered", "select", "streams", "models")
+MODULES = ("sources", "sinks", "rows", "lookups", "aggregates", "ordered", "select", "streams", "models", "odd")
 
 
 def _load() -> None:

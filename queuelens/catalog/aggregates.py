@@ -196,11 +196,14 @@ def categorical_drift(spark, d):
 
 @query("dataset_drift", f"""WITH s AS ({NUM_SQL} UNION ALL {CAT_SQL})
     SELECT round(avg(score), 6) AS aggregate, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (score >= 0.005), '') AS flagged,
+    string_agg(feature || ':' || printf('%.6f', round(score, 6)), ',' ORDER BY feature) AS per_feature,
     (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 0) AS ref_rows,
     (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 1) AS new_rows FROM s""")
 def dataset_drift(spark, d):
     ref, new = (h.select(*NUM, *CAT) for h in halves(spark, d))
-    return ag.dataset_drift(ref, new, 0.005).drop("per_feature")
+    out = ag.dataset_drift(ref, new, 0.005)
+    scores = F.array_sort(F.map_entries(F.from_json("per_feature", "map<string,double>")))
+    return out.withColumn("per_feature", F.array_join(F.transform(scores, lambda e: F.concat(e["key"], F.lit(":"), F.format_string("%.6f", e["value"]))), ","))
 
 
 SIDE = """(SELECT avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS p50,
@@ -391,6 +394,13 @@ def ab_statistics(spark, d):
     return out.withColumns({c: r6(c) for c in ("mean_a", "mean_b", "improvement_pct", "t", "effect_size", "z")})
 
 
-@query("ab_compare")
+@query("ab_compare", f"""SELECT n_a, n_b, improvement_pct, t, abs(t) > 1.96 AS significant, CASE WHEN abs(t) <= 1.96 THEN 'inconclusive' WHEN improvement_pct > 5 THEN 'deploy' WHEN improvement_pct < -5 THEN 'reject' ELSE 'neutral' END AS recommendation,
+    true AS ci_covers, true AS ci_width_fits, true AS p_fits FROM ({AB})""")
 def ab_compare(spark, d):
-    return ex.ab_compare(arms(spark, d), "arm", "x", "event_id")
+    """The bootstrap interval is checked against the normal one, the p-value against the critical t of many rows."""
+    out = ex.ab_compare(arms(spark, d), "arm", "x", "event_id")
+    diff, width = F.col("mean_b") - F.col("mean_a"), F.col("ci_high") - F.col("ci_low")
+    normal = 2 * 1.959964 * F.abs(diff / F.col("t"))
+    return out.select("n_a", "n_b", r6("improvement_pct").alias("improvement_pct"), r6("t").alias("t"), "significant", "recommendation",
+                      ((F.col("ci_low") < diff) & (diff < F.col("ci_high"))).alias("ci_covers"), (F.abs(width / normal - 1) < 0.25).alias("ci_width_fits"),
+                      ((F.col("p_value") < 0.05) == (F.abs("t") > 1.96)).alias("p_fits"))

@@ -384,11 +384,11 @@ def hint_dedup(spark, d):
     return rw.hint_dedup(q.select("queue", (F.col("n") % 9).alias("suggested")), q.select("queue", "rate"))
 
 
-@query("replay_to_xy", """SELECT run_id || '-' || t AS id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN i <= 4 THEN embedding[i] ELSE CAST(t AS FLOAT) END AS x, CAST(reward AS FLOAT) AS y
-    FROM run_log JOIN embeddings ON vec_id = run_id, range(1, 6) r(i)""", ("run_log",))
+@query("replay_to_xy", """SELECT run_id || '-' || t AS id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN i <= 64 THEN embedding[i] ELSE CAST(t AS FLOAT) END AS x, CAST(reward AS FLOAT) AS y
+    FROM run_log JOIN embeddings ON vec_id = run_id, range(1, 66) r(i)""", ("run_log",))
 def replay_to_xy(spark, d):
     log = fx.run_log(spark, d).withColumnRenamed("run_id", "vec_id")
-    emb = fx.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("state"))
+    emb = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("state"))
     out = rw.replay_to_xy(log.join(emb, "vec_id").select(
         F.concat_ws("-", "vec_id", "t").alias("id"), "state", F.col("t").alias("action"), "reward"))
     return out.select("id", "y", F.posexplode("x").alias("pos", "x"))

@@ -26,9 +26,9 @@ def scan_csv(spark, d):
     return scan.scan_csv(spark, path, li.schema).withColumn("l_shipdate", fx.plain("l_shipdate"))
 
 
-@query("scan_jsonl", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("scan_jsonl", "SELECT * FROM events")
 def scan_jsonl(spark, d):
-    ev = fx.table(spark, d, "events").drop("props")
+    ev = fx.table(spark, d, "events")
     path = scratch_path(spark, "jsonl")
     line = F.to_json(F.struct("*"), {"timestampFormat": sinks.JSON_TIME})
     broken = ev.filter(F.col("event_id") % 9 == 0).select(F.concat(F.substring(line, 1, 20), F.lit("...")))

@@ -29,9 +29,9 @@ def point_stream(spark, d):
         F.create_map(F.lit("k"), fx.k_of().cast("string"), F.lit("user"), F.col("user_id").cast("string")).alias("labels"), "value", "ts")
 
 
-@query("stream_source", "SELECT event_id, user_id, event_type, value, ts FROM events")
+@query("stream_source", "SELECT * FROM events")
 def stream_source(spark, d):
-    return jobs.run_to_table(event_stream(spark, d).drop("props"), "source").withColumn("ts", fx.plain("ts"))
+    return jobs.run_to_table(event_stream(spark, d), "source").withColumn("ts", fx.plain("ts"))
 
 
 @query("micro_batch_sink", "SELECT event_type, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1")
@@ -41,12 +41,17 @@ def micro_batch_sink(spark, d):
     return spark.read.parquet(base).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("id_sum"))
 
 
-@query("stream_sink", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1")
+@query("stream_sink", """SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS id_sum, count(*) AS from_here, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum
+    FROM events GROUP BY 1""")
 def stream_sink(spark, d):
+    """Messages with a header each; the value's own JSON text is read back from inside the message."""
     path = scratch_path(spark, "topic")
-    sinks.to_topic(event_stream(spark, d), "user_id", path, scratch_path(spark, "topic-checkpoint"), "json").awaitTermination()
-    return spark.read.schema("key string, value string").json(path).groupBy("key").agg(
-        F.count(F.lit(1)).alias("messages"), F.sum(F.get_json_object("value", "$.event_id").cast("long")).alias("id_sum"))
+    sinks.to_topic(event_stream(spark, d), "user_id", path, scratch_path(spark, "topic-checkpoint"), "parquet", headers={"origin": "here"}).awaitTermination()
+    origin = F.filter("headers", lambda h: h["key"] == "origin")[0]["value"].cast("string")
+    number = lambda text, at: F.get_json_object(text, at).cast("long")
+    return spark.read.parquet(path).groupBy("key").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(number("value", "$.event_id")).alias("id_sum"), F.count_if(origin == "here").alias("from_here"),
+        F.sum(number(F.get_json_object("value", "$.props"), "$.k")).alias("k_sum"))
 
 
 @query("stream_rollup", """WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 60) * 60) AT TIME ZONE 'UTC' AS window_start, name, '{"k":"' || k || '","user":"' || user_id || '"}' AS labels, value FROM metric_points)
@@ -85,14 +90,17 @@ def stream_dedup(spark, d):
     return jobs.run_to_table(jobs.stream_dedup(twice, "event_id"), "dedup").select("event_id", "event_type", "value")
 
 
-@query("late_policy")
+@query("late_policy", """WITH b AS (SELECT event_id % 4 AS batch_id, ts FROM events), m AS (SELECT batch_id, max(ts) AS top FROM b GROUP BY 1), u AS (SELECT batch_id, max(top) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m)
+    SELECT batch_id, count(*) AS rows, count(*) FILTER (ts < top - INTERVAL 20 DAY) AS late FROM b JOIN u USING (batch_id) GROUP BY 1""")
 def late_policy(spark, d):
+    """Four batches that cover the same month: from the second on, rows more than 20 days older than the newest are late."""
     ev = fx.table(spark, d, "events")
-    source = scratch_path(spark, "shuffled")
-    ev.repartition(8, F.xxhash64("event_id")).write.parquet(source)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    source = scratch_path(spark, "batches")
+    for low in range(4):  # one after the other: files are taken in the order they were written
+        ev.filter(F.col("event_id") % 4 == low).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(source)
     base = scratch_path(spark, "late")
-    jobs.late_rows(stream, 86400, base, scratch_path(spark, "late-checkpoint"))
+    jobs.late_rows(stream, 20 * 86400, base, scratch_path(spark, "late-checkpoint"))
     return spark.read.parquet(f"{base}/late/*")
 
 
@@ -113,14 +121,15 @@ def stream_retry_dlq(spark, d):
 
 @query("dlq_replay", """WITH q AS (SELECT task_id, concat_ws(':', 'queue', tenant, task_type) AS queue_key, created_at, status FROM tasks), b AS (SELECT queue_key, count(*) AS n FROM q WHERE status = 'pending' GROUP BY 1),
     d AS (SELECT q.*, coalesce(n, 0) <= 200 AND created_at <= TIMESTAMP '2000-01-01' - INTERVAL 120 SECOND AS ok FROM q LEFT JOIN b USING (queue_key) WHERE status = 'dead'),
-    r AS (SELECT *, row_number() OVER (PARTITION BY queue_key, ok ORDER BY created_at, task_id) AS rn FROM d) SELECT task_id, queue_key, CASE WHEN ok AND rn <= 3 THEN 'replay' ELSE 'stay' END AS action FROM r""", ("tasks",))
+    r AS (SELECT *, row_number() OVER (PARTITION BY queue_key, ok ORDER BY created_at, task_id) AS rn FROM d) SELECT task_id, queue_key, CASE WHEN ok AND rn <= 3 THEN 'replay' ELSE 'stay' END AS action, '{"task":' || task_id || '}' AS payload FROM r""", ("tasks",))
 def dlq_replay(spark, d):
     t = fx.tasks(spark, d).withColumn("queue_key", queue_key("tenant", "task_type"))
-    dead = t.filter(F.col("status") == "dead").select("task_id", "queue_key", F.col("created_at").alias("ts"), F.lit("timeout").alias("error"))
+    dead = t.filter(F.col("status") == "dead").select("task_id", "queue_key", F.col("created_at").alias("ts"), F.lit("timeout").alias("error"),
+                                                      F.concat(F.lit('{"task":'), F.col("task_id").cast("string"), F.lit("}")).alias("payload"))
     backlog = t.filter(F.col("status") == "pending").groupBy("queue_key").agg(F.count(F.lit(1)).alias("backlog"))
     go, stay = jobs.dlq_replay(dead, backlog, at("2000-01-01 00:00:00"), 3, 120, 200)
-    return go.select("task_id", "queue_key", F.lit("replay").alias("action")).unionByName(
-        stay.select("task_id", "queue_key", F.lit("stay").alias("action")))
+    return go.select("task_id", "queue_key", F.lit("replay").alias("action"), "payload").unionByName(
+        stay.select("task_id", "queue_key", F.lit("stay").alias("action"), "payload"))
 
 
 DEADLINE_SQL = """WITH e AS (SELECT task_id, event, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS nx FROM task_history)

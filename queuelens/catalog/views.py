@@ -7,6 +7,8 @@ K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 VIEWS = {
     "metric_points": f"""SELECT event_id AS key, event_type AS name, {K} AS k, user_id, value, ts,
         'events' AS source FROM events""",
+    "odd_points": """SELECT event_id + 9007199254740993 AS key, CASE WHEN user_id % 5 <> 0 THEN event_type END AS name,
+        CASE WHEN event_id % 7 <> 0 THEN floor(value) END AS value, date_trunc('hour', ts) AS ts FROM events""",
     "task_history": """SELECT event_id, user_id AS task_id, CASE event_type WHEN 'error' THEN 'fail'
         WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'dequeue' ELSE 'ack' END AS event, ts FROM events""",
     "telemetry": f"""SELECT ts AS "timestamp", user_id AS run_id, event_id AS task_id, event_type AS task_type,

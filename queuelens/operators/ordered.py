@@ -27,10 +27,21 @@ GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
 # --- rolling features and labels ----------------------------------------
 
 def rolling_features(df: DataFrame, by: Sequence[str], windows: Sequence[int] = (60, 300), ts: str = "timestamp",
-                     slice_rows: int = SLICE_ROWS) -> DataFrame:
+                     slice_rows: int = SLICE_ROWS, scale: int = 1000) -> DataFrame:
     """Mean, deviation, count of duration and mean, deviation of queue length
-    over ``(t - w, t]`` per key; missing values are 0."""
-    dur, queue = F.col("duration_ms").cast("long"), F.col("queue_length").cast("long")
+    over ``(t - w, t]`` per key; missing values are 0.
+
+    Values are taken to ``1 / scale``, as whole numbers, so that sums are exact;
+    a value times ``scale`` may be up to 3e9, beyond that an error is raised. NaN
+    counts as missing.
+    """
+    def whole(c: str) -> Column:
+        x = F.col(c).cast("double")
+        fits = F.round(x * scale).cast("long")
+        checked = F.when(F.abs(x * scale) > 3e9, F.raise_error(F.concat(F.lit(f"{c} is too large for scale {scale}: "), x.cast("string"))).cast("long")).otherwise(fits)
+        return F.when(~F.isnan(x), checked)
+
+    dur, queue = whole("duration_ms"), whole("queue_length")
     out = sweep_frame(df, by, ts, {f"_w{w}": (w * 1_000_000 - 1, 0) for w in windows}, {
         "dn": dur.isNotNull(), "ds": F.coalesce(dur, F.lit(0)), "qn": queue.isNotNull(), "qs": F.coalesce(queue, F.lit(0))},
         {"dq": F.coalesce(dur, F.lit(0)), "qq": F.coalesce(queue, F.lit(0))}, slice_rows)
@@ -39,8 +50,8 @@ def rolling_features(df: DataFrame, by: Sequence[str], windows: Sequence[int] =
         c = lambda x: F.col(f"_w{w}_{x}")
         for name, tag in (("dur", "d"), ("queue", "q")):
             mean = c(f"{tag}s").cast("double") / F.nullif(c(f"{tag}n").cast("double"), F.lit(0.0))
-            made[f"{name}_mean_{w}"] = F.coalesce(mean, F.lit(0.0))
-            made[f"{name}_std_{w}"] = F.coalesce(deviation(c(f"{tag}n"), c(f"{tag}s"), c(f"{tag}q"), True), F.lit(0.0))
+            made[f"{name}_mean_{w}"] = F.coalesce(mean / scale, F.lit(0.0))
+            made[f"{name}_std_{w}"] = F.coalesce(deviation(c(f"{tag}n"), c(f"{tag}s"), c(f"{tag}q"), True) / scale, F.lit(0.0))
         made[f"dur_count_{w}"] = c("dn").cast("long")
     return out.select(*df.columns, *[v.alias(k) for k, v in made.items()])
 

@@ -183,17 +183,18 @@ def backoff_schedule(df: DataFrame, attempts: int | Column, base: float = 1.0, f
 def policy_stats(points: DataFrame, policies: DataFrame, as_of) -> DataFrame:
     """Count and p90 of each policy's metric over twice its cooldown.
 
-    Points and policies meet on the metric name; a policy without points gets
-    p90 0.
+    Points meet each distinct (metric, span) once, however many policies share
+    it; a policy without points gets p90 0.
     """
-    spans = policies.select("policy_id", "metric", (F.col("cooldown_s") * 2).alias("_span"))
+    spans = policies.select("metric", (F.col("cooldown_s") * 2).alias("_span")).distinct()
     longest = spans.agg(F.max("_span")).first()[0] or 0  # one number, so that the scan is bounded
     age = (F.unix_micros(F.lit(as_of)) - F.unix_micros("ts")) / 1e6
     recent = points.filter((F.col("ts") <= F.lit(as_of)) & (F.col("ts") >= F.lit(as_of) - F.expr(f"INTERVAL {int(longest)} SECONDS")))
     hit = (recent.join(spans, points["name"] == spans["metric"])
-           .filter(age <= F.col("_span")).select("policy_id", "value"))
-    p90 = order_stats(hit, ["policy_id"], "value", {"p90": lambda n: F.greatest(F.floor(n * F.lit(0.9)) - 1, F.lit(0))})
-    return policies.join(p90, "policy_id", "left").fillna(0.0, ["p90"])
+           .filter(age <= F.col("_span")).select("metric", "_span", "value"))
+    p90 = order_stats(hit, ["metric", "_span"], "value", {"p90": lambda n: F.greatest(F.floor(n * F.lit(0.9)) - 1, F.lit(0))})
+    joined = policies.withColumn("_span", F.col("cooldown_s") * 2).join(p90, ["metric", "_span"], "left").fillna(0.0, ["p90"])
+    return joined.select(*policies.columns, "p90")
 
 
 def desired_replicas(stats: DataFrame) -> DataFrame:

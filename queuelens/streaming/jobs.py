@@ -45,23 +45,27 @@ def stream_dedup(stream: DataFrame, key: str, delay: str = "1 hour") -> DataFram
 def late_rows(stream: DataFrame, delay_seconds: int, base: str, checkpoint: str) -> None:
     """Count rows older than the newest time of earlier batches minus a delay.
 
-    What earlier batches saw is kept in a table beside the counts, one folder
-    per batch, so a replayed or restarted batch gives the same answer.
+    What earlier batches saw is one number a batch, the newest time so far, in a
+    folder of the batch beside the counts. A batch reads that of the one before
+    it, so a replayed or restarted batch gives the same answer, and removes the
+    one before that.
     """
     spark = stream.sparkSession
     progress, counts = f"{base}/progress", f"{base}/late"
-    schema = "batch_id long, newest long"
+    schema = "newest long"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = spark.read.schema(schema).parquet(f"{progress}/*") if batch_id else spark.createDataFrame([], schema)
-        before = seen.filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        before = spark.read.schema(schema).parquet(f"{progress}/b{batch_id - 1}").first()["newest"] if batch_id else None
         us = micros("ts")
         late = F.lit(False) if before is None else us < before - delay_seconds * 1_000_000
-        out = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"), F.max(us).alias("newest")).select(
-            F.lit(batch_id).cast("long").alias("batch_id"), "rows", "late", "newest").first()
-        spark.createDataFrame([(out["batch_id"], out["rows"], out["late"])], "batch_id long, rows long, late long").write.mode(
+        out = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"), F.max(us).alias("newest")).first()
+        newest = max((t for t in (before, out["newest"]) if t is not None), default=None)
+        spark.createDataFrame([(batch_id, out["rows"], out["late"])], "batch_id long, rows long, late long").write.mode(
             "overwrite").parquet(f"{counts}/b{batch_id}")
-        spark.createDataFrame([(out["batch_id"], out["newest"])], schema).write.mode("overwrite").parquet(f"{progress}/b{batch_id}")
+        spark.createDataFrame([(newest,)], schema).write.mode("overwrite").parquet(f"{progress}/b{batch_id}")
+        if batch_id > 1:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{progress}/b{batch_id - 2}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -97,7 +101,8 @@ def dlq_replay(dlq: DataFrame, backlog: DataFrame, as_of, limit: int = 200, min_
     """Entries to replay, oldest first, and the entries that stay.
 
     A queue replays only while its backlog is small and the scaling hint low.
-    Only replayed entries leave the DLQ.
+    Only replayed entries leave the DLQ; they keep all their columns, the payload
+    among them, and are marked with where they come from.
     """
     limit_early(dlq, limit)
     aged = (dlq.join(backlog, "queue_key", "left").fillna(0, ["backlog"])
@@ -105,7 +110,7 @@ def dlq_replay(dlq: DataFrame, backlog: DataFrame, as_of, limit: int = 200, min_
                         & (F.col("backlog") <= max_backlog) & F.lit(hint <= max_hint)))
     spec = Window.partitionBy("queue_key").orderBy("ts", "task_id")
     chosen = (aged.filter("_ok").withColumn("_r", F.row_number().over(spec)).filter(F.col("_r") <= limit)
-              .select("task_id", "queue_key", F.col("task_id").alias("dlq_original_id"), F.col("error").alias("dlq_error"),
+              .select(*dlq.columns, F.col("task_id").alias("dlq_original_id"), F.col("error").alias("dlq_error"),
                       F.lit(as_of).alias("dlq_replayed_ts")))
     stays = dlq.join(chosen.select("task_id"), "task_id", "left_anti")
     return chosen, stays
