@@ -137,7 +137,7 @@ def _compared(send: object, key: str) -> Callable[[Iterator[pd.DataFrame]], Iter
             if out:
                 yield _frame(out)
         if before is not None:
-            yield _frame([(before[0], len(before[1]), None, before[2].tobytes().hex(), None, None, None, head, before[1])])
+            yield _frame([(before[0], len(before[1]), None, before[2].tobytes(), None, None, None, head, before[1])])
 
     return run
 
@@ -146,12 +146,12 @@ def _row(make: Fingerprints, row: tuple, following: str, next_print: np.ndarray)
     doc, text, mine = row
     changed = edited(text, following)
     other = make.of(changed)
-    return (doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), mine.tobytes().hex(), other.tobytes().hex(),
+    return (doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), mine.tobytes(), other.tobytes(),
             alike(mine, other), alike(mine, next_print), None, None)
 
 
 COLUMNS = ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "head", "tail"]
-SCHEMA = ("doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+SCHEMA = ("doc long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, "
           "near_next double, head string, tail string")
 
 
@@ -179,7 +179,7 @@ def fingerprints(docs: DataFrame, spark: SparkSession, low: float = LOW, high: f
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Fingerprints(send.value)
         for part in batches:
-            out = [_row(make, (d, t, np.frombuffer(bytes.fromhex(f), "<u2")), h, make.of(h))
+            out = [_row(make, (d, t, np.frombuffer(f, "<u2")), h, make.of(h))
                    for d, t, f, h in zip(part["doc"].tolist(), part["tail"], part["fingerprint"], part["following"], strict=True)]
             if out:
                 yield _frame(out)
@@ -192,4 +192,5 @@ def fingerprints(docs: DataFrame, spark: SparkSession, low: float = LOW, high: f
     closing = (ends.drop("head").join(pairs, "part").join(heads.select(F.col("part").alias("then"), F.col("head").alias("following")), "then")
                .select("doc", "tail", "fingerprint", "following").mapInPandas(close, SCHEMA))
     whole = made.filter(F.col("tail").isNull()).drop("part").unionByName(closing).drop("head", "tail")
-    return whole.withColumnRenamed("doc", key)
+    text_of = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return whole.withColumns(text_of).withColumnRenamed("doc", key)
