@@ -21,7 +21,7 @@ HEADLINE = [
     "invoice_totals", "estimate_invoices", "queue_depth", "priority_order", "retry_decision", "fuse_scores", "rolling_features",
     "latency_bucket_label", "rate_limit_flags", "anomaly_flags", "moving_average", "ewma", "cooldown_filter", "circuit_breaker",
     "dataset_drift", "distribution_drift", "ab_statistics", "regression_metrics", "timing_summary", "dag_check", "tree_diff",
-    "stream_rollup", "stream_sliding", "train_predictor", "token_bucket", "training_set", "train_val_test", "visibility_timeout",
+    "stream_rollup", "stream_sliding", "train_predictor", "token_bucket", "training_set", "train_val_test", "visibility_timeout", "upsert_latest",
 ]
 
 

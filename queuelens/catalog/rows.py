@@ -351,9 +351,9 @@ def config_stability(spark, d):
         k.alias("version_id"), F.when(s % 4 == 0, 0.99).when(s % 4 == 1, 0.995).when(s % 4 == 2, 0.97).alias("gamma"),
         F.when(s % 3 == 0, 0.97).when(s % 3 == 1, 0.95).otherwise(0.9).alias("lam"),
         F.when(k % 5 == 0, 0.001).when(k % 5 == 1, 0.0005).otherwise(0.0003).alias("lr"),
-        F.when(k % 7 == 0, 4096).when(k % 7 == 1, 1024).otherwise(2048).alias("steps"),
-        (k % 3 != 0).alias("clipped_value_loss"), (s / 100.0).alias("value_coef"), (k % 11 != 0).alias("norm_advantages"),
-        (k % 13 != 0).alias("norm_observations"), (k % 17 != 0).alias("norm_rewards"),
+        F.when(k % 7 == 0, 4096).when(k % 7 == 1, 1024).otherwise(2048).alias("steps_per_epoch"),
+        (k % 3 != 0).alias("use_clipped_value_loss"), (s / 100.0).alias("value_coef"), (k % 11 != 0).alias("normalize_advantages"),
+        (k % 13 != 0).alias("normalize_observations"), (k % 17 != 0).alias("normalize_rewards"),
         F.when(k % 4 != 0, s / 20.0).alias("max_grad_norm"), (s * 5.0 - 120).alias("value_mean"), (s / 400.0).alias("kl_div"))
     out = rw.metric_stability(rw.config_stability(runs))
     return out.select("version_id", "stability_score", "stable", "issues", "metric_issues", "metrics_stable")

@@ -234,8 +234,8 @@ def coupon_valid(coupons: DataFrame, redemptions: DataFrame, as_of) -> DataFrame
 
 
 # Stable settings, limits above (or below) which a run is unsafe, and score penalties.
-STABLE = {"gamma": 0.99, "lam": 0.95, "steps": 2048}
-UNSAFE = {"gamma": 0.995, "lam": 0.97, "lr": 1e-3, "steps": 4096, "value_coef": 0.25}
+STABLE = {"gamma": 0.99, "lam": 0.95, "steps_per_epoch": 2048}
+UNSAFE = {"gamma": 0.995, "lam": 0.97, "lr": 1e-3, "steps_per_epoch": 4096, "value_coef": 0.25}
 USUAL_LR = (3e-4, 1e-4)
 
 
@@ -245,9 +245,9 @@ def config_stability(runs: DataFrame) -> DataFrame:
     A run without any setting has no configuration: it loses 20 points and stays stable.
     """
     c = F.col
-    settings = ("gamma", "lam", "lr", "steps", "clipped_value_loss", "value_coef", "norm_advantages", "norm_observations", "norm_rewards", "max_grad_norm")
+    settings = ("gamma", "lam", "lr", "steps_per_epoch", "use_clipped_value_loss", "value_coef", "normalize_advantages", "normalize_observations", "normalize_rewards", "max_grad_norm")
     given = F.coalesce(*[c(x).cast("string") for x in settings]).isNotNull()
-    clipped = F.coalesce(c("clipped_value_loss"), F.lit(True))
+    clipped = F.coalesce(c("use_clipped_value_loss"), F.lit(True))
     checks = [  # (name, condition, penalty, makes unstable)
         ("gamma_high", c("gamma") >= UNSAFE["gamma"], 40, True),
         ("gamma_off", (c("gamma") < UNSAFE["gamma"]) & (F.abs(c("gamma") - STABLE["gamma"]) > 0.01), 10, False),
@@ -255,13 +255,13 @@ def config_stability(runs: DataFrame) -> DataFrame:
         ("lam_off", (c("lam") < UNSAFE["lam"]) & (F.abs(c("lam") - STABLE["lam"]) > 0.01), 10, False),
         ("lr_high", c("lr") >= UNSAFE["lr"], 40, True),
         ("lr_off", (c("lr") < UNSAFE["lr"]) & ~c("lr").isin(*USUAL_LR), 10, False),
-        ("steps_high", c("steps") >= UNSAFE["steps"], 30, True),
-        ("steps_off", (c("steps") < UNSAFE["steps"]) & (c("steps") != STABLE["steps"]), 5, False),
+        ("steps_high", c("steps_per_epoch") >= UNSAFE["steps_per_epoch"], 30, True),
+        ("steps_off", (c("steps_per_epoch") < UNSAFE["steps_per_epoch"]) & (c("steps_per_epoch") != STABLE["steps_per_epoch"]), 5, False),
         ("value_coef_low", ~clipped & (c("value_coef") <= UNSAFE["value_coef"]), 50, True),
-        ("value_loss_not_clipped", ~F.coalesce(c("clipped_value_loss"), F.lit(False)), 50, True),
-        ("advantages_raw", ~F.coalesce(c("norm_advantages"), F.lit(True)), 10, False),
-        ("observations_raw", ~F.coalesce(c("norm_observations"), F.lit(True)), 40, True),
-        ("rewards_raw", ~F.coalesce(c("norm_rewards"), F.lit(True)), 10, False),
+        ("value_loss_not_clipped", ~F.coalesce(c("use_clipped_value_loss"), F.lit(False)), 50, True),
+        ("advantages_raw", ~F.coalesce(c("normalize_advantages"), F.lit(True)), 10, False),
+        ("observations_raw", ~F.coalesce(c("normalize_observations"), F.lit(True)), 40, True),
+        ("rewards_raw", ~F.coalesce(c("normalize_rewards"), F.lit(True)), 10, False),
         ("grad_norm", c("max_grad_norm").isNull() | (c("max_grad_norm") > 1.0), 10, False),
     ]
     hit = [(n, given & F.coalesce(cond, F.lit(False)), p, bad) for n, cond, p, bad in checks] + [("config_missing", ~given, 20, False)]

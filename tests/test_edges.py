@@ -55,7 +55,7 @@ def test_promotion_without_a_baseline(spark):
 
 
 def test_a_run_without_configuration(spark):
-    names = ("gamma double, lam double, lr double, steps int, clipped_value_loss boolean, value_coef double, norm_advantages boolean, "
-             "norm_observations boolean, norm_rewards boolean, max_grad_norm double")
+    names = ("gamma double, lam double, lr double, steps_per_epoch int, use_clipped_value_loss boolean, value_coef double, normalize_advantages boolean, "
+             "normalize_observations boolean, normalize_rewards boolean, max_grad_norm double")
     out = rw.config_stability(spark.createDataFrame([(None,) * 10], names)).first()
     assert (out["stability_score"], out["stable"], out["issues"]) == (80.0, True, "config_missing")
