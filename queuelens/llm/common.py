@@ -35,6 +35,14 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % HOLDOUT_EVERY == 0, F.lit(True))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def label_of(marks: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
     """One (key, _label) per id: rows without an id or label are left out, the larger of two labels holds."""
     return (marks.filter(F.col(key).isNotNull() & F.col(name).isNotNull())

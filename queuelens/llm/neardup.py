@@ -1,15 +1,20 @@
 """Near-duplicates by an inverted join on MinHash coordinates.
 
 Texts are sets of word shingles; equal sets form a class, and one text stands for each class. Its signature has
-``COORDINATES`` minima. Texts are posted under pairs of neighbouring coordinates and their values: two signatures
-that agree in at least ``MATCHES`` places differ in so few that at least ``HALF - (COORDINATES - MATCHES)`` of the
-``HALF`` pairs agree whole, so the pairs of a prefix suffice to bring them together (prefix merging), and a list of one
-text is skipped. Matching coordinates are counted for the pairs met; those with enough matches are confirmed on
-their full sets.
-
-Lists are joined in two passes, so that a group of copies never spreads into all its pairs. First every text of a list
-is held against the list's first text only. Lists whose texts are thereby one component are done. In the others, texts
-of different components are compared, in tiles of bounded size, so that a very long list becomes many tasks.
+``COORDINATES`` minima, and the text is posted under each coordinate with its value. Of these lists those with one
+text are skipped. The others are put in order by their length, rarest first: two signatures that agree in at least
+``MATCHES`` places must then meet in one of the first ``COORDINATES - MATCHES + 1`` lists of both, so only this prefix
+is joined, and a passage that very many texts share, whose lists are the longest, never brings them together.
+Collisions in the joined lists are counted for each pair; the long lists left out are merged in by comparing the two
+signatures, and pairs with enough matches are confirmed on their full sets.
+
+Lists are joined so that a group of copies never spreads into all its pairs. Every text of a list is held against the
+list's most central text, the one whose lists are longest altogether: in a group of edited copies that is the text
+they were made from. Lists whose texts are thereby one component are done. In the others the texts outside of the
+largest component are compared with all, in tiles of bounded size and by a second signature that rules out what is
+clearly less similar, so that few of these pairs leave their tile.
+
+With ``MATCHES`` of 36 in 64, a pair of similarity 0.8 is missed with a probability of 4 in a million (binomial).
 """
 
 from __future__ import annotations
@@ -25,12 +30,20 @@ from queuelens.llm.common import WordHashes, mixed
 from queuelens.session import cut_lineage
 
 COORDINATES, MATCHES = 64, 36
-HALF = COORDINATES // 2
-#: So many coordinate pairs that two signatures with MATCHES equal places must share one.
-PREFIX = HALF - (HALF - (COORDINATES - MATCHES)) + 1
+#: Two signatures with MATCHES equal places share one of so many lists, whatever the order of all lists.
+PREFIX = COORDINATES - MATCHES + 1
+#: Parts of the range of hashes whose smallest members make up a text's second, short signature.
+BINS = 256
+#: Standard deviations below the wanted similarity at which the second signature rules a pair out.
+DOUBT = 5.0
+#: Texts outside of a list's largest component that one task compares with others at a time.
 TILE = 256
-#: The first text of a list is drawn by one of so many hashes, so that lists of one group have different firsts.
-PIVOTS = 4
+#: The links of one text are confirmed by up to so many tasks.
+SPREAD = 16
+#: Times that every list is held against a central text before the rest is compared directly.
+STARS = 2
+#: Words that a task remembers, some 200 bytes each.
+WORDS = 100_000
 SEED = 0x5EED
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -60,6 +73,30 @@ def signature(h: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarra
     return (low >> np.uint64(32)).astype("<u4")
 
 
+def bins_of(h: np.ndarray) -> bytes:
+    """A byte of the smallest hash in each of ``BINS`` equal parts of the range, 0 for a part without a hash."""
+    spread = np.sort(mixed(h ^ np.uint64(SEED + 1)))
+    starts = np.searchsorted(spread, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
+    ends = np.append(starts[1:], len(spread))
+    first = spread[np.minimum(starts, len(spread) - 1)]
+    return np.where(ends > starts, first % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
+
+
+def plausible(mine: np.ndarray, others: np.ndarray, n: int, ns: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``ns`` members with these bins may be as similar as wanted.
+
+    The share of equal bins among those in use is the similarity of a sample of the union, drawn without
+    replacement: pairs more than DOUBT standard deviations below ``percent`` are ruled out (3 in ten million of those
+    exactly at it). Small sets have nearly all of their members in bins of their own and are judged almost exactly.
+    """
+    wanted = percent / 100
+    used = ((others != 0) | (mine != 0)).sum(axis=1)
+    same = ((others == mine) & (mine != 0)).sum(axis=1)
+    union = np.maximum((n + ns) / (1 + wanted), used)
+    deviation = np.sqrt(wanted * (1 - wanted) / np.maximum(used, 1) * (1 - used / union)) + 0.1 / np.maximum(used, 1)
+    return same >= (wanted - DOUBT * deviation) * used
+
+
 def _sets(texts: list[str | None], hashes: WordHashes, width: int) -> Iterator[np.ndarray]:
     for text in texts:
         yield shingle_set(hashes((text or "").encode().translate(LOWER).split()), width)
@@ -72,113 +109,132 @@ def set_hash(h: np.ndarray, seed: int) -> int:
 
 def _signed(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, (factor, shift) = WordHashes(), permutations()
+        hashes, (factor, shift) = WordHashes(WORDS), permutations()
         for rows in batches:
-            out = [(len(h), set_hash(h, SEED), signature(h, factor, shift).tobytes()) if len(h) else (0, 0, None)
+            out = [(len(h), set_hash(h, SEED), signature(h, factor, shift).view("<i4"), bins_of(h)) if len(h) else (0, 0, None, None)
                    for h in _sets(rows["text"].tolist(), hashes, width)]
-            made = pd.DataFrame(out, columns=["n", "node", "sig"])
+            made = pd.DataFrame(out, columns=["n", "node", "sig", "bins"])
             made.insert(0, "id", rows["id"].astype("Int64"))
             yield made
 
     return run
 
 
-def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each text and prefix pair: the pair's place and values in one hash."""
-    place = np.arange(PREFIX, dtype=np.uint64)
-    for rows in batches:
-        if len(rows):
-            sigs = np.frombuffer(b"".join(rows["sig"]), "<u4").reshape(-1, COORDINATES)[:, :2 * PREFIX].astype(np.uint64)
-            keys = mixed(mixed((sigs[:, 0::2] << np.uint64(32)) | sigs[:, 1::2]) + place).view(np.int64)
-            yield pd.DataFrame({"key": keys.reshape(-1), "id": np.repeat(rows["id"].to_numpy(), PREFIX)})
+def _stretches(rows: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(values, rows) of each stretch of rows that agree in ``columns``."""
+    tag = rows[columns].to_numpy()
+    cuts = [0, *(np.flatnonzero((tag[1:] != tag[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+    return ((tuple(tag[s].tolist()), rows.iloc[s:e]) for s, e in zip(cuts, cuts[1:]) if e > s)
+
+
+def _confirmed(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links from rows sorted by (a, salt, role): the set of ``a`` comes first and is kept while the others pass."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, mine = None, None
+        for rows in batches:
+            found = []
+            for (a, salt, role), part in _stretches(rows, ["a", "salt", "role"]):
+                if role == 0:
+                    where, mine = (a, salt), np.frombuffer(part["set"].iloc[0], np.uint64)
+                    continue
+                if where != (a, salt):
+                    raise ValueError("a set is missing")
+                for b, other in zip(part["b"].tolist(), part["set"], strict=True):
+                    other = np.frombuffer(other, np.uint64)
+                    both = np.concatenate([mine, other])
+                    both.sort()
+                    same = int((both[1:] == both[:-1]).sum())
+                    if 100 * same >= percent * (len(mine) + len(other) - same):
+                        found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
+    return run
 
-def _matching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        if len(rows):
-            a, b = (np.frombuffer(b"".join(rows[c]), "<u4").reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-            yield rows.loc[(a == b).sum(axis=1) >= MATCHES, ["a", "b"]]
 
+def _tile_pairs(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Plausible pairs of different components, from rows sorted by (key, one, two, role).
 
-def _confirmed(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    The texts of role 0, ``TILE`` or so, are held; those of role 1 pass by in batches.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, held = None, None
         for rows in batches:
-            keep = np.zeros(len(rows), bool)
-            for i, (x, y) in enumerate(zip(rows["set_a"], rows["set_b"], strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
-            yield rows.loc[keep, ["a", "b"]]
+            found = []
+            for (key, one, two, role), part in _stretches(rows, ["key", "one", "two", "role"]):
+                these = [part["id"].to_numpy(), part["comp"].to_numpy(), part["n"].to_numpy(),
+                         np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), BINS)]
+                if role == 0:
+                    held = [np.concatenate(x) for x in zip(held, these)] if where == (key, one, two) else these
+                    where = (key, one, two)
+                    continue
+                if where != (key, one, two):
+                    raise ValueError("a tile is incomplete")
+                ids, comps, ns, bins = these
+                for mine, comp, n, own in zip(*held):
+                    able = np.flatnonzero((comps != comp) & (100 * np.minimum(n, ns) >= percent * np.maximum(n, ns)))
+                    hit = able[plausible(own, bins[able], n, ns[able], percent)]
+                    found.append(np.stack([np.full(len(hit), mine), ids[hit]], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
 
 
-def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components with enough matches, from rows sorted by (key, one, two).
+def prefix_lists(nodes: DataFrame) -> DataFrame:
+    """(key, id, central): the lists of each text's prefix that hold two texts or more.
 
-    A tile is compared blockwise; its rows are those of one list that were dealt to the parts ``one`` and ``two``.
+    ``central`` is the length of all lists of a text together.
     """
-    def pairs(tile: pd.DataFrame) -> pd.DataFrame:
-        sigs = np.frombuffer(b"".join(tile["sig"]), "<u4").reshape(-1, COORDINATES)
-        ids, comps = tile["id"].to_numpy(), tile["comp"].to_numpy()
-        found_a, found_b = [], []
-        for i in range(len(ids) - 1):
-            other = np.flatnonzero(comps[i + 1:] != comps[i]) + i + 1
-            hit = other[(sigs[other] == sigs[i]).sum(axis=1) >= MATCHES] if len(other) else other
-            found_a.append(np.full(len(hit), ids[i]))
-            found_b.append(ids[hit])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    rest = None
-    for rows in batches:
-        rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-        if not len(rows):
-            continue
-        tag = rows[["key", "one", "two"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (tag[1:] != tag[:-1]).any(axis=1)])
-        out = [pairs(rows.iloc[s:e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        rest = rows.iloc[starts[-1]:]
-        if out:
-            yield pd.concat(out, ignore_index=True).drop_duplicates()
-    if rest is not None and len(rest):
-        yield pairs(rest)
+    postings = nodes.select("id", F.posexplode("sig").alias("c", "v")).select("id", F.xxhash64("c", "v").alias("key"))
+    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    own = postings.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("lists"), F.sum("size").alias("central"))
+    # lists of one text are a text's rarest and take up its prefix first
+    left = F.size("lists") - (COORDINATES - PREFIX)
+    members = cut_lineage(own.filter(left > 0).select("id", "central", F.explode(F.slice("lists", F.lit(1), left)).alias("l")).select("l.key", "id", "central"))
+    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return members.join(met, "key", "left_semi")
 
 
 def confirm(candidates: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """The candidate pairs (a, b) of nodes whose signatures agree enough and whose full sets are similar enough."""
-    sigs = nodes.select("id", "sig")
-    with_sigs = (candidates.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-                 .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    likely = cut_lineage(with_sigs.select("a", "b", "sig_a", "sig_b").mapInPandas(_matching, "a long, b long"))
+    """The candidate pairs (a, b) of nodes whose signatures agree enough and whose full sets are similar enough.
+
+    ``a`` is the side that has many partners: its set is sent once to each task that confirms some of them.
+    """
+    sigs = nodes.select("id", "sig", "n")
+    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    likely = cut_lineage(
+        candidates.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a")
+        .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
+        .filter(near & (same >= MATCHES)).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int").alias("salt")))
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = nodes.join(needed, "id", "left_semi").select(F.col("rep").alias("id")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS)
         for part in batches:
             made = [(set_hash(h, SEED), h.tobytes()) for h in _sets(part["text"].tolist(), hashes, width)]
             yield pd.DataFrame(made, columns=["id", "set"])
 
     full = cut_lineage(rows.join(wanted, "id", "left_semi").select("text").mapInPandas(sets, "id long, set binary"))
-    full = full.groupBy("id").agg(F.first("set").alias("set"))  # rows that repeat an id
-    both = (likely.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"))
-    return cut_lineage(both.select("a", "b", "set_a", "set_b").mapInPandas(_confirmed(percent), "a long, b long"))
+    if not full.groupBy("id").count().filter("count > 1").isEmpty():  # rows that repeat an id
+        full = full.dropDuplicates(["id"])
+    centres = likely.select("a", "salt").distinct().join(full.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "set")
+    others = likely.join(full.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "set")
+    sent = centres.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    return cut_lineage(sent.mapInPandas(_confirmed(percent), "a long, b long"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id each linked id can reach.
 
     Links are turned towards ever smaller neighbours until every one points at the smallest of its component: each
     round ties all larger neighbours of an id to its smallest one, then all smaller ones. Rounds grow with the
-    logarithm of a component's extent; each is written to the shared folder.
+    logarithm of a component's extent and go on until nothing changes; each is written to the shared folder.
     """
     links = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -194,22 +250,43 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return found.unionByName(found.select(F.col("comp").alias("id"), "comp").distinct())
 
 
+def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, central, comp) of the lists whose texts are not one component yet."""
+    marked = members.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    lists = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    return cut_lineage(marked.join(lists, "key", "left_semi"))
+
+
 def similar_nodes(nodes: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) that tie together all nodes of a component. ``nodes``: id, rep, sig; ``rows``: id, text."""
-    postings = cut_lineage(nodes.select("id", "sig").mapInPandas(_postings, "key long, id long"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(PIVOTS)))).alias("first")).filter("size > 1")
-    members = cut_lineage(postings.join(lists, "key"))
-    star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirm(star, nodes, rows, percent, width)
-    label = components(links)  # texts of one component need no further links
-    marked = members.filter("size > 2").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))  # two were settled
-    unsettled = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = (marked.join(unsettled, "key", "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))))
-    tiles = (dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "id", "comp")
-             .join(nodes.select("id", "sig"), "id").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "id"))
-    more = tiles.mapInPandas(_tile_pairs, "a long, b long").distinct()
+    """Links (a, b) that tie together all nodes of a component. ``nodes``: id, rep, n, sig, bins; ``rows``: id, text."""
+    spark = nodes.sparkSession
+    left = cut_lineage(prefix_lists(nodes).withColumn("comp", F.col("id")))
+    links, tried = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "key long, first_comp long")
+    for _ in range(STARS):
+        # the most central text of each list, of a component that was not its centre before
+        fresh = left.join(tried, (left["key"] == tried["key"]) & (left["comp"] == tried["first_comp"]), "left_anti")
+        firsts = fresh.groupBy("key").agg(F.max(F.struct("central", F.xxhash64("id").alias("h"), "id", "comp")).alias("f"))
+        firsts = cut_lineage(firsts.select("key", F.col("f.id").alias("first"), F.col("f.comp").alias("first_comp")))
+        star = (left.join(firsts, "key").filter("id <> first and comp <> first_comp").groupBy(F.col("first").alias("a"), F.col("id").alias("b"))
+                .agg(F.count(F.lit(1)).alias("collisions")).select("a", "b"))
+        links = cut_lineage(links.unionByName(confirm(star, nodes, rows, percent, width)))
+        left = _unsettled(left.select("key", "id", "central"), links)
+        if left.isEmpty():
+            return links
+        now = left.select("key", "id", F.col("comp").alias("first_comp"))
+        tried = cut_lineage(firsts.select("key", F.col("first").alias("id")).join(now, ["key", "id"]).select("key", "first_comp"))
+    # what is left: texts outside of a list's largest component against all texts of the list
+    sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    plan = largest.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("all") / (16 * TILE)).cast("int").alias("parts"),
+                          F.ceil((F.col("all") - F.col("top.n")) / TILE).cast("int").alias("tiles"))
+    listed = left.join(plan, "key").withColumns({"one": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "two": F.pmod(F.xxhash64("id", F.lit(1)), F.col("tiles")).cast("int")})
+    held = listed.filter("comp <> top").select("key", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("one"), "two", F.lit(0).alias("role"))
+    passing = listed.select("key", "id", "comp", "one", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("two"), F.lit(1).alias("role"))
+    whole = held.select("key", "one", "two").distinct()  # a tile without a held text has nothing to compare
+    tiles = (held.unionByName(passing.join(whole, ["key", "one", "two"], "left_semi")).join(nodes.select("id", "n", "bins"), "id")
+             .repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "role"))
+    more = tiles.select("key", "one", "two", "role", "id", "comp", "n", "bins").mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
     return links.unionByName(confirm(more, nodes, rows, percent, width))
 
 
@@ -223,9 +300,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, text: st
     must be whole numbers. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut_lineage(rows.mapInPandas(_signed(width), "id long, n long, node long, sig binary"))
+    signed = cut_lineage(rows.mapInPandas(_signed(width), "id long, n long, node long, sig array<int>, bins binary"))
     able = signed.filter("n > 0 and id is not null")
-    nodes = cut_lineage(able.groupBy(F.col("node").alias("id")).agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    nodes = cut_lineage(able.groupBy(F.col("node").alias("id")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bins").alias("bins")))
     linked = components(similar_nodes(nodes, rows, percent, width))
     reps = nodes.select("id", "rep").join(linked, "id")
     least = reps.groupBy("comp").agg(F.min("rep").alias("least"))

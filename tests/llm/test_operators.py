@@ -16,7 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, token_files, toxicity
+import corpus_pipeline
+from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, spelling, token_files, toxicity
 
 SCHEMA = "doc_id long, text string, source string, lang string, size int, id string, _text string"
 
@@ -242,7 +243,7 @@ def test_certified_cutoffs_reject_few_good(spark):
 
 # --- near duplicates ------------------------------------------------------
 
-def plain_components(rows, percent, width):
+def plain_components(rows, percent, width, common=4000):
     lower = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
     sets = {i: {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()) for i, w in lower.items()}
     root = {i: i for i in sets}
@@ -256,7 +257,7 @@ def plain_components(rows, percent, width):
     for i, s in sets.items():
         for x in s:
             where.setdefault(x, []).append(i)
-    pairs = {(a, b) for ids in where.values() if len(ids) < 400 for a in ids for b in ids if a < b}
+    pairs = {(a, b) for ids in where.values() if len(ids) < common for a in ids for b in ids if a < b}
     for a, b in pairs:
         same = len(sets[a] & sets[b])
         if 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
@@ -285,6 +286,47 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def met_pairs(spark, monkeypatch, rows):
+    """(components, pairs whose signatures were looked at)."""
+    met = []
+
+    def counting(candidates, *rest):
+        met.append(candidates.count())
+        return real(candidates, *rest)
+    real = neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", counting)
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, rows), 80, 2).collect()}
+    monkeypatch.setattr(neardup, "confirm", real)
+    return out, sum(met)
+
+
+def test_texts_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    """Half of the words in common, none alike: nearly no pairs are met, however many texts there are."""
+    draw = random.Random(1)
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(i, passage + " " + " ".join(f"w{draw.randrange(10**9)}" for _ in range(100)), "s") for i in range(600)]
+    found, met = met_pairs(spark, monkeypatch, rows)
+    assert found == {i: i for i, _, _ in rows} and met < 600
+
+
+@pytest.mark.parametrize("middle", [True, False])
+def test_a_large_group_of_edited_copies(spark, monkeypatch, middle):
+    """Copies are alike to the text they were made from and mostly not to each other; without it, some are to some."""
+    draw = random.Random(4)
+    origin = [f"o{i}" for i in range(200)]
+    rows = [(0, " ".join(origin), "s")] if middle else []
+    for i in range(1, 500):
+        words = list(origin)
+        for k in draw.sample(range(200), 9):
+            words[k] = f"x{draw.randrange(10**9)}"
+        rows.append((i, " ".join(words), "s"))
+    found, met = met_pairs(spark, monkeypatch, rows)
+    want = plain_components([(i, t) for i, t, _ in rows], 80, 2, 10**6)
+    assert found == {i: c for i, (_, c) in want.items()}
+    if middle:
+        assert len(set(found.values())) == 1 and met < 8 * len(rows)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["id"]: r["comp"] for r in neardup.components(links).collect()}
@@ -322,6 +364,17 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(odd).count() == 9 and mixing.mix_sources(none).count() == 0
 
 
+def test_ranks_run_through_the_parts_of_a_size(spark):
+    """Many documents of one size: no copy is lost between the parts that rank them."""
+    rows = [(i, "one two three four five", "big") for i in range(9000)] + [(20_000 + i, "a b c", None) for i in range(3000)]
+    out = mixing.mix_sources(table(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert set(taken) == {45_000, 9000} and all(abs(taken[s] - target[s]) <= 2.5 for s in taken)
+
+
 # --- BPE ------------------------------------------------------------------
 
 def test_bpe(spark, odd, none, texts):
@@ -345,8 +398,9 @@ def test_bpe_on_random_strings():
     draw = random.Random(9)
     made = ["".join(draw.choice("aabcdeé 0.,\n\t'日A  ") for _ in range(draw.randrange(400))) for _ in range(300)]
     made.append("ab" * 3000)
-    for text, (ids, _) in zip(made, mine.encode(made), strict=True):
+    for text, (ids, decimal, raw) in zip(made, mine.encode(made), strict=True):
         assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert decimal == ",".join(map(str, ids)) and raw.decode() == text == mine.decode(ids.tolist())
 
 
 # --- lines ----------------------------------------------------------------
@@ -367,3 +421,48 @@ def test_lines(spark, odd, none):
     kept = linedup.remove_shared_lines(odd)
     assert kept.columns[:7] == odd.columns and kept.count() == 9
     assert linedup.remove_shared_lines(none).count() == 0
+
+
+# --- columns of a user's own ----------------------------------------------
+
+CLASHING = ["_id", "_found", "_lines", "_parts", "_new", "id", "h", "site", "line", "node", "n", "sig", "comp", "key", "_text", "_key", "_size", "_source", "_part",
+            "kept_id", "times", "place", "mixed_id", "copies", "copy", "word", "letters", "box", "doc", "head", "tail", "score", "_copies"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(1, "Write to ann@example.com today\nshared line", "a"), (2, "other text\nshared line", "b"), (2, "other text\nshared line", "b"),
+            (3, None, None), (None, "no id here", "c"), (None, "no id here", "c"), (4, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    return df.withColumns({name: F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for name in CLASHING})
+
+
+def own_columns(df):
+    return sorted((r["doc_id"] or 0, *(r[c] for c in CLASHING)) for r in df.select("doc_id", *CLASHING).collect())
+
+
+@pytest.mark.parametrize("operator", ["lines", "pseudonyms"])
+def test_columns_named_like_internal_ones_survive(clashing, operator):
+    out = linedup.remove_shared_lines(clashing, min_sites=2) if operator == "lines" else pseudonyms.pseudonymise(clashing, "secret")
+    assert own_columns(out) == own_columns(clashing)
+
+
+@pytest.mark.parametrize("operator", ["op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op13"])
+def test_columns_named_like_internal_ones_do_no_harm(spark, clashing, operator):
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    made = {"op1": lambda: token_files.round_trip(clashing, spark, public_tokenizers.path(token_files.TOKENIZER)),
+            "op2": lambda: quality.score_quality(clashing, quality.train(clashing, marks)), "op4": lambda: imatch.fingerprints(clashing, spark),
+            "op5": lambda: risk.quality_rules(clashing, marks), "op6": lambda: neardup.near_duplicates(clashing),
+            "op7": lambda: mixing.mix_sources(clashing), "op8": lambda: bpe.encode_decode(clashing),
+            "op9": lambda: toxicity.score_toxicity(clashing, toxicity.train(clashing, marks)), "op13": lambda: spelling.spelling_variants(clashing)}[operator]()
+    assert made.count() == (0 if operator == "op13" else 7)
+
+
+@pytest.mark.parametrize("stage", ["quality", "lines", "near_duplicates", "mixing"])
+def test_stages_keep_a_users_columns(spark, data, clashing, stage):
+    out = dict(corpus_pipeline.STAGES)[stage](spark, clashing, data)
+    assert out.columns == clashing.columns
+    got, given = own_columns(out), own_columns(clashing)
+    assert set(got) <= set(given)
+    if stage == "near_duplicates":  # repeated rows, with and without an id, leave one each
+        assert len(got) == 5 and len(set(got)) == 5
