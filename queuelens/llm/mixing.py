@@ -130,8 +130,14 @@ def mix_sources(docs: DataFrame, cap: int = 3, text: str = "text", source: str =
     plan = cut_lineage(plan)
     placed = slim.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     order = F.xxhash64(F.lit("mix"), F.col("_key"))
-    placed = placed.withColumn("_order", order).withColumn("_part", F.pmod(F.xxhash64("_order"), F.ceil(F.col("n") / RANKED_TOGETHER)))
-    rank = F.row_number().over(W.partitionBy("source", "size", "_part").orderBy("_order", "_key")).cast("long")
+    part = F.pmod(F.xxhash64("_order"), F.ceil(F.col("n") / RANKED_TOGETHER))
+    placed = placed.withColumn("_order", order).withColumn("_part", F.struct("source", "size", part.alias("part")))
+    # ranks run through the parts of a size: each part starts where the one before it ends
+    held = placed.filter(F.col("n") > RANKED_TOGETHER).groupBy("_part").agg(F.count(F.lit(1)).alias("held"))
+    along = W.partitionBy("_part.source", "_part.size").orderBy("_part.part").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.select(F.col("_part").alias("_of"), F.coalesce(F.sum("held").over(along), F.lit(0)).alias("_start"))
+    placed = placed.join(starts, F.col("_part") == F.col("_of"), "left")
+    rank = F.coalesce("_start", F.lit(0)) + F.row_number().over(W.partitionBy("_part").orderBy("_order", "_key")).cast("long")
     upto = lambda k: (F.col("m") * k - F.pmod(F.col("m") * k, F.col("n"))) / F.col("n")
     copies = (upto(rank) - upto(rank - 1)).cast("long")
     return placed.select(F.col("_key").alias(key), "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies")).withColumn(
