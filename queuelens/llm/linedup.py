@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import SPACES
+from queuelens.llm.common import SPACES, unused
 from queuelens.session import cut_lineage
 
 
@@ -51,18 +51,19 @@ def remove_shared_lines(docs: DataFrame, min_sites: int = 5, margin: float = 0.4
                                     F.explode(F.filter(F.split(text, "\n"), solid)).alias("line"))
                         .select("id", "site", _hash(F.col("line")).alias("h")))
     shared = cut_lineage(shared_lines(lines.select("h", "site"), min_sites, margin, lg_k))
-    found = lines.select("id", "h").join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("_found"))
-    joined = docs.join(found.withColumnRenamed("id", "_id"), F.col(key).eqNullSafe(F.col("_id")), "left")
+    id_name, found_name, lines_name = (unused(docs, name) for name in ("_id", "_found", "_lines"))
+    found = lines.select("id", "h").join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias(found_name))
+    joined = docs.join(found.withColumnRenamed("id", id_name), F.col(key).eqNullSafe(F.col(id_name)), "left")
     none = F.array().cast("array<struct<a:bigint,b:int>>")
-    marked = joined.withColumn("_found", F.coalesce("_found", none)).withColumn(
-        "_lines", F.transform(F.split(text, "\n"), lambda x: F.struct(
+    marked = joined.withColumn(found_name, F.coalesce(found_name, none)).withColumn(
+        lines_name, F.transform(F.split(text, "\n"), lambda x: F.struct(
             x.alias("line"), solid(x).alias("solid"),
-            F.when(F.size("_found") > 0, solid(x) & F.array_contains("_found", _hash(x))).otherwise(F.lit(False)).alias("shared"))))
+            F.when(F.size(found_name) > 0, solid(x) & F.array_contains(found_name, _hash(x))).otherwise(F.lit(False)).alias("shared"))))
     counted = marked.withColumns({
-        "n_lines": F.coalesce(F.size(F.filter("_lines", lambda x: x["solid"])), F.lit(0)).cast("long"),
-        "n_shared": F.coalesce(F.size(F.filter("_lines", lambda x: x["shared"])), F.lit(0)).cast("long")})
+        "n_lines": F.coalesce(F.size(F.filter(lines_name, lambda x: x["solid"])), F.lit(0)).cast("long"),
+        "n_shared": F.coalesce(F.size(F.filter(lines_name, lambda x: x["shared"])), F.lit(0)).cast("long")})
     n, m = F.col("n_lines"), F.col("n_shared")
     copy = (m > 0) & ((n == m) | ((m >= 3) & (2 * m >= n)))
-    rest = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["shared"]), lambda x: x["line"]), "\n")
+    rest = F.array_join(F.transform(F.filter(lines_name, lambda x: ~x["shared"]), lambda x: x["line"]), "\n")
     cleaned = F.when((m > 0) & ~copy, rest).otherwise(F.col(text))
-    return counted.withColumns({"n_removed": F.when(copy, 0).otherwise(m).cast("long"), "left_alone": copy, text: cleaned}).drop("_id", "_found", "_lines")
+    return counted.withColumns({"n_removed": F.when(copy, 0).otherwise(m).cast("long"), "left_alone": copy, text: cleaned}).drop(id_name, found_name, lines_name)

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queuelens.llm.common import unused
+
 ROUNDS = 8
 #: Days that dates are permuted among, both included.
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
@@ -200,9 +202,10 @@ def pseudonymise(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     names = {kind: f"n_{kind}" for kind in MAKERS}
     docs = docs.drop(*names.values())
     columns = docs.columns
+    parts_name, found_name, new_name = (unused(docs, name) for name in ("_parts", "_found", "_new"))
     worth = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
     found = F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), kind_of(m).alias("kind")))
-    split = docs.withColumns({"_parts": F.when(worth, F.split(text, ANY, -1)), "_found": F.when(worth, found)})
+    split = docs.withColumns({parts_name: F.when(worth, F.split(text, ANY, -1)), found_name: F.when(worth, found)})
 
     def new(m: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -210,9 +213,9 @@ def pseudonymise(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
             out = F.when(m["kind"] == kind, make(m["was"], secret)).otherwise(out)
         return F.coalesce(out, m["was"])
 
-    made = split.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", new)))
-    joined = F.array_join(F.transform("_parts", lambda x, i: F.concat(x, F.coalesce(F.get("_new", i), F.lit("")))), "")
-    kinds = F.transform("_found", lambda m: m["kind"])
+    made = split.withColumn(new_name, F.when(F.size(found_name) > 0, F.transform(found_name, new)))
+    joined = F.array_join(F.transform(parts_name, lambda x, i: F.concat(x, F.coalesce(F.get(new_name, i), F.lit("")))), "")
+    kinds = F.transform(found_name, lambda m: m["kind"])
     counts = {name: F.coalesce(F.size(F.filter(kinds, lambda x: x == kind)), F.lit(0)).cast("long") for kind, name in names.items()}  # noqa: B023
-    return made.withColumns({text: F.when(F.size("_found") > 0, joined).otherwise(F.col(text))} | {
+    return made.withColumns({text: F.when(F.size(found_name) > 0, joined).otherwise(F.col(text))} | {
         name: F.greatest(c, F.lit(0)) for name, c in counts.items()}).select(*columns, *names.values())
