@@ -111,13 +111,11 @@ def score_quality(docs: DataFrame, model: QualityModel, cutoff: float = CUTOFF,
 
 
 def keep_good(docs: DataFrame, model: QualityModel, cutoff: float = CUTOFF, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``cutoff``, with all their columns."""
-    schema, names = docs.schema, docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``docs`` whose text scores at least ``cutoff``, with all their columns; only the text goes to Python."""
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model.features()
-        for rows in batches:
-            if len(rows):
-                yield rows[model.score(np.array([of(t) for t in rows[text]])) >= cutoff][names]
+        for texts in batches:
+            yield pd.Series(model.score(np.array([of(t) for t in texts])) if len(texts) else [], dtype=float)
 
-    return docs.mapInPandas(run, schema)
+    return docs.filter(score(F.col(text)) >= cutoff)
