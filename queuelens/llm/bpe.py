@@ -31,7 +31,7 @@ LONG_WORD, NEVER, TOGETHER = 200, 1 << 30, 512
 #: Words of up to so many bytes are merged together with others of their length.
 TOGETHER_BYTES = 64
 #: Pieces that one generation of a worker's memory holds (about 300 bytes each); there are two.
-GENERATION = 100_000
+GENERATION = 200_000
 #: A piece of Latin letters is one word for the pre-tokenizer, with the blank before it.
 ONE_WORD = re.compile(" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 #: Such a word with marks behind it is two; an apostrophe could begin a contraction.
