@@ -209,7 +209,7 @@ def shuffled_stream(spark, d):
     path = scratch_path(spark, "shuffled")
     chunk = F.floor((delayed - F.unix_seconds(F.to_timestamp(F.lit("2024-01-01")))) / F.lit(8 * 86_400))
     for low in range(4):  # one after the other: files are taken in the order they were written
-        ev.filter(chunk == low).coalesce(1).write.mode("append").parquet(path)
+        ev.filter(chunk == low).repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -54,6 +54,26 @@ def test_ordered_scan_equals_batch(spark, data, kind, files, hold, chunk):
     assert len(got) == len(want) > 700 and {r["event_id"]: row(r) for r in got} == want
 
 
+def test_many_keys_share_state(spark):
+    """Null keys, null ids and ids beyond 2^53 keep their values; state is counted by buckets, not by keys."""
+    n = F.col("id")
+    rows = spark.range(6000).select(
+        F.when(n % 3001 != 0, n % 3001 + 2**60).alias("key"), F.when(n != 5, n + 2**53).alias("event_id"),
+        F.when(n % 4 != 0, n.cast("int")).alias("small"), (F.pmod(F.xxhash64(n), F.lit(1000)) / 8).alias("value"),
+        F.timestamp_seconds(F.pmod(F.xxhash64(n, F.lit(1)), F.lit(100_000))).alias("ts"))
+    path, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "cp")
+    for low in range(2):
+        rows.filter(F.floor(F.unix_seconds("ts") / 50_000) == low).repartition(1).write.mode("append").parquet(path)
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = ordered_state.stream_ewma(live, "key", "ts", ["event_id"], "value", delay="1000 seconds", hold_seconds=7200)
+    got = jobs.run_to_table(out, "keys", checkpoint=checkpoint).collect()
+    top = (rows.agg(F.max(F.unix_seconds("ts"))).first()[0] - 1000) // 7200 * 7200
+    want = od.ewma(rows, ["key"], ["ts", "event_id"], "value").filter(F.unix_seconds("ts") < top).collect()
+    plain = lambda found: sorted(tuple("" if v is None else str(round(v, 9) if isinstance(v, float) else v) for v in r) for r in found)
+    assert plain(got) == plain(want) and len(got) > 5000
+    assert 0 < spark.read.format("statestore").option("stateVarName", "wakes").load(checkpoint).count() <= 128
+
+
 def test_windows_over_batches(spark, data):
     """Out of order rows over nine triggers, two keys, windows of four lengths against plain Python."""
     ev = fx.table(spark, data, "events").select("event_id", (F.col("user_id") % 2).alias("name"), "value", "ts")
