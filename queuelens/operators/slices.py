@@ -258,17 +258,22 @@ def prefix_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     return out.drop("_key", "_slice", *[f"_in_{n}" for n in sums])
 
 
-def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096, tie: str | None = None) -> DataFrame:
+def global_position(df: DataFrame, order: str, name: str, buckets: int = 4096, tie: str | None = None,
+                    within: tuple[int, int] | None = None) -> DataFrame:
     """1-based position of each row by a numeric column, without one task.
 
     The column (with ``tie``, if given) must tell all rows apart.
 
     Rows are dealt into equal ranges of the order column; only the range sizes
-    are accumulated in one place.
+    are accumulated in one place. ``within`` gives the bounds of evenly spread
+    values, which are else looked for.
     """
-    bounds = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    if within is None:
+        bounded = beside(df, df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")))
+    else:
+        bounded = df.withColumns({"_lo": F.lit(within[0]), "_hi": F.lit(within[1])})
     width = F.col("_hi") - F.col("_lo") + F.lit(1)
-    rows = beside(df, bounds).withColumn(
+    rows = bounded.withColumn(
         "_range", F.floor((F.col(order) - F.col("_lo")) / width * F.lit(buckets)).cast("long")).drop("_lo", "_hi")
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

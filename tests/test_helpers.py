@@ -94,6 +94,7 @@ def test_global_position(spark):
     df = spark.createDataFrame([(i,) for i in ids], "v long")
     got = {r["v"]: r["p"] for r in global_position(df, "v", "p", 16).collect()}
     assert got == {v: i + 1 for i, v in enumerate(sorted(ids))}
+    assert {r["v"]: r["p"] for r in global_position(df, "v", "p", 16, within=(-10**6, 10**12)).collect()} == got
 
 
 VALUES = {

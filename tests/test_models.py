@@ -29,6 +29,12 @@ def test_effects(trained):
     assert got["a"]["importance"] > 0.9 and got["a"]["rmse_rise"] > 1.0 > abs(got["b"]["rmse_rise"])
 
 
+def test_effects_read_the_input_once(trained):
+    df, model, _ = trained
+    plan = models.feature_effects(df, model, ["a", "b"], "y", "id")._jdf.queryExecution().toString()
+    assert "Range (" not in plan and "Scan parquet" in plan
+
+
 def test_scoring_keeps_every_row(trained):
     df, model, _ = trained
     gaps = df.withColumn("a", F.when(F.col("id") % 10 != 0, F.col("a")))
@@ -63,6 +69,27 @@ def test_search_tries_all_points_on_the_same_folds(spark, trained):
     assert len(models.draw_grid({"x": [1, 2, 3], "y": [1, 2]}, 4)) == 4
 
 
+def test_search_fits_each_point_once_a_fold(spark, trained, monkeypatch):
+    """Errors are those of Spark's own cross-validation on the same folds; no fit is made whose model nobody gets."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.tuning import CrossValidator
+    df = trained[0].filter("id < 600")
+    pipe = models.make_pipeline(["a", "b"], "y", "forest", numTrees=2)
+    maps = [{pipe.getStages()[-1].getParam("maxDepth"): depth} for depth in (1, 3)]
+    plain = CrossValidator(estimator=pipe, estimatorParamMaps=maps, numFolds=2, foldCol="_fold", evaluator=RegressionEvaluator(labelCol="y")).fit(
+        df.select("a", "b", "y", models.portable_part(["id"], 2).alias("_fold")))
+    fits, fit = [], RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    ranked, _ = models.search_params(df, ["a", "b"], "y", ["id"], {"maxDepth": [1, 3]}, folds=2, numTrees=2)
+    got = {r["params"]: (r["rmse"], r["rmse_std"]) for r in ranked.collect()}
+    assert len(fits) == 4
+    for depth, mean, std in zip((1, 3), plain.avgMetrics, plain.stdMetrics):
+        assert got[f"[('maxDepth', {depth})]"] == pytest.approx((mean, std), rel=0.05)
+    with pytest.raises(ValueError, match="no rows in fold"):
+        models.search_params(df.filter("id < 1").unionAll(df.filter("id < 1")), ["a", "b"], "y", ["id"], {"maxDepth": [1]}, folds=2)
+
+
 RUN = {"now_s": 100_000, "params": {"rounds": 3, "maxDepth": 3}}
 
 
