@@ -17,6 +17,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -65,10 +66,12 @@ class BytePairs:
             self.bytes_of[i] = b
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
-        # lengths of the tokens that begin with two given bytes, the longest first
+        self.decimal_of = [str(i) for i in range(len(self.bytes_of))]
+        # lengths of the tokens that begin with four given bytes, the longest first
         lengths: dict[bytes, set[int]] = {}
         for b in self.ids:
-            lengths.setdefault(b[:2], set()).add(len(b))
+            if len(b) >= 4:
+                lengths.setdefault(b[:4], set()).add(len(b))
         self.lengths = {start: sorted(found, reverse=True) for start, found in lengths.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.made: list[int] = []
@@ -184,14 +187,16 @@ class BytePairs:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        known, lengths, out, i, n = self.ids, self.lengths, [], 0, len(word)
+        get, lengths, out, i, n = self.ids.get, self.lengths.get, [], 0, len(word)
         while i < n:
-            for size in lengths.get(word[i:i + 2], ()):
-                found = known.get(word[i:i + size]) if size <= n - i else None
+            for size in lengths(word[i:i + 4], ()):
+                found = get(word[i:i + size]) if size <= n - i else None
                 if found is not None:
                     break
             else:
-                size, found = 1, known[word[i:i + 1]]
+                size = min(3, n - i)
+                while (found := get(word[i:i + size])) is None:
+                    size -= 1
             out.append(found)
             i += size
         return out
@@ -216,7 +221,7 @@ class BytePairs:
         """Tokens of distinct words."""
         ids = [self.proposed(b) for b in raw]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint64, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint64, int(lengths.sum()))
         word_of = np.repeat(np.arange(len(ids)), lengths)
         inner = np.flatnonzero(word_of[1:] == word_of[:-1])
         if len(inner):
@@ -249,7 +254,7 @@ class BytePairs:
             else:
                 others.append(piece)
         halves = {half for _, *both in double for half in both}.difference(pieces, single)
-        pieces.update((half, older[half]) for half in halves.intersection(older))
+        pieces.update((half, older[half]) for half in halves if half in older)
         single += halves.difference(older)
         cut = [self._cut(piece) for piece in others]
         words = list({w for c in cut for w in c if isinstance(w, bytes)})
@@ -264,7 +269,7 @@ class BytePairs:
             pieces[piece] = a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2]
 
     def _piece(self, ids: list[int]) -> Piece:
-        return array("i", ids).tobytes(), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+        return array("i", ids).tobytes(), ",".join(map(self.decimal_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, bytes]]:
         """Ids of each whole text, the same as decimal numbers joined by commas, and the bytes they stand for."""
@@ -275,7 +280,8 @@ class BytePairs:
                 self.older, self.pieces = self.pieces, {}
             new = wanted.difference(self.pieces)
             if new:
-                again = new.intersection(self.older)
+                # the set is looked through, not the memory, which is larger
+                again = {piece for piece in new if piece in self.older}
                 self.pieces.update((piece, self.older[piece]) for piece in again)
                 self.learn(list(new - again))
             get = self.pieces.__getitem__
