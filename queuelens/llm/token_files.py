@@ -1,20 +1,25 @@
-"""Token ids in files, packed by an adaptive arithmetic coder.
+"""Token ids in files, packed by an adaptive range coder.
 
-An id is coded in up to five decisions. The first says whether it is what the last two ids (order 2) or the last
-one (order 1) predict, or neither; its probability mixes what has been seen at this confidence of either prediction,
-weighted by which of the two was right more often of late. Any other id follows as four half bytes under adaptive order-0
-frequencies. All models start anew with every block; a block carries its number of ids and a checksum.
+An id is coded in one step. A flag says whether it is what the last two ids (order 2) or the last one (order 1)
+predict, or neither; its probability mixes what has been seen at this confidence of either prediction, weighted by
+which of the two was right more often. Any other id follows within the flag's interval under adaptive order-0
+frequencies, which are worked out anew after 1, 2, 4, 8 ... ids of every stream. All models start anew with every block.
 
-Blocks do not depend on each other, so a task codes hundreds of them at once, one array operation for a decision of all
-blocks. All arithmetic is on whole numbers, so that any machine decodes what another has coded.
+A block is dealt over up to ``STREAMS`` streams of neighbouring ids, and one array operation codes a step of all
+streams. They learn into the same models, so that a stream may be short; each carries its number of ids and a checksum.
+All arithmetic is on whole numbers, so that any machine decodes what another has coded.
 
 The files are Parquet tables with a row per frame: documents in ascending order of id, their lengths, and the
-packed blocks of all their ids.
+packed block of all their ids.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,201 +30,216 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from queuelens.llm.common import MEMO_WORDS
 from queuelens.session import scratch_path
 
 TOKENIZER, END = "word_bpe_49k.json", 2
-#: Ids of a block and of a frame.
-BLOCK, FRAME = 4096, 1 << 21
-#: Slots for predictions by one and by two ids; limits of frequencies and of the coder's interval.
-SLOTS_1, SLOTS_2, STEP, MOST = 1 << 12, 1 << 13, 32, 12_000
-FULL, LOW_RANGE, WORD_MASK = 1 << 48, 1 << 32, (1 << 32) - 1
-NO_ID, SURE, STATES = -1, 7, 9
+#: Ids of a frame, whose ids are one block; the most streams of a block and the fewest ids of a stream.
+FRAME, STREAMS, SHORTEST = 1 << 21, 2048, 512
+#: Ids that can be coded, and one that stands for no prediction.
+IDS, NO_ID = 1 << 16, (1 << 17) - 1
+#: Cells predicted from by two ids, parts of a flag's and an id's share; the coder's words and the limits of its interval.
+SLOT_BITS, FLAG_BITS, ID_BITS = 18, 12, 20
+WORD, ID_SHIFT, ONE, LOW_RANGE, FULL = np.uint64(32), np.uint64(ID_BITS), np.uint64(1), np.uint64(1 << 32), np.uint64((1 << 64) - 1)
+#: How sure a prediction can be, and the state of a cell without one.
+SURE, EMPTY, STATES = 7, 8, 9
+#: The normalizer and the pre-tokenizer of ``TOKENIZER``.
+RULES = [{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+         {"type": "Sequence", "pretokenizers": [
+             {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
+#: Words of these letters are in the tokenizer's normal form and one piece to it; its model takes a byte as a letter.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+BYTE_LETTERS = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+#: Marks that the tokenizer cuts off behind a letter (not the apostrophe), and how many runs of them a task remembers.
+MARKS, MEMO_MARKS = b'.,;:!?#%&*$|<>()"-', 10_000
 
 
 class Model:
-    """Predictions and frequencies of all blocks; ``n`` in the methods says how many of the first are still going."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.guess = [np.full((lanes, s), NO_ID, np.int32) for s in (SLOTS_1, SLOTS_2)]
-        self.trust = [np.zeros((lanes, s), np.int8) for s in (SLOTS_1, SLOTS_2)]
-        start = np.array([[1 + 2 * k, 1, 6] for k in range(STATES - 1)] + [[1, 1, 400]], np.int64)
-        self.seen = [np.broadcast_to(start[:, (1, 0, 2)], (lanes, STATES, 3)).copy(), np.broadcast_to(start, (lanes, STATES, 3)).copy()]
-        self.weight = np.full(lanes, 128, np.int64)  # of order 2, out of 256
-        self.freq = np.ones((lanes, 1 + 16 + 256 + 4096, 16), np.uint16)
-        self.last = np.zeros((2, lanes), np.int64)
+    """Predictions and frequencies of a block; ``n`` in the methods says how many of the first streams are still going."""
+
+    def __init__(self, streams: int):
+        # cells hold a predicted id and how sure it is: id << 4 | state
+        self.cells = [np.full(1 << s, NO_ID << 4 | EMPTY, np.int32) for s in (16, SLOT_BITS)]
+        self.last = np.zeros((2, streams), np.int64)
+        start = np.array([[1 + 2 * k, 1, 6] for k in range(EMPTY)] + [[1, 1, 400]], np.int64)
+        self.start = start[:, (1, 0, 2)], start
+        self.tally, self.fresh = np.zeros((2, STATES * STATES * 3), np.int64)
+        self.wins = np.ones((2, STATES, STATES), np.int64)
+        self.counts = np.zeros(IDS, np.int64)
+        self.flags_from_tally()
+        self.ids_from_counts()
+
+    def flags_from_tally(self) -> None:
+        """``flag_start`` and ``flag_size`` by state of order 1, state of order 2 and flag: both orders' shares, mixed."""
+        seen = self.tally.reshape(STATES, STATES, 3)
+        by_one, by_two = self.start[0] + 2 * seen.sum(axis=1), self.start[1] + 2 * seen.sum(axis=0)
+        one, two = ((r << FLAG_BITS) // r.sum(axis=1, keepdims=True) for r in (by_one, by_two))
+        one, two = one[:, None], two[None]
+        fresh = self.fresh.reshape(seen.shape)
+        self.wins += np.stack([(fresh * (one > two)).sum(axis=2), (fresh * (two > one)).sum(axis=2)])
+        self.fresh[:] = 0
+        weight = ((self.wins[1] << 8) // self.wins.sum(axis=0))[:, :, None]
+        mix = ((two * weight + one * (256 - weight)) >> 8) + 1
+        size = 1 + mix * ((1 << FLAG_BITS) - 3) // mix.sum(axis=2, keepdims=True)
+        size[:, :, 2] = (1 << FLAG_BITS) - size[:, :, 0] - size[:, :, 1]
+        self.flag_start = (size.cumsum(axis=2) - size).ravel().astype(np.uint64)
+        self.flag_size = size.ravel().astype(np.uint64)
+
+    def ids_from_counts(self) -> None:
+        """``id_start`` and ``id_size`` of order 0; the entry behind the last id stands for one that needs no more telling."""
+        whole, known = 1 << ID_BITS, int(self.counts.sum())
+        size = np.full(IDS, whole // IDS) if not known else 1 + self.counts * (whole - IDS) // known
+        size[size.argmax()] += whole - size.sum()
+        self.sizes = size
+        self.id_start = np.append(size.cumsum() - size, 0).astype(np.uint64)
+        self.id_size = np.append(size, whole).astype(np.uint64)
 
     def predictions(self, n: int) -> None:
         one, two = self.last[0, :n], self.last[1, :n]
-        lane = self.lane[:n]
-        slots = (one * 0x9E3779B1 >> 7) % SLOTS_1, ((one * 0x85EBCA6B + two * 0xC2B2AE35) >> 9) % SLOTS_2
-        self.at = [(lane, s) for s in slots]
-        self.now = [g[a] for g, a in zip(self.guess, self.at, strict=True)]
-        self.state = [np.where(g == NO_ID, STATES - 1, t[a]) for g, t, a in zip(self.now, self.trust, self.at, strict=True)]
-        self.rows = [s[lane, k] for s, k in zip(self.seen, self.state, strict=True)]
-        self.parts = [(r << 12) // r.sum(axis=1, keepdims=True) for r in self.rows]
-        w = self.weight[:n, None]
-        self.mix = ((self.parts[1] * w + self.parts[0] * (256 - w)) >> 8) + 1
-
-    def learn_flag(self, n: int, flag: np.ndarray) -> None:
-        lane = self.lane[:n]
-        by_one, by_two = (p[lane, flag] for p in self.parts)
-        self.weight[:n] += np.where(by_two > by_one, (256 - self.weight[:n]) >> 4, np.where(by_two < by_one, -(self.weight[:n] >> 4), 0))
-        for seen, state in zip(self.seen, self.state, strict=True):
-            seen[lane, state, flag] += 2
-
-    def learn_id(self, n: int, ids: np.ndarray) -> None:
-        for guess, trust, at, now in zip(self.guess, self.trust, self.at, self.now, strict=True):
-            t, right = trust[at], now == ids
-            guess[at] = np.where(right | (t > 0), now, ids)
-            trust[at] = np.where(right, np.minimum(t + 1, SURE), t >> 1)
+        self.at = one, (one * 0x85EBCA6B + two * 0xC2B2AE35) >> 9 & (1 << SLOT_BITS) - 1
+        self.now = [c.take(a) for c, a in zip(self.cells, self.at, strict=True)]
+        self.guess = [c >> 4 for c in self.now]
+        self.state = [c & 15 for c in self.now]
+        self.row = (self.state[0] * STATES + self.state[1]) * 3
+
+    def interval(self, ids: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.row + flag
+        k = np.where(flag == 2, ids, IDS)
+        size = self.flag_size.take(at)
+        return (self.flag_start.take(at) << ID_SHIFT) + size * self.id_start.take(k), size * self.id_size.take(k)
+
+    def learn(self, n: int, ids: np.ndarray, flag: np.ndarray) -> None:
+        self.fresh += np.bincount(self.row + flag, minlength=len(self.fresh))
+        told = (ids << 4).astype(np.int32)
+        for cells, at, now, guess, state in zip(self.cells, self.at, self.now, self.guess, self.state, strict=True):
+            # an unsure or empty cell (0 or 8) takes the id, a wrong one loses half of its sureness
+            wrong = np.where(state & 7 == 0, told, now - (state + 1 >> 1))
+            cells[at] = np.where(guess == ids, now + (state < SURE), wrong)
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
-    def learn_half(self, lane: np.ndarray, node: np.ndarray, half: np.ndarray, total: np.ndarray) -> None:
-        self.freq[lane, node, half] += STEP
-        over = np.flatnonzero(total + STEP > MOST)
-        if len(over):
-            k = lane[over], node[over]
-            self.freq[k] = (self.freq[k] >> 1) + 1
+    def count(self, grid: np.ndarray, t: int) -> bool:
+        """After ``t`` ids of every stream; true where order 0 has changed, which it does at powers of 2."""
+        if t < 16 or t % 16 == 0:
+            self.tally += self.fresh
+            self.flags_from_tally()
+        if t & (t - 1):
+            return False
+        self.counts += np.bincount(grid[t >> 1:t].ravel(), minlength=IDS)
+        self.ids_from_counts()
+        return True
 
 
-NODE_START = (0, 1, 17, 273)
-
-
-def _lanes(lengths: np.ndarray) -> Iterator[int]:
-    """Number of blocks that reach each place; lengths fall."""
-    for t in range(int(lengths[0])):
-        yield int(np.searchsorted(-lengths, -t, side="left"))
+def _lengths(n: int) -> np.ndarray:
+    """Ids of each stream: up to STREAMS of them of SHORTEST ids or more, all but the last alike."""
+    each = max(SHORTEST, -(-n // STREAMS))
+    lengths = np.full(-(-n // each), each)
+    lengths[-1] = n - each * (len(lengths) - 1)
+    return lengths
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """Blocks of a frame: number of blocks, then for each its ids, words and checksum, then the words of all."""
+    """A block: number of streams, then for each its ids, words and checksum, then the words of all."""
     if not len(ids):
         return np.zeros(1, "<u4").tobytes()
-    if ids.min() < 0 or ids.max() >= 1 << 16:
+    if ids.min() < 0 or ids.max() >= IDS:
         raise ValueError("ids must be below 65536")
-    lengths = np.full(-(-len(ids) // BLOCK), BLOCK)
-    lengths[-1] = len(ids) - BLOCK * (len(lengths) - 1)
-    lanes = len(lengths)
-    grid = np.zeros((lanes, int(lengths[0])), np.int64)
-    grid.ravel()[:len(ids)] = ids
-    model = Model(lanes)
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, FULL, np.int64)
-    out, used = np.zeros((lanes, 5 * grid.shape[1] + 8), np.uint32), np.ones(lanes, np.int64)  # the first word takes a carry
-
-    def code(lane: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = width[lane] // total
-        at, wide = low[lane] + part * start, part * size
-        carry = at >= FULL
-        if carry.any():
-            out[lane[carry], used[lane[carry]] - 1] += 1
-            at[carry] -= FULL
+    lengths = _lengths(len(ids))
+    streams, each = len(lengths), int(lengths[0])
+    rows = np.zeros((streams, each), np.int64)
+    rows.ravel()[:len(ids)] = ids
+    grid = np.ascontiguousarray(rows.T)
+    model = Model(streams)
+    low, width = np.zeros(streams, np.uint64), np.full(streams, FULL, np.uint64)
+    out, used = np.zeros((streams, each + 2), np.uint64), np.zeros(streams, np.int64)
+    for t in range(each):
+        n = streams - int(t >= lengths[-1])
+        now = grid[t, :n]
+        model.predictions(n)
+        flag = np.where(now == model.guess[1], 0, 2 - (now == model.guess[0]))
+        start, size = model.interval(now, flag)
+        part = width[:n] >> WORD
+        at, wide = low[:n] + part * start, part * size
+        carry = np.flatnonzero(at < low[:n])
+        if len(carry):
+            out[carry, used[carry] - 1] += ONE
         small = np.flatnonzero(wide < LOW_RANGE)
         if len(small):
-            k = lane[small]
-            out[k, used[k]] = at[small] >> 32
-            used[k] += 1
-            at[small] = (at[small] & WORD_MASK) << 16
-            wide[small] <<= 16
-        low[lane], width[lane] = at, wide
-
-    for t, n in enumerate(_lanes(lengths)):
-        now, lane = grid[:n, t], model.lane[:n]
-        model.predictions(n)
-        flag = np.where(now == model.now[1], 0, np.where(now == model.now[0], 1, 2))
-        ends = model.mix.cumsum(axis=1)
-        size = model.mix[lane, flag]
-        code(lane, ends[lane, flag] - size, size, ends[:, 2])
-        model.learn_flag(n, flag)
-        rest = np.flatnonzero(flag == 2)
-        if len(rest):
-            value = now[rest]
-            for level in range(4):
-                node = NODE_START[level] + (value >> (16 - 4 * level))
-                half = (value >> (12 - 4 * level)) & 15
-                row = model.freq[rest, node].astype(np.int64)
-                ends = row.cumsum(axis=1)
-                k = np.arange(len(rest))
-                code(rest, ends[k, half] - row[k, half], row[k, half], ends[:, 15])
-                model.learn_half(rest, node, half, ends[:, 15])
-        model.learn_id(n, now)
-    for shift in (32, 16, 0):
-        out[model.lane, used] = (low >> shift) & 0xFFFF
-        used += 1
-    for c in range(out.shape[1] - 1, 0, -1):  # carries run to the front
-        out[:, c - 1] += out[:, c] >> 16
-        out[:, c] &= 0xFFFF
-    words = out.astype("<u2")
-    sums = [zlib.crc32(grid[i, :n].astype("<u4").tobytes()) for i, n in enumerate(lengths.tolist())]
+            out[small, used[small]] = at[small] >> WORD
+            used[small] += 1
+            at[small] <<= WORD
+            wide[small] <<= WORD
+        low[:n], width[:n] = at, wide
+        model.learn(n, now, flag)
+        model.count(grid[:, :n], t + 1)
+    # one word ends a stream: the next multiple of its range lies in every interval, and what follows reads as 0
+    last = low + (LOW_RANGE - ONE)
+    carry = np.flatnonzero(last < low)
+    out[carry, used[carry] - 1] += ONE
+    out[np.arange(streams), used] = last >> WORD
+    used += 1
+    while len((over := np.nonzero(out >= LOW_RANGE))[0]):  # carries run to the front
+        out[over] -= LOW_RANGE
+        out[over[0], over[1] - 1] += ONE
+    words = out.astype("<u4")
+    sums = [zlib.crc32(rows[i, :n].astype("<u4").tobytes()) for i, n in enumerate(lengths.tolist())]
     head = np.stack([lengths, used, np.array(sums)], axis=1).astype("<u4")
-    return np.array([lanes], "<u4").tobytes() + head.tobytes() + b"".join(words[i, :n].tobytes() for i, n in enumerate(used.tolist()))
+    return np.array([streams], "<u4").tobytes() + head.tobytes() + words[np.arange(words.shape[1]) < used[:, None]].tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    """The ids of a frame; ValueError where a block's checksum does not hold."""
-    lanes = int(np.frombuffer(packed, "<u4", 1)[0])
-    if not lanes:
+    """The ids of a block; ValueError where a stream's checksum does not hold."""
+    streams = int(np.frombuffer(packed, "<u4", 1)[0])
+    if not streams:
         return np.zeros(0, np.int64)
-    head = np.frombuffer(packed, "<u4", 3 * lanes, 4).reshape(lanes, 3).astype(np.int64)
-    lengths, sizes, sums = head.T
-    flat = np.frombuffer(packed, "<u2", int(sizes.sum()), 4 + 12 * lanes).astype(np.int64)
-    words = np.zeros((lanes, int(sizes.max()) + 4), np.int64)
-    words[np.arange(words.shape[1]) < sizes[:, None]] = flat
-    grid = np.zeros((lanes, int(lengths[0])), np.int64)
-    model = Model(lanes)
-    code = (words[:, 1] << 32) | (words[:, 2] << 16) | words[:, 3]
-    used, width = np.full(lanes, 4), np.full(lanes, FULL, np.int64)
-
-    def decode(lane: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = row.cumsum(axis=1)
-        total = ends[:, -1]
-        part = width[lane] // total
-        at = code[lane]
-        value = np.minimum(at // part, total - 1)
-        symbol = (ends <= value[:, None]).sum(axis=1)
-        k = np.arange(len(lane))
-        size = row[k, symbol]
-        at = at - part * (ends[k, symbol] - size)
-        wide = part * size
+    lengths, sizes, sums = np.frombuffer(packed, "<u4", 3 * streams, 4).reshape(streams, 3).astype(np.int64).T
+    words = np.zeros((streams, int(sizes.max()) + 2), np.uint64)
+    words[np.arange(words.shape[1]) < sizes[:, None]] = np.frombuffer(packed, "<u4", int(sizes.sum()), 4 + 12 * streams)
+    each = int(lengths[0])
+    grid = np.zeros((each, streams), np.int64)
+    model = Model(streams)
+    told = np.repeat(np.arange(IDS, dtype=np.int32), model.sizes)
+    code = (words[:, 0] << WORD) | words[:, 1]
+    used, width = np.full(streams, 2), np.full(streams, FULL, np.uint64)
+    for t in range(each):
+        n = streams - int(t >= lengths[-1])
+        model.predictions(n)
+        part = width[:n] >> WORD
+        value = np.minimum(code[:n] // part, LOW_RANGE - ONE)
+        high = value >> ID_SHIFT
+        flag = (high >= model.flag_start.take(model.row + 1)).astype(np.int64) + (high >= model.flag_start.take(model.row + 2))
+        at = model.row + flag
+        other = told.take(((value - (model.flag_start.take(at) << ID_SHIFT)) // model.flag_size.take(at)).astype(np.int64))
+        now = np.where(flag == 2, other, np.where(flag == 1, model.guess[0], model.guess[1]) & (IDS - 1))  # damaged words may ask for an empty cell
+        start, size = model.interval(now, flag)
+        rest, wide = code[:n] - part * start, part * size
         small = np.flatnonzero(wide < LOW_RANGE)
         if len(small):
-            which = lane[small]
-            at[small] = (at[small] << 16) | words[which, np.minimum(used[which], words.shape[1] - 1)]  # damaged words may ask for more
-            used[which] += 1
-            wide[small] <<= 16
-        code[lane], width[lane] = at, wide
-        return symbol, total
-
-    for t, n in enumerate(_lanes(lengths)):
-        lane = model.lane[:n]
-        model.predictions(n)
-        flag, _ = decode(lane, model.mix)
-        model.learn_flag(n, flag)
-        now = np.where(flag == 0, model.now[1], model.now[0]).astype(np.int64)
-        rest = np.flatnonzero(flag == 2)
-        if len(rest):
-            value = np.zeros(len(rest), np.int64)
-            for level in range(4):
-                node = NODE_START[level] + value
-                half, total = decode(rest, model.freq[rest, node].astype(np.int64))
-                model.learn_half(rest, node, half, total)
-                value = (value << 4) | half
-            now[rest] = value
-        grid[:n, t] = now
-        model.learn_id(n, now)
+            rest[small] = (rest[small] << WORD) | words[small, np.minimum(used[small], words.shape[1] - 1)]
+            used[small] += 1
+            wide[small] <<= WORD
+        code[:n], width[:n] = rest, wide
+        grid[t, :n] = now
+        model.learn(n, now, flag)
+        if model.count(grid[:, :n], t + 1):
+            told = np.repeat(np.arange(IDS, dtype=np.int32), model.sizes)
+    rows = np.ascontiguousarray(grid.T)
     for i, (n, s) in enumerate(zip(lengths.tolist(), sums.tolist(), strict=True)):
-        if zlib.crc32(grid[i, :n].astype("<u4").tobytes()) != s:
-            raise ValueError(f"block {i} is damaged")
-    return grid.ravel()[:int(lengths.sum())]
+        if zlib.crc32(rows[i, :n].astype("<u4").tobytes()) != s:
+            raise ValueError(f"stream {i} is damaged")
+    return rows.ravel()[:int(lengths.sum())]
 
 
 class TextIds:
     """Ids of whole texts by the tokenizers library, which is asked once for each piece between white space.
 
-    The tokenizer drops white space before any merge, so the ids of a text are those of its pieces in a row.
+    The tokenizer drops white space before any merge, so the ids of a text are those of its pieces in a row. Under
+    ``RULES`` it lowers all letters, so A-Z are lowered before pieces are told apart, but not where a special token may
+    be written. A piece of Latin letters alone, with marks behind them or not, is split before the marks by these rules
+    too: its letters are merged by the library's model, once for all pieces with the same letters.
     """
 
     def __init__(self, path: str):
@@ -227,26 +247,70 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.latin = all(s is not None for s in steps) and [json.loads(s.__getstate__()) for s in steps] == RULES
+        self.known = Pieces(self.of_piece)
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+
+    def encoded(self, piece: bytes) -> bytes:
+        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of_marks(self, marks: bytes) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= MEMO_MARKS:
+                self.marks.clear()
+            self.marks[marks] = self.encoded(marks)
+        return self.marks[marks]
+
+    def of_piece(self, piece: bytes) -> bytes:
+        word = piece.rstrip(MARKS)
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                letters = word.decode()
+                if not self.latin or not LETTERS.fullmatch(letters):
+                    return self.encoded(piece)
+                merged = self.model.tokenize(letters if word.isascii() else letters.translate(BYTE_LETTERS))
+                ids = struct.pack(f"<{len(merged)}I", *[x.id for x in merged])
+            if len(self.words) >= MEMO_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = ids
+        return ids if len(word) == len(piece) else ids + self.of_marks(piece[len(word):])
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for k in range(0, len(texts), 256):
-            cut = [t.encode().split() for t in texts[k:k + 256]]
-            new = set().union(*cut).difference(self.known)
-            if len(new) + len(self.known) > 2 * MEMO_WORDS:
+        ids_of = self.known.__getitem__
+        for text in texts:
+            if len(self.known) > MEMO_WORDS:
                 self.known.clear()
-                new = set().union(*cut)
-            pieces = list(new)
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(pieces, found, strict=True))
-            get = self.known.__getitem__
-            for pieces in cut:
-                yield np.frombuffer(b"".join(map(get, pieces)), "<u4")
+            pieces = (text.encode().lower() if self.latin and "<|" not in text else text.encode()).split()
+            yield np.frombuffer(b"".join(map(ids_of, pieces)), "<u4")
+
+
+class Pieces(dict):
+    """Remembers what ``ids_of`` says of a piece."""
+
+    def __init__(self, ids_of: Callable[[bytes], bytes]):
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self[piece] = self.ids_of(piece)
+        return ids
+
+
+@functools.lru_cache(maxsize=1)
+def _text_ids(path: str, changed: int) -> TextIds:
+    """Kept by a worker from task to task, until the file changes."""
+    return TextIds(path)
 
 
 def _framed(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = TextIds(path)
+        ids_of = _text_ids(path, os.stat(path).st_mtime_ns)
         docs: list = []
         held: list[np.ndarray] = []
         size = frame = 0

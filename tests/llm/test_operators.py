@@ -83,6 +83,31 @@ def test_skewed_ids_shrink_and_damage_is_seen():
         token_files.pack(np.array([1 << 16]))
 
 
+@pytest.mark.parametrize("n", [511, 512, 513, 100_000])
+def test_streams_are_short_and_share_models(monkeypatch, n):
+    """A block takes as many steps as its streams have ids, not 4,096, and still shrinks."""
+    steps = []
+    real = token_files.Model.predictions
+    monkeypatch.setattr(token_files.Model, "predictions", lambda self, k: (steps.append(k), real(self, k))[1])
+    draw = np.random.default_rng(n)
+    ids = np.where(draw.random(n) < 0.3, draw.integers(0, 65_536, n), np.arange(n) % 50)
+    packed = token_files.pack(ids.astype(np.int64))
+    assert len(steps) <= 512 and sum(steps) == n
+    assert n < 100_000 or len(packed) < 1.5 * n
+    assert (token_files.unpack(packed) == ids).all()
+
+
+def test_words_are_merged_once_and_ids_are_the_librarys():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, ids_of = Tokenizer.from_file(path), token_files.TextIds(path)
+    texts = ["Word, word. WORD! (word) word's", "don't I'LL abc,'s x<|endoftext|>y X<|ENDOFTEXT|>", "é, É. naïve, ÀÖØÞ! ß; İ, \u017f. e\u0301, x\u0302, \u212a: 1, a1, ०,"]
+    draw = random.Random(3)
+    signs = "abcXYZ'\u2019.,;:!?#%&*$|<>()\"-_éÉßÿ×÷ñİſ\u0302\u0327ª09 日\n\t\u0085\x1c"
+    texts += ["".join(draw.choice(signs) for _ in range(draw.randrange(1, 40))) for _ in range(5_000)]
+    assert [x.tolist() for x in ids_of(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert b"word" in ids_of.words and not any(w[-1:] in b".,!" for w in ids_of.words)
+
+
 # --- quality and toxicity -------------------------------------------------
 
 def accuracy(scored, marks, name):
