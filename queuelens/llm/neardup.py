@@ -12,7 +12,8 @@ Lists are joined so that a group of copies never spreads into all its pairs. Eve
 list's most central text, the one whose lists are longest altogether: in a group of edited copies that is the text
 they were made from. Lists whose texts are thereby one component are done. In the others the texts outside of the
 largest component are compared with all, in tiles of bounded size and by a second signature that rules out what is
-clearly less similar, so that few of these pairs leave their tile.
+clearly less similar. No pair leaves its tile: texts with a partner left, of which the tile is the one to look at the
+pair, come back to it with their full sets, and links that tie components together go out, at most one less than these.
 
 With ``MATCHES`` of 36 in 64, a pair of similarity 0.8 is missed with a probability of 4 in a million (binomial).
 """
@@ -20,6 +21,7 @@ With ``MATCHES`` of 36 in 64, a pair of similarity 0.8 is missed with a probabil
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.llm.common import WordHashes, mixed
-from queuelens.session import cut_lineage
+from queuelens.session import arrow_batches, cut_lineage
 
 COORDINATES, MATCHES = 64, 36
 #: Two signatures with MATCHES equal places share one of so many lists, whatever the order of all lists.
@@ -36,8 +38,13 @@ PREFIX = COORDINATES - MATCHES + 1
 BINS = 256
 #: Standard deviations below the wanted similarity at which the second signature rules a pair out.
 DOUBT = 5.0
-#: Texts outside of a list's largest component that one task compares with others at a time.
-TILE = 256
+#: Texts outside of a list's largest component that one task compares with others at a time, how many of these for
+#: each, and the members of their sets for each.
+TILE, PASSING, MEMBERS = 256, 4, 4096
+#: Pairs whose bins are compared at once.
+PAIRS = 8192
+#: Rows with texts or sets that are handed to Python at a time.
+BATCH = 1000
 #: The links of one text are confirmed by up to so many tasks.
 SPREAD = 16
 #: Times that every list is held against a central text before the rest is compared directly.
@@ -120,11 +127,19 @@ def _signed(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     return run
 
 
-def _stretches(rows: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """(values, rows) of each stretch of rows that agree in ``columns``."""
+def _spans(rows: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(values, start, end) of each stretch of rows that agree in ``columns``."""
     tag = rows[columns].to_numpy()
     cuts = [0, *(np.flatnonzero((tag[1:] != tag[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
-    return ((tuple(tag[s].tolist()), rows.iloc[s:e]) for s, e in zip(cuts, cuts[1:]) if e > s)
+    return ((tuple(tag[s].tolist()), s, e) for s, e in zip(cuts, cuts[1:]) if e > s)
+
+
+def alike(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = np.concatenate([mine, other])
+    both.sort(kind="stable")  # two sorted runs are merged
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(mine) + len(other) - same)
 
 
 def _confirmed(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -133,49 +148,141 @@ def _confirmed(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
         where, mine = None, None
         for rows in batches:
             found = []
-            for (a, salt, role), part in _stretches(rows, ["a", "salt", "role"]):
+            for (a, salt, role), start, end in _spans(rows, ["a", "salt", "role"]):
+                part = rows.iloc[start:end]
                 if role == 0:
                     where, mine = (a, salt), np.frombuffer(part["set"].iloc[0], np.uint64)
                     continue
                 if where != (a, salt):
                     raise ValueError("a set is missing")
                 for b, other in zip(part["b"].tolist(), part["set"], strict=True):
-                    other = np.frombuffer(other, np.uint64)
-                    both = np.concatenate([mine, other])
-                    both.sort()
-                    same = int((both[1:] == both[:-1]).sum())
-                    if 100 * same >= percent * (len(mine) + len(other) - same):
+                    if alike(mine, np.frombuffer(other, np.uint64), percent):
                         found.append((a, b))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _tile_pairs(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Plausible pairs of different components, from rows sorted by (key, one, two, role).
+class Texts(NamedTuple):
+    """Columns of some texts of a tile; ``sets`` may be missing."""
+
+    ids: np.ndarray
+    comps: np.ndarray
+    ns: np.ndarray
+    bins: np.ndarray
+    keys: np.ndarray
+    sets: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Texts:
+        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(len(rows), BINS)
+        return cls(*(rows[c].to_numpy() for c in ("id", "comp", "n")), bins, rows["keys"].to_numpy(), rows["set" if "set" in rows else "keys"].to_numpy())
+
+    def span(self, start: int, end: int) -> Texts:
+        return Texts(*(x[start:end] for x in self))
+
+
+class Tile:
+    """Texts of one list that are held while others pass."""
+
+    def __init__(self, key: int):
+        self.key = key
+        self.parts: list[Texts] = []
+        self.earlier: dict[int, frozenset[int]] = {}
+        self.root: dict[int, int] = {}
+
+    @property
+    def held(self) -> Texts:
+        if len(self.parts) > 1:
+            self.parts = [Texts(*map(np.concatenate, zip(*self.parts, strict=True)))]
+        return self.parts[0]
+
+    def pairs(self, others: Texts, percent: int) -> Iterator[tuple[int, int]]:
+        """Places of held and passing texts that may be similar, are of two components and share no earlier list.
+
+        Earlier lists are those with smaller keys: of the lists that two texts share, the first looks at the pair.
+        """
+        held = self.held
+        step = max(1, PAIRS // len(others.ids))
+        for start in range(0, len(held.ids), step):
+            comps, ns = held.comps[start:start + step, None], held.ns[start:start + step, None]
+            i, j = np.nonzero((comps != others.comps) & (100 * np.minimum(ns, others.ns) >= percent * np.maximum(ns, others.ns)))
+            i += start
+            fit = plausible(held.bins[i], others.bins[j], held.ns[i], others.ns[j], percent)
+            for one, two in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
+                if one not in self.earlier:
+                    keys = held.keys[one]
+                    self.earlier[one] = frozenset(keys[keys < self.key].tolist())
+                if self.earlier[one].isdisjoint(others.keys[two].tolist()):
+                    yield one, two
+
+    def find(self, comp: int) -> int:
+        while (up := self.root.get(comp, comp)) != comp:
+            self.root[comp] = self.root.get(up, up)
+            comp = up
+        return comp
+
 
-    The texts of role 0, ``TILE`` or so, are held; those of role 1 pass by in batches.
+TILE_KEY = ["key", "one", "two"]
+
+
+def _tiles(rows: pd.DataFrame, tile: Tile | None, where: tuple | None) -> Iterator[tuple[tuple, Tile, int, Texts]]:
+    """(tile's key, tile, place of the first row, passing texts) from rows sorted by (key, one, two, role).
+
+    The texts of role 0, ``TILE`` or so, are held; those of role 1 pass. ``tile`` is the one the rows before ended in.
     """
+    texts = Texts.of(rows)
+    for (*here, role), start, end in _spans(rows, [*TILE_KEY, "role"]):
+        part = texts.span(start, end)
+        if role == 0:
+            if where != tuple(here):
+                where, tile = tuple(here), Tile(here[0])
+            tile.parts.append(part)
+            yield where, tile, start, part.span(0, 0)
+        elif where != tuple(here):
+            raise ValueError("a tile is incomplete")
+        else:
+            yield where, tile, start, part
+
+
+def _tile_texts(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The texts of a tile that have a plausible partner in it."""
+    columns = [*TILE_KEY, "role", "id", "comp"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, tile, met = None, None, {}
+        for rows in batches:
+            ended, hit = [], np.zeros(len(rows), bool)
+            for here, tile, start, others in _tiles(rows, tile, where):
+                if here != where:
+                    ended += [(*where, 0, i, c) for i, c in met.items()] if met else []
+                    where, met = here, {}
+                if len(others.ids):
+                    for one, two in tile.pairs(others, percent):
+                        hit[start + two] = True
+                        met[int(tile.held.ids[one])] = int(tile.held.comps[one])
+            yield pd.concat([rows.loc[hit, columns], pd.DataFrame(ended, columns=columns, dtype="int64")])
+        yield pd.DataFrame([(*where, 0, i, c) for i, c in met.items()], columns=columns, dtype="int64")
+
+    return run
+
+
+def _tile_links(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links between the components of a tile by full sets; components that others tie together get none of their own."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, held = None, None
+        where, tile = None, None
         for rows in batches:
             found = []
-            for (key, one, two, role), part in _stretches(rows, ["key", "one", "two", "role"]):
-                these = [part["id"].to_numpy(), part["comp"].to_numpy(), part["n"].to_numpy(),
-                         np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), BINS)]
-                if role == 0:
-                    held = [np.concatenate(x) for x in zip(held, these)] if where == (key, one, two) else these
-                    where = (key, one, two)
+            for where, tile, _, others in _tiles(rows, tile, where):
+                if not len(others.ids):
                     continue
-                if where != (key, one, two):
-                    raise ValueError("a tile is incomplete")
-                ids, comps, ns, bins = these
-                for mine, comp, n, own in zip(*held):
-                    able = np.flatnonzero((comps != comp) & (100 * np.minimum(n, ns) >= percent * np.maximum(n, ns)))
-                    hit = able[plausible(own, bins[able], n, ns[able], percent)]
-                    found.append(np.stack([np.full(len(hit), mine), ids[hit]], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+                held = tile.held
+                for one, two in tile.pairs(others, percent):
+                    a, b = tile.find(int(held.comps[one])), tile.find(int(others.comps[two]))
+                    if a != b and alike(np.frombuffer(held.sets[one], np.uint64), np.frombuffer(others.sets[two], np.uint64), percent):
+                        tile.root[max(a, b)] = min(a, b)
+                        found.append((held.ids[one], others.ids[two]))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -195,6 +302,23 @@ def prefix_lists(nodes: DataFrame) -> DataFrame:
     return members.join(met, "key", "left_semi")
 
 
+def full_sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the nodes with these ids."""
+    wanted = nodes.join(ids.distinct(), "id", "left_semi").select(F.col("rep").alias("id")).distinct()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes(WORDS)
+        for part in batches:
+            made = [(set_hash(h, SEED), h.tobytes()) for h in _sets(part["text"].tolist(), hashes, width)]
+            yield pd.DataFrame(made, columns=["id", "set"])
+
+    with arrow_batches(nodes.sparkSession, BATCH):
+        full = cut_lineage(rows.join(wanted, "id", "left_semi").select("text").mapInPandas(sets, "id long, set binary"))
+    if not full.groupBy("id").count().filter("count > 1").isEmpty():  # rows that repeat an id
+        full = full.dropDuplicates(["id"])
+    return full
+
+
 def confirm(candidates: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
     """The candidate pairs (a, b) of nodes whose signatures agree enough and whose full sets are similar enough.
 
@@ -207,22 +331,12 @@ def confirm(candidates: DataFrame, nodes: DataFrame, rows: DataFrame, percent: i
         candidates.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a")
         .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
         .filter(near & (same >= MATCHES)).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int").alias("salt")))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = nodes.join(needed, "id", "left_semi").select(F.col("rep").alias("id")).distinct()
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes(WORDS)
-        for part in batches:
-            made = [(set_hash(h, SEED), h.tobytes()) for h in _sets(part["text"].tolist(), hashes, width)]
-            yield pd.DataFrame(made, columns=["id", "set"])
-
-    full = cut_lineage(rows.join(wanted, "id", "left_semi").select("text").mapInPandas(sets, "id long, set binary"))
-    if not full.groupBy("id").count().filter("count > 1").isEmpty():  # rows that repeat an id
-        full = full.dropDuplicates(["id"])
+    full = full_sets(likely.select(F.explode(F.array("a", "b")).alias("id")), nodes, rows, width)
     centres = likely.select("a", "salt").distinct().join(full.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "set")
     others = likely.join(full.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "set")
     sent = centres.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return cut_lineage(sent.mapInPandas(_confirmed(percent), "a long, b long"))
+    with arrow_batches(nodes.sparkSession, BATCH):
+        return cut_lineage(sent.mapInPandas(_confirmed(percent), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,19 +389,31 @@ def similar_nodes(nodes: DataFrame, rows: DataFrame, percent: int, width: int) -
             return links
         now = left.select("key", "id", F.col("comp").alias("first_comp"))
         tried = cut_lineage(firsts.select("key", F.col("first").alias("id")).join(now, ["key", "id"]).select("key", "first_comp"))
-    # what is left: texts outside of a list's largest component against all texts of the list
-    sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-    plan = largest.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("all") / (16 * TILE)).cast("int").alias("parts"),
-                          F.ceil((F.col("all") - F.col("top.n")) / TILE).cast("int").alias("tiles"))
+    return links.unionByName(tile_links(left, nodes, rows, percent, width))
+
+
+def tile_links(left: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between the components of ``left``: texts outside of a list's largest component against all of the list."""
+    left = left.select("key", "id", "comp").join(nodes.select("id", "n"), "id")
+    sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("members"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("texts", "comp", "members")).alias("top"), F.sum("texts").alias("texts"), F.sum("members").alias("members"))
+    plan = largest.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("texts") / (PASSING * TILE)).cast("int").alias("parts"),
+                          F.ceil(F.greatest((F.col("texts") - F.col("top.texts")) / TILE, (F.col("members") - F.col("top.members")) / (TILE * MEMBERS))).cast("int").alias("tiles"))
     listed = left.join(plan, "key").withColumns({"one": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "two": F.pmod(F.xxhash64("id", F.lit(1)), F.col("tiles")).cast("int")})
     held = listed.filter("comp <> top").select("key", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("one"), "two", F.lit(0).alias("role"))
     passing = listed.select("key", "id", "comp", "one", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("two"), F.lit(1).alias("role"))
-    whole = held.select("key", "one", "two").distinct()  # a tile without a held text has nothing to compare
-    tiles = (held.unionByName(passing.join(whole, ["key", "one", "two"], "left_semi")).join(nodes.select("id", "n", "bins"), "id")
-             .repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "role"))
-    more = tiles.select("key", "one", "two", "role", "id", "comp", "n", "bins").mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
-    return links.unionByName(confirm(more, nodes, rows, percent, width))
+    whole = held.select(*TILE_KEY).distinct()  # a tile without a held text has nothing to compare
+    known = cut_lineage(left.groupBy("id").agg(F.collect_list("key").alias("keys")).join(nodes.select("id", "n", "bins"), "id"))
+
+    def dealt(texts: DataFrame, *more: str) -> DataFrame:
+        return (texts.join(known, "id").select(*TILE_KEY, "role", "id", "comp", "n", "bins", "keys", *more)
+                .repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "role"))
+
+    tiles = dealt(held.unionByName(passing.join(whole, TILE_KEY, "left_semi")))
+    with arrow_batches(nodes.sparkSession, BATCH):
+        near = cut_lineage(tiles.mapInPandas(_tile_texts(percent), "key long, one int, two int, role int, id long, comp long"))
+        full = full_sets(near.select("id"), nodes, rows, width)
+        return cut_lineage(dealt(near.join(full, "id"), "set").mapInPandas(_tile_links(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -300,7 +426,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, text: st
     must be whole numbers. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut_lineage(rows.mapInPandas(_signed(width), "id long, n long, node long, sig array<int>, bins binary"))
+    with arrow_batches(docs.sparkSession, BATCH):
+        signed = cut_lineage(rows.mapInPandas(_signed(width), "id long, n long, node long, sig array<int>, bins binary"))
     able = signed.filter("n > 0 and id is not null")
     nodes = cut_lineage(able.groupBy(F.col("node").alias("id")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bins").alias("bins")))
     linked = components(similar_nodes(nodes, rows, percent, width))

@@ -11,6 +11,7 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, spelling, token_files, toxicity
+from queuelens.session import arrow_batches
 
 SCHEMA = "doc_id long, text string, source string, lang string, size int, id string, _text string"
 
@@ -352,6 +354,49 @@ def test_a_large_group_of_edited_copies(spark, monkeypatch, middle):
         assert len(set(found.values())) == 1 and met < 8 * len(rows)
 
 
+def test_pairs_of_copies_without_a_centre_stay_in_their_tile(spark, monkeypatch):
+    """Hundreds of texts just below or above the limit: rows that leave the tiles are as many as texts, not as pairs."""
+    made, kept = [], neardup.cut_lineage
+    real = neardup.tile_links
+
+    def counting(*args):
+        monkeypatch.setattr(neardup, "cut_lineage", lambda df: (made.append(kept(df)), made[-1])[1])
+        links = real(*args)
+        monkeypatch.setattr(neardup, "cut_lineage", kept)
+        return links
+    monkeypatch.setattr(neardup, "tile_links", counting)
+    draw = random.Random(9)
+    origin = [f"o{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(origin)
+        for k in draw.sample(range(200), 10):
+            words[k] = f"x{draw.randrange(10**9)}"
+        rows.append((i, " ".join(words), "s"))
+    found, met = met_pairs(spark, monkeypatch, rows)
+    want = plain_components([(i, t) for i, t, _ in rows], 80, 2, 10**6)
+    assert found == {i: c for i, (_, c) in want.items()}
+    assert len(set(found.values())) > 1 and met < neardup.PREFIX * len(rows)
+    near, links = made[1], made[-1]
+    assert near.columns[:4] == ["key", "one", "two", "role"] and links.columns == ["a", "b"]
+    lists = made[0].select(F.explode("keys")).count()
+    assert near.count() <= 2 * lists and links.count() < lists
+
+
+def test_batches_are_small_for_a_while(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for rows in batches:
+            yield pd.DataFrame({"n": [len(rows)]})
+    with arrow_batches(spark, 700):
+        inside = [r["n"] for r in spark.range(0, 2000, 1, 1).mapInPandas(sizes, "n long").collect()]
+        with arrow_batches(spark, 5000):
+            assert spark.conf.get(name) == "700"
+    assert sum(inside) == 2000 and max(inside) <= 700 and spark.conf.get(name) == before
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["id"]: r["comp"] for r in neardup.components(links).collect()}
