@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from queuelens.llm.common import kept_by_worker
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Words of more bytes are merged with a heap; the rank of pairs that never merge; texts whose pieces are learnt at once.
 LONG_WORD, NEVER, TOGETHER = 200, 1 << 30, 512
@@ -39,7 +41,6 @@ ONE_WORD = re.compile(" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 WORD_AND_MARKS = re.compile("(" + ONE_WORD.pattern + r")([!-&(-/:-@\[-`{-~]+)")
 BEFORE_A_WORD = re.compile(r" (?=\S)")
 Piece = tuple[bytes, str, bytes]
-_KEPT: dict[str, "BytePairs"] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -307,10 +308,8 @@ def cut_at_blanks(text: str) -> list[str]:
 
 
 def byte_pairs(path: str) -> BytePairs:
-    """One encoder per process and file, so that its memory serves later tasks of the worker."""
-    if path not in _KEPT:
-        _KEPT[path] = BytePairs(path)
-    return _KEPT[path]
+    """The encoder of a worker, whose memory serves later tasks as long as these are of this operator and file."""
+    return kept_by_worker(("byte pairs", path), lambda: BytePairs(path))
 
 
 @contextmanager

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import xxhash
@@ -16,6 +17,27 @@ HOLDOUT_EVERY = 5
 MEMO_WORDS = 400_000
 
 
+#: What this process keeps from task to task: one thing, with its name.
+_KEPT: dict[Any, Any] = {}
+
+
+def kept_by_worker(name: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave for this name, if no task of the worker has asked for another name since.
+
+    Workers outlive their tasks and stages, and all of one executor share its memory, so what an operator remembers
+    is dropped as soon as the worker turns to another one.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def nothing_kept() -> None:
+    """For operators that remember nothing from task to task: what the worker kept for others is dropped."""
+    _KEPT.clear()
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import WordHashes, mixed
+from queuelens.llm.common import WordHashes, mixed, nothing_kept
 from queuelens.session import arrow_batches, cut_lineage
 
 COORDINATES, MATCHES = 64, 36
@@ -116,6 +116,7 @@ def set_hash(h: np.ndarray, seed: int) -> int:
 
 def _signed(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing_kept()
         hashes, (factor, shift) = WordHashes(WORDS), permutations()
         for rows in batches:
             out = [(len(h), set_hash(h, SEED), signature(h, factor, shift).view("<i4"), bins_of(h)) if len(h) else (0, 0, None, None)
@@ -145,6 +146,7 @@ def alike(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
 def _confirmed(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Links from rows sorted by (a, salt, role): the set of ``a`` comes first and is kept while the others pass."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing_kept()
         where, mine = None, None
         for rows in batches:
             found = []
@@ -250,6 +252,7 @@ def _tile_texts(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     columns = [*TILE_KEY, "role", "id", "comp"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing_kept()
         where, tile, met = None, None, {}
         for rows in batches:
             ended, hit = [], np.zeros(len(rows), bool)
@@ -270,6 +273,7 @@ def _tile_texts(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 def _tile_links(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Links between the components of a tile by full sets; components that others tie together get none of their own."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing_kept()
         where, tile = None, None
         for rows in batches:
             found = []
@@ -307,6 +311,7 @@ def full_sets(ids: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) ->
     wanted = nodes.join(ids.distinct(), "id", "left_semi").select(F.col("rep").alias("id")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing_kept()
         hashes = WordHashes(WORDS)
         for part in batches:
             made = [(set_hash(h, SEED), h.tobytes()) for h in _sets(part["text"].tolist(), hashes, width)]
@@ -375,7 +380,8 @@ def similar_nodes(nodes: DataFrame, rows: DataFrame, percent: int, width: int) -
     """Links (a, b) that tie together all nodes of a component. ``nodes``: id, rep, n, sig, bins; ``rows``: id, text."""
     spark = nodes.sparkSession
     left = cut_lineage(prefix_lists(nodes).withColumn("comp", F.col("id")))
-    links, tried = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "key long, first_comp long")
+    # empty ranges: an empty list would be read by Python workers of another kind, beside those that are there
+    links, tried = (spark.range(0).select(F.col("id").alias(x), F.col("id").alias(y)) for x, y in (("a", "b"), ("key", "first_comp")))
     for _ in range(STARS):
         # the most central text of each list, of a component that was not its centre before
         fresh = left.join(tried, (left["key"] == tried["key"]) & (left["comp"] == tried["first_comp"]), "left_anti")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import held_out, label_of, labelled_sample
+from queuelens.llm.common import held_out, label_of, labelled_sample, nothing_kept
 from queuelens.llm.fitting import apply_logistic, fit_logistic
 
 BLOCK = 1024
@@ -90,6 +90,7 @@ def train(docs: DataFrame, marks: DataFrame, per_label: int = 1600, max_bytes: i
 
 def _scored(model: QualityModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing_kept()
         of = model.features()
         for rows in batches:
             if len(rows):
@@ -114,6 +115,7 @@ def keep_good(docs: DataFrame, model: QualityModel, cutoff: float = CUTOFF, text
     """The rows of ``docs`` whose text scores at least ``cutoff``, with all their columns; only the text goes to Python."""
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        nothing_kept()
         of = model.features()
         for texts in batches:
             yield pd.Series(model.score(np.array([of(t) for t in texts])) if len(texts) else [], dtype=float)

@@ -15,7 +15,6 @@ packed block of all their ids.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from queuelens.llm.common import MEMO_WORDS
+from queuelens.llm.common import MEMO_WORDS, kept_by_worker
 from queuelens.session import scratch_path
 
 TOKENIZER, END = "word_bpe_49k.json", 2
@@ -302,10 +301,9 @@ class Pieces(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=1)
 def _text_ids(path: str, changed: int) -> TextIds:
-    """Kept by a worker from task to task, until the file changes."""
-    return TextIds(path)
+    """Kept by a worker from task to task, until the file changes or the worker turns to another operator."""
+    return kept_by_worker(("text ids", path, changed), lambda: TextIds(path))
 
 
 def _framed(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

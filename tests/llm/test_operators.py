@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from queuelens.llm import bpe, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, spelling, token_files, toxicity
+from queuelens.llm import bpe, common, imatch, linedup, mixing, neardup, pseudonyms, quality, risk, spelling, token_files, toxicity
 from queuelens.session import arrow_batches
 
 SCHEMA = "doc_id long, text string, source string, lang string, size int, id string, _text string"
@@ -110,6 +110,19 @@ def test_words_are_merged_once_and_ids_are_the_librarys():
     assert b"word" in ids_of.words and not any(w[-1:] in b".,!" for w in ids_of.words)
 
 
+def test_a_worker_keeps_the_memory_of_one_operator(spark, monkeypatch):
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    assert bpe.byte_pairs(path) is bpe.byte_pairs(path) and common._KEPT
+    for task in (neardup._signed(5), neardup._confirmed(80), neardup._tile_texts(80), neardup._tile_links(80)):
+        bpe.byte_pairs(path)
+        list(task(iter([])))
+        assert not common._KEPT
+    # no list of the driver's goes through Python workers of another kind
+    docs = spark.createDataFrame([(k, "a b c d e f g h " * 3 + "x" * (k % 2)) for k in range(4)], "doc_id long, text string")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert neardup.near_duplicates(docs).count() == 4
+
+
 # --- quality and toxicity -------------------------------------------------
 
 def accuracy(scored, marks, name):
