@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,6 +24,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,8 +51,10 @@ RULES = [{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace
              {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
              {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 #: Words of these letters are in the tokenizer's normal form and one piece to it; its model takes a byte as a letter.
-LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 BYTE_LETTERS = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+#: Bytes of texts that are cut into pieces together.
+TOGETHER = 16 << 20
 #: Marks that the tokenizer cuts off behind a letter (not the apostrophe), and how many runs of them a task remembers.
 MARKS, MEMO_MARKS = b'.,;:!?#%&*$|<>()"-', 10_000
 
@@ -232,9 +235,15 @@ def unpack(packed: bytes) -> np.ndarray:
     return rows.ravel()[:int(lengths.sum())]
 
 
+def as_bytes(strings: pa.Array) -> list[bytes]:
+    return strings.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class TextIds:
     """Ids of whole texts by the tokenizers library, which is asked once for each piece between white space.
 
+    Texts are cut into pieces some megabytes at a time, and every distinct piece of these is looked up once.
+
     The tokenizer drops white space before any merge, so the ids of a text are those of its pieces in a row. Under
     ``RULES`` it lowers all letters, so A-Z are lowered before pieces are told apart, but not where a special token may
     be written. A piece of Latin letters alone, with marks behind them or not, is split before the marks by these rules
@@ -249,7 +258,7 @@ class TextIds:
         self.model = self.tokenizer.model
         steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.latin = all(s is not None for s in steps) and [json.loads(s.__getstate__()) for s in steps] == RULES
-        self.known = Pieces(self.of_piece)
+        self.known = Pieces(self.encoded)
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.marks: dict[bytes, bytes] = {}
@@ -265,29 +274,66 @@ class TextIds:
             self.marks[marks] = self.encoded(marks)
         return self.marks[marks]
 
-    def of_piece(self, piece: bytes) -> bytes:
-        word = piece.rstrip(MARKS)
-        ids = self.words.get(word)
+    def of_word(self, word: bytes) -> bytes:
+        """Of letters alone; remembered."""
+        ids = self.older.get(word)
         if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                letters = word.decode()
-                if not self.latin or not LETTERS.fullmatch(letters):
-                    return self.encoded(piece)
-                merged = self.model.tokenize(letters if word.isascii() else letters.translate(BYTE_LETTERS))
-                ids = struct.pack(f"<{len(merged)}I", *[x.id for x in merged])
-            if len(self.words) >= MEMO_WORDS:
-                self.older, self.words = self.words, {}
-            self.words[word] = ids
-        return ids if len(word) == len(piece) else ids + self.of_marks(piece[len(word):])
+            letters = word.decode()
+            merged = self.model.tokenize(letters if word.isascii() else letters.translate(BYTE_LETTERS))
+            ids = struct.pack(f"<{len(merged)}I", *[x.id for x in merged])
+        if len(self.words) >= MEMO_WORDS:
+            self.older, self.words = self.words, {}
+        self.words[word] = ids
+        return ids
+
+    def of_pieces(self, pieces: pa.Array) -> list[bytes]:
+        """Of distinct pieces, whose distinct words are looked up once each."""
+        if not self.latin:
+            return list(map(self.known.__getitem__, as_bytes(pieces)))
+        coded = pc.ascii_rtrim(pieces, characters=MARKS.decode()).dictionary_encode()
+        words = as_bytes(coded.dictionary)
+        plain = pc.match_substring_regex(coded.dictionary, LETTERS).to_numpy(zero_copy_only=False)
+        found = list(map(self.words.get, words))
+        for k in np.flatnonzero(plain).tolist():
+            if found[k] is None:
+                found[k] = self.of_word(words[k])
+        at = coded.indices.to_numpy()
+        ids = np.array(found, object).take(at).tolist()
+        longer = pc.binary_length(pieces).to_numpy() - pc.binary_length(coded.dictionary).to_numpy().take(at)
+        rest = np.flatnonzero((longer > 0) | ~plain.take(at))
+        for k, piece, marks in zip(rest.tolist(), as_bytes(pieces.take(pa.array(rest))), longer.take(rest).tolist(), strict=True):
+            ids[k] = self.known[piece] if ids[k] is None else ids[k] + self.of_marks(piece[len(piece) - marks:])
+        return ids
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        ids_of = self.known.__getitem__
+        group: list[bytes] = []
+        size = 0
         for text in texts:
-            if len(self.known) > MEMO_WORDS:
-                self.known.clear()
-            pieces = (text.encode().lower() if self.latin and "<|" not in text else text.encode()).split()
-            yield np.frombuffer(b"".join(map(ids_of, pieces)), "<u4")
+            group.append(text.encode().lower() if self.latin and "<|" not in text else text.encode())
+            size += len(group[-1])
+            if size >= TOGETHER:
+                yield from self.of_group(group)
+                group, size = [], 0
+        if group:
+            yield from self.of_group(group)
+
+    def of_group(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; a piece is looked up once for all of them. These are fewer than 2^31 bytes or one text."""
+        if len(self.known) > MEMO_WORDS:
+            self.known.clear()
+        pieces = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = pieces.flatten().dictionary_encode()
+        parts = self.of_pieces(coded.dictionary)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        starts = sizes.cumsum() - sizes
+        at = coded.indices.to_numpy()
+        counts = sizes.take(at)
+        ends = counts.cumsum()
+        # the place of every id among those of the distinct pieces
+        places = np.repeat((starts.take(at) - (ends - counts)).astype(np.int32), counts)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = np.frombuffer(b"".join(parts), "<u4").take(places)
+        return np.split(ids, np.append(0, ends).take(pieces.offsets.to_numpy()[1:-1]))
 
 
 class Pieces(dict):

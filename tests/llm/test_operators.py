@@ -110,6 +110,15 @@ def test_words_are_merged_once_and_ids_are_the_librarys():
     assert b"word" in ids_of.words and not any(w[-1:] in b".,!" for w in ids_of.words)
 
 
+def test_token_files_look_up_a_piece_once(monkeypatch):
+    asked, real = [], token_files.TextIds.of_pieces
+    monkeypatch.setattr(token_files.TextIds, "of_pieces", lambda self, pieces: (asked.extend(pieces.to_pylist()), real(self, pieces))[1])
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    tok, texts = Tokenizer.from_file(path), ["Alpha beta. alpha,\u00a0x", "", " beta. 12 Alpha\n", "x<|endoftext|>Alpha \u4e2d", "alpha"] * 50
+    assert [x.tolist() for x in token_files.TextIds(path)(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and len(asked) == len(set(asked))
+
+
 def test_a_worker_keeps_the_memory_of_one_operator(spark, monkeypatch):
     path = public_tokenizers.path(bpe.TOKENIZER)
     assert bpe.byte_pairs(path) is bpe.byte_pairs(path) and common._KEPT
