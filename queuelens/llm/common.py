@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,8 +16,6 @@ SPACES = " \t\n\x0b\f\r"
 HOLDOUT_EVERY = 5
 #: Words remembered by one task; the memory is emptied beyond it.
 MEMO_WORDS = 400_000
-
-
 #: What this process keeps from task to task: one thing, with its name.
 _KEPT: dict[Any, Any] = {}
 
@@ -28,14 +27,16 @@ def kept_by_worker(name: Any, make: Callable[[], Any]) -> Any:
     is dropped as soon as the worker turns to another one.
     """
     if name not in _KEPT:
-        _KEPT.clear()
+        nothing_kept()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
 def nothing_kept() -> None:
     """For operators that remember nothing from task to task: what the worker kept for others is dropped."""
-    _KEPT.clear()
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()  # memories refer to their owners
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
