@@ -90,6 +90,48 @@ def test_search_fits_each_point_once_a_fold(spark, trained, monkeypatch):
         models.search_params(df.filter("id < 1").unionAll(df.filter("id < 1")), ["a", "b"], "y", ["id"], {"maxDepth": [1]}, folds=2)
 
 
+def test_search_reads_small_parts_of_its_folds_as_vectors(spark, trained, monkeypatch):
+    """Every scan of a fit was a new assembly of all folds' rows, in parts as large as the session's files may be."""
+    from pyspark.ml.regression import RandomForestRegressor
+    from tests.test_plans import plan
+    name = "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(models, "FIT_ROWS", 100, raising=False)
+    seen, before, fit = [], spark.conf.get(name), RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, rows: seen.append((plan(rows), rows.count(), rows.rdd.getNumPartitions())) or fit(self, rows))
+    df = trained[0].coalesce(1)
+    _, folds = models.search_params(df, ["a", "b"], "y", ["id"], {"maxDepth": [1, 2]}, folds=3, numTrees=2)
+    sizes = {r["fold"]: r["n"] for r in folds.collect()}
+    assert sorted(n for _, n, _ in seen) == sorted(2 * [3000 - n for n in sizes.values()])
+    for text, n, parts in seen:
+        assert "UDF(" not in text and "PartitionFilters: [isnotnull(_fold" in text and n / parts <= 100
+    assert spark.conf.get(name) == before
+
+
+def test_search_fits_one_point_at_a_time_where_it_fills_the_cores(spark, trained, monkeypatch):
+    import threading
+    import time
+    from pyspark.ml.regression import RandomForestRegressor
+    lock, now, most, fit = threading.Lock(), [0], [0], RandomForestRegressor._fit
+
+    def counted(self, rows):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.5)
+        try:
+            return fit(self, rows)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(RandomForestRegressor, "_fit", counted)
+    search = lambda: models.search_params(trained[0].filter("id < 600"), ["a", "b"], "y", ["id"], {"maxDepth": [1, 2]}, folds=2, numTrees=2)[0].count()
+    assert search() == 2 and most == [2]
+    monkeypatch.setattr(models, "FIT_ROWS", 600 // spark.sparkContext.defaultParallelism, raising=False)
+    most[0] = 0
+    assert search() == 2 and most == [1]
+
+
 RUN = {"now_s": 100_000, "params": {"rounds": 3, "maxDepth": 3}}
 
 
