@@ -94,17 +94,19 @@ def test_search_reads_small_parts_of_its_folds_as_vectors(spark, trained, monkey
     """Every scan of a fit was a new assembly of all folds' rows, in parts as large as the session's files may be."""
     from pyspark.ml.regression import RandomForestRegressor
     from tests.test_plans import plan
-    name = "spark.sql.files.maxPartitionBytes"
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
     monkeypatch.setattr(models, "FIT_ROWS", 100, raising=False)
-    seen, before, fit = [], spark.conf.get(name), RandomForestRegressor._fit
+    seen, before, fit = [], [spark.conf.get(n) for n in names], RandomForestRegressor._fit
     monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, rows: seen.append((plan(rows), rows.count(), rows.rdd.getNumPartitions())) or fit(self, rows))
-    df = trained[0].coalesce(1)
-    _, folds = models.search_params(df, ["a", "b"], "y", ["id"], {"maxDepth": [1, 2]}, folds=3, numTrees=2)
-    sizes = {r["fold"]: r["n"] for r in folds.collect()}
-    assert sorted(n for _, n, _ in seen) == sorted(2 * [3000 - n for n in sizes.values()])
-    for text, n, parts in seen:
-        assert "UDF(" not in text and "PartitionFilters: [isnotnull(_fold" in text and n / parts <= 100
-    assert spark.conf.get(name) == before
+    for df, least, most in ((trained[0].coalesce(1), 4, 20), (trained[0].repartition(60), 1, 30)):
+        seen.clear()
+        _, folds = models.search_params(df, ["a", "b"], "y", ["id"], {"maxDepth": [1, 2]}, folds=3, numTrees=2)
+        sizes = {r["fold"]: r["n"] for r in folds.collect()}
+        assert sorted(n for _, n, _ in seen) == sorted(2 * [3000 - n for n in sizes.values()])
+        for text, _, parts in seen:
+            assert "UDF(" not in text and "PartitionFilters: [isnotnull(_fold" in text
+            assert least <= parts <= most
+    assert [spark.conf.get(n) for n in names] == before
 
 
 def test_search_fits_one_point_at_a_time_where_it_fills_the_cores(spark, trained, monkeypatch):
